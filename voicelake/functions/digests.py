@@ -20,9 +20,9 @@ def json_digest(df: DataFrame, drop: Sequence[str] = ()) -> Column:
     return F.sha2(canonical_json(df, drop), 256)
 
 
-def settings_fingerprint(df: DataFrame, version: str, fields: Sequence[str]) -> Column:
-    """`version:` and 16 hex digits of the settings."""
-    return F.concat(F.lit(f"{version}:"), F.substring(F.sha2(canonical_json(df.select(*fields)), 256), 1, 16))
+def settings_fingerprint(df: DataFrame, schema: str, fields: Sequence[str]) -> Column:
+    """`schema:sha256:` and the first 16 hex digits of the settings' digest; the schema is not part of the digest."""
+    return F.concat(F.lit(f"{schema}:sha256:"), F.substring(F.sha2(canonical_json(df.select(*fields)), 256), 1, 16))
 
 
 def lanes(text: Column) -> list[Column]:

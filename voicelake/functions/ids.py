@@ -129,8 +129,9 @@ def first_present(*values: Column) -> Column:
 
 
 def gender_of_reference(value: Column) -> Column:
-    """m or f from the last token of a reference, else NULL."""
-    return F.nullif(F.regexp_extract(value, r"-([mf])(\.[^.]*)?$", 1), F.lit(""))
+    """m or f when it is the last dash-separated token of the file stem, else NULL."""
+    name = F.lower(F.regexp_extract(F.replace(value, F.lit("\\"), F.lit("/")), r"([^/]*)/*$", 1))
+    return F.nullif(F.regexp_extract(name, r"(^|-)([mf])(\.[^.]*)?$", 2), F.lit(""))
 
 
 def scoped_key(kind: str, language: Column, value: Column) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 CONVERSION_GENERATORS = ("freevc24",)
 SPEECH_GENERATORS = ("xtts_v2", "vits")
 
+# Language codes that the Indic encoder serves.
+INDIC_CODES = ("as", "bn", "gu", "hi", "kn", "ml", "mr", "ne", "or", "pa", "sa", "si", "ta", "te", "ur")
+
 # File suffixes kept from a URL.
 MEDIA_SUFFIXES = (".wav", ".flac", ".mp3", ".ogg", ".m4a")
 
@@ -57,10 +60,11 @@ def reason_prefix(reason: Column) -> Column:
     return F.trim(F.split_part(reason, F.lit(":"), F.lit(1)))
 
 
-def route_language(language: Column, served: Sequence[str]) -> tuple[Column, Column]:
-    """The encoder route of a language and the reason for it."""
-    ok = F.coalesce(language.isin(*served), F.lit(False))
-    return F.when(ok, "indic").otherwise("general"), F.when(ok, "served_language").when(language.isNull(), "language_unknown").otherwise("language_not_served")
+def route_language(language: Column, served: Sequence[str] = INDIC_CODES) -> tuple[Column, Column]:
+    """The encoder route of a language tag (its region is ignored) and the reason for it."""
+    code = F.split_part(F.lower(F.trim(F.coalesce(language, F.lit("")))), F.lit("-"), F.lit(1))
+    known = code.isin(*served)
+    return F.when(known, "indic").otherwise("global_fallback"), F.when(known, "configured_language").otherwise("missing_or_other_language")
 
 
 def safe_path(path: Column) -> Column:
@@ -73,9 +77,9 @@ def safe_path(path: Column) -> Column:
 
 
 def fmt_bytes(value: Column) -> Column:
-    """Bytes with a binary unit and two decimals."""
-    text = F.concat(value.cast("string"), F.lit(" B"))
+    """Bytes in the largest binary unit that fits, two decimals rounded half to even, `unknown` for NULL."""
+    text = F.format_string("%.2f B", value.cast("double"))
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
         size = float(1024**power)
-        text = F.when(value >= size, F.concat(F.format_string("%.2f", value / F.lit(size)), F.lit(f" {unit}"))).otherwise(text)
-    return text
+        text = F.when(value >= size, F.format_string(f"%.2f {unit}", F.bround(value / F.lit(size), 2))).otherwise(text)
+    return F.when(value.isNull(), "unknown").otherwise(text)

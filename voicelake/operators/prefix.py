@@ -62,7 +62,7 @@ def hash_ranked(df: DataFrame, by: Sequence[str], key: str, seed: str | int, nam
 def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], **totals: Column) -> DataFrame:
     """Inclusive running totals inside each group, in a total order over any sortable columns.
 
-    Range partitioning on (group, order) balances the pieces by sampling. The placement is checkpointed because the
+    Range partitioning on (group, order) balances the pieces by sampling. The placement is written down because the
     piece numbers must not move between the pass that totals pieces and the pass that reads rows.
     """
     placed = cut(

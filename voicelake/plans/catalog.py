@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is complete."""
 
-from voicelake.plans import score_queries  # noqa: F401
+from voicelake.plans import function_queries, graph_queries, join_queries, score_queries, source_queries  # noqa: F401
 from voicelake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

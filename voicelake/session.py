@@ -1,4 +1,4 @@
-"""Session settings, lineage cuts and scratch folders."""
+"""Session settings, lineage cuts and work tables."""
 
 from __future__ import annotations
 
@@ -22,7 +22,6 @@ def session(app: str = "voicelake", master: str | None = None, partitions: int |
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
@@ -45,13 +44,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so that an iterative plan stays short and survives lost executors."""
+def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Cut lineage by writing a table in the shared folder and reading it back.
+
+    An iterative plan stays short, a lost executor costs nothing but a reread, and the file sizes tell Spark how large
+    the result is, so it picks broadcast or shuffle joins on measured sizes. `replaces` is a result of an earlier round
+    that nothing reads any more; its files are removed.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = work_path(spark, "cut")
+    df.write.parquet(path)
+    result = spark.read.schema(df.schema).parquet(path)
+    result._work_path = path
+    if replaces is not None:
+        remove_work(spark, replaces._work_path)
+    return result
+
+
+def remove_work(spark: SparkSession, path: str) -> None:
+    """Delete a work table of our own (never a path outside the work folder)."""
+    if "/voicelake-work/" not in path:
+        raise ValueError(f"not a work table: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
