@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voicelake.operators.identity import row_keys
+
+
+def exposure_registry(manifest: DataFrame) -> DataFrame:
+    """Everything a training run has seen, as distinct (kind, node): windows, identity keys and both audio hashes."""
+    facts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("node")) for k, c in (
+        ("window", "window_id"), ("prepared_sha256", "prepared_sha256"), ("original_sha256", "original_sha256"))]))
+    plain = manifest.select(facts.alias("f")).select("f.kind", "f.node").where("node IS NOT NULL")
+    return plain.unionByName(row_keys(manifest).select("kind", "node")).distinct()
+
 
 def registry_references(registry: DataFrame) -> DataFrame:
     """(language, reference_key) of a node registry: canonical references and the record ids inside them."""

@@ -49,15 +49,15 @@ def anti_heldout(spark: SparkSession, folder: str) -> DataFrame:
     return kept.groupBy("language").agg(F.count("*").alias("rows"), F.count_distinct("record_id").alias("records"))
 
 
-@query("anti_quarantine", """WITH q AS (SELECT user_id, arg_max(event_type, event_id) AS reason, max(event_id) AS at FROM events WHERE event_type IN ('error', 'signup') GROUP BY user_id)
-SELECT reason, count(*) AS users, CAST(sum(at) AS BIGINT) AS at, (SELECT count(*) FROM events WHERE user_id NOT IN (SELECT user_id FROM q WHERE reason = 'error')) AS kept FROM q GROUP BY reason""")
+@query("anti_quarantine", """WITH q AS (SELECT user_id, arg_max(event_type, event_id) AS reason, max(event_id) AS last_event FROM events WHERE event_type IN ('error', 'signup') GROUP BY user_id)
+SELECT reason, count(*) AS users, CAST(sum(last_event) AS BIGINT) AS last_event, (SELECT count(*) FROM events WHERE user_id NOT IN (SELECT user_id FROM q WHERE reason = 'error')) AS kept FROM q GROUP BY reason""")
 def anti_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """Quarantine entries upserted by time; events of quarantined users dropped."""
     events = table(spark, folder, "events")
-    entry = lambda kind: events.where(F.col("event_type") == kind).select("user_id", F.col("event_type").alias("reason"), F.col("event_id").alias("at"))
-    quarantine = joins.upsert_latest(entry("error"), entry("signup"), "user_id", F.col("at"))
+    entry = lambda kind: events.where(F.col("event_type") == kind).select("user_id", F.col("event_type").alias("reason"), F.col("event_id").alias("last_event"))
+    quarantine = joins.upsert_latest(entry("error"), entry("signup"), "user_id", F.col("last_event"))
     kept = events.join(quarantine.where("reason = 'error'").select("user_id"), "user_id", "left_anti").agg(F.count("*").alias("kept"))
-    return quarantine.groupBy("reason").agg(F.count("*").alias("users"), F.sum("at").alias("at")).withColumn("kept", kept.scalar())
+    return quarantine.groupBy("reason").agg(F.count("*").alias("users"), F.sum("last_event").alias("last_event")).withColumn("kept", kept.scalar())
 
 
 @query("prune_exclusions", f"WITH {st.MANIFEST} SELECT split, count(*) AS n FROM manifest WHERE sample_rate = 8000 AND recording_id NOT IN (SELECT recording_id FROM manifest WHERE duration >= 4.5) GROUP BY split")
