@@ -46,16 +46,16 @@ def hash_ranked(df: DataFrame, by: Sequence[str], key: str, seed: str | int, nam
 
     The leading hex digits of the hash are the ordered pieces: 16**digits of about equal size whatever the group.
     """
-    hashed = df.withColumn("__hash", hash_order(seed, key)).withColumn("__piece", F.substring("__hash", 1, digits))
-    pieces = hashed.groupBy(*by, "__piece").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    carried = pieces.select(*by, "__piece", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*by, "__piece").orderBy("__hash", key)
+    hashed = df.withColumn("__order", hash_order(seed, key)).withColumn("__slice", F.substring("__order", 1, digits))
+    pieces = hashed.groupBy(*by, "__slice").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pieces.select(*by, "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*by, "__slice").orderBy("__order", key)
     ranked = hashed.withColumn("__inside", F.row_number().over(inside))
     return (
-        null_safe(ranked, carried, [*by, "__piece"])
+        null_safe(ranked, carried, [*by, "__slice"])
         .withColumn(name, F.col("__before") + F.col("__inside"))
-        .drop("__before", "__inside", "__hash", "__piece")
+        .drop("__before", "__inside", "__order", "__slice")
     )
 
 

@@ -196,7 +196,7 @@ def shortfalls(spark: SparkSession, folder: str) -> DataFrame:
 @query("best_epoch", f"""WITH {st.SCORES}, s AS (SELECT *, concat(language, ':', window_id // 50) AS g FROM scores), {CONFUSION.format(g='g', t=0.5, src='s')},
 h AS (SELECT split_part(g, ':', 1) AS language, CAST(split_part(g, ':', 2) AS BIGINT) AS epoch, round((fp + fn) / (tn + fp + fn + tp), 6) AS err FROM m),
 b AS (SELECT language, min(err) AS value, 2::BIGINT AS reported FROM h GROUP BY language)
-SELECT language, min(epoch) AS epoch, value, reported, min(epoch) = reported AS consistent FROM h JOIN b USING (language) WHERE err = value GROUP BY ALL""")
+SELECT *, epoch = reported AS consistent FROM (SELECT language, min(epoch) AS epoch, any_value(value) AS value, any_value(reported) AS reported FROM h JOIN b USING (language) WHERE err = value GROUP BY language)""")
 def best_epoch(spark: SparkSession, folder: str) -> DataFrame:
     from voicelake.operators.scores import confusion_at
     epochs = st.scores(spark, folder).withColumn("epoch", F.floor(F.col("window_id") / 50))
