@@ -44,7 +44,7 @@ def signature(df: DataFrame, text: Column, by: Sequence[str] = ()) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def float32_sha256(samples: pd.Series) -> pd.Series:
-    """sha256 of a float array as little-endian float32 bytes (the one Arrow function: SQL has no float32 byte view)."""
+    """sha256 of a float array as little-endian float32 bytes (SQL has no view of float bytes)."""
     import hashlib
 
     import numpy as np

@@ -1,5 +1,9 @@
 """Windows, fingerprints, duplicates and feature tables.
 
+Filters and joins on a derived array would be pushed below the projection that computes it and compute it again, inside
+lambdas once per element. Derived arrays are therefore written down (`cut`) before they are compared, and unnested with
+the outer form of explode, for which Spark infers no filter.
+
 Per-clip work is row-local. The only shuffles are those that compare clips: exact duplicates by digest, near duplicates
 by a grid that cannot miss a pair, and per-dimension statistics with partial aggregates.
 """
@@ -14,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voicelake.functions import signal as fs
+from voicelake.session import cut
 
 
 @dataclass(frozen=True)
@@ -62,11 +67,8 @@ def window_facts(df: DataFrame, rate: int, original_rate: Column) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, rate: int, bins: int = 64, samples: str = "samples") -> DataFrame:
-    """Loudness and zero-crossing profile of each clip on fixed grids, L2-normalized."""
-    frame = max(1, int(0.04 * rate))
-    profiles = df.withColumns({"__loud": fs.frame_rms(F.col(samples), frame), "__cross": fs.crossing_rates(F.col(samples), frame)})
-    grids = profiles.withColumn("__profile", F.concat(fs.interpolate(F.col("__loud"), bins), fs.interpolate(F.col("__cross"), bins)))
-    return grids.withColumn("fingerprint", fs.normalized(F.col("__profile"))).drop("__loud", "__cross", "__profile")
+    """Loudness and zero-crossing profile of each clip (40 ms frames) on fixed grids, L2-normalized."""
+    return df.withColumn("fingerprint", fs.loudness_profile(max(1, int(0.04 * rate)), bins)(F.col(samples)))
 
 
 def dedup_exact(df: DataFrame, key: str, digest: str, registry: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def near_duplicates(df: DataFrame, key: str, vec: str, size: int, duration: str,
     Exact copies are links to their first clip; distinct clips are paired through the grid on duration and projections
     and always verified exactly. There is no cap on partners.
     """
-    reps, links = collapse_copies(df, key, digest)
+    reps, links = collapse_copies(cut(df.select(key, vec, duration, digest)), key, digest)
     radius = math.sqrt(2 - 2 * similarity)
     base = reps.select(key, vec, duration)
     extra = [(F.col(duration), tolerance)]
@@ -141,7 +143,7 @@ def nearest_neighbour(df: DataFrame, key: str, vec: str, size: int, digest: str,
 
     A row with exact copies has one of them as its neighbour: the first copy, or the second one for the first itself.
     """
-    reps, links = collapse_copies(df, key, digest)
+    reps, links = collapse_copies(cut(df.select(key, vec, digest)), key, digest)
     second = links.groupBy("a").agg(F.min("b").alias("b"))
     copies = links.select(F.col("b").alias(key), F.col("a").alias("neighbour")).unionByName(second.select(F.col("a").alias(key), F.col("b").alias("neighbour")))
     radius = math.sqrt(2 - 2 * similarity)
@@ -158,20 +160,22 @@ def sketch(df: DataFrame, key: str, frame_size: int, samples: str = "samples") -
     """[mean | deviation | first | last] over a clip's frames, centred over the table and normalized."""
     from voicelake.operators.stats import pooled_mean
 
-    framed = df.withColumn("__f", fs.frames_of(F.col(samples), frame_size)).where(F.size("__f") > 1)
-    long = framed.select(key, F.explode("__f").alias("vec"))
+    # a filter on the derived array would pull its whole expression below the projection
+    framed = df.where(F.size(samples) >= 2 * frame_size).withColumn("__f", fs.frames_of(F.col(samples), frame_size))
+    long = framed.select(key, F.explode_outer("__f").alias("vec"))
     pooled = pooled_mean(long, key, "vec").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("p"))  # frame_size entries
     ends = framed.select(key, F.element_at("__f", 1).alias("first"), F.element_at("__f", -1).alias("last"))
     raw = pooled.join(ends, key).select(key, F.concat(F.transform("p", lambda s: s["mean"]), F.transform("p", lambda s: s["std"]), F.col("first"), F.col("last")).alias("raw"))
-    centre = raw.select(F.posexplode("raw").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("c"))  # one entry per dimension
+    centre = raw.select(F.posexplode_outer("raw").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("c"))  # one entry per dimension
     means = centre.select(F.transform("c", lambda s: s["m"])).scalar()
-    return raw.withColumn("__c", F.zip_with("raw", means, lambda x, m: x - m)).select(key, fs.normalized(F.col("__c")).alias("sketch"))
+    return raw.withColumn("__m", means).withColumn("__c", F.zip_with("raw", "__m", lambda x, m: x - m)).select(key, fs.normalized(F.col("__c")).alias("sketch"))
 
 
 def standardize(frames: DataFrame, moments: DataFrame, vec: str = "vec") -> DataFrame:
     """(x - mean) / scale per dimension. The statistics are two arrays with one entry per dimension."""
     packed = moments.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "scale"))).alias("m")).select("m").scalar()
-    return frames.withColumn(vec, F.zip_with(vec, packed, lambda x, m: (x.cast("double") - m["mean"]) / m["scale"]))
+    scaled = F.zip_with(vec, "__moments", lambda x, m: (x.cast("double") - m["mean"]) / m["scale"])
+    return frames.withColumn("__moments", packed).withColumn(vec, scaled).drop("__moments")
 
 
 def pad_batches(df: DataFrame, batch: str, samples: str = "samples") -> DataFrame:
@@ -197,9 +201,9 @@ def prepare_windows(df: DataFrame, key: str, rate: int, policy: WindowPolicy, re
     mono = mono.withColumn("gain", fs.overflow_gain(F.col("__mono"))).withColumn("samples", F.transform("__mono", lambda x: x * F.col("gain"))).drop("__mono", "left", "right")
     checked = mono.withColumn("problem", fs.signal_problem(F.col("samples"), F.lit(rate)))
     chosen = select_window(checked.withColumn("samples", F.coalesce("samples", F.array().cast("array<double>"))), rate, policy)
-    digests = window_facts(chosen, rate, F.lit(rate)).withColumn("digest", F.sha2(F.to_json("window"), 256))
+    digests = cut(window_facts(chosen, rate, F.lit(rate)).withColumn("digest", F.sha2(F.to_json("window"), 256)).drop("samples", "window"))
     usable = digests.where("problem IS NULL AND reason IS NULL")
     kept = dedup_exact(usable.select(key, "digest"), key, "digest", registry).select(key, "disposition")
-    return digests.join(kept, key, "left").withColumn("outcome", F.coalesce("problem", "reason", "disposition")).drop("samples", "window")
+    return digests.join(kept, key, "left").withColumn("outcome", F.coalesce("problem", "reason", "disposition"))
 
 

@@ -98,7 +98,7 @@ def frame_moments(frames: DataFrame, vec: str = "vec", floor: float = 1e-6) -> D
 
     Exploded values collapse to one partial aggregate per dimension and task before anything is shuffled.
     """
-    long = frames.select(F.posexplode(F.transform(vec, lambda x: x.cast("double"))).alias("dim", "x"))
+    long = frames.select(F.posexplode_outer(F.transform(vec, lambda x: x.cast("double"))).alias("dim", "x"))
     m = long.groupBy("dim").agg(F.count("*").alias("frames"), F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
     sd = F.sqrt("variance")
     return m.withColumns({"scale": F.greatest(sd, F.lit(floor)), "clamped": sd < floor})
@@ -106,7 +106,7 @@ def frame_moments(frames: DataFrame, vec: str = "vec", floor: float = 1e-6) -> D
 
 def pooled_mean(frames: DataFrame, window: str = "window_id", vec: str = "vec") -> DataFrame:
     """Time mean of each window's valid frames, long in `dim`."""
-    long = frames.select(window, F.posexplode(F.transform(vec, lambda x: x.cast("double"))).alias("dim", "x"))
+    long = frames.select(window, F.posexplode_outer(F.transform(vec, lambda x: x.cast("double"))).alias("dim", "x"))
     return long.groupBy(window, "dim").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.count("*").alias("frames"))
 
 
@@ -144,7 +144,7 @@ def template_stats(frames: DataFrame, window: str = "window_id", vec: str = "vec
 
 def class_separation(vectors: DataFrame, label: str = "label", vec: str = "vec") -> DataFrame:
     """Distance of the class means over the within-class spread (d')."""
-    long = vectors.select(label, F.posexplode(F.transform(vec, lambda x: x.cast("double"))).alias("dim", "x"))
+    long = vectors.select(label, F.posexplode_outer(F.transform(vec, lambda x: x.cast("double"))).alias("dim", "x"))
     m = long.groupBy("dim").agg(*[f(F.when(F.col(label) == c, F.col("x"))).alias(f"{n}{c}") for c in (0, 1) for n, f in (("mu", F.avg), ("var", F.var_pop))])
     d = m.agg(F.sqrt(F.sum(F.pow(F.col("mu1") - F.col("mu0"), 2))).alias("between"), F.avg("var0").alias("s0"), F.avg("var1").alias("s1"))
     return d.select("between", F.sqrt((F.col("s0") + F.col("s1")) / 2).alias("within"), (F.col("between") / F.sqrt(F.col("s0") + F.col("s1") + 1e-30)).alias("d_prime"))

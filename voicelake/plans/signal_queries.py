@@ -72,22 +72,30 @@ def chunk_spans_udtf(spark: SparkSession, folder: str) -> DataFrame:
 SELECT id, count(*) AS chunks, count(*) FILTER (silent) AS silent, bool_and(silent) AS all_silent FROM z GROUP BY id""")
 def silence_flag(spark: SparkSession, folder: str) -> DataFrame:
     """Exact-zero chunks of the rectified clip."""
-    rect = st.signal(spark, folder).select("id", F.transform("samples", lambda x: F.greatest(x, F.lit(0.0))).alias("samples"))
+    rect = st.signal(spark, folder).where(F.size("samples") > 0).select("id", F.transform("samples", lambda x: F.greatest(x, F.lit(0.0))).alias("samples"))
     spans = rect.select("id", "samples", fs.chunk_spans(F.size("samples"), 400, 0).alias("spans"))
-    flags = spans.select("id", F.transform("spans", lambda s: F.forall(F.slice("samples", s["start"].cast("int") + 1, F.lit(400)), lambda x: x == 0)).alias("f")).where(F.size("f") > 0)
+    flags = spans.select("id", F.transform("spans", lambda s: F.forall(F.slice("samples", s["start"].cast("int") + 1, F.lit(400)), lambda x: x == 0)).alias("f"))
     return flags.select("id", F.size("f").cast("bigint").alias("chunks"), F.size(F.filter("f", lambda b: b)).cast("bigint").alias("silent"), F.forall("f", lambda b: b).alias("all_silent"))
 
 
-FRAME_SQL = """f AS (SELECT id, len(samples) AS n, list_transform(range(0, len(samples) // 4), lambda i: sqrt(list_sum(list_transform(samples[i * 4 + 1:i * 4 + 4], lambda x: x * x)) / 4)) AS r FROM signal)"""
-
-
-@query("frame_rms", SIG + ", " + FRAME_SQL + " SELECT id, len(r) AS frames, round(list_avg(r), 6) AS mean_rms, round(coalesce(len(list_filter(r, lambda v: v > 0.2)) / nullif(len(r), 0), 0), 6) AS active FROM f")
+@query("frame_rms", SIG + """, lx AS MATERIALIZED (SELECT id, unnest(samples) AS x, generate_subscripts(samples, 1) - 1 AS p FROM signal), nn AS (SELECT id, len(samples) // 4 AS m FROM signal),
+fr AS (SELECT lx.id, p // 4 AS fr, sqrt(avg(x * x)) AS r FROM lx JOIN nn USING (id) WHERE p // 4 < m GROUP BY ALL), g AS (SELECT id, count(*) AS c, avg(r) AS a, count(*) FILTER (r > 0.2) AS k FROM fr GROUP BY id)
+SELECT id, m AS frames, round(a, 6) AS mean_rms, round(coalesce(k / c, 0), 6) AS active FROM nn LEFT JOIN g USING (id)""")
 def frame_rms(spark: SparkSession, folder: str) -> DataFrame:
     rows = st.signal(spark, folder).select("id", fs.frame_rms(F.col("samples"), 4).alias("r"))
     out = rows.select("id", F.size("r").cast("bigint").alias("frames"), F.when(F.size("r") > 0, fs.total(F.col("r")) / F.size("r")).alias("mean_rms"), fs.active_fraction(F.col("r"), 0.2).alias("active"))
     return rounded(out, "mean_rms", "active")
 
 
+@query("active_fraction", SIG + """, lx AS MATERIALIZED (SELECT id, unnest(samples) AS x, generate_subscripts(samples, 1) - 1 AS p FROM signal), nn AS (SELECT id, len(samples) // 8 AS m FROM signal),
+fr AS (SELECT lx.id, p // 8 AS fr, sqrt(avg(x * x)) AS r FROM lx JOIN nn USING (id) WHERE p // 8 < m GROUP BY ALL), g AS (SELECT id, count(*) AS c, count(*) FILTER (r > 0.3) AS k FROM fr GROUP BY id)
+SELECT id, round(coalesce(k / c, 0), 6) AS active FROM nn LEFT JOIN g USING (id)""")
+def active_fraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of 80 ms frames louder than 0.3."""
+    rows = st.signal(spark, folder).select("id", fs.frame_rms(F.col("samples"), 8).alias("r"))
+    return rounded(rows.select("id", fs.active_fraction(F.col("r"), 0.3).alias("active")), "active")
+
+
 BEST = """g AS (SELECT id, samples, len(samples) AS n, list_transform(list_distinct(list_concat(range(0, len(samples) - 400 + 1, 50), [len(samples) - 400])), lambda s: {'e': list_sum(list_transform(samples[s + 1:s + 400], lambda x: x * x)), 's': -s}) AS c FROM signal WHERE len(samples) > 400),
 w AS (SELECT id, samples, n, CAST(-list_max(c).s AS INTEGER) AS start, CAST(-list_max(c).s + 400 AS INTEGER) AS stop FROM g UNION ALL SELECT id, samples, len(samples), 0, CAST(len(samples) AS INTEGER) FROM signal WHERE len(samples) <= 400),
 v AS (SELECT id, n, start, stop, samples[start + 1:stop] AS win FROM w),
@@ -110,11 +118,18 @@ def window_facts(spark: SparkSession, folder: str) -> DataFrame:
     return sg.window_facts(chosen, RATE, F.lit(441)).select("id", "start_seconds", "end_seconds", "duration_seconds", "original_start", "original_end")
 
 
-INTERP = "list_transform(range(0, 64), lambda k: {v}[least(CAST(floor(k / 63.0::DOUBLE * (len({v}) - 1)) AS BIGINT), len({v}) - 1) + 1] + (k / 63.0::DOUBLE * (len({v}) - 1) - least(CAST(floor(k / 63.0::DOUBLE * (len({v}) - 1)) AS BIGINT), len({v}) - 1)) * ({v}[least(least(CAST(floor(k / 63.0::DOUBLE * (len({v}) - 1)) AS BIGINT), len({v}) - 1) + 2, len({v}))] - {v}[least(CAST(floor(k / 63.0::DOUBLE * (len({v}) - 1)) AS BIGINT), len({v}) - 1) + 1]))"
-PRINT = FRAME_SQL.replace("f AS (SELECT id,", "f AS (SELECT id, samples,") + """,
-z AS (SELECT id, n, r, list_transform(range(0, n // 4), lambda i: ((sign(samples[i*4+1]) <> sign(samples[i*4+2]))::INT + (sign(samples[i*4+2]) <> sign(samples[i*4+3]))::INT + (sign(samples[i*4+3]) <> sign(samples[i*4+4]))::INT) / 3.0::DOUBLE) AS q FROM f),
-y AS (SELECT id, n, CASE WHEN len(r) > 0 THEN list_concat(""" + INTERP.format(v="r") + ", " + INTERP.format(v="q") + """) ELSE list_transform(range(0, 128), lambda k: 0.0::DOUBLE) END AS p FROM z),
-prints AS (SELECT id, n, CASE WHEN list_sum(list_transform(p, lambda x: x * x)) > 0 THEN list_transform(p, lambda x: x / sqrt(list_sum(list_transform(p, lambda y: y * y)))) ELSE p END AS fp FROM y)"""
+LONG_FRAMES = """lx AS MATERIALIZED (SELECT id, unnest(samples) AS x, generate_subscripts(samples, 1) - 1 AS p FROM signal),
+nn AS MATERIALIZED (SELECT id, len(samples) AS n, len(samples) // 4 AS m FROM signal),
+ld AS (SELECT lx.id, p // 4 AS fr, x, lag(x) OVER (PARTITION BY lx.id, p // 4 ORDER BY p) AS before FROM lx JOIN nn USING (id) WHERE p // 4 < m),
+fr AS MATERIALIZED (SELECT id, fr, sqrt(avg(x * x)) AS r, count(*) FILTER (sign(x) <> sign(before)) / 3.0::DOUBLE AS q FROM ld GROUP BY id, fr)"""
+PRINT = LONG_FRAMES + """,
+gp AS MATERIALIZED (SELECT id, k, pos - lo AS part, id * 1000000 + lo AS lo, id * 1000000 + least(lo + 1, m - 1) AS hi FROM (SELECT *, least(CAST(floor(pos) AS BIGINT), m - 1) AS lo FROM (SELECT id, m, k, k / 63.0::DOUBLE * (m - 1) AS pos FROM nn, range(0, 64) t(k) WHERE m > 0))),
+fk AS MATERIALIZED (SELECT id * 1000000 + fr AS place, r, q FROM fr),
+ga AS MATERIALIZED (SELECT g.*, a.r AS r0, a.q AS q0 FROM gp g JOIN fk a ON a.place = g.lo),
+gi AS MATERIALIZED (SELECT g.id, g.k, r0 + part * (b.r - r0) AS r, q0 + part * (b.q - q0) AS q FROM ga g JOIN fk b ON b.place = g.hi),
+gl AS (SELECT id, k, r AS v FROM gi UNION ALL SELECT id, k + 64, q FROM gi UNION ALL SELECT id, k, 0.0 FROM nn, range(0, 128) t(k) WHERE m = 0),
+gn AS (SELECT id, k, CASE WHEN sum(v * v) OVER (PARTITION BY id) > 0 THEN v / sqrt(sum(v * v) OVER (PARTITION BY id)) ELSE v END AS v FROM gl),
+prints AS MATERIALIZED (SELECT id, any_value(n) AS n, list(v ORDER BY k) AS fp FROM gn JOIN nn USING (id) GROUP BY id)"""
 
 
 def _prints(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,7 +139,7 @@ def _prints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("fingerprint_rms_zcr", SIG + ", " + PRINT + " SELECT id, k AS bin, round(fp[k + 1], 6) AS value FROM prints, range(0, 128) t(k)")
 def fingerprint_rms_zcr(spark: SparkSession, folder: str) -> DataFrame:
-    out = _prints(spark, folder).select("id", F.posexplode("fingerprint").alias("bin", "value"))
+    out = _prints(spark, folder).select("id", F.posexplode_outer("fingerprint").alias("bin", "value"))
     return rounded(out.withColumn("bin", F.col("bin").cast("bigint")), "value")
 
 
@@ -145,16 +160,15 @@ def near_dup_band(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out, "similarity", "duration_delta")
 
 
-SKETCH = """fv AS (SELECT id, samples, len(samples) // 16 AS m FROM signal WHERE len(samples) >= 32), fx AS (SELECT id, unnest(range(0, m)) AS fr, samples, m FROM fv),
-fl AS (SELECT id, m, fr, d, samples[fr * 16 + d + 1] AS x FROM fx, range(0, 16) t(d)),
+SKETCH = """lx AS MATERIALIZED (SELECT id, unnest(samples) AS x, generate_subscripts(samples, 1) - 1 AS p, len(samples) // 16 AS m FROM signal WHERE len(samples) >= 32),
+fl AS MATERIALIZED (SELECT id, m, p // 16 AS fr, p % 16 AS d, x FROM lx WHERE p // 16 < m),
 rw AS (SELECT id, d, avg(x) AS x FROM fl GROUP BY id, d UNION ALL SELECT id, d + 16, stddev_samp(x) FROM fl GROUP BY id, d UNION ALL SELECT id, d + 32, x FROM fl WHERE fr = 0 UNION ALL SELECT id, d + 48, x FROM fl WHERE fr = m - 1),
-ce AS (SELECT id, d, x - avg(x) OVER (PARTITION BY d) AS x FROM rw), sk AS (SELECT id, list(x ORDER BY d) AS v FROM ce GROUP BY id),
-sn AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM sk)"""
+ce AS (SELECT id, d, x - avg(x) OVER (PARTITION BY d) AS x FROM rw), sk AS (SELECT id, list(x ORDER BY d) AS v, sqrt(sum(x * x)) AS nv FROM ce GROUP BY id),
+sn AS MATERIALIZED (SELECT sk.id, list_transform(v, lambda x: x / nv) AS v, md5(text) AS h FROM sk JOIN documents ON doc_id = id)"""
 
 
-@query("near_dup_top1", SIG + ", " + SKETCH + """, p AS (SELECT a.id, b.id AS neighbour, CASE WHEN sa.samples = sb.samples THEN 1.0::DOUBLE ELSE round(list_dot_product(a.v, b.v), 9) END AS s FROM sn a JOIN sn b ON a.id <> b.id AND list_dot_product(a.v, b.v) > 0.9999
-  JOIN signal sa ON sa.id = a.id JOIN signal sb ON sb.id = b.id)
-SELECT id, neighbour, round(s, 6) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY (SELECT x.samples = y.samples FROM signal x, signal y WHERE x.id = p.id AND y.id = p.neighbour) DESC, s DESC, neighbour) = 1""")
+@query("near_dup_top1", SIG + ", " + SKETCH + """, p AS (SELECT a.id, b.id AS neighbour, a.h = b.h AS same, CASE WHEN a.h = b.h THEN 1.0::DOUBLE ELSE round(list_dot_product(a.v, b.v), 9) END AS s FROM sn a JOIN sn b ON a.id <> b.id WHERE list_dot_product(a.v, b.v) > 0.9999)
+SELECT id, neighbour, round(s, 6) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY same DESC, s DESC, neighbour) = 1""")
 def near_dup_top1(spark: SparkSession, folder: str) -> DataFrame:
     rows = st.signal(spark, folder)
     vectors = sg.sketch(rows, "id", 16).join(rows.select("id", F.sha2(F.to_json("samples"), 256).alias("digest")), "id")
@@ -180,7 +194,7 @@ def dedup_exact(spark: SparkSession, folder: str) -> DataFrame:
        " SELECT frame, CAST(dim AS INTEGER) AS dim, round((x - mu) / sc, 5) AS z FROM l JOIN m USING (dim)")
 def standardize_apply(spark: SparkSession, folder: str) -> DataFrame:
     rows = st.frames(spark, folder)
-    out = sg.standardize(rows, stats.frame_moments(rows)).select("frame", F.posexplode("vec").alias("dim", "z"))
+    out = sg.standardize(rows, stats.frame_moments(rows)).select("frame", F.posexplode_outer("vec").alias("dim", "z"))
     return rounded(out, "z", digits=5)
 
 
@@ -215,13 +229,13 @@ signal AS (SELECT id, source, list_transform(l, lambda x, i: (x / 32768.0::DOUBL
 
 
 @query("prepare_windows", f"WITH {STEREO}, {BEST}" + """, u AS (SELECT id, win FROM picked WHERE reason IS NULL), d AS (SELECT id, CASE WHEN id = min(id) OVER (PARTITION BY win) THEN 'kept' ELSE 'duplicate' END AS disposition FROM u)
-SELECT p.id, p.start, p.stop AS "end", round(p.rms, 6) AS rms, round(p.active, 6) AS active_fraction, coalesce(p.reason, d.disposition) AS outcome FROM picked p LEFT JOIN d USING (id)""")
+SELECT p.id, p.start, p.stop AS "end", round(p.rms, 4) AS rms, round(p.active, 4) AS active_fraction, coalesce(p.reason, d.disposition) AS outcome FROM picked p LEFT JOIN d USING (id)""")
 def prepare_windows(spark: SparkSession, folder: str) -> DataFrame:
     left = F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 256 - 128) * 200)
     rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), left.alias("left")).withColumn("right", F.reverse("left"))
     nothing = rows.select(F.lit("").alias("digest")).where("digest <> ''")
     out = sg.prepare_windows(rows, "id", RATE, POLICY, nothing)
-    return rounded(out.select("id", "start", "end", "rms", "active_fraction", "outcome"), "rms", "active_fraction")
+    return rounded(out.select("id", "start", "end", "rms", "active_fraction", "outcome"), "rms", "active_fraction", digits=4)
 
 
 @query("refresh_derived", SIG + ", " + BEST + """, o AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN n_chars ELSE least(n_chars, 400) END AS old, source FROM documents)
