@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voicelake.llm import mixing, quality
+from voicelake.llm import line_dedup, mixing, quality
 from voicelake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,26 @@ def query(key: str, sql: str | None = None) -> Callable:
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Later copies of line runs of 10 words and more, from a table (doc_id, text); `kept_lines` has each text without them.
+LINES_SQL = rf"""ld AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS k, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM {{docs}})),
+ll AS (SELECT k, o, line, len(regexp_extract_all(line, '{WORD}')) AS w FROM (SELECT k, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS o FROM ld)),
+ls AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) AS l FROM ll WHERE w > 0),
+la AS (SELECT k, list(line ORDER BY l) AS lines, list(w ORDER BY l) AS ws, max(l) AS m FROM ls GROUP BY k),
+lr AS (SELECT k, l, n, array_to_string(lines[l:l + n - 1], chr(10)) AS s, list_sum(ws[l:l + n - 1]) AS words FROM
+  (SELECT *, unnest(range(1, least(10, m - l + 1) + 1)) AS n FROM (SELECT *, unnest(range(1, m + 1)) AS l FROM la))),
+lc AS (SELECT k, l, n FROM (SELECT k, l, n, min(struct_pack(k := k, l := l)) OVER (PARTITION BY s) AS first FROM lr WHERE words >= 10) WHERE first < struct_pack(k := k, l := l)),
+lg AS (SELECT DISTINCT k, unnest(range(l, l + n)) AS l FROM lc),
+lx AS (SELECT ll.k, string_agg(ll.line, chr(10) ORDER BY o) FILTER (g.l IS NULL) AS kept, count(*) AS n_lines, count(g.l) AS removed_lines, coalesce(sum(ll.w) FILTER (g.l IS NOT NULL), 0)::BIGINT AS removed_words
+  FROM ll LEFT JOIN ls USING (k, o) LEFT JOIN lg g ON g.k = ll.k AND g.l = ls.l GROUP BY ll.k),
+kept_lines AS (SELECT doc_id, text AS old, CASE WHEN text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, n_lines, removed_lines, removed_words FROM lx JOIN ld USING (k))"""
+
+
+@query("op1_line_dedup", "WITH " + LINES_SQL.format(docs="documents") + """ SELECT d.doc_id, x.text, n_lines, removed_lines, removed_words
+FROM documents d JOIN kept_lines x ON d.doc_id IS NOT DISTINCT FROM x.doc_id AND d.text IS NOT DISTINCT FROM x.old""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir), report=True).select("doc_id", "text", "n_lines", "removed_lines", "removed_words")
+
+
 MIX_SQL = rf"""WITH RECURSIVE s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
 w AS (SELECT source, source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM t),
