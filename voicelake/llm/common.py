@@ -30,3 +30,12 @@ def indices(n: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def fold(id: Column) -> Column:
+    """crc32 of the id as text, modulo 4; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 4
+
+
+#: The fold that no model learns from.
+HELD_OUT = 2
