@@ -138,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id: str = "doc
     if not sizes["t"]:
         return Grammar()
     used = known.select("__y", F.explode(F.array_distinct(F.array_compact(F.flatten(F.transform(F.array_distinct("__w"), keys))))).alias("key")).where("key <> ''")
-    candidates = used.groupBy("key").agg(F.sum("__y").alias("t"), F.sum(1 - F.col("__y")).alias("c")).where("t >= 3 AND t >= 19 * c").orderBy(F.col("t").desc(), "key").limit(5_000)
+    candidates = used.groupBy("key").agg(F.sum("__y").alias("t"), F.sum(1 - F.col("__y")).alias("c")).where(F.expr("t >= 19 * c") & (F.col("t") >= support(sizes["t"], sizes["c"]))).orderBy(F.col("t").desc(), "key").limit(5_000)
     # Copies of one document say the same again: what counts is how many different words a candidate follows.
     after = known.select("__y", "__f", F.explode(F.transform("__w", lambda w, i: F.struct(keys(w).alias("keys"), F.xxhash64(F.get(F.col("__w"), i - 1)).alias("before")))).alias("x"))
     seen = after.select("__y", "__f", "x.before", F.explode("x.keys").alias("key")).join(F.broadcast(candidates.select("key")), "key")
@@ -155,9 +155,15 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id: str = "doc
     return grammar
 
 
+def support(toxic: int, clean: int) -> int:
+    """Toxic uses that an entry needs: of 100,000 words unrelated to the label, about one has so many and no clean one."""
+    share = toxic / (toxic + clean) if toxic + clean else 1.0
+    return max(4, math.ceil(math.log(1e5) / -math.log(min(share, 0.9))))
+
+
 def lexicon(found: list, sizes, t: str, c: str) -> dict[str, float]:  # noqa: ANN001
     """Words and beginnings with their log-odds; an entry that a shorter beginning covers is left out."""
-    least = max(4, round(0.01 * sizes[t]))
+    least = support(sizes[t], sizes[c])
     insults: dict[str, float] = {}
     for r in sorted(found, key=lambda r: (len(r["key"].rstrip("*")), r["key"])):
         word = r["key"].rstrip("*")
