@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +72,48 @@ def remove_work(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class WorkScope:
+    """The work tables that were made while the scope was open."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def remove(self) -> None:
+        """Delete them; nothing may read them any more."""
+        while self.paths:
+            remove_work(self.spark, self.paths.pop())
+
+
+_SCOPES: list[WorkScope] = []
+_ROOTS: set[str] = set()
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[WorkScope]:
+    """Collect the work tables made inside, so that a job of several steps can drop those of a finished step."""
+    scope = WorkScope(spark)
+    _SCOPES.append(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPES.remove(scope)
+
+
+def _remove_root(spark: SparkSession, root: str) -> None:
+    with suppress(Exception):  # the session may have ended before the interpreter does
+        remove_work(spark, root)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table or files that a job writes."""
-    return os.path.join(shared_folder(spark), "voicelake-work", uuid.uuid4().hex, name)
+    """A fresh path in the shared folder for a table or files that a job writes.
+
+    Everything lies in one folder per application, which goes when the application ends.
+    """
+    root = os.path.join(shared_folder(spark), "voicelake-work", spark.sparkContext.applicationId)
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        atexit.register(_remove_root, spark, root)
+    path = os.path.join(root, uuid.uuid4().hex, name)
+    for scope in _SCOPES:
+        scope.paths.append(path)
+    return path
