@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, epochs: floa
 
 def mix(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0,
-    seed: str = "mix", id: str = "doc_id", text: str = "text", source: str = "source",
+    seed: str = "mix", id: str = "doc_id", text: str = "text", source: str = "source", carry: Sequence[str] = (),
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row per row of `docs`; texts are not carried.
 
@@ -56,12 +56,12 @@ def mix(
     that lies before the cut of the last one. The words taken from a source add up to floor(target) exactly.
 
     A null source is a source of its own, last in order; a null text has size 0 and nothing is taken; rows with one id
-    share a hash key and are then ordered by size, and equal rows are interchangeable; a null id is the empty id; an
-    empty table gives an empty result. Other columns are not read.
+    share a hash key and are then ordered by size and the `carry` columns, and equal rows are interchangeable; a null id is the empty id; an
+    empty table gives an empty result. Other columns than those in `carry` are not read.
     """
-    sized = docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    sized = docs.select(F.col(id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *[F.col(c) for c in carry])
     keyed = sized.withColumn("__key", random_key(seed, F.col("doc_id")))
-    line = running(keyed, ["source"], [F.col("__key"), F.col("doc_id"), F.col("size")], __upto=F.col("size"))
+    line = running(keyed, ["source"], [F.col("__key"), F.col("doc_id"), F.col("size"), *[F.col(c) for c in carry]], __upto=F.col("size"))
     line = cut(line)
     goals = targets(line.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, epochs)
     joined = null_safe(line, goals, ["source"])
@@ -69,4 +69,4 @@ def mix(
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     left = budget - whole * F.col("source_size") - before
     part = F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("bigint")
-    return joined.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"), *carry)
