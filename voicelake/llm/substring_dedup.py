@@ -34,7 +34,7 @@ from voicelake.session import cut
 
 GRAM = 32
 SEGMENT = 1 << 20
-WIDE = 4_000
+WIDE = 500
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
 
