@@ -177,19 +177,23 @@ def without(data: bytes, spans: np.ndarray) -> bytes:
 
 
 def ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix of `text` (codes below 2**16) its rank by the first `length` codes; equal ranks are equal strings."""
-    n = len(text)
-    levels, k = [np.unique(text, return_inverse=True)[1].astype(np.int64)], 1
+    """For each suffix of `text` (codes up to 256) its rank by the first `length` codes; equal ranks are equal strings.
 
-    def joined(a: np.ndarray, shift: int) -> np.ndarray:
+    Seven codes of nine bits make the first key, so doubling starts at seven.
+    """
+    n, k = len(text), min(7, length)
+    padded = np.append(text.astype(np.int64) + 1, np.zeros(k, np.int64))
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(k):
+        key = key << 9 | padded[j : j + n]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    while k < length:
+        shift = min(k, length - k)
         behind = np.zeros(n, dtype=np.int64)
-        behind[: n - shift] = a[shift:] + 1
-        return np.unique(a * np.int64(n + 1) + behind, return_inverse=True)[1].astype(np.int64)
-
-    while 2 * k <= length:
-        levels.append(joined(levels[-1], k))
-        k *= 2
-    return joined(levels[-1], length - k) if length > k else levels[-1]
+        behind[: n - shift] = rank[shift:] + 1
+        rank = np.unique(rank * np.int64(n + 1) + behind, return_inverse=True)[1].astype(np.int64)
+        k += shift
+    return rank
 
 
 def earlier_strings(contexts: list[bytes], docs: np.ndarray, places: np.ndarray, length: int) -> list[np.ndarray]:
@@ -279,13 +283,17 @@ def compared(contexts: DataFrame, length: int) -> DataFrame:
             yield from solved(pa.Table.from_batches(held))
 
     def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not table.num_rows:
-            return
-        docs, begins, tags = (table.column(c).to_numpy() for c in ("doc", "begin", "tag"))
-        offsets = earlier_strings(table.column("bytes").to_pylist(), docs, begins, length)
-        out = []
-        for i, found in enumerate(offsets):
-            out += [(docs[i], tags[i], begins[i] + a, begins[i] + b) for a, b in merged(np.stack([found, found + length], axis=1))]
+        anchor, docs, begins, tags = (table.column(c).to_numpy() for c in ("anchor", "doc", "begin", "tag"))
+        contexts = table.column("bytes").to_pylist()
+        edges = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor)) if len(anchor) else [0]
+        a, out = 0, []
+        for b in edges[1:]:  # whole groups, about `WIDE` rows at a time
+            if b - a < WIDE and b < len(anchor):
+                continue
+            for i, found in enumerate(earlier_strings(contexts[a:b], docs[a:b], begins[a:b], length), a):
+                if len(found):
+                    out += [(docs[i], tags[i], begins[i] + x, begins[i] + y) for x, y in merged(np.stack([found, found + length], axis=1))]
+            a = b
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=["doc", "tag", "begin", "end"])
 
     spans = narrow.mapInArrow(run, "doc long, tag long, begin long, end long")
