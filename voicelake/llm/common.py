@@ -28,6 +28,15 @@ def indices(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def once(value: Column) -> Column:
+    """The same value, computed in one place: a filter on it is not pushed below its projection.
+
+    Spark pushes a filter down by copying the expressions that it reads, which multiplies chains of arrays; it leaves
+    nondeterministic ones where they are.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voicelake.llm.common import indices, whole, words_of
+from voicelake.llm.common import indices, once, whole, words_of
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "[A-ZÀ-ÖØ-Þ]"
@@ -86,11 +86,11 @@ def ledger(docs: DataFrame, text: str = "text", window: int = 5, keep: tuple[str
         F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("bigint").alias("word_chars"),
         F.size("__lines").cast("bigint").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
-        covered.cast("bigint").alias("n_repeat_words"),
+        once(covered.cast("bigint")).alias("n_repeat_words"),
         *[c.alias(n) for n, c in measure(t).items()],
     )
     bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())), F.lit(0))
-    return measured.withColumn("fail_bits", bits.cast("bigint"))
+    return measured.withColumn("fail_bits", once(bits.cast("bigint")))
 
 
 def passes(policy: str = LATEST, bits: str = "fail_bits") -> Column:
