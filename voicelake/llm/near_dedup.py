@@ -9,9 +9,11 @@ Consistent weighted sampling (gamma, gamma and uniform variates per shingle and
 sample with the probability of the weighted Jaccard similarity. Signatures are cut into bands. Texts of one band bucket
 are candidates; a candidate is a link when the exact weighted Jaccard similarity of the whole texts reaches the limit.
 
-Nothing emits the pairs of a bucket. First every text meets the smallest text of each of its buckets. Buckets whose texts
-are then in one component are done. In the others signatures are compared block by block inside tasks, and only pairs of
-different components whose signatures agree enough to be links are verified. Exact copies are one text throughout.
+Nothing emits the pairs of a bucket. First every text meets one text of each of its buckets, a random one per bucket, so
+that the texts of a large group meet several. Buckets whose texts are then in one component are done. In the others the
+signatures of texts outside the largest component are compared with the others, block by block inside tasks, and only
+pairs of different components whose signatures agree enough to be links are verified. Exact copies are one text
+throughout.
 """
 
 from __future__ import annotations
@@ -225,7 +227,7 @@ def open_pairs(buckets: DataFrame, known: DataFrame, component: DataFrame) -> Da
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = member.join(parts.select("band", blocks.alias("blocks")), "band").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = dealt.select("band", "node", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = spread.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component").join(known.select("node", "sample"), "node")
+    keyed = spread.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", F.col("mine").alias("block")).join(known.select("node", "sample"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -243,11 +245,13 @@ def open_pairs(buckets: DataFrame, known: DataFrame, component: DataFrame) -> Da
         nodes, component = (np.array(group.column(c).to_pylist(), dtype=object) for c in ("node", "component"))
         sample = np.frombuffer(b"".join(group.column("sample").to_pylist()), np.uint16).reshape(-1, SAMPLES)
         part = np.unique(component, return_inverse=True)[1]
+        block, (i, j) = group.column("block").to_numpy(), (group.column(c)[0].as_py() for c in ("i", "j"))
         left, right = [], []
-        for i in range(len(nodes) - 1):
-            other = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
-            close = other[(sample[other] == sample[i]).sum(axis=1) >= AGREE]
-            left += [nodes[i]] * len(close)
+        for x in np.flatnonzero(part != np.bincount(part).argmax()):  # one of two components is not the largest
+            other = part != part[x] if i == j else (part != part[x]) & (block != block[x])
+            other = np.flatnonzero(other)
+            close = other[(sample[other] == sample[x]).sum(axis=1) >= AGREE]
+            left += [nodes[x]] * len(close)
             right += nodes[close].tolist()
         pairs = [(min(x, y), max(x, y)) for x, y in zip(left, right)]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["a", "b"])
@@ -280,11 +284,11 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id: str = "doc_id", text:
     idf = frequencies(named.select("data"))
     known = cut(signatures(named, idf).dropDuplicates(["node"]))
     rows = known.select("node", F.explode("bands").alias("band"))
-    hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    hubs = rows.groupBy("band").agg(F.min_by("node", F.xxhash64("band", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     buckets = cut(rows.join(hubs.select("band", "hub"), "band"))
     wanted = buckets.select("node").distinct()
     texts = cut(squeezed(named).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    first = cut(links(likely(buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), known), texts, idf, similar))
+    first = cut(links(likely(buckets.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), known), texts, idf, similar))
     labels = connected_components(first)
     more = cut(links(open_pairs(buckets.select("band", "node"), known, labels), texts, idf, similar))
     component = connected_components(first.unionByName(more)) if not more.isEmpty() else labels
