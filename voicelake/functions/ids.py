@@ -56,8 +56,11 @@ def parse_reference(value: Column, extension_required: bool = False) -> Column:
 
 def numeric_id(value: Column) -> Column:
     """A non-negative integer in canonical text; NULL for fractions, negatives, NaN, infinities and other text."""
-    number = F.trim(value.cast("string")).try_cast("decimal(38,10)")
-    return F.when((number >= 0) & (number == F.floor(number)), F.floor(number).cast("string"))
+    text = F.trim(value.cast("string"))
+    plain = F.regexp_extract(text, r"^\+?0*([0-9]*?)(?:\.0*)?$", 1)  # any number of digits
+    scientific = text.try_cast("decimal(38,10)")
+    number = F.when((scientific >= 0) & (scientific == F.floor(scientific)), F.floor(scientific).cast("string"))
+    return F.when(text.rlike(r"^\+?(?:[0-9]+\.?0*|\.0+)$"), F.when(plain == "", "0").otherwise(plain)).when(text.rlike("[eE]"), number).when(text.rlike(r"^-0*\.?0*$") & text.rlike("0"), "0")
 
 
 def canonical_int(value: Column) -> Column:
@@ -80,9 +83,16 @@ def canonical_identifier(value: Column) -> Column:
     )
 
 
+def canonical_digits(value: Column) -> Column:
+    """A whole number of any length without leading zeros; NULL otherwise."""
+    text = F.trim(value.cast("string"))
+    found = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), F.when(found == "-0", "0").otherwise(found))
+
+
 def canonical_recording(record: Column, speaker: Column, gender: Column) -> Column:
     """`record-speaker-gender` with plain integers, NULL when a number is missing."""
-    whole = [c.try_cast("bigint").cast("string") for c in (record, speaker)]
+    whole = [canonical_digits(c) for c in (record, speaker)]
     return F.when(whole[0].isNotNull() & whole[1].isNotNull(), F.concat_ws("-", *whole, F.coalesce(gender, F.lit("None"))))
 
 

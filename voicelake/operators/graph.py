@@ -152,20 +152,3 @@ def labelled_by_variant(edges: DataFrame, variants: Sequence[str], variant: str
     cutoff = lambda c: F.regexp_replace(c, r"^[^|]*\|", "")
     return labels.select(F.split_part("node", F.lit(sep), F.lit(1)).alias(variant), cutoff("node").alias("node"), cutoff("component").alias("component")).where(
         F.col(variant).isin(*variants))
-
-
-def component_rank(components: DataFrame, by: Sequence[str], size: str, component: str, name: str = "rank") -> DataFrame:
-    """Components of each group in (size descending, component) order, counted without a whole-group window."""
-    from voicelake.operators.prefix import ranked
-
-    return ranked(components, by, [F.col(size).desc(), F.col(component)], name)
-
-
-def attach(items: DataFrame, labels: DataFrame, node: str) -> DataFrame:
-    return null_safe(items, labels.select(F.col("node").alias(node), "component"), [node], "left")
-
-
-def smallest_components(components: DataFrame, by: Sequence[str], size: str, component: str, k: int) -> DataFrame:
-    """The k smallest components of each group: only k rows per group and task are ranked."""
-    window = Window.partitionBy(*by).orderBy(F.col(size), F.col(component))
-    return components.withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)

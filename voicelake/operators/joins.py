@@ -136,23 +136,13 @@ def lineage_crosscheck(missing: DataFrame, inventory: DataFrame) -> DataFrame:
     return missing.select("language", "record_id").distinct().join(elsewhere, "record_id").where("language <> other_language")
 
 
-def zone_map_join(ids: DataFrame, zones: DataFrame, rows: DataFrame, key: str, width: int = 3) -> DataFrame:
-    """Rows found through row-group [lo, hi] statistics: candidates by range, then the exact key.
+def zone_map_join(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is wanted: a semi-join on the key itself.
 
-    The range join is an equi-join: a zone lists the key prefixes it can cover at `width` characters when its bounds
-    share them, otherwise it is matched by its first character. Keys then meet rows by (zone, key).
+    Skipping row groups by their [lo, hi] is the reader's work: where the wanted side is small enough to be broadcast,
+    Spark turns it into a filter on the scan, which parquet checks against the minima and maxima of each row group.
     """
-    zone_keys = zones.select("zone", "lo", "hi")
-    same = F.substring("lo", 1, width) == F.substring("hi", 1, width)
-    narrow = zone_keys.where(same).withColumn("__p", F.substring("lo", 1, width))
-    wide = zone_keys.where(~same)
-    firsts = F.sequence(F.ascii(F.substring("lo", 1, 1)), F.ascii(F.substring("hi", 1, 1)))
-    wide = wide.withColumn("__p", F.explode(F.transform(firsts, lambda c: F.char(c))))
-    hit = lambda left, right, w: left.withColumn("__p", F.substring(key, 1, w)).join(right, "__p").where(
-        (F.col("lo") <= F.col(key)) & (F.col("hi") >= F.col(key))).select(key, "zone")
-    wanted = ids.select(key).distinct()
-    candidates = hit(wanted, narrow, width).unionByName(hit(wanted, wide, 1)).distinct()
-    return rows.join(candidates, ["zone", key], "left_semi")
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def shared_keys(keys: DataFrame, split: str = "split", role: str = "role") -> DataFrame:
@@ -274,7 +264,3 @@ def missing_cells(dimension: DataFrame, values: Mapping[str, Sequence[str]], act
     for name, options in values.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(o) for o in options])))
     return grid.join(actual.select(*grid.columns).distinct(), grid.columns, "left_anti")
-
-
-def best_reserve(reserves: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return first_k(reserves, by, order, 1).drop("rank")

@@ -14,14 +14,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voicelake.functions.scoring import float_cell, ratio, score32
-from voicelake.operators.prefix import first_k, null_safe, ranked
+from voicelake.functions.scoring import float_cell, ratio, score32, valid_label
+from voicelake.operators.prefix import first_k, null_safe, ranked, running
 
 
 def confusion_counts(df: DataFrame, threshold: float, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """TN, FP, FN, TP per group in one pass."""
     called = F.col(score).cast("float") >= F.lit(threshold).cast("float")
-    genuine, spoof = F.col(label) == 0, F.col(label) == 1
+    checked = valid_label(F.col(label), F.col(score))
+    genuine, spoof = checked == 0, checked == 1
     return df.groupBy(*by).agg(
         F.count_if(genuine & ~called).alias("tn"), F.count_if(genuine & called).alias("fp"),
         F.count_if(spoof & ~called).alias("fn"), F.count_if(spoof & called).alias("tp"),
@@ -55,7 +56,7 @@ def error_rates(df: DataFrame, threshold: float, by: Sequence[str] = ()) -> Data
 def cumulative_scores(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """One row per group and distinct score: class counts here (n0, n1), below (b0, b1) and in the group (t0, t1)."""
     buckets = (
-        df.select(*by, score32(F.col(score)).alias("score"), F.col(label).alias("label"))
+        df.select(*by, score32(F.col(score)).alias("score"), valid_label(F.col(label), F.col(score)).alias("label"))
         .groupBy(*by, "score")
         .agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
         .withColumn("__cell", float_cell(F.col("score")))
@@ -129,13 +130,27 @@ def eer(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str
     return null_safe(groups, result, list(by), "left")
 
 
+def _points64(df: DataFrame, by: Sequence[str], score: str, label: str) -> DataFrame:
+    """FAR and miss at each distinct float64 score, from running totals in score order."""
+    spoof = F.col(label).cast("bigint")
+    counted = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(1 - spoof).alias("g"), F.sum(spoof).alias("s"))
+    upto = running(counted, list(by), [F.col("score")], __g=F.col("g"), __s=F.col("s"))
+    totals = counted.groupBy(*by).agg(F.sum("g").alias("t0"), F.sum("s").alias("t1")).where("t0 > 0 AND t1 > 0")
+    joined = null_safe(upto, totals, list(by)) if by else upto.join(totals)
+    return joined.select(
+        *by, "score", (1 - (F.col("__g") - F.col("g")) / F.col("t0")).alias("far"), ((F.col("__s") - F.col("s")) / F.col("t1")).alias("frr"),
+        (F.col("__g") - F.col("g")).alias("b0"), (F.col("__s") - F.col("s")).alias("b1"))
+
+
 def eer_ascending(df: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
-    """The same crossing swept from the lowest threshold, with both neighbours and the nearest observed point.
+    """The crossing swept from the lowest threshold, with both neighbours and the nearest observed point.
+
+    A cross-check of `eer`: it ranks float64 scores with running totals of its own and shares no step with that curve.
 
     This sweep stops at the first pair of points on both sides of zero, so an observed point with far = frr is the
     right neighbour here, except at the lowest score, where it is the left one.
     """
-    points = _points(cumulative_scores(df, by, score, label))
+    points = _points64(df, by, score, label)
     d = F.col("far") - F.col("frr")
     point = F.struct("far", "frr", "score")
     found = points.groupBy(*by).agg(

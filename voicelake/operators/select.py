@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voicelake.operators.prefix import first_k, hash_order, hash_ranked, null_safe, ranked, running
@@ -22,14 +22,15 @@ GROUP_LIMIT = 1000
 def head(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows per group whatever k is: group limit for a small k, piecewise ranks for a large one."""
     if k <= GROUP_LIMIT:
-        return first_k(df, by, order, k, name)
+        return first_k(df, by, order, k, name).withColumn(name, F.col(name).cast("bigint"))
     return ranked(df, by, order, name).where(F.col(name) <= k)
 
 
 def cap_per_group(df: DataFrame, group: Sequence[str], key: str, cap: int, seed: str | int) -> DataFrame:
-    """All rows with `kept`: at most `cap` per group in hash order, the rest dropped."""
-    kept = head(df, group, [hash_order(seed, key), F.col(key)], cap).select(key, F.lit(True).alias("kept"))
-    return df.join(kept, key, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    """All rows with `kept`: at most `cap` per group in hash order, the rest dropped. Rows of one key are told apart by a number."""
+    numbered = df.withColumn("__copy", F.row_number().over(Window.partitionBy(key).orderBy(*group)))
+    kept = head(numbered, group, [hash_order(seed, key), F.col(key), F.col("__copy")], cap).select(key, "__copy", F.lit(True).alias("kept"))
+    return numbered.join(kept, [key, "__copy"], "left").withColumn("kept", F.coalesce("kept", F.lit(False))).drop("__copy")
 
 
 def one_per_cell(df: DataFrame, cell: Sequence[str], key: str, seed: str | int) -> DataFrame:

@@ -14,6 +14,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,15 @@ from voicelake.session import cut
 
 @dataclass(frozen=True)
 class WindowPolicy:
-    """How a window is chosen, in seconds and amplitudes."""
+    """How a window is chosen, in seconds and amplitudes. The defaults are fixed values."""
 
     min_seconds: float = 1.0
     max_seconds: float = 4.0
-    hop_seconds: float = 0.5
-    frame_ms: float = 40.0
-    silence_rms: float = 0.001
-    activity_rms: float = 0.01
-    min_active: float = 0.1
+    hop_seconds: float = 0.25
+    frame_ms: float = 30.0
+    silence_rms: float = 0.00316
+    activity_rms: float = 0.0025
+    min_active: float = 0.2
 
     def samples(self, rate: int) -> tuple[int, int, int, int]:
         whole = lambda s: int(round(s * rate))
@@ -82,24 +84,25 @@ def dedup_exact(df: DataFrame, key: str, digest: str, registry: DataFrame) -> Da
     return joined.withColumn("disposition", F.when(F.col("__known"), "known").when(F.col(key) == F.col("first"), "kept").otherwise("duplicate")).drop("__known")
 
 
-def _directions(size: int, count: int) -> list[list[float]]:
-    """Fixed unit directions with signs from a hash."""
-    import hashlib
+def principal_directions(df: DataFrame, vec: str, size: int, count: int = 4) -> list[list[float]]:
+    """Unit directions along which the vectors spread most; a size x size matrix is what is aggregated.
 
-    rows = []
-    for d in range(count):
-        bits = "".join(bin(b)[2:].zfill(8) for i in range(size // 256 + 1) for b in hashlib.sha256(f"{d}:{i}".encode()).digest())
-        rows.append([(1.0 if bits[j] == "1" else -1.0) / math.sqrt(size) for j in range(size)])
-    return rows
+    With fewer than two rows there is nothing to spread, and any direction does.
+    """
+    if df.limit(2).count() < 2:
+        return [[1.0 if j == i else 0.0 for j in range(size)] for i in range(count)]
+    rows = df.select(array_to_vector(F.col(vec)).alias("v"))
+    components = PCA(k=count, inputCol="v", outputCol="p").fit(rows).pc.toArray()
+    return [[float(x) for x in components[:, i]] for i in range(count)]
 
 
-def _grid(df: DataFrame, vec: str, size: int, radius: float, directions: int, extra: Sequence[tuple[Column, float]], spread: bool) -> DataFrame:
+def _grid(df: DataFrame, vec: str, radius: float, directions: Sequence[Sequence[float]], extra: Sequence[tuple[Column, float]], spread: bool) -> DataFrame:
     """A cell key for rows: one cell per row, or with `spread` every cell within the radius of the row.
 
     Two unit vectors closer than `radius` are closer than `radius` on every unit direction, so the cell of one is always
     among the spread cells of the other: the grid prunes and misses nothing.
     """
-    axes = [(fs.dot(F.col(vec), F.array(*[F.lit(x) for x in d])), radius) for d in _directions(size, directions)] + list(extra)
+    axes = [(fs.dot(F.col(vec), F.array(*[F.lit(x) for x in d])), radius) for d in directions] + list(extra)
     named = df.withColumns({f"__x{i}": a for i, (a, _) in enumerate(axes)})
     cells = named
     slack = 1e-9
@@ -129,9 +132,10 @@ def near_duplicates(df: DataFrame, key: str, vec: str, size: int, duration: str,
     reps, links = collapse_copies(cut(df.select(key, vec, duration, digest)), key, digest)
     radius = math.sqrt(2 - 2 * similarity)
     base = reps.select(key, vec, duration)
+    directions = principal_directions(base, vec, size)
     extra = [(F.col(duration), tolerance)]
-    left = _grid(base, vec, size, radius, 3, extra, spread=False).select("__cell", F.col(key).alias("a"), F.col(vec).alias("__va"), F.col(duration).alias("__da"))
-    right = _grid(base, vec, size, radius, 3, extra, spread=True).select("__cell", F.col(key).alias("b"), F.col(vec).alias("__vb"), F.col(duration).alias("__db"))
+    left = _grid(base, vec, radius, directions, extra, spread=False).select("__cell", F.col(key).alias("a"), F.col(vec).alias("__va"), F.col(duration).alias("__da"))
+    right = _grid(base, vec, radius, directions, extra, spread=True).select("__cell", F.col(key).alias("b"), F.col(vec).alias("__vb"), F.col(duration).alias("__db"))
     delta = F.abs(F.col("__da") - F.col("__db"))
     near = left.join(right, "__cell").where("a < b").where(delta <= tolerance + 1e-12).withColumn("similarity", fs.dot(F.col("__va"), F.col("__vb"))).where(F.col("similarity") >= similarity)
     return near.select("a", "b", "similarity", delta.alias("duration_delta"), F.lit("near").alias("kind")).unionByName(
@@ -148,8 +152,9 @@ def nearest_neighbour(df: DataFrame, key: str, vec: str, size: int, digest: str,
     copies = links.select(F.col("b").alias(key), F.col("a").alias("neighbour")).unionByName(second.select(F.col("a").alias(key), F.col("b").alias("neighbour")))
     radius = math.sqrt(2 - 2 * similarity)
     base = reps.select(key, vec, "copies")
-    left = _grid(base.where("copies = 1"), vec, size, radius, 3, [], spread=False).select("__cell", F.col(key), F.col(vec).alias("__va"))
-    right = _grid(base, vec, size, radius, 3, [], spread=True).select("__cell", F.col(key).alias("neighbour"), F.col(vec).alias("__vb"))
+    directions = principal_directions(base, vec, size)
+    left = _grid(base.where("copies = 1"), vec, radius, directions, [], spread=False).select("__cell", F.col(key), F.col(vec).alias("__va"))
+    right = _grid(base, vec, radius, directions, [], spread=True).select("__cell", F.col(key).alias("neighbour"), F.col(vec).alias("__vb"))
     close = left.join(right, "__cell").where(F.col(key) != F.col("neighbour")).withColumn("similarity", fs.dot(F.col("__va"), F.col("__vb"))).where(F.col("similarity") > similarity)
     best = close.groupBy(key).agg(F.max(F.struct(F.round("similarity", 9).alias("similarity"), (-F.col("neighbour")).alias("minus"))).alias("m"))
     return best.select(key, (-F.col("m.minus")).alias("neighbour"), F.col("m.similarity").alias("similarity")).unionByName(

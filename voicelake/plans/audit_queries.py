@@ -10,6 +10,8 @@ from voicelake.operators import audit, identity, joins, select
 from voicelake.plans import standins as st
 from voicelake.plans.graph_queries import ANCHORS, CLAIMS, CLOSURE, COMPONENTS, closure_inputs
 from voicelake.plans.join_queries import CACHE, HELD, _cache, held
+from voicelake.session import work_path
+from voicelake.sources import sinks
 from voicelake.plans.registry import query, table
 from voicelake.plans.stat_queries import SIGN
 
@@ -108,17 +110,23 @@ def audit_files(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_files(declared, stored, "path", "digest", F.col("n") / 1000.0, 1.0, 4.0)
 
 
-@query("audit_cache", CACHE + """, x AS (SELECT unnest(list_filter([CASE WHEN c.window_id IS NULL THEN 'missing' END, CASE WHEN m.window_id IS NULL THEN 'extra' END, CASE WHEN m.label <> c.label THEN 'changed_label' END,
-  CASE WHEN m.language <> c.language THEN 'changed_language' END], lambda x: x IS NOT NULL)) AS "check" FROM manifest m FULL JOIN c USING (window_id))
-SELECT "check", count(*) AS n, false AS ready FROM x GROUP BY "check" UNION ALL SELECT 'wrong_dimension', count(*), false FROM embeddings WHERE vec_id % 10 = 0""")
+@query("audit_cache", CACHE + """, k AS (SELECT * FROM c WHERE split <> 'val' UNION ALL SELECT window_id, label, language, prepared_sha256, split FROM manifest WHERE split = 'val'),
+x AS (SELECT coalesce(m.split, k.split) AS part, len(list_filter([k.window_id IS NULL, m.window_id IS NULL, m.label <> k.label, m.language <> k.language], lambda x: x)) AS found
+  FROM manifest m FULL JOIN k USING (window_id))
+SELECT part, sum(found)::BIGINT AS issues, sum(found) = 0 AS ready FROM x GROUP BY part
+UNION ALL SELECT 'features', count(*) FILTER (vec_id % 10 = 0), count(*) FILTER (vec_id % 10 = 0) = 0 FROM embeddings""")
 def audit_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Membership and label checks of a cache, and the contract of its features; ready when nothing is found."""
+    """Issues of each split of a cache, and of its features; a part is ready when nothing is found. One split is fresh."""
     from voicelake.operators.signal import contract_failures
-    rows, cached = _cache(spark, folder)
-    found = joins.difference(rows, cached, "window_id", ["label", "language", "prepared_sha256", "split"]).select(F.col("difference").alias("check"))
+
+    rows, stale = _cache(spark, folder)
+    cached = stale.where("split <> 'val'").unionByName(rows.where("split = 'val'").select(*stale.columns))
+    found = joins.difference(rows, cached, "window_id", ["label", "language", "prepared_sha256"])
+    parts = rows.select("window_id", "split").unionByName(cached.select("window_id", "split")).distinct()
+    by_split = parts.join(found, "window_id", "left").groupBy(F.col("split").alias("part")).agg(F.count("difference").alias("issues"))
     frames = st.frames(spark, folder).withColumn("vec", F.when(F.col("frame") % 10 == 0, F.slice("vec", 1, 63)).otherwise(F.col("vec")))
-    failures = frames.select(F.explode_outer(contract_failures(frames, "vec", 64)).alias("check")).where("check IS NOT NULL")
-    return found.unionByName(failures).groupBy("check").agg(F.count("*").alias("n")).withColumn("ready", F.lit(False))
+    failures = frames.select(F.explode_outer(contract_failures(frames, "vec", 64)).alias("check")).agg(F.lit("features").alias("part"), F.count("check").alias("issues"))
+    return by_split.unionByName(failures).withColumn("ready", F.col("issues") == 0)
 
 
 @query("audit_run_record", f"""WITH {st.SCORES}, h AS (SELECT language, window_id // 100 AS epoch, round(avg(abs(label - score::DOUBLE)), 6) AS err FROM scores GROUP BY ALL),
@@ -161,12 +169,22 @@ def version_stamp(spark: SparkSession, folder: str) -> DataFrame:
     return signature(rows, F.concat_ws("|", "window_id", "label", "language", "prepared_sha256"), ["part"]).join(counts, "part").select("part", "rows", "recordings", "signature")
 
 
-@query("version_validate", MAN + """, c AS (SELECT split, count(*) AS windows, count(*) FILTER (preprocessing_version = 'prep-2') AS retained, count(*) FILTER (preprocessing_version <> 'prep-2') AS additions FROM manifest GROUP BY split)
-SELECT split, windows, retained, additions, retained + additions = windows AS counts_ok, split IN ('train', 'val') AS split_ok FROM c""")
+@query("version_validate", MAN + """, c AS (SELECT split, count(*) AS windows, count(*) FILTER (preprocessing_version = 'prep-2') AS retained, count(*) FILTER (preprocessing_version <> 'prep-2') AS additions FROM manifest GROUP BY split),
+o AS (SELECT split, count(*) FILTER (duration > 0) AS windows, count(*) FILTER (preprocessing_version = 'prep-2') + (split = 'val')::BIGINT AS retained FROM manifest GROUP BY split)
+SELECT c.*, o.windows = c.windows AND o.retained = c.retained AND o.windows - o.retained = c.additions AS counts_ok, c.split IN ('train', 'val') AS split_ok FROM c JOIN o USING (split)""")
 def version_validate(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of each split against a declared record, a JSON file that is read back; one declared count is wrong."""
     retained = F.col("preprocessing_version") == "prep-2"
-    c = st.manifest(spark, folder).groupBy("split").agg(F.count("*").alias("windows"), F.count_if(retained).alias("retained"), F.count_if(~retained).alias("additions"))
-    return c.withColumns({"counts_ok": F.col("retained") + F.col("additions") == F.col("windows"), "split_ok": F.col("split").isin("train", "val")})
+    rows = st.manifest(spark, folder)
+    counts = rows.groupBy("split").agg(F.count("*").alias("windows"), F.count_if(retained).alias("retained"), F.count_if(~retained).alias("additions"))
+    path = work_path(spark, "version.json")
+    wrong = F.when(F.col("split") == "val", 1).otherwise(0)
+    declared = rows.groupBy("split").agg(F.count_if(F.col("duration") > 0).alias("d_windows"), (F.count_if(retained)).alias("r")).select("split", "d_windows", (F.col("r") + wrong).alias("d_retained"))
+    sinks.write_jsonl(declared.withColumn("d_additions", F.col("d_windows") - F.col("d_retained")), path)
+    record = spark.read.schema("split string, d_windows bigint, d_retained bigint, d_additions bigint").json(path)
+    same = (F.col("windows") == F.col("d_windows")) & (F.col("retained") == F.col("d_retained")) & (F.col("additions") == F.col("d_additions"))
+    joined = counts.join(record, "split", "left").withColumn("counts_ok", F.coalesce(same, F.lit(False)))
+    return joined.select("split", "windows", "retained", "additions", "counts_ok", F.col("split").isin("train", "val").alias("split_ok"))
 
 
 @query("dedupe_exclusions", "SELECT user_id, event_type AS reason, min(event_id) AS event_id, arg_min(props, event_id) AS props FROM events GROUP BY ALL")

@@ -155,8 +155,7 @@ ZONES = f"WITH {st.INVENTORY}, r AS (SELECT *, concat(shard, ':', CAST(row_group
 def zone_map_join(spark: SparkSession, folder: str) -> DataFrame:
     zone = F.concat("shard", F.lit(":"), F.floor(F.col("row_group") / 10))
     rows = st.inventory(spark, folder).withColumn("zone", zone)
-    zones = rows.groupBy("zone").agg(F.min("record_id").alias("lo"), F.max("record_id").alias("hi"))
-    found = joins.zone_map_join(held(spark, folder), zones, rows, "record_id")
+    found = joins.zone_map_join(held(spark, folder), rows, "record_id")
     return found.groupBy("zone").agg(F.count("*").alias("rows"), F.count_distinct("record_id").alias("records"))
 
 
@@ -259,11 +258,16 @@ def accounting_reconcile(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("disposition").agg(F.count("*").alias("n"))
 
 
-@query("prediction_parity", f"""WITH {st.SCORES}, s AS (SELECT *, row_number() OVER (ORDER BY window_id) AS p, round(score::DOUBLE, 3) AS saved FROM scores)
-SELECT language, count(*) AS rows, round(max(abs(saved - score::DOUBLE)), 6) AS max_diff, round(avg(abs(saved - score::DOUBLE)), 6) AS mean_diff, true AS order_ok FROM s GROUP BY language""")
+@query("prediction_parity", f"""WITH {st.SCORES}, s AS (SELECT *, row_number() OVER (ORDER BY window_id) AS p, round(score::DOUBLE, 3) AS saved FROM scores),
+o AS (SELECT window_id, row_number() OVER (ORDER BY CASE WHEN language = (SELECT min(language) FROM scores) AND window_id % 2 = 0 THEN window_id + 3 ELSE window_id END, window_id) AS q FROM scores)
+SELECT language, count(*) AS rows, round(max(abs(saved - score::DOUBLE)), 6) AS max_diff, round(avg(abs(saved - score::DOUBLE)), 6) AS mean_diff,
+  bool_and(p = q) AS order_ok FROM s JOIN o USING (window_id) GROUP BY language""")
 def prediction_parity(spark: SparkSession, folder: str) -> DataFrame:
     rows = ranked(st.scores(spark, folder), [], [F.col("window_id")], "p").withColumn("value", F.col("score").cast("double"))
-    saved = rows.withColumn("value", F.round("value", 3))
+    # the saved list has rows of one language out of their place
+    first = rows.agg(F.min("language")).scalar()
+    moved = F.when((F.col("language") == first) & (F.col("window_id") % 2 == 0), F.col("window_id") + 3).otherwise(F.col("window_id"))
+    saved = ranked(rows.drop("p"), [], [moved, F.col("window_id")], "p").withColumn("value", F.round("value", 3))
     return rounded(joins.prediction_parity(saved, rows, "window_id", "value", "p", ["language"]), "max_diff", "mean_diff")
 
 

@@ -13,7 +13,7 @@ from voicelake.plans.registry import query, table
 from voicelake.plans.score_queries import rounded
 
 RATE = 100
-POLICY = sg.WindowPolicy(activity_rms=0.2, min_active=0.55, silence_rms=0.25)
+POLICY = sg.WindowPolicy(hop_seconds=0.5, frame_ms=40.0, activity_rms=0.2, min_active=0.55, silence_rms=0.25)
 SIG = f"WITH {st.SIGNAL}"
 PCM = """pcm AS (SELECT doc_id AS id, list_transform(string_split(text, ''), lambda c: CAST(unicode(c) % 256 AS INTEGER)) AS v FROM documents)"""
 

@@ -53,15 +53,16 @@ def src_csv_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_csv_manifest(spark, path, rows.schema).groupBy("label", "lang").agg(F.count("*").alias("n"))
 
 
-@query("src_union_glob", "SELECT c_custkey, 1 AS copies, CAST(CASE WHEN c_nationkey = 3 THEN 2 ELSE 1 END AS BIGINT) AS versions FROM customer")
+@query("src_union_glob", "SELECT c_custkey, CAST(CASE WHEN c_nationkey = 3 THEN 2 ELSE 1 END AS BIGINT) AS copies, CAST(CASE WHEN c_nationkey = 3 THEN 2 ELSE 1 END AS BIGINT) AS versions FROM customer")
 def src_union_glob(spark: SparkSession, folder: str) -> DataFrame:
     """Two overlapping exports; the second one differs for one nation."""
     rows, base = table(spark, folder, "customer"), work_path(spark, "windows")
     sinks.write_jsonl(rows, f"{base}/part.a")
     sinks.write_jsonl(rows.withColumn("c_name", F.when(F.col("c_nationkey") == 3, F.upper("c_name")).otherwise(F.col("c_name"))), f"{base}/part.b")
     distinct, conflicts = files.union_glob(spark, f"{base}/part.*", rows.schema, "c_custkey")
-    return distinct.select("c_custkey").distinct().join(conflicts, "c_custkey", "left").select(
-        "c_custkey", F.lit(1).alias("copies"), F.coalesce("versions", F.lit(1).cast("bigint")).alias("versions"))
+    kept = distinct.groupBy("c_custkey").agg(F.count("*").alias("copies"))
+    return kept.join(conflicts, "c_custkey", "left").select(
+        "c_custkey", "copies", F.coalesce("versions", F.lit(1).cast("bigint")).alias("versions"))
 
 
 def _shards(spark: SparkSession, folder: str) -> str:
@@ -192,10 +193,10 @@ def src_member_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return files.join_members(audio, meta).select("path", "origin", "size")
 
 
-@query("src_text_id_scan", """SELECT id, count(*) AS files FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(url, '[a-z]+[.]example[.][a-z]+')) AS id FROM pages) GROUP BY id""")
+@query("src_text_id_scan", """SELECT id, count(*) AS files FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '[a-z]+[.]example[.][a-z]+')) AS id FROM pages) GROUP BY id""")
 def src_text_id_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Ids mentioned in texts, and in how many of them."""
-    texts = table(spark, folder, "pages").select(F.col("url").alias("value"), F.col("page_id").alias("file"))
+    texts = table(spark, folder, "pages").select(F.col("html").alias("value"), F.col("page_id").alias("file"))
     return files.scan_ids(texts, "[a-z]+[.]example[.][a-z]+").groupBy("id").agg(F.count("*").alias("files"))
 
 

@@ -46,30 +46,31 @@ def st_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-@query("st_chunk_score")
+@query("st_chunk_score", f"""WITH {st.CHUNKS} SELECT file_id, make_timestamp((1700000000 + file_id * 3600 + min(chunk)) * 1000000) AS start, round(avg(score), 6) AS score,
+  round(max(score), 6) AS max_score, count(*) AS chunks, CASE WHEN round(avg(score), 6) >= 0.5 THEN 'spoof' ELSE 'genuine' END AS decision FROM chunks GROUP BY file_id""")
 def st_chunk_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks arrive a second apart per file; the last sessions stay open until the watermark passes them."""
+    """Chunks arrive a second apart per file."""
     start = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("file_id") * 3600 + F.col("chunk"))
     rows = st.chunks(spark, folder).withColumn("ts", start)
     path, out, checkpoint = _landed(spark, rows)
-    jobs.chunk_scores(spark, path, rows.schema, 0.5, out, checkpoint)
-    return spark.read.schema("file_id bigint, start timestamp, score double, max_score double, chunks bigint, decision string").parquet(out)
+    files = jobs.chunk_scores(spark, path, rows.schema, 0.5, out, checkpoint)
+    return files.withColumns({"score": F.round("score", 6), "max_score": F.round("max_score", 6), "chunks": F.col("chunks").cast("bigint")})
 
 
-@query("st_event_windows")
+@query("st_event_windows", """SELECT make_timestamp(epoch_us(ts::TIMESTAMP) // 4000000 * 4000000) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY start""")
 def st_event_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path, out, checkpoint = _landed(spark, rows)
-    jobs.event_windows(spark, path, rows.schema, "ts", "value", "4 seconds", "10 minutes", out, checkpoint)
-    return spark.read.schema("start timestamp, n bigint, total double").parquet(out)
+    return jobs.event_windows(spark, path, rows.schema, "ts", "value", "4 seconds", out, checkpoint).withColumn("total", F.round("total", 4))
 
 
 @query("linear_baseline")
 def linear_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    """Standardized vectors, L2 logistic regression, margins; evaluated on the rows it was fitted on."""
-    rows = st.frames(spark, folder).select("frame", "label", "vec")
-    scored = models.score(models.fit(rows, "vec", "label"), rows, "vec")
-    return models.evaluate(scored)
+    """Standardized vectors, L2 logistic regression, margins; fitted on four fifths by hash, reported for both parts."""
+    rows = st.frames(spark, folder).select("frame", "label", "vec", F.when(F.pmod(F.xxhash64("frame"), F.lit(5)) == 0, "held_out").otherwise("train").alias("part"))
+    scored = models.score(models.fit(rows.where("part = 'train'"), "vec", "label"), rows, "vec")
+    parts = [models.evaluate(scored.where(F.col("part") == p)).withColumn("part", F.lit(p)) for p in ("train", "held_out")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("batch_score_files")

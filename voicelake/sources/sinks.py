@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def replace_table(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write a table beside the old one and switch when it is complete; a failed write leaves the old table as it was."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    staged, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(staged)
+        if files.exists(hadoop(path)):
+            files.rename(hadoop(path), hadoop(old))
+        if not files.rename(hadoop(staged), hadoop(path)):
+            raise OSError(f"cannot move {staged} to {path}")
+    finally:
+        files.delete(hadoop(staged), True)
+    files.delete(hadoop(old), True)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Replace a JSON-lines table, fields in sorted order and NULL fields kept."""
-    df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    rows = df.select(*sorted(df.columns)).write.option("ignoreNullFields", "false")
+    replace_table(df.sparkSession, path, rows.json)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -19,7 +37,7 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    replace_table(df.sparkSession, path, df.write.option("header", True).csv)
 
 
 def store_payloads(spark: SparkSession, new: DataFrame, path: str, hash_column: str = "sha256") -> DataFrame:

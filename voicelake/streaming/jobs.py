@@ -5,20 +5,18 @@ Every job is given its folders; a second run with the same checkpoint continues
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voicelake.functions.scoring import decide
 
-STOP_AFTER = 600  # seconds
-
 
-def _finish(writer, seconds: int = STOP_AFTER) -> None:
-    query = writer.trigger(availableNow=True).start()
-    if not query.awaitTermination(seconds):
-        query.stop()
-        raise TimeoutError("the stream did not finish in time")
+def _finish(writer) -> None:  # noqa: ANN001
+    """Run until all files that are there now have been read, however long that takes."""
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def _stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -32,20 +30,9 @@ def incremental_scan(spark: SparkSession, path: str, schema: T.StructType, out:
 
 
 def resume_dedupe(spark: SparkSession, path: str, schema: T.StructType, key: str, out: str, checkpoint: str) -> None:
-    """Keep the first row of every key that no earlier batch has stored: a batch anti-join against the store.
-
-    Each batch writes to its own folder, so a batch that is run again replaces itself.
-    """
-
-    def store(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        if number > 0:
-            earlier = session.read.schema(f"{key} {schema[key].dataType.simpleString()}, batch bigint").parquet(out).where(F.col("batch") < number)
-            fresh = fresh.join(earlier.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    _finish(_stream(spark, path, schema, 1).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint))
+    """Store one row of every key over all runs: the state store holds the keys, partitioned like them."""
+    rows = _stream(spark, path, schema).dropDuplicates([key])
+    _finish(rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"))
 
 
 def ledger_totals(spark: SparkSession, path: str, schema: T.StructType, source: str, size: str, cap: int, out: str, checkpoint: str) -> None:
@@ -54,17 +41,30 @@ def ledger_totals(spark: SparkSession, path: str, schema: T.StructType, source:
     _finish(totals.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).outputMode("complete").option("checkpointLocation", checkpoint))
 
 
-def chunk_scores(spark: SparkSession, path: str, schema: T.StructType, threshold: float, out: str, checkpoint: str) -> None:
-    """File score and decision once a file's session of chunks closes (no chunk for ten minutes)."""
-    chunks = _stream(spark, path, schema).withWatermark("ts", "10 minutes")
-    files = chunks.groupBy("file_id", F.session_window("ts", "10 minutes")).agg(F.avg("score").alias("score"), F.max("score").alias("max_score"), F.count("*").alias("chunks"))
-    scored = files.select("file_id", F.col("session_window.start").alias("start"), "score", "max_score", "chunks", decide(F.col("score"), threshold).alias("decision"))
-    _finish(scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"))
+def _store_partials(rows: DataFrame, by: Mapping[str, Column], sums: Mapping[str, Column], out: str, checkpoint: str) -> None:
+    """Write the partial aggregates of every micro-batch to a folder of its own.
+
+    A batch that runs again replaces itself, and aggregates of partials do not depend on the order of arrival, so there is
+    no watermark: no late row is lost and nothing stays open after the last file.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        partial = batch.groupBy(*[c.alias(n) for n, c in by.items()]).agg(*[c.alias(n) for n, c in sums.items()])
+        partial.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    _finish(rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint))
+
+
+def chunk_scores(spark: SparkSession, path: str, schema: T.StructType, threshold: float, out: str, checkpoint: str) -> DataFrame:
+    """Score and decision of every file over the chunks of all files read so far."""
+    sums = {"start": F.min("ts"), "total": F.sum("score"), "max_score": F.max("score"), "chunks": F.count("*")}
+    _store_partials(_stream(spark, path, schema), {"file_id": F.col("file_id")}, sums, out, checkpoint)
+    merged = spark.read.parquet(out).groupBy("file_id").agg(
+        F.min("start").alias("start"), (F.sum("total") / F.sum("chunks")).alias("score"), F.max("max_score").alias("max_score"), F.sum("chunks").alias("chunks"))
+    return merged.withColumn("decision", decide(F.col("score"), threshold))
 
 
-def event_windows(spark: SparkSession, path: str, schema: T.StructType, ts: str, value: str, width: str, late: str, out: str, checkpoint: str) -> None:
-    """Contiguous windows of event time; a window is written when the watermark has passed it, later rows are dropped."""
-    rows = _stream(spark, path, schema).withWatermark(ts, late)
-    windows = rows.groupBy(F.window(ts, width)).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-    flat = windows.select(F.col("window.start").alias("start"), "n", "total")
-    _finish(flat.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"))
+def event_windows(spark: SparkSession, path: str, schema: T.StructType, ts: str, value: str, width: str, out: str, checkpoint: str) -> DataFrame:
+    """Count and sum of every window of event time over all files read so far."""
+    _store_partials(_stream(spark, path, schema), {"start": F.window(ts, width)["start"]}, {"n": F.count("*"), "total": F.sum(value)}, out, checkpoint)
+    return spark.read.parquet(out).groupBy("start").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
