@@ -40,9 +40,8 @@ def codewords(n: int) -> np.ndarray:
     if n <= 1:
         return np.ones((n, 1))
     if n <= 6:
-        columns = np.arange(1, 2 ** (n - 1))
-        rows = [np.ones(len(columns))] + [np.where(columns >> i & 1, 1.0, -1.0) for i in range(n - 1)]
-        return np.stack(rows) * -1
+        columns = np.arange(2 ** (n - 1) - 1)  # all but the column where everyone is 1
+        return np.stack([np.ones(len(columns))] + [np.where(columns >> i & 1, 1.0, -1.0) for i in range(n - 1)])
     rng, best, far = np.random.default_rng(0), None, -1
     length = int(np.ceil(10 * np.log2(n)))
     for _ in range(200):
