@@ -45,7 +45,8 @@ def line_rows(docs: DataFrame, id: str, text: str) -> DataFrame:
 def named(rows: DataFrame, *keys: str) -> DataFrame:
     """(d, l, name) of the rows whose keys occur more than once; the name is the first place that has them."""
     groups = rows.groupBy(*keys).agg(F.min(place(F.col("d"), F.col("l"))).alias("name"), F.count("*").alias("__n")).where("__n > 1")
-    return rows.join(groups.drop("__n"), list(keys))
+    # as a table, so that the join is dealt apart from the aggregate and Spark may split a hot key
+    return rows.join(cut(groups.drop("__n")), list(keys))
 
 
 def doubled(level: DataFrame, k: int) -> DataFrame:

@@ -9,7 +9,9 @@ same offset, so occurrences of that anchor (about one place in 35) bring equal s
 
 1. Every anchor moves as 32 bytes: its hash, the hash of the bytes that any string around it can cover (its context), its
    place. Sorted by these, the first row of each context is kept; all later rows of the same context lose the whole
-   context, without another look at a text. Batches stream through; no group is held.
+   context, without another look at a text. Rows that are later than another one of their own batch are known before the
+   shuffle and go to any task, so a context of a third of the corpus sends one row a batch to its own. Batches stream
+   through; no group is held.
 2. Anchors that have several contexts need the bytes: those of the first row of each context only. Texts are joined once;
    documents that have no such context are finished there.
 3. The contexts of an anchor are laid end to end. Prefix doubling ranks their suffixes to depth `length`; in suffix order
@@ -35,6 +37,8 @@ from voicelake.session import cut
 GRAM = 32
 SEGMENT = 1 << 20
 WIDE = 500
+#: In place of the context of a row that is known to be later than another one.
+LATER = -(2**63)
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
 
@@ -98,10 +102,6 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
-
-
 def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     """(anchor, context, doc, at) of (doc, tag, data); `at` is the place and, below it, the tag of the text."""
 
@@ -110,9 +110,18 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
             docs, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
             found = [anchors(value.as_buffer() or b"", length) for value in batch.column("data")]
             sizes = [len(f[0]) for f in found]
-            at = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-            columns = [signed(np.concatenate([f[i] for f in found])) if found else pa.array([], pa.int64()) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(docs, sizes)), pa.array((at << 32) | np.repeat(tags, sizes))], names=["anchor", "context", "doc", "at"])
+            if not found:
+                continue
+            at, anchor, context = (np.concatenate([f[i] for f in found]) for i in range(3))
+            anchor, context, doc = anchor.view(np.int64), context.view(np.int64), np.repeat(docs, sizes)
+            order = np.lexsort((at, doc, context, anchor))
+            fresh = np.ones(len(order), dtype=bool)
+            fresh[1:] = (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1])
+            start = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
+            late = order[(doc[order] != doc[start]) | (at[order] != at[start])]
+            anchor[late] = mixed(doc[late].astype(U) * U(ODD) + at[late].astype(U)).view(np.int64)
+            context[late] = LATER
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), pa.array(doc), pa.array((at << 32) | np.repeat(tags, sizes))], names=["anchor", "context", "doc", "at"])
 
     return texts.mapInArrow(run, "anchor long, context long, doc long, at long")
 
@@ -126,6 +135,10 @@ def sorted_out(rows: DataFrame) -> DataFrame:
         owed = several = False
         for batch in batches:
             new = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            known = new[:, new[1] == LATER]
+            if known.shape[1]:
+                yield facts(known, np.ones(known.shape[1], dtype=bool))
+            new = new[:, new[1] != LATER]
             if not new.shape[1]:
                 continue
             data = np.concatenate((held, new), axis=1)
@@ -149,13 +162,16 @@ def sorted_out(rows: DataFrame) -> DataFrame:
             out = np.concatenate((firsts[give], np.flatnonzero(later)))
             is_later = np.zeros(len(out), dtype=bool)
             is_later[give.sum() :] = True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[out]), pa.array(data[3][out] & 0xFFFFFFFF), pa.array(anchor[out]), pa.array(place[out]), pa.array(is_later)], names=["doc", "tag", "anchor", "place", "later"])
+            yield facts(data[:, out], is_later)
             only_old = old and len(firsts) == 1
             owed = (owed and not last_given) if only_old else not last_given
             several = last_many
             held = data[:, firsts[-1] : firsts[-1] + 1]
 
+    def facts(data: np.ndarray, later: np.ndarray) -> pa.RecordBatch:
+        columns = [data[2], data[3] & 0xFFFFFFFF, data[0], data[3] >> 32, later]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "tag", "anchor", "place", "later"])
+
     return placed.mapInArrow(run, "doc long, tag long, anchor long, place long, later boolean")
 
 
