@@ -11,11 +11,8 @@ GENUINE_CORPUS = "kathbath"
 SYNTHETIC_CORPUS = "indicsynth"
 
 
-def role_claims(manifest: DataFrame, keep: tuple[str, ...] = ("window_id", "split", "dataset_id", "label")) -> DataFrame:
-    """One row per window and role (genuine, or source and target) with the parsed reference and the declared speaker.
-
-    A row-local explode: nothing moves. A text-to-speech row without a source claims no source.
-    """
+def raw_claims(manifest: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """One row per window and role with the claim `c` as it is written."""
     claim = lambda role, ref, declared, verification: F.struct(
         F.lit(role).alias("role"), ref.alias("reference"), declared.alias("declared"), verification.alias("verification"))
     none = F.lit(None).cast("string")
@@ -24,7 +21,15 @@ def role_claims(manifest: DataFrame, keep: tuple[str, ...] = ("window_id", "spli
         F.array(claim("source", F.col("source_reference"), F.col("source_speaker"), F.col("source_verification")),
                 claim("target", F.col("target_reference"), F.col("target_speaker"), F.col("target_verification"))),
     ).otherwise(F.array(claim("unsupported", none, none, none)))
-    rows = manifest.select(*keep, lang_normalize(F.col("spoken_language")).alias("language"), F.explode(roles).alias("c"))
+    return manifest.select(*keep, lang_normalize(F.col("spoken_language")).alias("language"), F.explode(roles).alias("c"))
+
+
+def role_claims(manifest: DataFrame, keep: tuple[str, ...] = ("window_id", "split", "dataset_id", "label")) -> DataFrame:
+    """One row per window and role (genuine, or source and target) with the parsed reference and the declared speaker.
+
+    A row-local explode: nothing moves. A text-to-speech row without a source claims no source.
+    """
+    rows = raw_claims(manifest, keep)
     parsed = parse_reference(F.col("c.reference"), extension_required=True)
     return rows.select(*keep, "language", "c.role", "c.reference", numeric_id(F.col("c.declared")).alias("declared"), "c.verification", parsed.alias("p"))
 
@@ -49,9 +54,19 @@ def row_problems(manifest: DataFrame) -> DataFrame:
 def row_keys(manifest: DataFrame) -> DataFrame:
     """Long identity keys: (window, split, role, kind s/r/j, node). Unparsed claims give none."""
     parsed = role_claims(manifest).where("p IS NOT NULL")
-    keys = F.array(*[F.struct(F.lit(k).alias("kind"), scoped_key(k, F.col("language"), F.col(f"p.{f}")).alias("node"))
+    return parsed.select("window_id", "split", "role", "language", F.explode(_keys()).alias("k")).select("window_id", "split", "role", "language", "k.*")
+
+
+def _keys() -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("kind"), scoped_key(k, F.col("language"), F.col(f"p.{f}")).alias("node"))
                      for k, f in (("s", "speaker"), ("r", "canonical"), ("j", "record"))])
-    return parsed.select("window_id", "split", "role", "language", F.explode(keys).alias("k")).select("window_id", "split", "role", "language", "k.*")
+
+
+def side_keys(manifest: DataFrame) -> DataFrame:
+    """The distinct sides of identity keys: (split, role, kind, node). Each distinct reference of a side is parsed once."""
+    written = raw_claims(manifest, ("split",)).select("split", "language", "c.role", "c.reference").distinct()
+    parsed = written.select("split", "role", "language", parse_reference(F.col("reference"), extension_required=True).alias("p")).where("p IS NOT NULL")
+    return parsed.select("split", "role", F.explode(_keys()).alias("k")).select("split", "role", "k.*")
 
 
 def window_nodes(manifest: DataFrame) -> Column:

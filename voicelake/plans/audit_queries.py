@@ -63,6 +63,7 @@ AUDIT = f"WITH RECURSIVE {CLOSURE}, {ANCHORS}, {HELD}, {HELD_NODES}, {SCANNED},
     COMPONENTS.format(s="x", e="se") + """, d AS (SELECT DISTINCT kind, node, split, role FROM keys), pr AS (SELECT DISTINCT a.kind, a.split AS sa, a.role AS ra, b.split AS sb, b.role AS rb FROM d a JOIN d b ON a.node = b.node AND a.split < b.split),
 old AS (SELECT prepared_sha256 AS p, original_sha256 AS o FROM manifest WHERE preprocessing_version = 'prep-1' AND sample_rate = 16000 AND duration > 4.8),
 iss AS (SELECT 'provenance' AS "check", count(*) AS n FROM problems WHERE problem IS NOT NULL
+ UNION ALL SELECT 'duplicate_window_id', count(*) FROM (SELECT split, window_id FROM manifest GROUP BY ALL HAVING count(*) > 1)
  UNION ALL SELECT 'cross_split_intersection', count(*) FROM (SELECT DISTINCT sa, ra, sb, rb FROM pr WHERE kind IN ('s', 'r'))
  UNION ALL SELECT 'cross_split_record_overlap', count(*) FROM (SELECT DISTINCT sa, sb FROM pr WHERE kind = 'j')
  UNION ALL SELECT 'cross_split_prepared_hash_duplicate', count(*) FROM (SELECT prepared_sha256 FROM manifest GROUP BY 1 HAVING count(DISTINCT split) > 1)

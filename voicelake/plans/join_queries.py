@@ -162,7 +162,7 @@ def zone_map_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("cross_split_roles", f"""WITH {CLAIMS}, d AS (SELECT DISTINCT kind, node, split, role FROM keys)
 SELECT a.kind, a.split AS split_a, a.role AS role_a, b.split AS split_b, b.role AS role_b, count(*) AS shared FROM d a JOIN d b ON a.node = b.node AND a.split < b.split GROUP BY ALL""")
 def cross_split_roles(spark: SparkSession, folder: str) -> DataFrame:
-    return joins.shared_keys(identity.row_keys(st.manifest(spark, folder)))
+    return joins.shared_keys(identity.side_keys(st.manifest(spark, folder)))
 
 
 @query("keys_overlap", f"WITH {CLAIMS} SELECT kind, count(DISTINCT node) AS shared FROM keys WHERE split = 'val' AND node IN (SELECT node FROM keys WHERE split = 'train') GROUP BY kind")
