@@ -125,18 +125,19 @@ def spanning_components(items: DataFrame, item: str, keys: Column, split: str) -
 def distances(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """Fewest edges from each reachable node to an anchor, with the previous node on one shortest path.
 
-    Breadth-first from all anchors at once: each round joins the frontier to the edges and keeps unseen nodes. The smallest previous node wins, so the path is the same on every run.
+    Breadth-first from all anchors at once. Edges go both ways, so what a level reaches lies in the level before it, in
+    itself or in the next one: new nodes are told by an anti-join with two levels, and each level is written once. The
+    smallest previous node wins, so the path is the same on every run.
     """
     both = edges.select("a", "b").where("a <> b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    frontier = cut(anchors.select("node").distinct().withColumn("distance", F.lit(0)).withColumn("previous", F.lit(None).cast("string")))
-    seen, step = frontier, 0
-    while not frontier.isEmpty():
-        step += 1
-        reached = both.join(frontier.select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("previous"))
-        frontier = cut(reached.join(seen.select("node"), "node", "left_anti").select("node", F.lit(step).alias("distance"), "previous"))
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    levels = [cut(anchors.select("node").distinct().withColumn("distance", F.lit(0)).withColumn("previous", F.lit(None).cast("string")))]
+    while not levels[-1].isEmpty():
+        reached = both.join(levels[-1].select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("previous"))
+        known = levels[-1].select("node") if len(levels) < 2 else levels[-1].select("node").unionByName(levels[-2].select("node"))
+        levels.append(cut(reached.join(known, "node", "left_anti").select("node", F.lit(len(levels)).alias("distance"), "previous")))
+    # each level has a folder of its own, so one reader takes them all
+    return anchors.sparkSession.read.schema(levels[0].schema).parquet(*[level._work_path for level in levels])
 
 
 def component_summary(components: DataFrame, item: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voicelake.operators.prefix import first_k, hash_order, hash_ranked, null_safe, ranked, running
-from voicelake.session import cut
+from voicelake.session import cut, remove_work
 
 # Spark limits rows per group before the shuffle only for ranks up to this number.
 GROUP_LIMIT = 1000
@@ -64,26 +64,33 @@ def capped_selection(rows: DataFrame, memberships: DataFrame, key: str, priority
     `memberships` is (key, group, cap). In each round every undecided row that is among the first `cap` undecided or
     accepted rows of all its groups is accepted, and every row behind the last accepted row of a full group is rejected.
     The row with the least priority is always decided, so the loop ends; in practice after a few rounds. A hot group
-    costs `cap` ranked rows per task and one aggregated threshold, never a walk over the group.
+    costs `cap` ranked rows per task and one aggregated threshold, never a walk over the group. Each round writes its two
+    tables and removes those of the round before, so neither the plan nor the folder grows with the rounds.
     """
     sizes = memberships.groupBy(key).agg(F.count("*").alias("__groups"))
     loose = rows.select(key, priority).join(memberships.select(key).distinct(), key, "left_anti")
     undecided = cut(rows.select(key, priority).join(memberships, key).join(sizes, key))
     widest = undecided.agg(F.max("cap")).first()[0]
-    taken = undecided.limit(0)
+    taken = cut(undecided.limit(0))
     while not undecided.isEmpty():
         pool = undecided.withColumn("__open", F.lit(True)).unionByName(taken.withColumn("__open", F.lit(False)))
         top = head(pool, ["group"], [F.col(priority), F.col(key)], widest, "__r").where((F.col("__r") <= F.col("cap")) & F.col("__open"))
         ready = top.groupBy(key).agg(F.count("*").alias("__in"), F.max("__groups").alias("__groups")).where("__in = __groups").select(key)
         accepted = cut(undecided.join(ready, key, "left_semi"))
-        taken = taken.unionByName(accepted)
+        taken = cut(taken.unionByName(accepted), replaces=taken)
         full = taken.groupBy("group").agg(F.count("*").alias("__n"), F.max("cap").alias("__cap"), F.max(priority).alias("__last")).where("__n >= __cap")
         blocked = undecided.join(full, "group").where(F.col(priority) > F.col("__last")).select(key)
         done = accepted.select(key).unionByName(blocked).distinct()
-        undecided = cut(undecided.join(done, key, "left_anti"))
+        undecided = cut(undecided.join(done, key, "left_anti"), replaces=undecided)
+        remove_work(accepted.sparkSession, accepted._work_path)
     return taken.select(key, priority).distinct().unionByName(loose)
 
 
+def joined_key(*parts: str | Column) -> Column:
+    """Text of several key parts in which NULL keeps its place."""
+    return F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("\\N")) for p in parts])
+
+
 def pair_table(df: DataFrame, by: Sequence[str], anchors: DataFrame | None = None) -> DataFrame:
     """Distinct (source, target, generator) pairs with their round-robin priority over generators.
 
@@ -99,14 +106,14 @@ def pair_table(df: DataFrame, by: Sequence[str], anchors: DataFrame | None = Non
             pairs = null_safe(pairs, known.select(*by, F.col("speaker").alias(side), F.lit(1).alias(f"__{side}")), [*by, side], "left")
         pairs = pairs.withColumn("anchored", F.when(F.col("__source").isNotNull() | F.col("__target").isNotNull(), 0).otherwise(1)).drop("__source", "__target")
     turns = ranked(pairs, [*by, "generator"], [F.col("anchored"), F.col("source"), F.col("target")], "turn")
-    key = F.concat_ws("|", *by, "source", "target", "generator")
+    key = joined_key(*by, "source", "target", "generator")
     return turns.withColumns({"pair": key, "priority": F.struct("turn", "generator", key.alias("pair"))})
 
 
 def participants(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Each pair's people as groups with room for one pair."""
     people = F.explode(F.array_distinct(F.array_compact(F.array(F.nullif("source", F.lit("")), F.col("target")))))
-    return pairs.select("pair", *by, people.alias("who")).select("pair", F.concat_ws("|", *by, "who").alias("group"), F.lit(1).alias("cap"))
+    return pairs.select("pair", *by, people.alias("who")).select("pair", joined_key(*by, "who").alias("group"), F.lit(1).alias("cap"))
 
 
 def select_final_pairs(df: DataFrame, by: Sequence[str], n_pairs: int, anchors: DataFrame) -> DataFrame:
@@ -127,7 +134,7 @@ def choose_pairs(df: DataFrame, by: Sequence[str], n_pairs: int) -> DataFrame:
 def rows_of_pairs(df: DataFrame, pairs: DataFrame, by: Sequence[str], key: str, per_pair: int) -> DataFrame:
     """At most `per_pair` rows of each chosen pair, lowest key first."""
     source = F.coalesce(F.when(~F.col("source_speaker").isin("", "None"), F.col("source_speaker")), F.lit(""))
-    keyed = df.withColumn("pair", F.concat_ws("|", *by, source, "target_speaker", "generator"))
+    keyed = df.withColumn("pair", joined_key(*by, source, "target_speaker", "generator"))
     return head(keyed.join(pairs.select("pair"), "pair", "left_semi"), ["pair"], [F.col(key)], per_pair, "place")
 
 
@@ -139,7 +146,7 @@ def select_synthetic(df: DataFrame, by: Sequence[str], key: str, target: int, so
     """
     turns = ranked(df, [*by, "generator"], [F.col(key)], "turn").withColumn("priority", F.struct("turn", "generator", key))
     rows = cut(turns)
-    scope = lambda kind, c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat_ws("|", F.lit(kind), *by, c))
+    scope = lambda kind, c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), joined_key(F.lit(kind), *by, c))
     caps = [("s", "source_speaker", source_cap), ("t", "target_speaker", target_cap)]
 
     def memberships(kinds: Sequence[tuple[str, str, int]]) -> DataFrame:

@@ -166,8 +166,9 @@ def closure_variants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("closure_path", f"WITH RECURSIVE {CLOSURE}, {ANCHORS}, s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), " + """
-d(node, distance) AS (SELECT node, 0 FROM anchors UNION SELECT s.b, d.distance + 1 FROM d JOIN s ON s.a = d.node WHERE d.distance < 60)
-SELECT node, CAST(min(distance) AS INTEGER) AS distance FROM d GROUP BY node""")
+d(node, distance) USING KEY (node) AS (SELECT DISTINCT node, 0 FROM anchors UNION
+  SELECT s.b AS node, min(d.distance) + 1 AS distance FROM d JOIN s ON s.a = d.node LEFT JOIN recurring.d r ON r.node = s.b WHERE r.node IS NULL GROUP BY s.b)
+SELECT node, CAST(distance AS INTEGER) AS distance FROM d""")
 def closure_path(spark: SparkSession, folder: str) -> DataFrame:
     _, edges, anchors = closure_inputs(spark, folder)
     return graph.distances(edges, anchors).select("node", "distance")
