@@ -12,7 +12,8 @@ from check import connect, rows_of  # noqa: E402
 FOLDER = "/root/testdata/sf0.001"
 SOME = ["eer", "auroc", "det_curve", "parse_reference", "src_jsonl_strict", "snk_replace_partitions", "connected_components", "closure_poison",
         "eligibility_filter", "cross_split_roles", "manifest_cache_diff", "group_stats", "content_signature", "quota_trim", "choose_genuine_test",
-        "select_window", "near_dup_band", "audit_parents", "ledger_rollup", "st_resume_dedupe"]
+        "select_window", "near_dup_band", "audit_parents", "ledger_rollup", "st_resume_dedupe", "st_chunk_score",
+        "st_event_windows", "version_validate", "audit_cache", "cap_per_group", "subgroup_summarize", "prediction_parity", "src_union_glob", "closure_path"]
 
 
 @pytest.fixture(scope="module")

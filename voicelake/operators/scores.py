@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from voicelake.functions.scoring import float_cell, ratio, score32, valid_label
 from voicelake.operators.prefix import first_k, null_safe, ranked, running
+from voicelake.session import cut
 
 
 def confusion_counts(df: DataFrame, threshold: float, by: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
@@ -209,20 +210,40 @@ def subgroup_breakdown(df: DataFrame, columns: Mapping[str, str], threshold: flo
 def subgroup_summarize(df: DataFrame, columns: Mapping[str, str], threshold: float = 0.5, margin: str | None = None) -> DataFrame:
     """The full metric set of every subgroup: counts, rates, EER and AUROC by score and by margin.
 
-    Rows are keyed by an exploded group key and all curves run at once, partitioned by group.
+    Rows are keyed by an exploded group key. The cumulative counts per distinct score are written once, and everything
+    else is one aggregate over them.
     """
     keys = F.explode(F.array(F.lit("all"), *[F.concat(F.lit(f"{axis}:"), F.coalesce(F.col(c).cast("string"), F.lit("genuine"))) for axis, c in columns.items()]))
     keyed = df.withColumn("group_key", keys)
-    report = rates(confusion_counts(keyed, threshold, ["group_key"]))
-    pieces = [eer(keyed, ["group_key"]), auroc(keyed, ["group_key"])]
+    whole = _curve_metrics(cut(cumulative_scores(keyed, ["group_key"])), ["group_key"], threshold)
+    report = rates(whole.select("group_key", "tn", "fp", "fn", "tp")).join(whole.select("group_key", "eer", "auroc"), "group_key")
     if margin:
-        pieces += [auroc(keyed, ["group_key"], margin).withColumnRenamed("auroc", "auc_margin"),
-                   eer(keyed, ["group_key"], margin).withColumnRenamed("eer", "eer_margin")]
-    for piece in pieces:
-        report = report.join(piece, "group_key", "left")
+        second = _curve_metrics(cut(cumulative_scores(keyed, ["group_key"], margin)), ["group_key"], threshold)
+        report = report.join(second.select("group_key", F.col("auroc").alias("auc_margin"), F.col("eer").alias("eer_margin")), "group_key", "left")
     return report.withColumn("balanced_accuracy", 1 - (F.col("far") + F.col("miss")) / 2)
 
 
+def _curve_metrics(cumulative: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
+    """Confusion counts, EER and AUROC of each group in one aggregate over its distinct scores."""
+    both = (F.col("t0") > 0) & (F.col("t1") > 0)
+    far = F.when(both, (F.col("t0") - F.col("b0")) / F.col("t0"))
+    frr = F.when(both, 1.0 - (F.col("t1") - F.col("b1")) / F.col("t1"))
+    rows = cumulative.withColumn("far", far).withColumn("frr", frr)
+    d, point = F.col("far") - F.col("frr"), F.struct("far", "frr")
+    called = F.col("score") >= F.lit(threshold).cast("float").cast("double")
+    n0, n1 = F.col("n0"), F.col("n1")
+    sums = rows.groupBy(*by).agg(
+        F.sum(F.when(called, 0).otherwise(n0)).alias("tn"), F.sum(F.when(called, n0).otherwise(0)).alias("fp"),
+        F.sum(F.when(called, 0).otherwise(n1)).alias("fn"), F.sum(F.when(called, n1).otherwise(0)).alias("tp"),
+        F.max_by(F.when(d >= 0, point), F.when(d >= 0, F.col("score"))).alias("low"), F.min_by(F.when(d < 0, point), F.when(d < 0, F.col("score"))).alias("high"),
+        F.sum(n1 * (F.col("b0") + F.col("b1") + (n0 + n1 + 1) / 2)).alias("r"), F.max("t0").alias("t0"), F.max("t1").alias("t1"))
+    left_far = F.coalesce(F.col("high.far"), F.lit(0.0))
+    left_d = left_far - F.coalesce(F.col("high.frr"), F.lit(1.0))
+    value = _interpolate(left_far, left_d, F.col("low.far"), F.col("low.far") - F.col("low.frr"), 1e-12)
+    area = ratio(F.col("r") - F.col("t1") * (F.col("t1") + 1) / 2, F.col("t0") * F.col("t1"))
+    return sums.select(*by, "tn", "fp", "fn", "tp", F.when(F.col("low").isNotNull(), value).alias("eer"), area.alias("auroc"))
+
+
 def quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles of a float32 column, from cumulative counts instead of collected values.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,22 +110,29 @@ def subgroup_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(report, "accuracy", "far", "miss", "balanced_accuracy")
 
 
-SUMMARY = f"WITH {st.SCORES}, k AS (SELECT score, label, unnest(['all', concat('language:', language), concat('cohort:', cohort)]) AS group_key FROM scores), " + \
-    CURVE.format(g="group_key", src="k") + ", " + EER.format(g="group_key") + ", " + CONFUSION.format(g="group_key", t=0.5, src="k") + """,
-a AS (SELECT group_key, CASE WHEN max(t0) > 0 AND max(t1) > 0 THEN
-  (sum(n1 * (b0 + b1 + (n0 + n1 + 1) / 2)) - max(t1) * (max(t1) + 1) / 2) / (max(t0) * max(t1)) END AS auroc FROM c GROUP BY group_key),
+def for_margins(text: str) -> str:
+    """The curve text under other names, so that both curves fit into one statement."""
+    return re.sub(r"FROM ([bcpqr])\b", r"FROM m\1", re.sub(r"\b([bcpqre]) AS \(", r"m\1 AS (", text))
+
+
+AREA = """CASE WHEN max(t0) > 0 AND max(t1) > 0 THEN (sum(n1 * (b0 + b1 + (n0 + n1 + 1) / 2)) - max(t1) * (max(t1) + 1) / 2) / (max(t0) * max(t1)) END"""
+SUMMARY = f"WITH {st.SCORES}, k AS (SELECT window_id, score, label, unnest(['all', concat('language:', language), concat('cohort:', cohort)]) AS group_key FROM scores), " + \
+    "km AS (SELECT CAST((score::DOUBLE - 0.5) * (1 + window_id % 3) AS FLOAT) AS score, label, group_key FROM k), " + \
+    CURVE.format(g="group_key", src="k") + ", " + EER.format(g="group_key") + ", " + for_margins(CURVE.format(g="group_key", src="km") + ", " + EER.format(g="group_key")) + ", " + \
+    CONFUSION.format(g="group_key", t=0.5, src="k") + f""",
+a AS (SELECT group_key, {AREA} AS auroc FROM c GROUP BY group_key), am AS (SELECT group_key, {AREA} AS auc_margin FROM mc GROUP BY group_key),
 x AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re,
   fp / nullif(tn + fp, 0) AS fa, fn / nullif(fn + tp, 0) AS mi FROM m)
 SELECT group_key, tn, fp, fn, tp, round((tn + tp) / (tn + fp + fn + tp), 6) AS accuracy, round(pr, 6) AS "precision", round(re, 6) AS recall,
   round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1, round(fa, 6) AS far, round(mi, 6) AS miss,
-  round(eer, 6) AS eer, round(auroc, 6) AS auroc, round(auroc, 6) AS auc_margin, round(eer, 6) AS eer_margin,
-  round(1 - (fa + mi) / 2, 6) AS balanced_accuracy FROM x LEFT JOIN e USING (group_key) LEFT JOIN a USING (group_key)"""
+  round(e.eer, 6) AS eer, round(auroc, 6) AS auroc, round(auc_margin, 6) AS auc_margin, round(me.eer, 6) AS eer_margin,
+  round(1 - (fa + mi) / 2, 6) AS balanced_accuracy FROM x LEFT JOIN e USING (group_key) LEFT JOIN a USING (group_key) LEFT JOIN me USING (group_key) LEFT JOIN am USING (group_key)"""
 
 
 @query("subgroup_summarize", SUMMARY)
 def subgroup_summarize(spark: SparkSession, folder: str) -> DataFrame:
-    # the stand-in margin is the score itself, so both metric pairs agree
-    rows = st.scores(spark, folder).withColumn("margin", F.col("score") * 2 - 1)
+    """The stand-in margins rank differently from the scores."""
+    rows = st.scores(spark, folder).withColumn("margin", (F.col("score").cast("double") - 0.5) * (1 + F.col("window_id") % 3))
     report = sc.subgroup_summarize(rows, {"language": "language", "cohort": "cohort"}, 0.5, "margin")
     return rounded(report, *[c for c in report.columns if c not in ("group_key", "tn", "fp", "fn", "tp")])
 
