@@ -54,3 +54,21 @@ def test_chunk_aggregate_breaks_ties_by_position(spark):
     rows = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.9), (1, 2, 0.9), (1, 3, 0.1)], "file_id long, chunk long, score double")
     got = sc.chunk_aggregate(rows, top_k=2).first()
     assert (got["max_chunk"], got["topk_chunks"], got["mean"]) == (1, "1,2", pytest.approx(0.6))
+
+
+def test_multinomial_draws_agree_with_draws_per_slot(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i}", float(s), int(y)) for i in range(300) for s, y in zip(rng.random(1 + i % 3), rng.integers(0, 2, 3))]
+    df = spark.createDataFrame(rows, "component string, score double, label int")
+    drawn = sc.component_draws(df, "component", 1500)
+    assert drawn.where("components <> 300").count() == 0
+    got = {r.metric: (r.low, r.high) for r in sc.draw_intervals(drawn).collect()}
+    counts = {}
+    for c, s, y in rows:
+        counts.setdefault(c, np.zeros(4))[(2 * y) + int(np.float32(s) >= np.float32(0.5))] += 1
+    table = np.array(list(counts.values()))
+    sums = np.array([table[rng.integers(0, 300, 300)].sum(axis=0) for _ in range(1500)])
+    accuracy = (sums[:, 0] + sums[:, 3]) / sums.sum(axis=1)
+    assert np.allclose(got["accuracy"], np.percentile(accuracy, [2.5, 97.5]), atol=0.01)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -279,7 +281,8 @@ def cluster_bootstrap(df: DataFrame, component: str, draws: int = 2000, seed: in
     """95 % percentile intervals of accuracy, FAR and miss over components resampled with replacement.
 
     Each component shrinks to its four counts first. Draw b fills as many slots as there are components; slot s takes
-    the component numbered by a hash of (seed, b, s), so the draw is repeatable on any partitioning.
+    the component numbered by a hash of (seed, b, s), so the draw is repeatable on any partitioning, and SQL can repeat
+    it. It makes draws x components rows: it is meant for few components. `component_draws` is for many.
     """
     counts = confusion_counts(df, threshold, [component])
     size = counts.select(F.count("*").alias("g"))
@@ -290,12 +293,42 @@ def cluster_bootstrap(df: DataFrame, component: str, draws: int = 2000, seed: in
         .withColumn("__n", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", "slot")), 1, 15), 16, 10).cast("bigint") % size.scalar())
     )
     sums = slots.join(numbered, "__n").groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")])
-    r = rates(sums)
+    return draw_intervals(sums)
+
+
+#: Distinct cells of component counts that a draw may have; beyond that the counts should be binned first.
+MOST_CELLS = 1_000_000
+
+
+def component_draws(df: DataFrame, component: str, draws: int = 2000, seed: int = 20260919, threshold: float = 0.5) -> DataFrame:
+    """(draw, components, tn, fp, fn, tp): components resampled with replacement, as multinomial draws.
+
+    Components with the same four counts are interchangeable, so a draw needs only how often each distinct cell of counts
+    comes up. The work is draws x cells whatever the number of components, and draw b is seeded by (seed, b).
+    """
+    spark = df.sparkSession
+    cells = confusion_counts(df, threshold, [component]).groupBy("tn", "fp", "fn", "tp").agg(F.count("*").alias("n"))
+    found = cells.orderBy("tn", "fp", "fn", "tp").limit(MOST_CELLS + 1).toPandas()
+    if len(found) > MOST_CELLS:
+        raise ValueError("too many distinct component counts")
+    counts, n = found[["tn", "fp", "fn", "tp"]].to_numpy(), found["n"].to_numpy()
+
+    def draw(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            times = np.array([np.random.default_rng([seed, b]).multinomial(n.sum(), n / n.sum()) for b in batch["draw"]]).reshape(len(batch), len(n))
+            sums = pd.DataFrame(times @ counts, columns=["tn", "fp", "fn", "tp"])
+            yield sums.assign(draw=batch["draw"].to_numpy(), components=times.sum(axis=1))
+
+    numbers = spark.range(draws if len(n) else 0).withColumnRenamed("id", "draw")
+    return numbers.mapInPandas(draw, "draw long, components long, tn long, fp long, fn long, tp long")
+
+
+def draw_intervals(drawn: DataFrame) -> DataFrame:
+    """95 % percentile intervals of accuracy, FAR and miss over drawn counts: at most one value per draw and metric."""
+    r = rates(drawn.select("tn", "fp", "fn", "tp"))
     long = r.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "far", "miss")])).alias("m"))
-    # at most `draws` values per metric
     return long.where(F.col("m.value").isNotNull()).groupBy(F.col("m.metric").alias("metric")).agg(
-        F.percentile("m.value", F.lit(0.025)).alias("low"), F.percentile("m.value", F.lit(0.975)).alias("high"), F.count("*").alias("draws")
-    )
+        F.percentile("m.value", F.lit(0.025)).alias("low"), F.percentile("m.value", F.lit(0.975)).alias("high"), F.count("*").alias("draws"))
 
 
 def history_rows(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voicelake.functions import scoring as fs
 from voicelake.operators import scores as sc
 from voicelake.plans import standins as st
-from voicelake.plans.registry import query
+from voicelake.plans.registry import query, table
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -150,6 +150,14 @@ def cluster_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(sc.cluster_bootstrap(st.scores(spark, folder), "generator"), "low", "high")
 
 
+@query("bootstrap_draws", """SELECT d.range AS draw, (SELECT count(DISTINCT md5(text)) FROM labels JOIN documents USING (doc_id)) AS components, (SELECT count(*) FROM labels JOIN documents USING (doc_id)) > 0 AS drawn FROM range(2000) d""")
+def bootstrap_draws(spark: SparkSession, folder: str) -> DataFrame:
+    """Multinomial draws over components (windows of one text); every draw takes as many components as there are."""
+    digests = table(spark, folder, "documents").select(F.col("doc_id").alias("window_id"), F.md5("text").alias("component"))
+    drawn = sc.component_draws(st.scores(spark, folder).join(digests, "window_id"), "component")
+    return drawn.select("draw", "components", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") > 0).alias("drawn"))
+
+
 @query("history_rows", f"""WITH {st.SCORES}, s AS (SELECT *, window_id // 100 AS epoch FROM scores),
 {CONFUSION.format(g='epoch', t=0.5, src='s')}
 SELECT epoch, tn, fp, fn, tp, round(fp / nullif(tn + fp, 0), 6) AS far, round(fn / nullif(fn + tp, 0), 6) AS miss,
