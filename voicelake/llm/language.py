@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voicelake.llm.common import HELD_OUT, fold, whole
@@ -83,23 +83,22 @@ def margins(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, per_language: int, id: str, text: str, lang: str) -> DataFrame:
-    """(lang, text) of at most about `per_language` documents of each language outside the held-out fold.
+    """(lang, text) of about `per_language` documents of each language outside the held-out fold, all if it has fewer.
 
-    The documents with the smallest hashes are taken; only one limit per language leaves the executors.
+    A document is taken if the hash of its id lies below the language's share of the hash range: one count per language
+    is all that is needed, so a language with most of the rows is no hot group.
     """
     own = docs.select(F.col(id).alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (fold(F.col("__id")) != HELD_OUT))
-    keyed = own.withColumn("__h", F.xxhash64("__id"))
-    order = Window.partitionBy("lang").orderBy("__h")
-    kept = keyed.select("lang", "__h").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
-    limits = {r["lang"]: r["h"] for r in kept.groupBy("lang").agg(F.max("__h").alias("h")).collect()}
-    if not limits:
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    if not sizes:
         return own.select("lang", "text").limit(0)
-    below = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    return keyed.where(F.col("__h") <= below[F.col("lang")]).select("lang", "text")
+    limits = {name: -(2**63) + min(2**64 - 1, (2**64 - 1) * per_language // n) for name, n in sizes.items()}
+    below = F.create_map(*[F.lit(x) for name, limit in limits.items() for x in (name, limit)])
+    return own.where(F.xxhash64("__id") <= below[F.col("lang")]).select("lang", "text")
 
 
 def learn(docs: DataFrame, per_language: int = 3000, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit the classifiers on at most `per_language` documents a language; count sums are all that reaches the driver."""
+    """Fit the classifiers on about `per_language` documents a language; count sums are all that reaches the driver."""
     rows = training_rows(docs, per_language, id, text, lang)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
