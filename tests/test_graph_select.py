@@ -96,3 +96,46 @@ def test_distances_and_poison(spark):
     anchors = spark.createDataFrame([("a",), ("z",)], "node string")
     assert {r["node"]: r["distance"] for r in graph.distances(edges, anchors).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "z": 0}
     assert {r["node"] for r in graph.poisoned_nodes(edges, anchors).collect()} == {"a", "b", "c", "d", "z"}
+
+
+def trimmed_by_walking(rows, cap):
+    """Drop log of the sequential walk over (group, split, speaker, turn, shard, row_group, bytes)."""
+    plan = {}
+    for group, split, speaker, turn, shard, number, size in rows:
+        entry = plan.setdefault(group, {"train": {}, "groups": {}})
+        entry["groups"].setdefault((split, speaker), set()).add((shard, number, size))
+        if split == "train":
+            entry["train"][speaker] = turn
+    cost = lambda e: sum(b for _, _, b in set().union(*e["groups"].values()))
+    log = []
+    while sum(cost(e) for e in plan.values()) > cap:
+        options = [(-cost(e), name) for name, e in plan.items() if e["train"]]
+        if not options:
+            break
+        name = min(options)[1]
+        last = max(plan[name]["train"], key=lambda s: plan[name]["train"][s])
+        del plan[name]["train"][last], plan[name]["groups"][("train", last)]
+        log.append((name, last, len(log) + 1))
+    return log
+
+
+def test_budget_trim_equals_the_walk(spark):
+    import random
+
+    from voicelake.operators import select
+
+    for seed, cap in ((1, 900), (2, 400), (3, 10**6), (4, 0)):
+        rng = random.Random(seed)
+        rows = []
+        for g in range(6):
+            speakers = [(f"s{i}", "train" if i < 5 else "val", i) for i in range(7)]
+            for name, split, turn in speakers:
+                for _ in range(2):
+                    number = rng.randint(0, 6)
+                    rows.append((f"g{g}", split, name, turn, f"sh{g}", number, 10 * (number % 3 + 1)))
+        df = spark.createDataFrame(rows, "grp string, split string, speaker string, turn_speaker int, shard string, row_group int, group_bytes bigint")
+        kept, log = select.budget_trim(df, "grp", "speaker", cap)
+        want = trimmed_by_walking(rows, cap)
+        assert [tuple(r) for r in log.orderBy("step").collect()] == want
+        gone = {(g, s) for g, s, _ in want}
+        assert kept.count() == sum(1 for r in rows if r[1] != "train" or (r[0], r[2]) not in gone)

@@ -264,28 +264,22 @@ def pick_recordings(df: DataFrame, by: Sequence[str], speaker: str, key: str, si
 def budget_trim(picks: DataFrame, by: str, speaker: str, cap: int) -> tuple[DataFrame, DataFrame]:
     """Drop the last train speaker of the costliest group until the bytes of the needed row groups fit the cap.
 
-    The walk runs on the driver over one line per (group, split, speaker, row group) of the picked recordings. Allocation
-    bounds it to six speakers and two recordings per group, whatever the corpus holds. Returns (kept rows, drop log).
+    The walk needs no walking. In a group speakers leave from the last turn on, so a row group is freed with the smallest
+    turn that uses it, and the cost of the group before each drop is a running total. Costs only fall, so the drops of all
+    groups happen in order of (cost before the drop, group, turn), and the cap ends that order at one place of another
+    running total. Returns (kept rows, drop log).
     """
-    spark = picks.sparkSession
-    lines = picks.select(by, "split", speaker, "turn_speaker", "shard", "row_group", "group_bytes").distinct().toLocalIterator()
-    plan: dict[str, dict] = {}
-    for r in lines:
-        entry = plan.setdefault(r[by], {"train": {}, "groups": {}})
-        entry["groups"].setdefault((r["split"], r[speaker]), set()).add((r["shard"], r["row_group"], r["group_bytes"]))
-        if r["split"] == "train":
-            entry["train"][r[speaker]] = r["turn_speaker"]
-    cost = lambda e: sum(b for _, _, b in set().union(*e["groups"].values()))
-    dropped = []
-    while sum(cost(e) for e in plan.values()) > cap:
-        open_groups = [(-cost(e), name) for name, e in plan.items() if e["train"]]
-        if not open_groups:
-            break
-        name = min(open_groups)[1]
-        last = max(plan[name]["train"], key=lambda s: plan[name]["train"][s])
-        del plan[name]["train"][last], plan[name]["groups"][("train", last)]
-        dropped.append((name, last, len(dropped) + 1))
-    log = spark.createDataFrame(dropped, f"{by} string, {speaker} string, step int")
+    train = F.col("split") == "train"
+    lines = cut(picks.select(by, "split", speaker, "turn_speaker", "shard", "row_group", "group_bytes").distinct())
+    needs = lines.groupBy(by, "shard", "row_group", "group_bytes").agg(F.max(~train).alias("stays"), F.min(F.when(train, F.col("turn_speaker"))).alias("turn_speaker"))
+    costs = needs.groupBy(by).agg(F.sum("group_bytes").alias("__cost"))
+    total = costs.agg(F.coalesce(F.sum("__cost"), F.lit(0))).first()[0]
+    savings = needs.where("NOT stays").groupBy(by, "turn_speaker").agg(F.sum("group_bytes").alias("__saved"))
+    leaving = lines.where(train).select(by, speaker, "turn_speaker").distinct().join(savings, [by, "turn_speaker"], "left").na.fill(0, ["__saved"])
+    inside = running(leaving, [by], [F.col("turn_speaker").desc(), F.col(speaker)], __gone=F.col("__saved"))
+    steps = inside.join(costs, by).withColumn("__before", F.col("__cost") - F.col("__gone") + F.col("__saved"))
+    walk = running(steps, [], [F.col("__before").desc(), F.col(by), F.col("turn_speaker").desc(), F.col(speaker)], __sum=F.col("__saved"), step=F.lit(1))
+    log = cut(walk.where(F.lit(total) - F.col("__sum") + F.col("__saved") > cap).select(by, speaker, F.col("step").cast("int").alias("step")))
     return picks.join(log.select(by, speaker).withColumn("split", F.lit("train")), [by, speaker, "split"], "left_anti"), log
 
 
