@@ -51,7 +51,7 @@ def sample(seed, groups=12):
     return rows
 
 
-@pytest.mark.parametrize("block", [4000, 3])
+@pytest.mark.parametrize("block", [1000, 3])
 def test_classes_against_all_pairs(make, monkeypatch, block):
     monkeypatch.setattr(nd, "BLOCK", block)
     rows = sample(block)

@@ -10,10 +10,9 @@ sample with the probability of the weighted Jaccard similarity. Signatures are c
 are candidates; a candidate is a link when the exact weighted Jaccard similarity of the whole texts reaches the limit.
 
 Nothing emits the pairs of a bucket. First every text meets one text of each of its buckets, a random one per bucket, so
-that the texts of a large group meet several. Buckets whose texts are then in one component are done. In the others the
-signatures of texts outside the largest component are compared with the others, block by block inside tasks, and only
-pairs of different components whose signatures agree enough to be links are verified. Exact copies are one text
-throughout.
+that the texts of a large group meet several. Buckets whose texts are then in one component are done. The others are compared block by block inside tasks, where texts outside the largest
+component look for links: pairs of different components whose signatures agree enough, verified until the components
+are joined. Exact copies are one text throughout.
 """
 
 from __future__ import annotations
@@ -40,7 +39,8 @@ DF_BITS, VARIATE_BITS = 18, 16
 IDF_STRENGTH = 0.1
 #: Agreeing samples below which a pair at the limit is missed with a chance of about 1 in 30,000.
 AGREE = 39
-BLOCK = 4_000
+#: Texts of one bucket that a task compares with as many others.
+BLOCK = 1_000
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
 CHUNK = 1 << 16
@@ -220,14 +220,37 @@ def links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similar: float) -
     return joined.mapInArrow(run, "a string, b string")
 
 
-def open_pairs(buckets: DataFrame, known: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, b) of different components in one bucket whose signatures agree enough; blocks of a bucket meet in tasks."""
+class Features:
+    """Weighted shingles of the compressed texts of a group, kept up to a number of shingles in all."""
+
+    def __init__(self, packed: list[bytes], idf: np.ndarray, room: int = 4_000_000) -> None:
+        self.packed, self.idf, self.room, self.kept, self.used = packed, idf, room, {}, 0
+        self.open = zstandard.ZstdDecompressor()
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in self.kept:
+            found = weighted(self.open.decompress(self.packed[i]), self.idf)
+            if self.used + len(found[0]) > self.room:
+                self.kept, self.used = {}, 0
+            self.kept[i] = found
+            self.used += len(found[0])
+        return self.kept[i]
+
+
+def open_links(buckets: DataFrame, known: DataFrame, texts: DataFrame, component: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
+    """Links (a, b) between different components of one bucket; blocks of a bucket meet in tasks, with their texts.
+
+    A pair is verified only while its texts are in different components there, the most agreeing ones first. So a task
+    gives fewer links than it has components, a text that finds a link to a component is done with it, and one that finds
+    none has met every text of the bucket that could be one.
+    """
     member = buckets.join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     parts = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = member.join(parts.select("band", blocks.alias("blocks")), "band").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = dealt.select("band", "node", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = spread.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", F.col("mine").alias("block")).join(known.select("node", "sample"), "node")
+    keyed = spread.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", F.col("mine").alias("block"))
+    whole_rows = keyed.join(known.select("node", "sample"), "node").join(texts, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -242,21 +265,22 @@ def open_pairs(buckets: DataFrame, known: DataFrame, component: DataFrame) -> Da
             yield compare(held)
 
     def compare(group: pa.Table) -> pa.RecordBatch:
-        nodes, component = (np.array(group.column(c).to_pylist(), dtype=object) for c in ("node", "component"))
+        nodes = group.column("node").to_pylist()
         sample = np.frombuffer(b"".join(group.column("sample").to_pylist()), np.uint16).reshape(-1, SAMPLES)
-        part = np.unique(component, return_inverse=True)[1]
+        part = np.unique(np.array(group.column("component").to_pylist(), dtype=object), return_inverse=True)[1]
         block, (i, j) = group.column("block").to_numpy(), (group.column(c)[0].as_py() for c in ("i", "j"))
-        left, right = [], []
+        features = Features(group.column("packed").to_pylist(), idf)
+        found = []
         for x in np.flatnonzero(part != np.bincount(part).argmax()):  # one of two components is not the largest
-            other = part != part[x] if i == j else (part != part[x]) & (block != block[x])
-            other = np.flatnonzero(other)
-            close = other[(sample[other] == sample[x]).sum(axis=1) >= AGREE]
-            left += [nodes[x]] * len(close)
-            right += nodes[close].tolist()
-        pairs = [(min(x, y), max(x, y)) for x, y in zip(left, right)]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["a", "b"])
-
-    placed = keyed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+            other = np.flatnonzero((part != part[x]) & ((block != block[x]) | (i == j)))
+            agree = (sample[other] == sample[x]).sum(axis=1)
+            for y in other[np.argsort(-agree, kind="stable")[: (agree >= AGREE).sum()]]:
+                if part[x] != part[y] and jaccard(features[x], features[y]) >= similar:
+                    found.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+                    part[part == part[x]] = part[y]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+    placed = whole_rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return placed.mapInArrow(run, "a string, b string").distinct()
 
 
@@ -290,7 +314,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id: str = "doc_id", text:
     texts = cut(squeezed(named).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     first = cut(links(likely(buckets.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), known), texts, idf, similar))
     labels = connected_components(first)
-    more = cut(links(open_pairs(buckets.select("band", "node"), known, labels), texts, idf, similar))
+    more = cut(open_links(buckets.select("band", "node"), known, texts, labels, idf, similar))
     component = connected_components(first.unionByName(more)) if not more.isEmpty() else labels
     placed = named.select("doc_id", "node").join(component, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     placed = cut(placed)
