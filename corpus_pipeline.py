@@ -80,7 +80,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_staged
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in the packed sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, special=True)
 
 
 STAGES: list[tuple[str, Stage]] = [

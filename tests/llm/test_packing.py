@@ -94,3 +94,20 @@ def test_ids_agree_with_the_vocabulary_file_on_odd_characters():
 
 def test_empty_table(empty):
     assert packing.pack(empty).count() == 0
+
+
+def test_queries_give_the_ids_of_a_plain_tokenizer(odd, tmp_path, spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from voicelake.llm.queries import QUERIES
+
+    plain = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "  <|endoftext|>  \n<|endoftext|><|endoftext|>é", "<|endoftext", "<|endoftext|>" * 3 + " x"]
+    fast = packing.encoder("byte_bpe_50k.json", special=True)
+    assert [list(fast(t)) for t in texts] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = zlib.crc32(np.array([*plain.encode("<|endoftext|> 1234", add_special_tokens=False).ids, 0], "<u4").tobytes())
+    for packed in (QUERIES["op4_packing"](spark, str(tmp_path)), corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))):
+        assert [r.ids_crc32 for r in packed.where("doc_id = 8").collect()] == [want]

@@ -13,6 +13,7 @@ least as large, one by one, as any other two. What no rule fixes is placed by be
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -31,20 +32,23 @@ from voicelake.session import cut
 RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str):  # noqa: ANN201
-    """text -> uint32 ids, special tokens of the vocabulary being ordinary text."""
+@lru_cache(maxsize=4)
+def encoder(vocabulary: str, special: bool = False):  # noqa: ANN201
+    """text -> uint32 ids; `special` matches the added tokens of the vocabulary in a text, else they are ordinary text."""
     if vocabulary in RANKS:
         import tiktoken
 
         with open(public_tokenizers.path(RANKS[vocabulary]), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: own.encode_to_numpy(text, disallowed_special=())
+        with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        allowed = set(added) if special else set()
+        return lambda text: own.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -54,14 +58,14 @@ def split_points(total: int, capacity: int) -> list[int]:
     return [0] if total <= capacity else [*([0] if first else []), *range(first, total, capacity)]
 
 
-def tokenized(docs: DataFrame, capacity: int, end: int, vocabulary: str, id: str, text: str, ids: bool) -> DataFrame:
+def tokenized(docs: DataFrame, capacity: int, end: int, vocabulary: str, id: str, text: str, ids: bool, special: bool) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids and an end id, cut into pieces."""
     kind = docs.schema[id].dataType
     fields = [StructField("doc_id", kind), StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType())]
     schema = StructType(fields + ([StructField("ids", ArrayType(IntegerType()))] if ids else []))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoder(vocabulary)
+        run = encoder(vocabulary, special)
         for batch in batches:
             owner, piece, start, length, crc, values = [], [], [], [], [], []
             for row, value in enumerate(batch.column(1)):
@@ -193,15 +197,16 @@ def plan(histogram: Sequence[tuple[int, int]], capacity: int) -> np.ndarray:
 
 def pack(
     docs: DataFrame, capacity: int = 2048, end: int = 0, vocabulary: str = "byte_bpe_50k.json",
-    id: str = "doc_id", text: str = "text", ids: bool = False,
+    id: str = "doc_id", text: str = "text", ids: bool = False, special: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece; `ids` adds the token ids.
 
-    A null or empty text is the end id alone. A document longer than a sequence is cut into full pieces behind a first
+    With `special` the ids are those of a plain `tokenizers` file: a literal <|endoftext|> is one token. Without it the
+    added tokens of the vocabulary are spelled like other text. A null or empty text is the end id alone. A document longer than a sequence is cut into full pieces behind a first
     one with the rest. Rows with one id are separate documents; a null id stays null; an empty table gives no pieces.
     Other columns are not read.
     """
-    pieces = cut(tokenized(docs, capacity, end, vocabulary, id, text, ids))
+    pieces = cut(tokenized(docs, capacity, end, vocabulary, id, text, ids, special))
     histogram = [(int(r[0]), int(r[1])) for r in pieces.groupBy("length").count().collect()]  # at most `capacity` rows
     table = plan(histogram, capacity)
     numbered = ranked(pieces, ["length"], [F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")], "__rank")
