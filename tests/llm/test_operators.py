@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -72,6 +73,24 @@ def test_licenses_against_searching_the_texts(spark):
     assert got == +want and got
 
 
+def test_licenses_in_other_wordings(make):
+    texts = [Path(licenses.__file__).with_name("license_texts") / f"{n}.txt" for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0")]
+    gnu = "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = [
+        ("The MIT License (MIT)", "MIT"), ("Licensed under the terms of the Apache License, Version 2.0", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nint x;", "GPL-2.0-only WITH Classpath-exception-2.0"),
+        ("GNU Tool is free software; you can redistribute it and/or modify " + gnu.format(3), "GPL-3.0"), ("Foo is free software: you can redistribute it and/or modify " + gnu.format(2), "GPL-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"), ("Creative Commons Attribution 3.0 Unported License", "CC-BY-3.0"),
+        *[("Copyright (c) 2020 Some One\n\n" + p.read_text() + "\nmore text of the page behind it", p.name[:-4]) for p in texts],
+        ("Copyright 2020\n" + texts[0].read_text().replace("SOFTWARE", "PROGRAM").replace("sublicense, ", ""), "MIT"),
+    ]
+    got = {i: [] for i in range(len(cases))}
+    for r in licenses.scan(make([(i, t, "a", "en") for i, (t, _) in enumerate(cases)])).collect():
+        got[r.doc_id].append(r.license)
+    assert got == {i: [name] for i, (_, name) in enumerate(cases)}
+    other = ["lab under the MIT dome", "a creative work by the commons", "either version 3 of the story", "Permission is hereby granted to enter."]
+    assert licenses.scan(make([(i, t, "a", "en") for i, t in enumerate(other)])).count() == 0
+
+
 def test_codewords_are_far_apart():
     for n in range(2, 12):
         code = language.codewords(n)

@@ -1,10 +1,13 @@
 """License notices by conditional compression.
 
-Blocks of words around a cue, as wide as a template and `SLACK` words more on both sides, are compressed with zstandard,
-once alone and once with the template as a raw dictionary: the template that saves the most bytes knows the wording
-best. The templates are ranked by the bytes they save, and a
-winner is confirmed by the exact differences of wording: which template words are missing, which words stand between
-them, and whether a word that tells licenses apart (a name, a version) is among the missing ones.
+Templates are short notices, the headers of source files, and whole license texts. A block of words is aligned with a
+template: which template words are missing, which words stand between them, and whether a word that tells licenses apart
+(a name, a version) is among them. Blocks that pass are compressed with zstandard, once alone and once with the template
+as a raw dictionary; where notices overlap, the template that saves the most bytes wins.
+
+A block is left out before its alignment only if it cannot pass. A short notice needs all its telling words, so its first
+one is looked up. A long one may differ in a quarter of its words, each of which breaks two word pairs at most, so about
+half of its pairs stand within five quarters of its length.
 """
 
 from __future__ import annotations
@@ -12,6 +15,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import cache
+from itertools import combinations
+from pathlib import Path
 
 import pandas as pd
 import zstandard
@@ -36,89 +42,185 @@ TEMPLATES: dict[str, str] = {
     "CC0-1.0": "Released into the public domain under CC0 1.0.",
     "All-Rights-Reserved": "All rights reserved.",
 }
-#: Words that begin a look at a block. Each template holds one at least.
-CUES = ("licensed", "license", "licence", "rights", "released", "cc0", "cc")
-#: Words of templates that do not tell licenses apart.
-COMMON = frozenset("licensed license licence under the this work is released version into to of terms subject public general".split())
-SLACK = 2
+#: Words of short templates that do not tell licenses apart.
+COMMON = frozenset(
+    "licensed license licence under the this work is released version into to of terms subject public general a an are code file software project program"
+    " available distributed international unported v".split()
+)
+#: Words of long templates that do; so does a number behind one of `VERSION`.
+NAMES = frozenset("gnu lesser library affero apache mit mozilla bsd cc0 creative commons noncommercial sharealike noderivatives".split())
+VERSION = ("version", "v")
+#: Templates with more words are long.
+SHORT = 16
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*(\(*{ID}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{ID}\)*)*)", re.IGNORECASE)
 
 
 def words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def _gnu(name: str, version: str, what: str = "program") -> str:
+    return (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+        f"either version {version} of the License, or (at your option) any later version."
+    )
+
+
+@cache
+def known() -> tuple[tuple[str, str], ...]:
+    """(license, wording) of all templates: `TEMPLATES`, other short notices, file headers, and the texts in license_texts."""
+    found = list(TEMPLATES.items())
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        found.append((path.name[:-4], path.read_text(encoding="utf-8")))
+    found += [
+        ("MIT", "The MIT License (MIT)."), ("MIT", "Licensed under the MIT License."), ("Apache-2.0", "Licensed under the terms of the Apache License, Version 2.0."),
+        ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("Apache-2.0", "Licensed under the Apache 2.0 License."), ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+        ("ISC", "Released under the ISC License."), ("CC0-1.0", "Licensed under CC0 1.0."), ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+        ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+            License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+            "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ]
+    for kind, name, short, versions in (
+        ("GPL", "GNU General Public License", "GPL", ("2", "3")), ("LGPL", "GNU Lesser General Public License", "LGPL", ("2.1", "3")), ("AGPL", "GNU Affero General Public License", "AGPL", ("3",)),
+    ):
+        for version in versions:
+            license = f"{kind}-{version if '.' in version else version + '.0'}"
+            tail = f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+            found += [(license, _gnu(name, version)), (license, f"{_gnu(name, version)} {tail}"), (license, f"{name}, version {version}."), (license, f"Licensed under the {name} v{version}."),
+                      (license, f"Licensed under the {short}v{version} license."), (license, f"Licensed under the GNU {short} version {version}."), (license, f"Licensed under the {short} version {version}.")]
+    parts = {"NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+    for chosen in [c for n in range(3) for c in combinations(parts, n) if c != ("ND", "SA")]:
+        for version in ("4.0", "3.0", "2.5", "2.0"):
+            license = "-".join(["CC", "BY", *chosen, version])
+            codes, full = "-".join(["BY", *chosen]), ["Attribution", *[parts[c] for c in chosen]]
+            found += [(license, f"Licensed under CC {codes} {version}."), (license, f"Licensed under CC-{codes}-{version}.")]
+            for name in ("-".join(full), " ".join(full)):
+                found += [(license, f"This work is licensed under a Creative Commons {name} {version} International License."), (license, f"Creative Commons {name} {version} License.")]
+    return tuple(dict.fromkeys(found))
+
+
+class Template:
+    """Words of a template, and what a block must have to pass."""
+
+    def __init__(self, license: str, text: str) -> None:
+        self.license, self.words = license, [_same(w) for w in words(text)]
+        self.size = len(self.words)
+        self.long = self.size > SHORT
+        self.telling = {w for w in self.words if w not in COMMON} or set(self.words)
+        self.seed = next(i for i, w in enumerate(self.words) if w in self.telling)
+        self.margin = self.size // 4 if self.long else max(2, self.size // 2)
+        self.vocabulary = set(self.words)
+        self.pairs = set(zip(self.words, self.words[1:]))
+        self.needed = self.size - 1 - 2 * self.margin
+
+    def passes(self, missing: list[str], added: list[str], numbers: set[str]) -> bool:
+        if len(missing) + len(added) > self.margin:
+            return False
+        if self.long:
+            return not any(w in NAMES or w in numbers for w in missing + added)
+        return "license" not in missing and all(w in COMMON for w in missing + added)
+
+
+def _same(word: str) -> str:
+    return "license" if word == "licence" else word
+
+
 class Scan:
-    """Compressors for one level and template set; one per task."""
+    """Templates and their compressors for one level; one per task."""
 
-    def __init__(self, templates: dict[str, str], level: int = 9) -> None:
-        self.words = {name: words(text) for name, text in templates.items()}
+    def __init__(self, templates: tuple[tuple[str, str], ...], level: int = 9) -> None:
+        self.templates = [Template(*t) for t in templates]
+        self.level = level
         self.alone = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.given = {
-            name: zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for name, w in self.words.items()
-        }
-
-    def ranked(self, every: list[str], cue: int, after: int) -> list[tuple[int, str, int, list[str]]]:
-        """(bytes saved, template, first word, block) of the templates that hold the cue word, most bytes first."""
-        found = []
-        for name, template in self.words.items():
-            if every[cue] in template:
-                begin = cue - template.index(every[cue])
-                first = max(after, begin - SLACK)
-                block = every[first : begin + len(template) + SLACK]
-                data = " ".join(block).encode()
-                found.append((len(self.alone.compress(data)) - len(self.given[name].compress(data)), name, first, block))
-        return sorted(found, key=lambda x: (-x[0], x[1]))
-
-    def difference(self, name: str, block: list[str]) -> tuple[int, int, int, list[str], list[str]]:
+        self.given: dict[str, zstandard.ZstdCompressor] = {}
+        self.seeds: dict[str, list[Template]] = {}
+        for t in self.templates:
+            if not t.long:
+                self.seeds.setdefault(t.words[t.seed], []).append(t)
+
+    def saved(self, template: list[str], block: list[str]) -> int:
+        """Bytes that a template saves as a dictionary."""
+        key, data = " ".join(template), " ".join(block).encode()
+        if key not in self.given:
+            known = zstandard.ZstdCompressionDict(key.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.given[key] = zstandard.ZstdCompressor(level=self.level, write_content_size=False, dict_data=known)
+        return len(self.alone.compress(data)) - len(self.given[key].compress(data))
+
+    def difference(self, template: list[str], block: list[str]) -> tuple[int, int, list[str], list[str]]:
         """(first word, words, missing, added) of the best alignment of a template in a block."""
-        template = self.words[name]
         pieces = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+        while len(pieces) > 1 and pieces[1].b - pieces[0].b - pieces[0].size > pieces[0].size:
+            pieces.pop(0)  # stray words before the notice
+        while len(pieces) > 1 and pieces[-1].b - pieces[-2].b - pieces[-2].size > pieces[-1].size:
+            pieces.pop()
         if not pieces:
-            return 0, 0, len(template), template, []
+            return 0, 0, template, []
         begin, end = pieces[0].b, pieces[-1].b + pieces[-1].size
         used = {i for m in pieces for i in range(m.b, m.b + m.size)}
         seen = {i for m in pieces for i in range(m.a, m.a + m.size)}
         missing = [w for i, w in enumerate(template) if i not in seen]
-        return begin, end - begin, len(template), missing, [block[i] for i in range(begin, end) if i not in used]
+        return begin, end - begin, missing, [block[i] for i in range(begin, end) if i not in used]
+
+    def checked(self, t: Template, every: list[str], first: int, last: int) -> tuple[int, int, str, int, list[str], list[str]] | None:
+        """(first word, word behind, license, bytes saved, missing, added) if the block holds the template."""
+        block = every[max(first, 0) : last]
+        begin, size, missing, added = self.difference(t.words, block)
+        numbers = {b for a, b in [*zip(t.words, t.words[1:]), *zip(block, block[1:])] if a in VERSION and b[0].isdigit()}
+        if not size or not t.passes(missing, added, numbers):
+            return None
+        saved = self.saved(t.words, block[begin : begin + size])
+        begin += max(first, 0)
+        return (begin, begin + size, t.license, saved, missing, added) if saved > 0 else None
+
+    def candidates(self, every: list[str]) -> list[tuple[int, int, str, int, list[str], list[str]]]:
+        found = []
+        held = set(every)
+        seeds = self.seeds.keys() & held
+        if seeds:
+            for i, w in enumerate(every):
+                for t in self.seeds[w] if w in seeds else ():
+                    first, last = i - t.seed - t.margin, i - t.seed + t.size + t.margin
+                    if t.telling.issubset(every[max(first, 0) : last]):
+                        found.append(self.checked(t, every, first, last))
+        for t in self.templates:
+            if t.long and len(every) >= t.size - t.margin and len(t.vocabulary & held) >= len(t.vocabulary) - t.margin:
+                hits = [i for i, pair in enumerate(zip(every, every[1:])) if pair in t.pairs]
+                reach, after = t.size + t.margin, 0
+                for a, b in zip(hits, hits[t.needed - 1 :]):
+                    if a >= after and b - a < reach:
+                        one = self.checked(t, every, a - t.margin, a + t.margin + reach)
+                        found.append(one)
+                        after = one[1] if one else a + max(1, t.margin)
+        return [f for f in found if f]
 
     def notices(self, text: str) -> list[tuple[int, int, str, int, list[str], list[str]]]:
         """(start, end, license, bytes saved, missing words, added words) of each notice; places are characters."""
-        spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
-        every = [text[a:b].lower() for a, b in spans]
-        cues = [i for i, w in enumerate(every) if w in CUES]
-        found, after = [], 0
-        for cue in cues:
-            if cue < after:
-                continue
-            best = None
-            for saved, name, first, block in self.ranked(every, cue, after):
-                if saved <= 0:
-                    break
-                begin, size, total, missing, added = self.difference(name, block)
-                telling = [w for w in missing + added if w not in COMMON]
-                if not telling and len(missing) + len(added) <= 0.25 * total and begin <= cue - first < begin + size:
-                    quality = (len(missing) + len(added), -total)
-                    if best is None or quality < best[0]:
-                        best = (quality, first + begin, size, name, saved, missing, added)
-            if best:
-                _, begin, size, name, saved, missing, added = best
-                found.append((spans[begin][0], spans[begin + size - 1][1], name, saved, missing, added))
-                after = begin + size
-        return found
+        tags = [(m.start(), m.end(1), " ".join(m[1].split())) for m in SPDX.finditer(text)]
+        every = [_same(w) for w in words(text)]
+        found = self.candidates(every)
+        taken = [(a, b, name, self.saved(words(text[a:b]), words(text[a:b])), [], []) for a, b, name in tags]
+        spans = [(m.start(), m.end()) for m in WORD.finditer(text)] if found else []
+        for begin, end, name, saved, missing, added in sorted(found, key=lambda x: (-x[3], len(x[4]) + len(x[5]), x[0], x[2])):
+            a, b = spans[begin][0], spans[end - 1][1]
+            if all(b <= c or d <= a for c, d, *_ in taken):
+                taken.append((a, b, name, saved, missing, added))
+        return sorted(taken)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, length, license, saved, missing, added, exact), one row per notice in a whole text.
 
     `exact` is no difference of wording at all (case and punctuation aside). Documents without a notice have no row, so
-    null and empty texts have none; repeated rows repeat their rows; a null id stays null. Texts without a cue never
-    leave the scan. Other columns are not read.
+    null and empty texts have none; repeated rows repeat their rows; a null id stays null. An SPDX line gives its whole
+    expression as the license. Other columns are not read.
     """
-    chosen = templates or TEMPLATES
+    chosen = tuple(templates.items()) if templates else known()
     kind = docs.schema[id].dataType.simpleString()
-    cued = docs.select(F.col(id).alias("doc_id"), whole(F.col(text)).alias("__t")).where(F.col("__t").rlike("(?iu)" + "|".join(CUES)))
+    texts = docs.select(F.col(id).alias("doc_id"), whole(F.col(text)).alias("__t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         search = Scan(chosen)
@@ -126,4 +228,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "do
             rows = [(i, a, b - a, name, saved, missing, added, not missing and not added) for i, t in zip(batch["doc_id"], batch["__t"]) for a, b, name, saved, missing, added in search.notices(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "license", "saved", "missing", "added", "exact"])
 
-    return cued.mapInPandas(run, f"doc_id {kind}, start long, length long, license string, saved long, missing array<string>, added array<string>, exact boolean")
+    return texts.mapInPandas(run, f"doc_id {kind}, start long, length long, license string, saved long, missing array<string>, added array<string>, exact boolean")
