@@ -5,7 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from voicelake.operators import scores
+from voicelake.operators import audit, scores
+from voicelake.plans import standins
+from voicelake.plans.registry import QUERIES
 from voicelake.session import work_path
 from voicelake.sources import sinks
 from voicelake.streaming import jobs
@@ -61,3 +63,52 @@ def test_bad_scores_stop_the_job(spark, score, label):
 def test_both_equal_error_rates_agree(spark):
     rows = spark.range(5000).select((F.xxhash64("id") % 1000 / 1000.0 + F.col("id") % 2 * 0.4).cast("float").alias("score"), (F.col("id") % 2).cast("int").alias("label"))
     assert abs(scores.eer(rows).first()[0] - scores.eer_ascending(rows).first()["eer"]) < 1e-9
+
+
+def walk(charges, left):
+    """(size, accepted) of each charge, one after the other."""
+    out = []
+    for size in charges:
+        out.append((size, size <= left))
+        left -= size if size <= left else 0
+    return out, left
+
+
+@pytest.mark.parametrize("sizes,cap", [
+    ([5, 100, 5, 3], 12), ([1, 100, 1, 99, 1, 98, 0, 40, 60, 7], 100), ([3, 0, 2], 0), ([4, 4], 8), ([(i * 7919) % 61 for i in range(120)], 700)])
+def test_refused_charges_use_nothing(spark, sizes, cap):
+    rows = spark.createDataFrame(list(enumerate(sizes)), "k long, bytes long").repartition(3)
+    got = [(r.bytes, r.accepted) for r in audit.charge_ledger(rows, cap, ["k"]).orderBy("k").collect()]
+    assert got == walk(sizes, cap)[0]
+
+
+def test_negative_charges_stop_the_job(spark):
+    with pytest.raises(Exception, match="zero or more"):
+        audit.charge_ledger(spark.createDataFrame([(1, -5)], "k long, bytes long"), 10, ["k"]).collect()
+
+
+def test_ledger_queries_equal_a_walk(spark):
+    from voicelake.plans import catalog  # noqa: F401
+
+    folder = "/root/testdata/sf0.001"
+    rows = standins.ledger(spark, folder).orderBy("ts", "event_id").collect()
+    lots = [[r for r in rows if r.event_id % 2 == k] for k in (0, 1)]
+    for key, cap, parts in (("ledger_charges", 30_000_000, [rows]), ("st_ledger_charges", 10_100_000, lots)):
+        want, left = {}, cap
+        for part in parts:
+            marks, left = walk([r.bytes for r in part], left)
+            for r, (size, yes) in zip(part, marks):
+                account = want.setdefault(r.source, [0, 0, 0, 0])
+                account[0 if yes else 2] += size
+                account[1 if yes else 3] += 1
+        assert {r.source: [r.bytes, r.events, r.refused_bytes, r.refused] for r in QUERIES[key](spark, folder).collect()} == want
+
+
+def test_stream_of_charges_refuses_and_goes_on(spark):
+    path, out, check = (work_path(spark, n) for n in ("charges", "o", "c"))
+    lots = [[(1, "a", 5), (2, "b", 100), (3, "b", 4)], [(4, "a", 9), (5, "b", 3), (6, "a", 1)]]
+    for lot in lots:
+        rows = spark.createDataFrame(lot, "k long, source string, bytes long")
+        rows.coalesce(1).write.mode("append").parquet(path)
+        accounts = jobs.charge_stream(spark, path, rows.schema, "source", "bytes", ["k"], 12, out, check)
+    assert sorted(tuple(r) for r in accounts.select("source", "bytes", "events", "refused_bytes", "refused").collect()) == [("a", 5, 1, 10, 2), ("b", 7, 2, 100, 1)]

@@ -215,3 +215,44 @@ def ledger_rollup(df: DataFrame, cap: int) -> DataFrame:
     total = running(df, [], [F.col("ts"), F.col("event_id")], total=F.col("bytes"))
     return total.groupBy("source").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("events"), F.count_if(F.col("total") > cap).alias("beyond_cap"),
                                        F.min(F.when(F.col("total") > cap, F.struct("total", "event_id")))["event_id"].alias("first_refused"))
+
+
+def charge_ledger(df: DataFrame, cap: int, order: Sequence[str], size: str = "bytes") -> DataFrame:
+    """Every charge with `accepted`: one that exceeds what is left of the cap is refused and not added, later ones that fit are.
+
+    The same as a walk in `order`, which must be total, in at most log2(cap) + 1 rounds. With r left, all charges of r / 2
+    or less are accepted until they have used half of r. Before that a larger charge is accepted if it fits into r less
+    the small ones before it. The first such charge, or the small one that uses the half, ends the round; what is left is
+    then r / 2 at most. A charge that is negative or null stops the job.
+    """
+    checked = F.when(F.col(size) >= 0, F.col(size)).otherwise(F.raise_error(F.lit("a charge must be zero or more")).cast("bigint"))
+    rest, left, parts = cut(df.withColumn("__size", checked)), cap, []
+    while True:
+        total = rest.agg(F.sum(F.col("__size").cast("decimal(38,0)"))).first()[0]
+        if total is None or total <= left or left <= 0:
+            parts.append(rest.withColumn("accepted", F.col("__size") <= max(left, 0)))
+            break
+        parts.append(rest.where(F.col("__size") > left).withColumn("accepted", F.lit(False)))
+        small, at = 2 * F.col("__size") <= left, F.col("__at")
+        walked = cut(running(rest.where(F.col("__size") <= left), [], [F.col(c) for c in order], __at=F.lit(1).cast("bigint"), __used=F.when(small, F.col("__size").cast("decimal(38,0)")).otherwise(0)))
+        upto = F.col("__used") + F.when(small, 0).otherwise(F.col("__size"))
+        ends = F.when(small, 2 * upto >= left).otherwise(upto <= left)
+        end = walked.where(ends).agg(F.min(at).alias("at"), F.min_by(upto, at).alias("used")).first()
+        done = walked if end["at"] is None else walked.where(at <= end["at"])
+        parts.append(done.withColumn("accepted", small | (upto <= left)).drop("__used", "__at"))
+        if end["at"] is None:
+            break
+        rest = walked.where(at > end["at"]).drop("__used", "__at")
+        left -= int(end["used"])
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.drop("__size")
+
+
+def ledger_accounts(charged: DataFrame, source: str = "source", size: str = "bytes") -> DataFrame:
+    """Accepted and refused charges of each source, kept apart."""
+    yes = F.col("accepted")
+    return charged.groupBy(source).agg(
+        F.coalesce(F.sum(F.when(yes, F.col(size))), F.lit(0)).cast("bigint").alias("bytes"), F.count_if(yes).alias("events"),
+        F.coalesce(F.sum(F.when(~yes, F.col(size))), F.lit(0)).cast("bigint").alias("refused_bytes"), F.count_if(~yes).alias("refused"))

@@ -247,3 +247,9 @@ def set_except(spark: SparkSession, folder: str) -> DataFrame:
 SELECT source, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS events, count(*) FILTER (total > 30000000) AS beyond_cap, arg_min(event_id, total) FILTER (total > 30000000) AS first_refused FROM r GROUP BY source""")
 def ledger_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return audit.ledger_rollup(st.ledger(spark, folder), 30_000_000)
+
+
+@query("ledger_charges")
+def ledger_charges(spark: SparkSession, folder: str) -> DataFrame:
+    """Accepted and refused charges of each source under one cap; `ledger_rollup` adds up what was asked for."""
+    return audit.ledger_accounts(audit.charge_ledger(st.ledger(spark, folder), 30_000_000, ["ts", "event_id"]))

@@ -46,6 +46,16 @@ def st_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+@query("st_ledger_charges")
+def st_ledger_charges(spark: SparkSession, folder: str) -> DataFrame:
+    """Two lots of charges under one cap: what the first lot has accepted is gone for the second one."""
+    rows = st.ledger(spark, folder)
+    path, out, checkpoint = _landed(spark, rows.where("event_id % 2 = 0"))
+    jobs.charge_stream(spark, path, rows.schema, "source", "bytes", ["ts", "event_id"], 10_100_000, out, checkpoint)
+    rows.where("event_id % 2 = 1").write.mode("append").parquet(path)
+    return jobs.charge_stream(spark, path, rows.schema, "source", "bytes", ["ts", "event_id"], 10_100_000, out, checkpoint)
+
+
 @query("st_chunk_score", f"""WITH {st.CHUNKS} SELECT file_id, make_timestamp((1700000000 + file_id * 3600 + min(chunk)) * 1000000) AS start, round(avg(score), 6) AS score,
   round(max(score), 6) AS max_score, count(*) AS chunks, CASE WHEN round(avg(score), 6) >= 0.5 THEN 'spoof' ELSE 'genuine' END AS decision FROM chunks GROUP BY file_id""")
 def st_chunk_score(spark: SparkSession, folder: str) -> DataFrame:

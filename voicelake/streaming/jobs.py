@@ -5,13 +5,14 @@ Every job is given its folders; a second run with the same checkpoint continues
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voicelake.functions.scoring import decide
+from voicelake.operators.audit import charge_ledger, ledger_accounts
 
 
 def _finish(writer) -> None:  # noqa: ANN001
@@ -41,6 +42,26 @@ def ledger_totals(spark: SparkSession, path: str, schema: T.StructType, source:
     _finish(totals.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).outputMode("complete").option("checkpointLocation", checkpoint))
 
 
+def charge_stream(spark: SparkSession, path: str, schema: T.StructType, source: str, size: str, order: Sequence[str], cap: int, out: str, checkpoint: str) -> DataFrame:
+    """Accepted and refused charges of each source under one cap for all files; a refused charge uses nothing of it.
+
+    Charges are taken by micro-batch, and by `order` inside one. The state is what earlier batches have accepted; a batch
+    that runs again reads the batches before it and replaces itself.
+    """
+    def store(batch: DataFrame, number: int) -> None:
+        spent = _accounts(spark, source, out).where(F.col("batch") < number).agg(F.sum("bytes")).first()[0] if number else 0
+        charged = charge_ledger(batch, cap - int(spent or 0), order, size)
+        ledger_accounts(charged, source, size).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    _finish(_stream(spark, path, schema).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint))
+    sums = ("bytes", "events", "refused_bytes", "refused")
+    return _accounts(spark, source, out).groupBy(source).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _accounts(spark: SparkSession, source: str, out: str) -> DataFrame:
+    return spark.read.schema(f"{source} string, bytes bigint, events bigint, refused_bytes bigint, refused bigint, batch int").parquet(out)
+
+
 def _store_partials(rows: DataFrame, by: Mapping[str, Column], sums: Mapping[str, Column], out: str, checkpoint: str) -> None:
     """Write the partial aggregates of every micro-batch to a folder of its own.
 
