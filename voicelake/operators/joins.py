@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voicelake.functions.ids import canonical_int, parse_fname, parse_reference
 from voicelake.functions.labels import CONVERSION_GENERATORS, SPEECH_GENERATORS
-from voicelake.operators.prefix import first_k, null_safe
+from voicelake.operators.prefix import first_k, null_safe, ranked
 
 
 def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
@@ -191,6 +191,16 @@ def order_breaks(left: DataFrame, right: DataFrame, key: str, position: str) ->
     return l.join(right.select(key, F.col(position).alias("position_b")), key).where("position_a <> position_b")
 
 
+def cache_difference(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], position: str) -> DataFrame:
+    """`difference` and the order check: `changed_order` for keys of both sides whose place among them differs.
+
+    The place of a key that occurs more than once is its first one.
+    """
+    both = [ranked(a.groupBy(key).agg(F.min(position).alias(position)).join(b.select(key), key, "left_semi"), [], [F.col(position), F.col(key)], "__place") for a, b in ((left, right), (right, left))]
+    breaks = order_breaks(*both, key, "__place").select(key, F.lit("changed_order").alias("difference"))
+    return difference(left, right, key, fields).unionByName(breaks)
+
+
 def reuse_or_pending(wanted: DataFrame, cached: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Each wanted row reused when a cached row agrees on every field, else pending with the first field that differs."""
     c = cached.select(key, F.struct(*fields).alias("__c"))

@@ -9,7 +9,7 @@ from voicelake.functions.digests import signature
 from voicelake.operators import audit, identity, joins, select
 from voicelake.plans import standins as st
 from voicelake.plans.graph_queries import ANCHORS, CLAIMS, CLOSURE, COMPONENTS, closure_inputs
-from voicelake.plans.join_queries import CACHE, HELD, _cache, held
+from voicelake.plans.join_queries import CACHE, HELD, _cache, _placed, held
 from voicelake.session import work_path
 from voicelake.sources import sinks
 from voicelake.plans.registry import query, table
@@ -122,7 +122,7 @@ def audit_cache(spark: SparkSession, folder: str) -> DataFrame:
 
     rows, stale = _cache(spark, folder)
     cached = stale.where("split <> 'val'").unionByName(rows.where("split = 'val'").select(*stale.columns))
-    found = joins.difference(rows, cached, "window_id", ["label", "language", "prepared_sha256"])
+    found = joins.cache_difference(*_placed(rows, cached), "window_id", ["label", "language", "prepared_sha256"], "place")
     parts = rows.select("window_id", "split").unionByName(cached.select("window_id", "split")).distinct()
     by_split = parts.join(found, "window_id", "left").groupBy(F.col("split").alias("part")).agg(F.count("difference").alias("issues"))
     frames = st.frames(spark, folder).withColumn("vec", F.when(F.col("frame") % 10 == 0, F.slice("vec", 1, 63)).otherwise(F.col("vec")))

@@ -272,9 +272,29 @@ def fmt_bytes(spark: SparkSession, folder: str) -> DataFrame:
   coalesce(speaker, target_speaker) AS main_speaker, true AS pool_known FROM manifest""")
 def build_record(spark: SparkSession, folder: str) -> DataFrame:
     """Nested window records of one fixed schema, read back through their nested fields."""
-    from voicelake.sources.records import POOLS, window_record
+    from voicelake.sources.records import vocabulary_violations, window_record
     rows = st.manifest(spark, folder).withColumn("pool", F.when(F.col("split") == "test", "external_eval").otherwise("core"))
-    return window_record(rows).select(
+    records = window_record(rows)
+    unknown = vocabulary_violations(records).select("window_id").distinct().withColumn("unknown", F.lit(True))
+    return records.join(unknown, "window_id", "left").select(
         "window_id", "recording_id", "dataset_id", "pool", "label_name", F.col("prepared_audio.sha256").alias("prepared"),
         F.round("window.duration_seconds", 6).alias("seconds"), F.coalesce("speaker_ids.speaker", "speaker_ids.target").alias("main_speaker"),
-        F.col("pool").isin(*POOLS).alias("pool_known"))
+        F.col("unknown").isNull().alias("pool_known"))
+
+
+@query("build_record_kinds", f"""WITH {st.MANIFEST}, r AS (SELECT DISTINCT recording_id, dataset_id FROM manifest)
+SELECT 'recording' AS kind, dataset_id, count(*) AS n FROM r GROUP BY dataset_id
+UNION ALL SELECT 'exclusion', dataset_id, count(*) FROM manifest WHERE duration = 2 GROUP BY dataset_id
+UNION ALL SELECT 'vocabulary', dataset_id, count(*) FROM manifest WHERE duration IN (3, 4) GROUP BY dataset_id""")
+def build_record_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Recording and exclusion rows, and window rows with a planted pool and a planted status outside the vocabulary."""
+    from voicelake.sources.records import exclusion_row, recording_record, vocabulary_violations, window_record
+    rows, seconds = st.manifest(spark, folder), F.col("duration")
+    kinds = {
+        "recording": recording_record(rows.dropDuplicates(["recording_id", "dataset_id"])),
+        "exclusion": exclusion_row(rows.where(seconds == 2), F.lit("too_short")),
+        "vocabulary": vocabulary_violations(window_record(rows.withColumns({
+            "pool": F.when(seconds == 3, "spare").otherwise("core"), "status": F.when(seconds == 4, "lost").otherwise("audio_ready")}))),
+    }
+    counts = [df.groupBy("dataset_id").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "dataset_id", "n") for kind, df in kinds.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])

@@ -208,12 +208,28 @@ def _cache(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return rows, cached.unionByName(extra)
 
 
+def _placed(rows: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with the place of their rows: the stand-in manifest and its cache lie in the order of their ids."""
+    return rows.withColumn("place", F.col("window_id")), cached.withColumn("place", F.col("window_id"))
+
+
 @query("manifest_cache_diff", CACHE + """ SELECT coalesce(m.window_id, c.window_id) AS window_id, unnest(list_filter([CASE WHEN c.window_id IS NULL THEN 'missing' END, CASE WHEN m.window_id IS NULL THEN 'extra' END,
   CASE WHEN m.label <> c.label THEN 'changed_label' END, CASE WHEN m.language <> c.language THEN 'changed_language' END, CASE WHEN m.prepared_sha256 <> c.prepared_sha256 THEN 'changed_prepared_sha256' END], lambda x: x IS NOT NULL)) AS difference
 FROM manifest m FULL JOIN c USING (window_id)""")
 def manifest_cache_diff(spark: SparkSession, folder: str) -> DataFrame:
     rows, cached = _cache(spark, folder)
-    return joins.difference(rows, cached, "window_id", ["label", "language", "prepared_sha256", "split"])
+    return joins.cache_difference(*_placed(rows, cached), "window_id", ["label", "language", "prepared_sha256", "split"], "place")
+
+
+@query("manifest_cache_order", f"""WITH {st.MANIFEST}, f AS (SELECT window_id, min(CASE WHEN duration = 4 THEN concat('~', window_id) ELSE window_id END) AS place FROM manifest GROUP BY window_id),
+p AS (SELECT window_id, row_number() OVER (ORDER BY window_id) AS a, row_number() OVER (ORDER BY place) AS b FROM f)
+SELECT window_id, 'changed_order' AS difference FROM p WHERE a <> b""")
+def manifest_cache_order(spark: SparkSession, folder: str) -> DataFrame:
+    """A cache with the rows of the manifest in another order: some of them stand at the end."""
+    rows = st.manifest(spark, folder)
+    cached = rows.withColumn("place", F.when(F.col("duration") == 4, F.concat(F.lit("~"), "window_id")).otherwise(F.col("window_id")))
+    found = joins.cache_difference(rows.withColumn("place", F.col("window_id")), cached, "window_id", ["label", "language", "prepared_sha256", "split"], "place")
+    return found.where("difference = 'changed_order'")
 
 
 @query("reuse_or_pending", CACHE + """ SELECT split, coalesce(CASE WHEN c.window_id IS NULL THEN 'not_cached' WHEN m.label <> c.label THEN 'changed_label' WHEN m.language <> c.language THEN 'changed_language' END, 'reused') AS outcome,

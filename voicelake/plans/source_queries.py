@@ -184,6 +184,16 @@ def src_file_listing(spark: SparkSession, folder: str) -> DataFrame:
     return files.number_samples(kept, ["key", "lang"]).select("sample_id", "lang", "name")
 
 
+@query("src_file_tree", "SELECT concat('src_', lang, '_000001') AS sample_id, lang FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def src_file_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """A tree that Spark has written, one Parquet and one text file a language: listed by extension and numbered."""
+    rows, path = table(spark, folder, "documents").select("lang", F.col("doc_id").cast("string").alias("value")).where("lang IS NOT NULL"), work_path(spark, "tree")
+    rows.repartition("lang").write.partitionBy("lang").parquet(path)
+    rows.repartition("lang").write.mode("append").partitionBy("lang").text(path)
+    found = files.list_files(spark, path, ["parquet"]).select("path", F.lit("src").alias("key"), F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang"))
+    return files.number_samples(found, ["key", "lang"]).select("sample_id", "lang")
+
+
 @query("src_member_metadata", """SELECT concat('clips/', page_id, '.wav') AS path, CASE WHEN page_id % 4 > 0 THEN url END AS origin,
   CASE WHEN page_id % 4 > 0 THEN CAST(length(html) AS INTEGER) END AS size FROM pages""")
 def src_member_metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,9 +276,12 @@ def snk_replace_partitions(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("snk_promote_prune", "SELECT o_orderkey AS orphan, o_orderstatus AS status FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def snk_promote_prune(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored files that no promoted manifest references."""
+    """A manifest in parts is staged, checked and swapped; then the stored files that it does not reference."""
     stored = table(spark, folder, "orders").select(F.col("o_orderkey").alias("orphan"), F.col("o_orderstatus").alias("status"))
-    return sinks.orphans(stored, table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("orphan")), "orphan")
+    lines, path = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("orphan"), F.col("l_returnflag").alias("part")), work_path(spark, "promoted")
+    sinks.promote(lines.where("orphan % 2 = 0"), lines.where("orphan % 2 = 0"), "part", path)
+    sinks.promote(lines, lines, "part", path)
+    return sinks.orphans(stored, spark.read.parquet(path), "orphan")
 
 
 @query("snk_feature_bundle", FRAME_ROWS + " SELECT count(*) AS frames, count(DISTINCT window_id) AS windows, CAST(sum(len(vec)) AS BIGINT) AS numbers FROM frames")

@@ -79,6 +79,18 @@ def orphans(stored: DataFrame, manifests: DataFrame, key: str) -> DataFrame:
     return stored.join(manifests.select(key).distinct(), key, "left_anti")
 
 
+def promote(staged: DataFrame, expected: DataFrame, key: str, path: str) -> None:
+    """Stage a manifest, check that every expected part is there, and swap; a missing part leaves the old manifest."""
+
+    def write(place: str) -> None:
+        staged.write.parquet(place)
+        missing = [r[0] for r in incomplete_parts(expected, staged.sparkSession.read.schema(staged.schema).parquet(place), key).limit(5).collect()]
+        if missing:
+            raise ValueError(f"parts that are not staged: {missing}")
+
+    replace_table(staged.sparkSession, path, write)
+
+
 def write_feature_bundle(frames: DataFrame, path: str, identity: DataFrame) -> None:
     """Frame vectors, one row per (window, frame), with a one-row identity table beside them."""
     frames.write.mode("overwrite").parquet(f"{path}/frames")
