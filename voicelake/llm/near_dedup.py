@@ -37,7 +37,7 @@ SAMPLES = BANDS * ROWS
 #: log2 of the cells of the document frequency table, and of the table of sampling variates.
 DF_BITS, VARIATE_BITS = 18, 16
 IDF_STRENGTH = 0.1
-#: Agreeing samples below which a pair at the limit is missed with a chance of about 1 in 30,000.
+#: Agreeing samples below which a pair at the limit is missed with a chance of about 1 in 7,900.
 AGREE = 39
 #: Texts of one bucket that a task compares with as many others.
 BLOCK = 1_000
