@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voicelake.llm import fingerprints, language, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity
+from voicelake.llm import conversations, fingerprints, language, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity
 from voicelake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,55 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_dedup")
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+
+
+def _step(state: str, cost: str, letter: str, line: str = "NULL") -> str:
+    """A state of the search after one more edit."""
+    said = f"list_append({state}.said, {line})" if line != "NULL" else f"{state}.said"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'said': {said}}} END"
+
+
+def _least(*states: str) -> str:
+    return f"list_sort(list_filter([{', '.join(states)}], lambda x: x IS NOT NULL))[1]"
+
+
+_KEPT, _USER, _ASSISTANT = "role || ':' || text", "'user:' || text", "'assistant:' || text"
+#: States 0 to 3: nothing, system, user, assistant. `i*` are those with turns inserted, `s*` those behind a row.
+_INSERTED = f"""SELECT *, s0 AS i0, s1 AS i1, {_least("s2", _step("s0", "2", "I", "'user:'"), _step("s1", "2", "I", "'user:'"), _step("s3", "2", "I", "'user:'"))} AS i2,
+{_least("s3", _step("s2", "2", "I", "'assistant:'"), _step("(" + _step("s0", "2", "I", "'user:'") + ")", "2", "I", "'assistant:'"), _step("(" + _step("s1", "2", "I", "'user:'") + ")", "2", "I", "'assistant:'"))} AS i3"""
+
+
+def _row(state: int) -> str:
+    options = [_step(f"i{state}", "3", "D")]
+    kept = {1: [(0, "s")], 2: [(0, "u"), (1, "u"), (3, "u")], 3: [(2, "a")]}.get(state, [])
+    for source, initial in kept:
+        options.append(f"CASE WHEN NOT forced AND left(role, 1) = '{initial}' THEN {_step(f'i{source}', 'extra', 'K', _KEPT)} END")
+    for source in {2: (0, 1, 3), 3: (2,)}.get(state, ()):
+        options.append(f"CASE WHEN NOT forced THEN {_step(f'i{source}', '2 + extra', 'R', _USER if state == 2 else _ASSISTANT)} END")
+    return _least(*options)
+
+
+_NONE = "CAST(NULL AS STRUCT(cost BIGINT, audit VARCHAR, said VARCHAR[]))"
+CONVERSATIONS_SQL = rf"""WITH RECURSIVE bytes AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab FROM range(256) t(b)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hashed AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295::BIGINT) % 20 AS fault FROM keyed k, bytes),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE fault <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+marked AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS unended, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM numbered),
+rows_ AS (SELECT *, blank OR again AS forced, CASE WHEN unended THEN 1 ELSE 0 END AS extra FROM marked),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (unended AND NOT forced) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM rows_ GROUP BY conv_id),
+search AS (SELECT conv_id, 0::BIGINT AS i, {{'cost': 0::BIGINT, 'audit': '', 'said': CAST([] AS VARCHAR[])}} AS s0, {_NONE} AS s1, {_NONE} AS s2, {_NONE} AS s3 FROM facts
+  UNION ALL SELECT conv_id, i, {_row(0)} AS s0, {_row(1)} AS s1, {_row(2)} AS s2, {_row(3)} AS s3
+  FROM ({_INSERTED} FROM (SELECT r.conv_id, r.i, r.role, r.text, r.forced, r.extra, s0, s1, s2, s3 FROM search JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM search.conv_id AND r.i = search.i + 1))),
+ended AS (SELECT conv_id, {_least("s0", "i3")} AS best FROM ({_INSERTED} FROM (SELECT search.* FROM search JOIN facts f ON f.conv_id IS NOT DISTINCT FROM search.conv_id AND f.n = search.i)))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op12_conversation_repair", CONVERSATIONS_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
