@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voicelake.llm import conversations, fingerprints, language, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity
+from voicelake.llm import classifier, conversations, divergence, fingerprints, language, licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity
 from voicelake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,35 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts ON facts.con
 @query("op12_conversation_repair", CONVERSATIONS_SQL)
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _share(count: str, total: str) -> str:
+    return f"(1 + 1000000000::HUGEINT * ({count} + 2) // ({total} + 2 * v))"
+
+
+DIVERGENCE_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT k, lang, source, unnest(terms) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0)::HUGEINT AS n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+y AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS own, sum(n) OVER (PARTITION BY lang, term) AS lang_n, sum(n) OVER (PARTITION BY lang) AS lang_own FROM x),
+z AS (SELECT lang, source, term, n, {_share("n", "own")} AS p, {_share("lang_n", "lang_own")} AS q FROM y JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM z a JOIN z b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM z WHERE n > 0 AND p > q),
+o AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+@query("op13_quality_classifier")
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return classifier.score(docs, classifier.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
