@@ -2,7 +2,7 @@
 
 Random indexing gives every word a fixed sparse index vector of a few +1 and -1, and as its context vector the sum of the
 index vectors of its neighbours in all documents. The sums are integers, so they do not depend on the order of the rows.
-A document is the weighted mean and spread of its words' context vectors. A network with one hidden layer is trained in
+A document is the weighted mean and spread of its words' context vectors, and the mean likeness of each word to the next. A network with one hidden layer is trained in
 numpy on a bounded sample of labelled rows; a temperature fitted on rows it has not seen calibrates its probabilities.
 
 Words share BUCKETS hashed rows, so that the vectors have the same size (17 MB) whatever the corpus holds.
@@ -28,9 +28,12 @@ FOLDS, UNSEEN = 3, 1
 #: Bytes of text whose tokens a task holds at a time.
 SLICE_BYTES = 4 << 20
 #: Tokens whose vectors a task holds at a time.
-SLICE_TOKENS = 1 << 18
+SLICE_TOKENS = 1 << 16
 #: A word with this share of all tokens weighs half.
 COMMON = 1e-3
+FEATURES = 2 * DIM + 2
+#: Bucket of the mark before a word whose second letter is a capital.
+CAPITAL = 1
 
 WORD = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
 BLANK = np.array([b in b" \t\x0b\x0c\r\0" for b in range(256)])
@@ -52,7 +55,8 @@ def tokens(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     The hash of a run is a difference of prefix sums, divided by the power of its place.
     """
-    data = LOWER[np.frombuffer(b"\0".join([*texts, b""]), np.uint8)]
+    raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
+    data = LOWER[raw]
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -66,9 +70,10 @@ def tokens(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     words = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
     marks = np.flatnonzero(~inside & ~BLANK[data])
-    at = np.concatenate((starts, marks))
+    loud = starts[raw[starts + 1] != data[starts + 1]]  # every text ends with a separator
+    at = np.concatenate((loud, starts, marks))
     order = np.argsort(at, kind="stable")
-    bucket = np.concatenate((words, data[marks].astype(np.int64)))[order]
+    bucket = np.concatenate((np.full(len(loud), CAPITAL), words, data[marks].astype(np.int64)))[order]
     return bucket, np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), at[order], "right")
 
 
@@ -108,20 +113,27 @@ class Vectors:
     weight: np.ndarray  # buckets
 
     def pool(self, texts: Sequence[bytes]) -> np.ndarray:
-        """Weighted mean and spread of the vectors of each text's tokens; zeros for a text without one."""
+        """Weighted mean and spread of the vectors of each text's tokens, and the likeness of neighbours; zeros for a text without any."""
         bucket, text = tokens(texts)
         total = np.bincount(text, self.weight[bucket], len(texts))
         first, second = np.zeros((len(texts), DIM)), np.zeros((len(texts), DIM))
+        alike, same = np.zeros(len(texts)), np.zeros(len(texts))
         for start in range(0, len(bucket), SLICE_TOKENS):
             part, own = bucket[start : start + SLICE_TOKENS], text[start : start + SLICE_TOKENS]
-            vectors = self.words[part]
+            vectors = self.words[part].astype(float)
             at = np.flatnonzero(np.diff(own, prepend=-1))
             weighted = vectors * self.weight[part, None]
             first[own[at]] += np.add.reduceat(weighted, at, axis=0)
             second[own[at]] += np.add.reduceat(weighted * vectors, at, axis=0)
+            following, next_own = bucket[start + 1 : start + 1 + len(part)], text[start + 1 : start + 1 + len(part)]
+            near = own[: len(following)] == next_own
+            likeness = (vectors[: len(following)] * self.words[following]).sum(axis=1)
+            alike += np.bincount(next_own[near], likeness[near], len(texts))
+            same += np.bincount(next_own[near], (part[: len(following)] == following)[near], len(texts))
+        count = np.maximum(1, np.bincount(text, minlength=len(texts)) - 1)
         scale = np.maximum(total, 1e-9)[:, None]
         mean = first / scale
-        return np.concatenate((mean, np.sqrt(np.maximum(0, second / scale - mean**2))), axis=1)
+        return np.column_stack((mean, np.sqrt(np.maximum(0, second / scale - mean**2)), alike / count, same / count))
 
 
 def learn_vectors(docs: DataFrame, text: str = "text") -> Vectors:
@@ -184,7 +196,7 @@ def train(features: np.ndarray, labels: np.ndarray, hidden: int = 24, rounds: in
     Without rows of both labels the network is constant at the share of label 1 (one half without rows).
     """
     rng = np.random.default_rng(7)
-    mean, scale = (features.mean(axis=0), features.std(axis=0) + 1e-6) if len(labels) else (np.zeros(2 * DIM), np.ones(2 * DIM))
+    mean, scale = (features.mean(axis=0), features.std(axis=0) + 1e-6) if len(labels) else (np.zeros(FEATURES), np.ones(FEATURES))
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     net = Network(mean, scale, rng.normal(0, (2 / features.shape[1]) ** 0.5, (features.shape[1], hidden)), np.zeros(hidden), np.zeros(hidden), float(np.log(share / (1 - share))))
     check = np.arange(len(labels)) % 5 == 4
@@ -244,7 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id: str =
 
     # repeated documents could multiply a label; the bound holds for what reaches the driver, too
     found = rows.mapInPandas(pooled, "id string, label double, features array<double>").orderBy(F.xxhash64("id"), "id", "label", "features").limit(max_rows).toPandas()
-    features = np.stack(found["features"].tolist()) if len(found) else np.zeros((0, 2 * DIM))
+    features = np.stack(found["features"].tolist()) if len(found) else np.zeros((0, FEATURES))
     return Model(vectors, train(features, (found["label"].to_numpy(dtype=float) > 0.5).astype(float)))
 
 
