@@ -26,7 +26,7 @@ def plain_damage(rows):
 
 def plain_repair(rows):
     """Best (cost, audit) of every state of the pattern, row after row, with the text it gives."""
-    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), r[3].encode()))
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2].encode(), hashlib.sha256(r[3].encode()).hexdigest()))
     counts, seen, best = dict.fromkeys(C.COUNTS, 0), set(), {"": (0, "", ())}
     after = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
 

@@ -106,23 +106,25 @@ def damage(rows: DataFrame, id: str = "conv_id", turn: str = "turn", role: str =
     )
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """Distinct rows in order, with place, number of copies, fault of the first copy and, for live rows, their running number.
+def placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, texts): distinct rows in order, and their texts by (conv_id, turn, role, digest).
 
-    Equal rows of one turn become one row first, so a row repeated without end is no hot group.
+    Places have the number of copies, the fault of the first copy, whether it is live (neither blank nor a duplicate) and
+    the running number of live rows. Equal rows of one turn become one row first, so a row repeated without end is no
+    hot group. Texts stay behind and meet their places once, at the end.
     """
-    same = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("digest", F.sha2("text", 256))
+    texts = cut(rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies")).withColumn("digest", F.sha2("text", 256)))
+    fault = F.when(~F.col("text").rlike(NOT_BLANK), "blank").when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), "truncated")
+    same = texts.select("conv_id", "turn", "role", "digest", "copies", fault.alias("fault"))
     # min over structs puts nulls first, as the order of turns does
     first = same.groupBy("conv_id", "role", "digest").agg(F.min(F.struct("turn")).getField("turn").alias("turn")).withColumn("first", F.lit(True))
-    marked = null_safe(same, first, ["conv_id", "turn", "role", "digest"], "left").drop("digest")
-    fault = (
-        F.when(~F.col("text").rlike(NOT_BLANK), "blank")
-        .when(F.col("first").isNull(), "duplicate")
-        .when(~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), "truncated")
-    )
-    live = F.when(fault.isin("blank", "duplicate"), 0).otherwise(1).cast("bigint")
-    flagged = marked.select("conv_id", "turn", "role", "text", "copies", fault.alias("fault"), F.coalesce(live, F.lit(1)).alias("is_live"))
-    return cut(running(flagged, ["conv_id"], [F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")], place=F.lit(1).cast("bigint"), live=F.col("is_live")))
+    marked = null_safe(same, first, ["conv_id", "turn", "role", "digest"], "left")
+    blank, again = F.coalesce(F.col("fault") == "blank", F.lit(False)), F.col("first").isNull()
+    flagged = marked.withColumns({
+        "fault": F.when(again & ~blank, "duplicate").otherwise(F.col("fault")), "is_live": F.when(blank | again, 0).otherwise(1).cast("bigint"),
+    }).drop("first")
+    order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("digest")]
+    return cut(running(flagged, ["conv_id"], order, place=F.lit(1).cast("bigint"), live=F.col("is_live"))), texts.select("conv_id", "turn", "role", "digest", "text")
 
 
 TYPES = {
@@ -232,8 +234,8 @@ def entered(live: DataFrame, ends: DataFrame) -> DataFrame:
     return cut(null_safe(ends, before, ["conv_id", "chunk"], "left").withColumn("enter", F.coalesce("enter", F.lit(START).cast("bigint"))))
 
 
-def edits(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """The placed rows with `edit` (letters), `before` (inserted turns, one a line) and `new_role` ("" if deleted).
+def edits(rows: DataFrame, texts: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The placed rows with their texts and `edit` (letters), `before` (inserted turns, one a line) and `new_role` ("" if deleted).
 
     A row at place END of a conversation has the turns inserted behind its last row.
     """
@@ -248,7 +250,7 @@ def edits(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         "conv_id", F.lit(END).alias("place"), F.when(F.col("state") == SYSTEM, "II").otherwise("I").alias("edit"), inserted.alias("before"), F.lit("").alias("new_role")
     )
     own = found.where(F.col("place") < END).select("conv_id", "place", "edit", "before", "new_role")
-    whole = null_safe(rows, own, ["conv_id", "place"], "left")
+    whole = null_safe(null_safe(rows, own, ["conv_id", "place"], "left"), texts, ["conv_id", "turn", "role", "digest"])
     deleted = whole.withColumns({"edit": F.coalesce("edit", F.lit("D")), "new_role": F.when(F.col("edit").isNull(), "").otherwise(F.col("new_role"))})
     return deleted.unionByName(ending, allowMissingColumns=True)
 
@@ -307,13 +309,13 @@ READ = ("turn", "role", "text", "copies", "fault", "edit", "before", "new_role")
 def repair(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per conversation of `rows` (conv_id, turn, role, text, copies): faults, cost, audit and digest of the repair.
 
-    Rows stand by turn (nulls first), then role, then text; `copies` says how often a row stands there. Blank rows and
+    Rows stand by turn (nulls first), then role, then the SHA-256 of the text; `copies` says how often a row stands there. Blank rows and
     rows whose role and text stood earlier are always deleted. A null conv_id is a conversation of its own. A digest
     over a whole conversation is one pass over its rows: a task streams them in order and holds one letter a row and
     one batch of texts.
     """
     kind = rows.schema["conv_id"].dataType.simpleString()
-    done = edits(placed(rows), chunk_rows).select("conv_id", "place", *READ)
+    done = edits(*placed(rows), chunk_rows).select("conv_id", "place", *READ)
     ordered = done.repartition("conv_id").sortWithinPartitions("conv_id", "place")
     fields = ", ".join([f"conv_id {kind}", *[f"{c} bigint" for c in COUNTS], "audit string", "repaired_sha256 string"])
 
