@@ -31,7 +31,7 @@ SCALE = 1_000_000_000
 class Limits:
     """What one task or one pass holds at a time; none of them changes the result."""
 
-    shard_terms: int = 1 << 18  # terms of a transducer
+    shard_terms: int = 1 << 14  # terms of a transducer
     round_bytes: int = 64 << 20  # transducers of a pass over the texts
     block: int = 4096  # ordinals compared together
     slice_bytes: int = 16 << 20  # texts recounted together
