@@ -5,7 +5,7 @@ index vectors of its neighbours in all documents. The sums are integers, so they
 A document is the weighted mean and spread of its words' context vectors, and the mean likeness of each word to the next. A network with one hidden layer is trained in
 numpy on a bounded sample of labelled rows; a temperature fitted on rows it has not seen calibrates its probabilities.
 
-Words share BUCKETS hashed rows, so that the vectors have the same size (17 MB) whatever the corpus holds.
+Words share BUCKETS hashed rows, so that the vectors have the same size (8 MB) whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from voicelake.llm.common import whole
 
-BITS, DIM, NONZERO, REACH = 16, 64, 4, 2
+BITS, DIM, NONZERO, REACH = 16, 32, 4, 2
 BUCKETS = 1 << BITS
 #: The fold that no model learns from: crc32 of the id as text, modulo FOLDS.
 FOLDS, UNSEEN = 3, 1
 #: Bytes of text whose tokens a task holds at a time.
 SLICE_BYTES = 4 << 20
 #: Tokens whose vectors a task holds at a time.
-SLICE_TOKENS = 1 << 16
+SLICE_TOKENS = 1 << 14
 #: A word with this share of all tokens weighs half.
 COMMON = 1e-3
 FEATURES = 2 * DIM + 2
@@ -91,8 +91,7 @@ def contexts(bucket: np.ndarray, text: np.ndarray, sums: np.ndarray) -> None:
         near = text[reach:] == text[:-reach]
         left, right = bucket[:-reach][near], bucket[reach:][near]
         for word, other in ((left, right), (right, left)):
-            for k in range(NONZERO):
-                sums += np.bincount(word * DIM + place[other, k], sign[other, k], BUCKETS * DIM).astype(np.int32)
+            sums += np.bincount(((word * DIM)[:, None] + place[other]).ravel(), sign[other].ravel(), BUCKETS * DIM)
 
 
 def slices(texts: Iterator[str | None], limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
@@ -115,46 +114,45 @@ class Vectors:
     def pool(self, texts: Sequence[bytes]) -> np.ndarray:
         """Weighted mean and spread of the vectors of each text's tokens, and the likeness of neighbours; zeros for a text without any."""
         bucket, text = tokens(texts)
-        total = np.bincount(text, self.weight[bucket], len(texts))
-        first, second = np.zeros((len(texts), DIM)), np.zeros((len(texts), DIM))
-        alike, same = np.zeros(len(texts)), np.zeros(len(texts))
+        bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+        return np.array([self.pool_tokens(bucket[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]).reshape(len(texts), FEATURES)
+
+    def pool_tokens(self, bucket: np.ndarray) -> np.ndarray:
+        if not len(bucket):
+            return np.zeros(FEATURES)
+        first, second, total, alike = np.zeros(DIM), np.zeros(DIM), 0.0, 0.0
         for start in range(0, len(bucket), SLICE_TOKENS):
-            part, own = bucket[start : start + SLICE_TOKENS], text[start : start + SLICE_TOKENS]
-            vectors = self.words[part].astype(float)
-            at = np.flatnonzero(np.diff(own, prepend=-1))
-            weighted = vectors * self.weight[part, None]
-            first[own[at]] += np.add.reduceat(weighted, at, axis=0)
-            second[own[at]] += np.add.reduceat(weighted * vectors, at, axis=0)
-            following, next_own = bucket[start + 1 : start + 1 + len(part)], text[start + 1 : start + 1 + len(part)]
-            near = own[: len(following)] == next_own
-            likeness = (vectors[: len(following)] * self.words[following]).sum(axis=1)
-            alike += np.bincount(next_own[near], likeness[near], len(texts))
-            same += np.bincount(next_own[near], (part[: len(following)] == following)[near], len(texts))
-        count = np.maximum(1, np.bincount(text, minlength=len(texts)) - 1)
-        scale = np.maximum(total, 1e-9)[:, None]
-        mean = first / scale
-        return np.column_stack((mean, np.sqrt(np.maximum(0, second / scale - mean**2)), alike / count, same / count))
+            part = bucket[start : start + SLICE_TOKENS + 1]  # one more, for the likeness of neighbours
+            vectors = self.words[part]
+            alike += float(np.einsum("ij,ij->", vectors[:-1], vectors[1:]))
+            own, weight = vectors[:SLICE_TOKENS], self.weight[part[:SLICE_TOKENS]]
+            first += weight @ own
+            second += weight @ (own * own)
+            total += float(weight.sum())
+        mean, pairs = first / total, max(1, len(bucket) - 1)
+        spread = np.sqrt(np.maximum(0, second / total - mean**2))
+        return np.concatenate((mean, spread, [alike / pairs, np.count_nonzero(bucket[1:] == bucket[:-1]) / pairs]))
 
 
 def learn_vectors(docs: DataFrame, text: str = "text") -> Vectors:
     """Context vectors from all documents; BUCKETS rows of sums are all that reaches the driver."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, counts = np.zeros(BUCKETS * DIM, np.int32), np.zeros(BUCKETS, np.int64)
+        sums, counts = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS, np.int64)  # whole numbers
         for texts in slices(t for batch in batches for t in batch["text"]):
             bucket, own = tokens(texts)
             counts += np.bincount(bucket, minlength=BUCKETS)
             contexts(bucket, own, sums)
         at = np.flatnonzero(counts)
-        found = pd.DataFrame(sums.reshape(BUCKETS, DIM)[at], columns=[f"v{i}" for i in range(DIM)])
+        found = pd.DataFrame(sums.reshape(BUCKETS, DIM)[at].astype(np.int64), columns=[f"v{i}" for i in range(DIM)])
         found.insert(0, "n", counts[at])
         found.insert(0, "bucket", at.astype(np.int32))
         yield found
 
-    fields = "bucket int, n bigint, " + ", ".join(f"v{i} int" for i in range(DIM))
+    fields = "bucket int, n bigint, " + ", ".join(f"v{i} bigint" for i in range(DIM))
     table = docs.select(F.col(text).alias("text")).mapInPandas(gather, fields)
     added = table.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(DIM)]).toPandas()
-    words, weight = np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS, np.float32)
+    words, weight = np.zeros((BUCKETS, DIM), np.float32), np.ones(BUCKETS, np.float32)
     at = added["bucket"].to_numpy()
     sums = added[[f"v{i}" for i in range(DIM)]].to_numpy(dtype=float)
     words[at] = sums / np.maximum(1, np.linalg.norm(sums, axis=1, keepdims=True))
