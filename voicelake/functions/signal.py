@@ -64,6 +64,7 @@ def signal_problem(samples: Column, rate: Column, tolerance: float = 0.0) -> Col
 
 
 def chunk_status(n: Column, min_tail: int) -> Column:
+    """What becomes of a whole recording: ok, empty, or too_short for a single chunk."""
     return F.when(n == 0, "empty").when(n < min_tail, "too_short").otherwise("ok")
 
 
@@ -98,30 +99,6 @@ def frames_of(samples: Column, frame: int) -> Column:
         F.array().cast("array<array<double>>"))
 
 
-def frame_rms(samples: Column, frame: int) -> Column:
-    return F.transform(frames_of(samples, frame), lambda f: F.sqrt(energy(f) / frame))
-
-
-def active_fraction(rms_values: Column, threshold: float) -> Column:
-    n = F.size(rms_values)
-    return F.when(n == 0, 0.0).otherwise(F.size(F.filter(rms_values, lambda r: r > threshold)) / n)
-
-
-def best_start(samples: Column, block_energy: Column, length: int, hop: int, block: int) -> Column:
-    """Start of the window of `length` samples with the most energy on a hop grid, and of the flush window at the end.
-
-    Energies come from sums over blocks (a common divisor of hop and length), so a sample is squared once. The earliest
-    start wins a tie.
-    """
-    n = F.size(samples)
-    grid = F.sequence(F.lit(0), F.greatest(F.floor((n - length) / hop).cast("int"), F.lit(0)))
-    window = F.transform(grid, lambda i: F.struct(
-        total(F.slice(block_energy, i * (hop // block) + 1, F.lit(length // block))).alias("energy"), (-i * hop).alias("minus")))
-    tail = F.struct(energy(F.slice(samples, n - length + 1, F.lit(length))).alias("energy"), (-(n - length)).alias("minus"))
-    best = F.array_max(F.when((n - length) % hop == 0, window).otherwise(F.concat(window, F.array(tail))))
-    return F.when(n <= length, 0).otherwise(-best["minus"])
-
-
 def loudness_profile(frame: int, bins: int):
     """An Arrow function for the loudness and zero-crossing profile of a clip on two fixed grids, L2-normalized.
 
@@ -156,15 +133,22 @@ def normalized(values: Column) -> Column:
     return F.when(norm > 0, F.transform(values, lambda x: x / norm)).otherwise(values)
 
 
-def resample_linear(samples: Column, up: int, down: int) -> Column:
-    """Samples on the grid of another rate: ceil(n * up / down) points, linear between neighbours."""
-    n = F.size(samples)
-    count = F.ceil(n * F.lit(up) / down).cast("int")
-    at = lambda j: j.cast("double") * down / up
-    low = lambda j: F.least(F.floor(at(j)).cast("int"), n - 1)
-    first = lambda j: F.element_at(samples, low(j) + 1)
-    value = lambda j: first(j) + (at(j) - low(j)) * (F.element_at(samples, F.least(low(j) + 2, n)) - first(j))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), value)).otherwise(F.array().cast("array<double>"))
+def interpolated(x: np.ndarray, at: int, n: int, first: int, count: int, up: int, down: int) -> np.ndarray:
+    """Points first .. first + count - 1 of a recording's grid at another rate, linear between neighbours.
+
+    `x` holds the recording's samples from `at` on, one neighbour beyond the last point included; `n` is its length.
+    """
+    points = np.arange(first, first + count, dtype=np.int64) * down
+    low = np.minimum(points // up, n - 1)
+    part = (points - low * up) / up
+    value = x[low - at]
+    return value + part * (x[np.minimum(low + 1, n - 1) - at] - value)
+
+
+def frame_loudness(x: np.ndarray, frame: int) -> np.ndarray:
+    """RMS of the whole frames from the first sample on; a partial last frame is dropped."""
+    whole = x[: len(x) // frame * frame].reshape(-1, frame)
+    return np.sqrt((whole * whole).sum(axis=1) / frame)
 
 
 def pad_right(values: Column, length: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Windows, fingerprints, duplicates and feature tables.
+"""Window policies and facts, fingerprints, duplicates and feature tables (windows are chosen in operators/blocks.py).
 
 Filters and joins on a derived array would be pushed below the projection that computes it and compute it again, inside
 lambdas once per element. Derived arrays are therefore written down (`cut`) before they are compared, and unnested with
@@ -40,24 +40,6 @@ class WindowPolicy:
         return whole(self.min_seconds), whole(self.max_seconds), max(1, whole(self.hop_seconds)), max(1, whole(self.frame_ms / 1000))
 
 
-def select_window(df: DataFrame, rate: int, policy: WindowPolicy, samples: str = "samples") -> DataFrame:
-    """Start, end and facts of the most energetic window of each clip, and why it is unusable when it is."""
-    shortest, longest, hop, frame = policy.samples(rate)
-    block = math.gcd(hop, longest)
-    s = F.col(samples)
-    staged = df.withColumn("__blocks", F.transform(fs.frames_of(s, block), fs.energy))
-    staged = staged.withColumn("start", F.when(F.size(s) < shortest, 0).otherwise(fs.best_start(s, F.col("__blocks"), longest, hop, block)))
-    staged = staged.withColumn("end", F.least(F.col("start") + longest, F.size(s)))
-    staged = staged.withColumn("__window", F.slice(s, F.col("start") + 1, F.greatest(F.col("end") - F.col("start"), F.lit(0))))
-    staged = staged.withColumn("__rms", fs.frame_rms(F.col("__window"), frame))
-    short = F.size(s) < shortest
-    facts = staged.withColumns({
-        "rms": F.when(short, 0.0).otherwise(fs.rms(F.col("__window"))), "peak": F.when(short, 0.0).otherwise(fs.peak(F.col("__window"))),
-        "active_fraction": F.when(short, 0.0).otherwise(fs.active_fraction(F.col("__rms"), policy.activity_rms))})
-    reason = F.when(short, "shorter_than_min_window").when(F.col("active_fraction") < policy.min_active, "insufficient_speech_activity")
-    return facts.withColumns({"silence": F.when(short, True).otherwise(F.col("rms") < policy.silence_rms), "reason": reason}).withColumnRenamed("__window", "window").drop("__blocks", "__rms")
-
-
 def window_facts(df: DataFrame, rate: int, original_rate: Column) -> DataFrame:
     """Seconds and original-rate offsets of a chosen window, rounded as they are stored."""
     return df.withColumns({
@@ -195,20 +177,3 @@ def contract_failures(frames: DataFrame, vec: str, dim: int) -> Column:
     return F.array_compact(F.array(
         F.when(v.isNull(), "missing"), F.when(F.size(v) != dim, "wrong_dimension"),
         F.when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | F.abs(x).isin(float("inf"))), "non_finite")))
-
-
-def prepare_windows(df: DataFrame, key: str, rate: int, policy: WindowPolicy, registry: DataFrame) -> DataFrame:
-    """From integer stereo samples to prepared windows: scale, downmix, gain, select, facts, digest, exact dedup.
-
-    Every input row comes out once, as kept or with the reason it is not.
-    """
-    mono = df.withColumn("__mono", fs.downmix(fs.pcm_scale(F.col("left"), F.lit(16)), fs.pcm_scale(F.col("right"), F.lit(16))))
-    mono = mono.withColumn("gain", fs.overflow_gain(F.col("__mono"))).withColumn("samples", F.transform("__mono", lambda x: x * F.col("gain"))).drop("__mono", "left", "right")
-    checked = mono.withColumn("problem", fs.signal_problem(F.col("samples"), F.lit(rate)))
-    chosen = select_window(checked.withColumn("samples", F.coalesce("samples", F.array().cast("array<double>"))), rate, policy)
-    digests = cut(window_facts(chosen, rate, F.lit(rate)).withColumn("digest", F.sha2(F.to_json("window"), 256)).drop("samples", "window"))
-    usable = digests.where("problem IS NULL AND reason IS NULL")
-    kept = dedup_exact(usable.select(key, "digest"), key, "digest", registry).select(key, "disposition")
-    return digests.join(kept, key, "left").withColumn("outcome", F.coalesce("problem", "reason", "disposition"))
-
-

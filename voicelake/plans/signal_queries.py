@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voicelake.functions import signal as fs
+from voicelake.operators import blocks
 from voicelake.operators import signal as sg
 from voicelake.operators import stats
 from voicelake.plans import standins as st
@@ -13,6 +14,7 @@ from voicelake.plans.registry import query, table
 from voicelake.plans.score_queries import rounded
 
 RATE = 100
+STRIDE = 1 << 16
 POLICY = sg.WindowPolicy(hop_seconds=0.5, frame_ms=40.0, activity_rms=0.2, min_active=0.55, silence_rms=0.25)
 SIG = f"WITH {st.SIGNAL}"
 PCM = """pcm AS (SELECT doc_id AS id, list_transform(string_split(text, ''), lambda c: CAST(unicode(c) % 256 AS INTEGER)) AS v FROM documents)"""
@@ -22,6 +24,27 @@ def _pcm(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256).alias("v"))
 
 
+def _pieces(spark: SparkSession, folder: str, overlap: int = 0) -> DataFrame:
+    """The waveforms of all documents in pieces."""
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return blocks.spread(rows, F.length("text"), STRIDE, overlap)
+
+
+def _piece_samples() -> Column:
+    return st.samples_of(F.col("piece_from"), F.col("piece_samples"))
+
+
+def _frame_report(spark: SparkSession, folder: str, frame: int, threshold: float) -> DataFrame:
+    return blocks.frame_report(_pieces(spark, folder), ["id"], _piece_samples(), frame, threshold)
+
+
+def _windows(spark: SparkSession, folder: str) -> DataFrame:
+    stride = STRIDE // POLICY.samples(RATE)[2] * POLICY.samples(RATE)[2]
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    pieces = blocks.spread(rows, F.length("text"), stride, POLICY.samples(RATE)[1])
+    return blocks.select_window(pieces, ["id"], _piece_samples(), RATE, POLICY, stride)
+
+
 @query("pcm_scale", f"WITH {PCM}" + """ SELECT id, round(list_sum(list_transform(v, lambda x: x / 32768.0::DOUBLE)), 6) AS wide, round(list_sum(list_transform(v, lambda x: (x - 128) / 128.0::DOUBLE)), 6) AS narrow, true AS rejected FROM pcm""")
 def pcm_scale(spark: SparkSession, folder: str) -> DataFrame:
     v = F.col("v")
@@ -54,10 +77,16 @@ SPANS = """n AS (SELECT doc_id AS id, length(text) AS n FROM documents), s AS (S
 spans AS (SELECT id, start, least(start + 400, n) AS "end", CASE WHEN least(start + 400, n) - start >= 100 THEN 'chunk' WHEN n < 100 THEN 'too_short' ELSE 'short_tail' END AS kind FROM s)"""
 
 
-@query("chunk_fixed", f"WITH {SPANS} SELECT * FROM spans")
+@query("chunk_fixed", f"""WITH {SPANS}, st AS (SELECT id, n, CASE WHEN n = 0 THEN 'empty' WHEN n < 100 THEN 'too_short' ELSE 'ok' END AS status FROM (SELECT id, CASE id % 10 WHEN 0 THEN 0 WHEN 1 THEN 37 ELSE n END AS n FROM n)),
+cut AS (SELECT id, n, status, unnest(CASE WHEN n = 0 THEN [NULL] ELSE range(0, n, 400) END) AS start FROM st)
+SELECT id, status, start, least(start + 400, n) AS "end", CASE WHEN start IS NULL THEN NULL WHEN least(start + 400, n) - start >= 100 THEN 'chunk' WHEN n < 100 THEN 'too_short' ELSE 'short_tail' END AS kind
+FROM (SELECT id, status, start, CASE WHEN start IS NULL THEN NULL ELSE n END AS n FROM cut)""")
 def chunk_fixed(spark: SparkSession, folder: str) -> DataFrame:
-    n = F.size("samples")
-    return st.signal(spark, folder).select("id", F.explode(fs.chunk_spans(n, 400, 100)).alias("s")).select("id", "s.*")
+    """Spans of every recording with its status; every tenth recording is empty here, and as many are too short."""
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n"))
+    cut = rows.withColumn("n", F.when(F.col("id") % 10 == 0, 0).when(F.col("id") % 10 == 1, 37).otherwise(F.col("n")))
+    spans = cut.select("id", fs.chunk_status(F.col("n"), 100).alias("status"), F.explode_outer(fs.chunk_spans(F.col("n"), 400, 100)).alias("s"))
+    return spans.select("id", "status", "s.*")
 
 
 @query("chunk_spans_udtf", f"WITH {SPANS} SELECT kind, count(*) AS spans, CAST(sum(\"end\" - start) AS BIGINT) AS samples FROM spans GROUP BY kind")
@@ -82,9 +111,7 @@ def silence_flag(spark: SparkSession, folder: str) -> DataFrame:
 fr AS (SELECT lx.id, p // 4 AS fr, sqrt(avg(x * x)) AS r FROM lx JOIN nn USING (id) WHERE p // 4 < m GROUP BY ALL), g AS (SELECT id, count(*) AS c, avg(r) AS a, count(*) FILTER (r > 0.2) AS k FROM fr GROUP BY id)
 SELECT id, m AS frames, round(a, 6) AS mean_rms, round(coalesce(k / c, 0), 6) AS active FROM nn LEFT JOIN g USING (id)""")
 def frame_rms(spark: SparkSession, folder: str) -> DataFrame:
-    rows = st.signal(spark, folder).select("id", fs.frame_rms(F.col("samples"), 4).alias("r"))
-    out = rows.select("id", F.size("r").cast("bigint").alias("frames"), F.when(F.size("r") > 0, fs.total(F.col("r")) / F.size("r")).alias("mean_rms"), fs.active_fraction(F.col("r"), 0.2).alias("active"))
-    return rounded(out, "mean_rms", "active")
+    return rounded(_frame_report(spark, folder, 4, 0.2), "mean_rms", "active")
 
 
 @query("active_fraction", SIG + """, lx AS MATERIALIZED (SELECT id, unnest(samples) AS x, generate_subscripts(samples, 1) - 1 AS p FROM signal), nn AS (SELECT id, len(samples) // 8 AS m FROM signal),
@@ -92,8 +119,7 @@ fr AS (SELECT lx.id, p // 8 AS fr, sqrt(avg(x * x)) AS r FROM lx JOIN nn USING (
 SELECT id, round(coalesce(k / c, 0), 6) AS active FROM nn LEFT JOIN g USING (id)""")
 def active_fraction(spark: SparkSession, folder: str) -> DataFrame:
     """Share of 80 ms frames louder than 0.3."""
-    rows = st.signal(spark, folder).select("id", fs.frame_rms(F.col("samples"), 8).alias("r"))
-    return rounded(rows.select("id", fs.active_fraction(F.col("r"), 0.3).alias("active")), "active")
+    return rounded(_frame_report(spark, folder, 8, 0.3).select("id", "active"), "active")
 
 
 BEST = """g AS (SELECT id, samples, len(samples) AS n, list_transform(list_distinct(list_concat(range(0, len(samples) - 400 + 1, 50), [len(samples) - 400])), lambda s: {'e': list_sum(list_transform(samples[s + 1:s + 400], lambda x: x * x)), 's': -s}) AS c FROM signal WHERE len(samples) > 400),
@@ -107,15 +133,14 @@ picked AS (SELECT *, CASE WHEN short THEN 'shorter_than_min_window' WHEN active
 
 @query("select_window", SIG + ", " + BEST + """ SELECT id, start, stop AS "end", round(rms, 6) AS rms, round(peak, 6) AS peak, round(active, 6) AS active_fraction, silence, reason FROM picked""")
 def select_window(spark: SparkSession, folder: str) -> DataFrame:
-    out = sg.select_window(st.signal(spark, folder), RATE, POLICY).select("id", "start", "end", "rms", "peak", "active_fraction", "silence", "reason")
+    out = _windows(spark, folder).select("id", "start", "end", "rms", "peak", "active_fraction", "silence", "reason")
     return rounded(out, "rms", "peak", "active_fraction")
 
 
 @query("window_facts", SIG + ", " + BEST + """ SELECT id, round(start / 100, 6) AS start_seconds, round(stop / 100, 6) AS end_seconds, round((stop - start) / 100, 6) AS duration_seconds, CAST(round_even(start * 441 / 100.0::DOUBLE, 0) AS BIGINT) AS original_start,
   CAST(round_even(stop * 441 / 100.0::DOUBLE, 0) AS BIGINT) AS original_end FROM picked""")
 def window_facts(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = sg.select_window(st.signal(spark, folder), RATE, POLICY)
-    return sg.window_facts(chosen, RATE, F.lit(441)).select("id", "start_seconds", "end_seconds", "duration_seconds", "original_start", "original_end")
+    return sg.window_facts(_windows(spark, folder), RATE, F.lit(441)).select("id", "start_seconds", "end_seconds", "duration_seconds", "original_start", "original_end")
 
 
 LONG_FRAMES = """lx AS MATERIALIZED (SELECT id, unnest(samples) AS x, generate_subscripts(samples, 1) - 1 AS p FROM signal),
@@ -179,8 +204,11 @@ def near_dup_top1(spark: SparkSession, folder: str) -> DataFrame:
 SELECT id, m AS length, round(list_sum(list_transform(range(0, m), lambda j: (samples[least(CAST(floor(j * 25 / 16.0::DOUBLE) AS BIGINT), n - 1) + 1] + (j * 25 / 16.0::DOUBLE - least(CAST(floor(j * 25 / 16.0::DOUBLE) AS BIGINT), n - 1)) *
   (samples[least(least(CAST(floor(j * 25 / 16.0::DOUBLE) AS BIGINT), n - 1) + 2, n)] - samples[least(CAST(floor(j * 25 / 16.0::DOUBLE) AS BIGINT), n - 1) + 1])) * (j + 1))), 3) AS weighted FROM r""")
 def resample_grid(spark: SparkSession, folder: str) -> DataFrame:
-    out = st.signal(spark, folder).select("id", fs.resample_linear(F.col("samples"), 16, 25).alias("r"))
-    return rounded(out.select("id", F.size("r").cast("bigint").alias("length"), fs.total(F.transform("r", lambda x, j: x * (j + 1))).alias("weighted")), "weighted", digits=3)
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    pieces = blocks.spread(rows, F.length("text"), STRIDE, 0, 16, 25)
+    points = blocks.regridded(_piece_samples(), F.lit(16), F.lit(25), F.length("text"))
+    sums = pieces.select("id", "grid_size", blocks.weighted_total(points).alias("part")).groupBy("id").agg(F.max("grid_size").alias("length"), F.sum("part").alias("weighted"))
+    return rounded(sums, "weighted", digits=3)
 
 
 @query("dedup_exact", """WITH f AS (SELECT doc_id, source, text, min(doc_id) OVER (PARTITION BY text) AS first FROM documents)
@@ -223,18 +251,24 @@ def signal_validate(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", fs.signal_problem(F.col("samples"), F.col("rate")).alias("problem"))
 
 
-# the same character codes as 16-bit stereo, right channel mirrored: mono = (v + reversed v) / 2, scaled
-STEREO = """src AS (SELECT doc_id AS id, source, list_transform(string_split(text, ''), lambda c: CAST((unicode(c) % 256 - 128) * 200 AS INTEGER)) AS l FROM documents),
-signal AS (SELECT id, source, list_transform(l, lambda x, i: (x / 32768.0::DOUBLE + l[len(l) + 1 - i] / 32768.0::DOUBLE) / 2) AS samples FROM src)"""
+# the same character codes as 16-bit stereo at one, half or twice the rate, right channel mirrored: mono = (v + reversed v) / 2
+STEREO = """src AS (SELECT doc_id AS id, source, list_transform(string_split(text, ''), lambda c: CAST((unicode(c) % 256 - 128) * 200 AS INTEGER)) AS l FROM documents WHERE text <> ''),
+mono AS (SELECT id, source, list_transform(l, lambda x, i: (x / 32768.0::DOUBLE + l[len(l) + 1 - i] / 32768.0::DOUBLE) / 2) AS m, len(l) AS n FROM src),
+signal AS (SELECT id, source, CASE id % 3 WHEN 0 THEN m WHEN 1 THEN list_transform(range(0, 2 * n), lambda j: (m[j // 2 + 1] + m[least(j // 2 + j % 2, n - 1) + 1]) / 2)
+  ELSE list_transform(range(0, (n + 1) // 2), lambda j: m[2 * j + 1]) END AS samples FROM mono)"""
 
 
 @query("prepare_windows", f"WITH {STEREO}, {BEST}" + """, u AS (SELECT id, win FROM picked WHERE reason IS NULL), d AS (SELECT id, CASE WHEN id = min(id) OVER (PARTITION BY win) THEN 'kept' ELSE 'duplicate' END AS disposition FROM u)
-SELECT p.id, p.start, p.stop AS "end", round(p.rms, 4) AS rms, round(p.active, 4) AS active_fraction, coalesce(p.reason, d.disposition) AS outcome FROM picked p LEFT JOIN d USING (id)""")
+SELECT p.id, p.start, p.stop AS "end", round(p.rms, 4) AS rms, round(p.active, 4) AS active_fraction, coalesce(p.reason, d.disposition) AS outcome FROM picked p LEFT JOIN d USING (id)
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'empty' FROM documents WHERE coalesce(text, '') = ''""")
 def prepare_windows(spark: SparkSession, folder: str) -> DataFrame:
-    left = F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 256 - 128) * 200)
-    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), left.alias("left")).withColumn("right", F.reverse("left"))
+    """Recordings of three rates in one table."""
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("rate", F.when(F.col("id") % 3 == 0, RATE).when(F.col("id") % 3 == 1, RATE // 2).otherwise(2 * RATE))
+    scale = 1 / 200  # 16-bit integers: 200 times the centred code
+    channels = lambda first, count: (st.samples_of(first, count, scale), st.samples_of(first, count, scale, F.reverse("text")))
     nothing = rows.select(F.lit("").alias("digest")).where("digest <> ''")
-    out = sg.prepare_windows(rows, "id", RATE, POLICY, nothing)
+    out = blocks.prepare_windows(rows, "id", F.length("text"), F.col("rate"), channels, RATE, POLICY, nothing)
     return rounded(out.select("id", "start", "end", "rms", "active_fraction", "outcome"), "rms", "active_fraction", digits=4)
 
 
@@ -243,5 +277,5 @@ SELECT source, count(*) AS rows, count(*) FILTER (old > 400) AS over_before, cou
 def refresh_derived(spark: SparkSession, folder: str) -> DataFrame:
     """Recompute window facts where the stored ones are stale: rows, over-length before and after, changed."""
     stored = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, F.col("n_chars")).otherwise(F.least("n_chars", F.lit(400))).alias("old"), "source")
-    fresh = sg.select_window(st.signal(spark, folder), RATE, POLICY).select("id", (F.col("end") - F.col("start")).alias("new"))
+    fresh = _windows(spark, folder).select("id", (F.col("end") - F.col("start")).alias("new"))
     return stored.join(fresh, "id").groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("old") > 400).alias("over_before"), F.count_if(F.col("new") > 400).alias("over_after"), F.count_if(F.col("old") != F.col("new")).alias("changed"))
