@@ -3,13 +3,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from voicelake.functions import signal as fs
 from voicelake.operators import blocks
 from voicelake.operators.signal import WindowPolicy
-from voicelake.plans.registry import QUERIES
+from voicelake.plans.catalog import QUERIES
 
 POLICY = WindowPolicy(min_seconds=0.5, max_seconds=2.0, hop_seconds=0.3, frame_ms=70, activity_rms=0.3, min_active=0.4, silence_rms=0.2)
 RATE = 20  # windows of 40 samples on a grid of 6, frames of 1
@@ -40,8 +41,22 @@ def table(spark, rows):
     return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "id long, samples array<double>")
 
 
+def part(column, first, count):
+    return blocks.stored(F.slice(column, (first + 1).cast("int"), count.cast("int")))
+
+
 def cut_piece():
-    return F.slice("samples", (F.col("piece_from") + 1).cast("int"), F.col("piece_samples").cast("int"))
+    return part("samples", F.col("piece_from"), F.col("piece_samples"))
+
+
+def points(spec):
+    """The points of a piece as a column."""
+    one = spec.read
+
+    def read(*v: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(*v)])
+
+    return F.pandas_udf(read, "array<double>")(*spec.columns)
 
 
 @pytest.mark.parametrize("stride", [6, 12, 60, 6000])
@@ -68,10 +83,10 @@ def test_frames_across_pieces(spark, stride):
 def test_another_rate_across_pieces(spark, up, down, stride):
     rows = [x for x in clips() if len(x)]
     pieces = blocks.spread(table(spark, rows), F.size("samples"), stride, 0, up, down)
-    points = blocks.regridded(cut_piece(), F.lit(up), F.lit(down), F.size("samples"))
+    spec = blocks.regridded(cut_piece(), F.lit(up), F.lit(down), F.size("samples"))
     found = {}
-    for r in pieces.select("id", "piece_first", points.alias("y"), "grid_size").collect():
-        found.setdefault(r.id, []).append((r.piece_first, blocks.floats(r.y), r.grid_size))
+    for r in pieces.select("id", "piece_first", points(spec).alias("y"), "grid_size").collect():
+        found.setdefault(r.id, []).append((r.piece_first, r.y, r.grid_size))
     for i, x in enumerate(rows):
         got = np.concatenate([y for _, y, _ in sorted(found[i])])
         place = np.arange(math.ceil(len(x) * up / down)) * down / up
@@ -84,7 +99,7 @@ def test_prepared_recordings_have_one_outcome_each(spark):
     loud = (rng.random(500) * 60000 - 30000).astype(int).tolist()
     rows = [(1, 20, loud), (2, 20, loud), (3, 10, loud[:100]), (4, 0, loud), (5, 20, []), (6, 20, [0] * 100), (7, 20, loud[:5]), (8, None, loud), (9, 40, loud)]
     table_ = spark.createDataFrame(rows, "id long, rate int, left array<int>")
-    channels = lambda first, count: (F.slice("left", (first + 1).cast("int"), count.cast("int")),) * 2
+    channels = lambda first, count: (part("left", first, count),) * 2
     nothing = spark.createDataFrame([], "digest string")
     found = blocks.prepare_windows(table_, "id", F.size("left"), F.col("rate"), channels, RATE, POLICY, nothing, stride=60)
     got = {r.id: r.outcome for r in found.collect()}
@@ -95,7 +110,7 @@ def test_gain_comes_from_the_whole_recording(spark):
     quiet = [8000] * 400
     rows = [(1, 20, quiet + [65536]), (2, 20, quiet)]  # the loud sample lies in another piece than the best window may
     table_ = spark.createDataFrame(rows, "id long, rate int, left array<int>")
-    channels = lambda first, count: (F.slice("left", (first + 1).cast("int"), count.cast("int")),) * 2
+    channels = lambda first, count: (part("left", first, count),) * 2
     policy = WindowPolicy(min_seconds=0.5, max_seconds=2.0, hop_seconds=0.3, frame_ms=70, activity_rms=0.0, min_active=0, silence_rms=0)
     got = {r.id: r.peak for r in blocks.prepare_windows(table_, "id", F.size("left"), F.col("rate"), channels, RATE, policy, spark.createDataFrame([], "digest string"), stride=60).collect()}
     assert got[1] == 1.0 and abs(got[2] - 8000 / 32768) < 1e-8

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,9 +26,39 @@ STRIDE = 1 << 16
 PIECE = ("piece_first", "piece_points", "piece_from", "piece_samples", "grid_size")
 
 
-def floats(values: object) -> np.ndarray:
-    """Samples of a piece, from an array or from 64-bit floats in binary."""
-    return np.frombuffer(values) if isinstance(values, (bytes, bytearray, memoryview)) else np.asarray(values, dtype=float)
+class Points(NamedTuple):
+    """The points of a piece: columns of its row, and what makes an array of them inside a kernel."""
+
+    columns: Sequence[Column]
+    read: Callable[..., np.ndarray]
+
+
+def stored(samples: Column) -> Points:
+    """Samples that lie in an array."""
+    return Points([samples], lambda x: np.asarray(x, dtype=float))
+
+
+def downmixed(left: Points, right: Points, full_scale: float = 32768.0) -> Points:
+    """The mean of two channels of integer samples, scaled to [-1, 1]."""
+    n, one, other = len(left.columns), left.read, right.read
+    return Points([*left.columns, *right.columns], lambda *v: (one(*v[:n]) / full_scale + other(*v[n:]) / full_scale) / 2)
+
+
+def regridded(points: Points, up: Column, down: Column, n: Column) -> Points:
+    """The points of a piece at another rate from its samples (see `spread`); at its own rate it stays as it is."""
+
+    samples = points.read
+
+    def read(u, d, size, first, count, at, *values):  # noqa: ANN001, ANN202
+        x, u, d, count = samples(*values), int(u), int(d), int(count)
+        return x[:count] if u == d or not count else fs.interpolated(x, int(at), int(size), int(first), count, u, d)
+
+    return Points([up, down, n, *[F.col(c) for c in ("piece_first", "piece_points", "piece_from")], *points.columns], read)
+
+
+def amplified(points: Points, gain: Column) -> Points:
+    read = points.read
+    return Points([gain, *points.columns], lambda g, *values: read(*values) * g)
 
 
 def spread(df: DataFrame, n: Column, stride: int, overlap: int = 0, up: Column | int = 1, down: Column | int = 1) -> DataFrame:
@@ -48,18 +79,20 @@ def spread(df: DataFrame, n: Column, stride: int, overlap: int = 0, up: Column |
     return rows.drop("__n", "__up", "__down")
 
 
-def frame_report(pieces: DataFrame, key: Sequence[str], samples: Column, frame: int, threshold: float) -> DataFrame:
+def frame_report(pieces: DataFrame, key: Sequence[str], points: Points, frame: int, threshold: float) -> DataFrame:
     """Frames, mean RMS (NULL without frames) and share of frames above the threshold of every recording.
 
     The stride of the pieces is a multiple of the frame, so no frame lies in two pieces.
     """
 
+    read = points.read
+
     @F.pandas_udf("frames bigint, loudness double, active bigint")
-    def measure(values: pd.Series) -> pd.DataFrame:
-        found = [fs.frame_loudness(floats(x), frame) for x in values]
+    def measure(*values: pd.Series) -> pd.DataFrame:
+        found = [fs.frame_loudness(read(*v), frame) for v in zip(*values)]
         return pd.DataFrame({"frames": [len(r) for r in found], "loudness": [float(r.sum()) for r in found], "active": [int((r > threshold).sum()) for r in found]})
 
-    sums = pieces.select(*key, measure(samples).alias("m")).groupBy(*key).agg(*[F.sum(f"m.{c}").alias(c) for c in ("frames", "loudness", "active")])
+    sums = pieces.select(*key, measure(*points.columns).alias("m")).groupBy(*key).agg(*[F.sum(f"m.{c}").alias(c) for c in ("frames", "loudness", "active")])
     share = lambda c: F.col(c) / F.nullif("frames", F.lit(0))
     return sums.select(*key, "frames", share("loudness").alias("mean_rms"), F.coalesce(share("active"), F.lit(0.0)).alias("active"))
 
@@ -94,7 +127,7 @@ def _window(x: np.ndarray, first: int, size: int, stride: int, lengths: tuple[in
 FACTS = "energy double, start bigint, end bigint, rms double, peak double, active_fraction double, digest string"
 
 
-def select_window(pieces: DataFrame, key: Sequence[str], samples: Column, rate: int, policy: WindowPolicy, stride: int) -> DataFrame:
+def select_window(pieces: DataFrame, key: Sequence[str], points: Points, rate: int, policy: WindowPolicy, stride: int) -> DataFrame:
     """Start, end and facts of the most energetic window of each recording, and why it is unusable when it is.
 
     Windows start on the hop grid or end with the recording; the earliest start wins a tie. `pieces` overlap by the
@@ -104,13 +137,15 @@ def select_window(pieces: DataFrame, key: Sequence[str], samples: Column, rate:
     if stride % lengths[2]:
         raise ValueError("the stride must be a multiple of the hop")
 
+    read = points.read
+
     @F.pandas_udf(FACTS)
-    def best(values: pd.Series, first: pd.Series, size: pd.Series) -> pd.DataFrame:
+    def best(first: pd.Series, size: pd.Series, *values: pd.Series) -> pd.DataFrame:
         names = [f.split()[0] for f in FACTS.split(", ")]
-        found = [_window(floats(x), int(a), int(n), stride, lengths, policy) for x, a, n in zip(values, first, size)]
+        found = [_window(read(*v), int(a), int(n), stride, lengths, policy) for a, n, *v in zip(first, size, *values)]
         return pd.DataFrame([f or (None,) * len(names) for f in found], columns=names).astype({"start": "Int64", "end": "Int64"})
 
-    measured = pieces.select(*key, best(samples, F.col("piece_first"), F.col("grid_size")).alias("w"), F.col("grid_size"))
+    measured = pieces.select(*key, best(F.col("piece_first"), F.col("grid_size"), *points.columns).alias("w"), F.col("grid_size"))
     ranked = F.struct("w.energy", (-F.col("w.start")).alias("minus"), F.col("w"))
     top = measured.groupBy(*key).agg(F.max(F.when(F.col("w.start").isNotNull(), ranked)).alias("m"), F.max("grid_size").alias("size"))
     short = F.col("size") < lengths[0]
@@ -121,33 +156,20 @@ def select_window(pieces: DataFrame, key: Sequence[str], samples: Column, rate:
     })
 
 
-def regridded(samples: Column, up: Column, down: Column, n: Column) -> Column:
-    """The points of a piece from its samples (see `spread`); a piece at the recording's own rate stays as it is."""
-
-    @F.pandas_udf("binary")
-    def points(values: pd.Series, up: pd.Series, down: pd.Series, n: pd.Series, first: pd.Series, count: pd.Series, at: pd.Series) -> pd.Series:
-        out = []
-        for x, u, d, size, j, m, a in zip(values, up, down, n, first, count, at):
-            x = floats(x)
-            y = x[: int(m)] if u == d else fs.interpolated(x, int(a), int(size), int(j), int(m), int(u), int(d)) if m else x[:0]
-            out.append(y.tobytes())
-        return pd.Series(out)
-
-    return points(samples, up, down, n, *[F.col(c) for c in ("piece_first", "piece_points", "piece_from")])
-
-
-def weighted_total(points: Column) -> Column:
+def weighted_total(points: Points) -> Column:
     """Sum of a piece's own points times their place in the recording, from 1: a checksum that sees order."""
 
+    read = points.read
+
     @F.pandas_udf("double")
-    def total(values: pd.Series, first: pd.Series) -> pd.Series:
-        return pd.Series([float(y @ np.arange(a + 1, a + 1 + len(y))) for y, a in zip(map(floats, values), first)], dtype=float)
+    def total(first: pd.Series, *values: pd.Series) -> pd.Series:
+        return pd.Series([float(y @ np.arange(a + 1, a + 1 + len(y))) for a, y in ((a, read(*v)) for a, *v in zip(first, *values))], dtype=float)
 
-    return total(points, F.col("piece_first"))
+    return total(F.col("piece_first"), *points.columns)
 
 
 def prepare_windows(
-    recordings: DataFrame, key: str, n: Column, source_rate: Column, channels: Callable[[Column, Column], tuple[Column, Column]], rate: int, policy: WindowPolicy,
+    recordings: DataFrame, key: str, n: Column, source_rate: Column, channels: Callable[[Column, Column], tuple[Points, Points]], rate: int, policy: WindowPolicy,
     registry: DataFrame, stride: int = STRIDE,
 ) -> DataFrame:
     """From 16-bit stereo recordings of any rate to prepared windows: scale, downmix, rate, gain, select, facts, dedup.
@@ -160,25 +182,19 @@ def prepare_windows(
     named = recordings.withColumns({"__rate": source_rate.cast("bigint"), "__size": n.cast("bigint")})
     usable = named.where("__rate > 0 AND __size > 0")
     pieces = spread(usable, F.col("__size"), stride, longest, F.lit(rate), F.col("__rate"))
-    left, right = channels(F.col("piece_from"), F.col("piece_samples"))
+    points = regridded(downmixed(*channels(F.col("piece_from"), F.col("piece_samples"))), F.lit(rate), F.col("__rate"), F.col("__size"))
 
-    @F.pandas_udf("binary")
-    def mono(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([((floats(x) / 32768.0 + floats(y) / 32768.0) / 2).tobytes() for x, y in zip(a, b)])
+    read = points.read
 
     @F.pandas_udf("struct<peak: double, finite: boolean>")
-    def loudest(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"peak": [float(np.abs(floats(x)).max(initial=0)) for x in values], "finite": [bool(np.isfinite(floats(x)).all()) for x in values]})
-
-    @F.pandas_udf("binary")
-    def louder(values: pd.Series, gain: pd.Series) -> pd.Series:
-        return pd.Series([(floats(x) * g).tobytes() for x, g in zip(values, gain)])
+    def loudest(*values: pd.Series) -> pd.DataFrame:
+        found = [read(*v) for v in zip(*values)]
+        return pd.DataFrame({"peak": [float(np.abs(x).max(initial=0)) for x in found], "finite": [bool(np.isfinite(x).all()) for x in found]})
 
-    points = regridded(mono(left, right), F.lit(rate), F.col("__rate"), F.col("__size"))
-    peaks = pieces.select(key, loudest(points).alias("l")).groupBy(key).agg(F.max("l.peak").alias("peak"), F.min("l.finite").alias("finite"))
+    peaks = pieces.select(key, loudest(*points.columns).alias("l")).groupBy(key).agg(F.max("l.peak").alias("peak"), F.min("l.finite").alias("finite"))
     gains = cut(peaks.select(key, F.when(F.col("peak") > 1, 1 / F.col("peak")).otherwise(1.0).alias("gain"), "finite"))
     ready = pieces.join(gains.where("finite"), key)
-    chosen = select_window(ready, [key], louder(points, F.col("gain")), rate, policy, stride)
+    chosen = select_window(ready, [key], amplified(points, F.col("gain")), rate, policy, stride)
     facts = cut(window_facts(chosen, rate, F.lit(rate)))
     kept = dedup_exact(facts.where("reason IS NULL").select(key, "digest"), key, "digest", registry).select(key, "disposition")
     problem = F.when(F.col("__size") <= 0, "empty").when(F.col("__rate").isNull() | (F.col("__rate") <= 0), "bad_sample_rate").when(~F.col("finite"), "non_finite")

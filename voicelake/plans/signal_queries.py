@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voicelake.functions import signal as fs
@@ -30,7 +30,7 @@ def _pieces(spark: SparkSession, folder: str, overlap: int = 0) -> DataFrame:
     return blocks.spread(rows, F.length("text"), STRIDE, overlap)
 
 
-def _piece_samples() -> Column:
+def _piece_samples() -> blocks.Points:
     return st.samples_of(F.col("piece_from"), F.col("piece_samples"))
 
 

@@ -15,10 +15,10 @@ fnames     `orders`: file names, some of them broken on purpose
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voicelake.operators.blocks import Points
 from voicelake.plans.registry import table
 
 MANIFEST = """manifest AS (
@@ -193,17 +193,10 @@ def signal(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "lang", "source", samples.alias("samples"))
 
 
-def samples_of(first: Column, count: Column, scale: float = 128.0, text: Column | None = None) -> Column:
-    """`count` samples of the waveform of a document from `first` on: code points modulo 256, around zero, over `scale`.
-
-    They are 64-bit floats in binary, which pass between Arrow kernels without a conversion of each sample.
-    """
-
-    @F.pandas_udf("binary")
-    def decoded(parts: pd.Series) -> pd.Series:
-        return pd.Series([((np.frombuffer((t or "").encode("utf-32-le"), np.uint32) % 256 - 128.0) / scale).tobytes() for t in parts])
-
-    return decoded((F.col("text") if text is None else text).substr((first + 1).cast("int"), count.cast("int")))
+def samples_of(first: Column, count: Column, scale: float = 128.0, text: Column | None = None) -> Points:
+    """`count` samples of the waveform of a document from `first` on: code points modulo 256, around zero, over `scale`."""
+    part = (F.col("text") if text is None else text).substr((first + 1).cast("int"), count.cast("int"))
+    return Points([part], lambda t: (np.frombuffer((t or "").encode("utf-32-le"), np.uint32) % 256 - 128.0) / scale)
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
