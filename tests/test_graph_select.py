@@ -119,6 +119,40 @@ def trimmed_by_walking(rows, cap):
     return log
 
 
+def test_paths_equal_a_plain_search(spark):
+    rng = random.Random(9)
+    edges = [(f"n{rng.randint(0, 60):02}", f"n{rng.randint(0, 60):02}", rng.choice(["source", "target"]), f"w{rng.randint(0, 500)}") for _ in range(75)]
+    edges += [("alone", "alone", "source", "w0"), ("far1", "far2", "target", "w1")]
+    anchors, starts = ["n00", "n17", "off"], [f"n{i:02}" for i in range(61)] + ["far1", "n00", "n05", "unknown"]
+    table = spark.createDataFrame(edges, "a string, b string, side string, row string")
+    nodes = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
+    reached = graph.distances(table, nodes(anchors))
+    got = {}
+    for r in graph.paths(nodes(starts), reached, table, ("side", "row")).collect():
+        got.setdefault(r.start, []).append((r.step, r.node, r.next, (r.side, r.row)))
+    around, claim = {}, {}
+    for a, b, side, row in edges:
+        if a != b:
+            around.setdefault(a, set()).add(b)
+            around.setdefault(b, set()).add(a)
+            key = frozenset((a, b))
+            claim[key] = min(claim.get(key, (side, row)), (side, row))
+    level, distance = set(anchors), dict.fromkeys(anchors, 0)
+    while level:
+        level = {n for x in level for n in around.get(x, ()) if n not in distance}
+        distance.update(dict.fromkeys(level, max(distance.values()) + 1))
+    want = {}
+    for start in set(starts):
+        node, steps = start, []
+        while distance.get(node):
+            following = min(n for n in around[node] if distance.get(n) == distance[node] - 1)
+            steps.append((len(steps) + 1, node, following, claim[frozenset((node, following))]))
+            node = following
+        if steps:
+            want[start] = steps
+    assert {k: sorted(v) for k, v in got.items()} == want and max(map(len, want.values())) > 2
+
+
 def test_budget_trim_equals_the_walk(spark):
     import random
 

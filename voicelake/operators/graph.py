@@ -140,6 +140,28 @@ def distances(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return anchors.sparkSession.read.schema(levels[0].schema).parquet(*[level._work_path for level in levels])
 
 
+def paths(starts: DataFrame, reached: DataFrame, claims: DataFrame, provenance: Sequence[str]) -> DataFrame:
+    """The edges of one shortest path from each start node to an anchor, with who claims them.
+
+    `reached` is the result of `distances`: each node knows the next one towards its anchor, so all paths are followed at
+    once, one join a step, each step a table of its own. Of several claims for an edge, in either direction, the smallest is named.
+    Rows are (start, step from 1, node, next, provenance); a start that is an anchor or reaches none has no row.
+    """
+    onward = cut(reached.where("previous IS NOT NULL").select("node", F.col("previous").alias("next"), "distance"))
+    ends = F.struct(*[F.col(c) for c in provenance])
+    named = claims.where("a <> b").groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min(ends).alias("claim"))
+    used = onward.select(F.least("node", "next").alias("low"), F.greatest("node", "next").alias("high"))
+    named = cut(named.join(used.distinct(), ["low", "high"], "left_semi"))
+    step = cut(starts.select(F.col("node").alias("start"), "node").distinct().join(onward, "node").select("start", F.lit(1).alias("step"), "node", "next", "distance"))
+    steps = [step]
+    while not steps[-1].where("distance > 1").isEmpty():
+        ahead = steps[-1].where("distance > 1").select("start", (F.col("step") + 1).alias("step"), F.col("next").alias("node"))
+        steps.append(cut(ahead.join(onward, "node").select("start", "step", "node", "next", "distance")))
+    walked = starts.sparkSession.read.schema(step.schema).parquet(*[s._work_path for s in steps])
+    edge = walked.withColumns({"low": F.least("node", "next"), "high": F.greatest("node", "next")})
+    return edge.join(named, ["low", "high"]).select("start", "step", "node", "next", *[F.col(f"claim.{c}").alias(c) for c in provenance])
+
+
 def component_summary(components: DataFrame, item: str) -> DataFrame:
     """Size and smallest and largest member per component (the member list itself stays in long form)."""
     return components.groupBy("component").agg(F.count("*").alias("members"), F.min(item).alias("first"), F.max(item).alias("last"))
@@ -148,7 +170,8 @@ def component_summary(components: DataFrame, item: str) -> DataFrame:
 def labelled_by_variant(edges: DataFrame, variants: Sequence[str], variant: str = "variant") -> DataFrame:
     """Components of several graphs in one run: the variant is part of the node key."""
     sep = "|"
-    scoped = edges.select(F.concat_ws(sep, variant, "a").alias("a"), F.concat_ws(sep, variant, "b").alias("b"))
+    named = edges.where(F.col(variant).isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())  # concat_ws would shift a null
+    scoped = named.select(F.concat_ws(sep, variant, "a").alias("a"), F.concat_ws(sep, variant, "b").alias("b"))
     labels = connected_components(scoped)
     cutoff = lambda c: F.regexp_replace(c, r"^[^|]*\|", "")
     return labels.select(F.split_part("node", F.lit(sep), F.lit(1)).alias(variant), cutoff("node").alias("node"), cutoff("component").alias("component")).where(

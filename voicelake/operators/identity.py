@@ -95,6 +95,14 @@ def side_nodes(language: Column, declared: Column, recorded: Column, reference:
 def closure_edges(manifest: DataFrame, inventory: DataFrame, cross_sides: bool = False) -> DataFrame:
     """Edges of the admissible relationships: star edges per side of a synthetic row, record-speaker and record-reference
     per inventory row. `cross_sides` also joins the two sides of a row (the strict diagnostic)."""
+    return closure_claims(manifest, inventory, cross_sides).select("a", "b").distinct()
+
+
+def closure_claims(manifest: DataFrame, inventory: DataFrame, cross_sides: bool = False) -> DataFrame:
+    """The same edges as often as something claims them: (a, b, side, row, generator).
+
+    `side` is source, target, cross (both sides of a row joined) or inventory; `row` is the window or the inventory row.
+    """
     from voicelake.operators.graph import star_edges
 
     language = lang_normalize(F.col("spoken_language"))
@@ -102,10 +110,12 @@ def closure_edges(manifest: DataFrame, inventory: DataFrame, cross_sides: bool =
     synthetic = manifest.where(F.col("dataset_id") == SYNTHETIC_CORPUS)
     source = side_nodes(language, F.col("source_speaker"), none, F.col("source_reference"))
     target = side_nodes(language, F.col("target_speaker"), none, F.col("target_reference"))
-    sides = F.array(F.concat(source, target)) if cross_sides else F.array(source, target)
-    edges = star_edges(synthetic.select(F.explode(sides).alias("side")), F.col("side"))
+    named = lambda side, nodes: F.struct(F.lit(side).alias("side"), nodes.alias("nodes"))
+    sides = F.array(named("cross", F.concat(source, target))) if cross_sides else F.array(named("source", source), named("target", target))
+    each = synthetic.select(F.col("window_id").alias("row"), "generator", F.explode(sides).alias("s")).select("s.side", "row", "generator", "s.nodes")
+    claims = star_edges(each, F.col("nodes"), ("side", "row", "generator"))
     j = scoped_key("j", F.col("language"), numeric_id(F.col("record_id")))
     s = scoped_key("s", F.col("language"), numeric_id(F.col("speaker")))
     r = scoped_key("r", F.col("language"), parse_reference(F.col("fname"))["canonical"])
-    known = star_edges(inventory.select(F.array(j, s, r).alias("k")), F.col("k"))
-    return edges.unionByName(known).distinct()
+    rows = inventory.select(F.lit("inventory").alias("side"), F.col("row_key").alias("row"), none.alias("generator"), F.array(j, s, r).alias("k"))
+    return claims.unionByName(star_edges(rows, F.col("k"), ("side", "row", "generator"))).select("a", "b", "side", "row", "generator")

@@ -165,15 +165,39 @@ def closure_variants(spark: SparkSession, folder: str) -> DataFrame:
     return hits.groupBy("variant").agg(F.count("*").alias("flagged"))
 
 
-@query("closure_path", f"WITH RECURSIVE {CLOSURE}, {ANCHORS}, s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), " + """
+@query("closure_distance", f"WITH RECURSIVE {CLOSURE}, {ANCHORS}, s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), " + """
 d(node, distance) USING KEY (node) AS (SELECT DISTINCT node, 0 FROM anchors UNION
   SELECT s.b AS node, min(d.distance) + 1 AS distance FROM d JOIN s ON s.a = d.node LEFT JOIN recurring.d r ON r.node = s.b WHERE r.node IS NULL GROUP BY s.b)
 SELECT node, CAST(distance AS INTEGER) AS distance FROM d""")
-def closure_path(spark: SparkSession, folder: str) -> DataFrame:
+def closure_distance(spark: SparkSession, folder: str) -> DataFrame:
     _, edges, anchors = closure_inputs(spark, folder)
     return graph.distances(edges, anchors).select("node", "distance")
 
 
+# every claim of an edge: the star of a side or of an inventory row, with that side and row
+CLAIMED = """ce AS (SELECT CASE WHEN hd THEN d ELSE s END AS a, unnest(list_filter([CASE WHEN hd THEN d END, CASE WHEN hp THEN s END, CASE WHEN hp THEN r END, CASE WHEN hp THEN j END], lambda x: x IS NOT NULL)) AS b,
+  role AS side, window_id AS row, generator FROM side JOIN (SELECT window_id, generator FROM manifest) USING (window_id) WHERE hd OR hp
+  UNION ALL SELECT concat('j:', language, ':', record_id), unnest(list_filter([concat('s:', language, ':', speaker), CASE WHEN fname LIKE '%.m4a' THEN concat('r:', language, ':', replace(fname, '.m4a', '')) END], lambda x: x IS NOT NULL)),
+  'inventory', row_key, NULL FROM inventory),
+claim AS (SELECT least(a, b) AS low, greatest(a, b) AS high, min(struct_pack(side := side, row := row)) AS c FROM ce WHERE a <> b GROUP BY ALL)"""
+
+
+@query("closure_path", f"WITH RECURSIVE {CLOSURE}, {CLAIMED}, {ANCHORS}, s AS MATERIALIZED (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), " + """
+d(node, distance) USING KEY (node) AS (SELECT DISTINCT node, 0 FROM anchors UNION
+  SELECT s.b AS node, min(d.distance) + 1 AS distance FROM d JOIN s ON s.a = d.node LEFT JOIN recurring.d r ON r.node = s.b WHERE r.node IS NULL GROUP BY s.b),
+dd AS MATERIALIZED (SELECT * FROM d),
+o AS MATERIALIZED (SELECT x.node, min(y.node) AS next FROM dd x JOIN s ON s.b = x.node JOIN dd y ON y.node = s.a AND y.distance = x.distance - 1 GROUP BY x.node),
+p AS (SELECT o.node AS start, 1 AS step, o.node, o.next FROM o SEMI JOIN (SELECT node FROM keys WHERE split = 'test') k USING (node)
+  UNION ALL SELECT p.start, p.step + 1, o.node, o.next FROM p JOIN o ON o.node = p.next)
+SELECT start, step, node, next, c.side AS side, c.row AS row, generator FROM p JOIN claim ON low = least(node, next) AND high = greatest(node, next) LEFT JOIN manifest ON window_id = c.row AND c.side <> 'inventory'""")
+def closure_path(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges that connect identities of test windows with prior exposure, and the rows that claim them."""
+    rows, edges, anchors = closure_inputs(spark, folder)
+    starts = identity.row_keys(rows.where("split = 'test'")).select("node")
+    claims = identity.closure_claims(rows, st.inventory(spark, folder))
+    return graph.paths(starts, graph.distances(edges, anchors), claims, ("side", "row", "generator"))
+
+
 @query("spanning_components", f"WITH RECURSIVE {CLAIMS}, e AS (SELECT min(node) OVER (PARTITION BY window_id) AS a, node AS b FROM keys), " + COMPONENTS.format(s="", e="e") + """,
 w AS (SELECT DISTINCT c.component, k.split FROM keys k JOIN cc c USING (node))
 SELECT component, count(*) AS splits, string_agg(split, ',' ORDER BY split) AS names FROM w GROUP BY component HAVING splits > 1""")
