@@ -20,24 +20,60 @@ def landed(spark, rows, order):
     return path
 
 
-@pytest.mark.parametrize("in_two_runs", [False, True])
-def test_arrival_order_does_not_matter(spark, in_two_runs):
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [4, 2, 0, 3, 1]])
+def test_no_row_is_lost_whatever_the_order(spark, order):
+    """Lots arrive one run after the other; rows behind the watermark are kept beside the windows that have closed."""
     rows = spark.range(1000).select(
-        F.col("id").alias("k"), (F.col("id") % 100).alias("file_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 97 % 5000).alias("ts"), (F.col("id") % 7 / 8).alias("score"))
-    found = []
-    for order in ([0, 1, 2, 3, 4], [4, 2, 0, 3, 1]):
-        out, check, out2, check2 = (work_path(spark, n) for n in ("o", "c", "o2", "c2"))
-        path = landed(spark, rows, order[:2] if in_two_runs else order)
-        for _ in range(2 if in_two_runs else 1):
-            files = jobs.chunk_scores(spark, path, rows.schema, 0.5, out, check)
-            windows = jobs.event_windows(spark, path, rows.schema, "ts", "score", "4 seconds", out2, check2)
-            if in_two_runs and files.count() < 101:
-                for part in order[2:]:
-                    rows.where(F.col("k") % 5 == part).coalesce(1).write.mode("append").parquet(path)
-        files, windows = spark.read.parquet(out), spark.read.parquet(out2)
-        found.append((sorted(files.groupBy("file_id").agg(F.sum("chunks"), F.sum("total")).collect()), sorted(windows.groupBy("start").agg(F.sum("n"), F.sum("total")).collect())))
-    assert found[0] == found[1]
-    assert len(found[0][0]) == 100 and sum(r[1] for r in found[0][0]) == 1000 == sum(r[1] for r in found[0][1])
+        F.col("id").alias("k"), (F.col("id") % 7 / 8).alias("score"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 97 % 5000).alias("ts"))
+    path, out, check = (work_path(spark, n) for n in ("arrivals", "o", "c"))
+    for part in order:
+        rows.where(F.col("k") % 5 == part).coalesce(1).write.mode("append").parquet(path)
+        windows = jobs.event_windows(spark, path, rows.schema, "ts", "score", 4, out, check)
+    end = spark.createDataFrame([(-1, 0.0)], "k long, score double").withColumn("ts", F.timestamp_seconds(F.lit(1_800_000_000)))
+    end.coalesce(1).write.mode("append").parquet(path)
+    windows = jobs.event_windows(spark, path, rows.schema, "ts", "score", 4, out, check)
+    got = {r.start.timestamp(): (r.n + r.late, r.total + r.late_total) for r in windows.collect()}
+    want = {}
+    for r in rows.collect():
+        at = r.ts.timestamp() // 4 * 4
+        n, total = want.get(at, (0, 0.0))
+        want[at] = (n + 1, total + r.score)
+    assert got == want and windows.agg(F.sum("late")).first()[0] > 0 < windows.agg(F.sum("n")).first()[0]
+
+
+def test_files_close_once_and_late_chunks_stand_aside(spark):
+    path, out, check = (work_path(spark, n) for n in ("chunks", "o", "c"))
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+
+    def arrive(rows):
+        table = spark.createDataFrame(rows, "file_id long, chunk long, score double, s long").select("file_id", "chunk", "score", at(F.col("s")).alias("ts"))
+        table.coalesce(1).write.mode("append").parquet(path)
+        found = jobs.chunk_scores(spark, path, table.schema, 0.5, out, check, wait_seconds=10)
+        return {r.file_id: (r.chunks, r.late, r.score, r.decision) for r in found.collect()}
+
+    assert arrive([(1, 0, 0.25, 0), (1, 1, 0.5, 1), (2, 0, 1.0, 5)]) == {}  # both are open
+    assert arrive([(1, 2, 0.75, 9), (2, 1, 0.0, 6)]) == {}  # the last chunk of a file keeps it open
+    assert arrive([(3, 0, 1.0, 17)]) == {2: (2, 0, 0.5, "spoof")}
+    assert arrive([(3, 1, 1.0, 18), (2, 2, 1.0, 7)]) == {2: (2, 1, 0.5, "spoof")}  # too late for file 2
+    assert arrive([(4, 0, 0.0, 100)]) == {1: (3, 0, 0.5, "spoof"), 2: (2, 1, 0.5, "spoof"), 3: (2, 0, 1.0, "spoof")}
+
+
+def test_accounts_of_sources_equal_a_walk(spark):
+    from random import Random
+
+    rng = Random(2)
+    lots = [[(n * 100 + i, rng.choice("abc"), rng.choice([0, 1, 5, 40, 90])) for i in range(60)] for n in range(3)]
+    path, out, check = (work_path(spark, n) for n in ("charges", "o", "c"))
+    want, left = {}, dict.fromkeys("abc", 300)
+    for lot in lots:
+        rows = spark.createDataFrame(lot, "k long, source string, bytes long")
+        rows.repartition(3).write.mode("append").parquet(path)
+        charged = jobs.charge_accounts(spark, path, rows.schema, "source", "bytes", ["k"], 300, out, check)
+        for k, source, size in lot:
+            want[k] = size <= left[source]
+            left[source] -= size if want[k] else 0
+        assert {r.k: r.accepted for r in charged.collect()} == want
+    assert len(set(want.values())) == 2
 
 
 def test_failed_write_keeps_the_old_table(spark):
