@@ -50,6 +50,25 @@ def test_grid_misses_no_pair(spark):
     assert got == {(i, j) for i in range(90) for j in range(i + 1, 90) if sims[i, j] >= 0.99} and got
 
 
+def test_crowded_cells_are_split_and_miss_no_pair(spark, monkeypatch):
+    """All durations are equal and the vectors lie close together, so a few cells would hold them all."""
+    monkeypatch.setattr(sg, "CELL_ROWS", 4)
+    rng = np.random.default_rng(2)
+    base = np.ones(16) + 0.12 * rng.standard_normal((150, 16))
+    vectors = np.concatenate([base, base[:60] + 0.004 * rng.standard_normal((60, 16))])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1.0, str(i)) for i, v in enumerate(vectors)], "id long, vec array<double>, d double, digest string")
+    directions = sg.principal_directions(df, "vec", 16, 8)
+    pairs = sg.candidate_pairs(df, df, "id", "vec", 0.04, directions, [("d", 0.05)])
+    assert pairs.count() == pairs.distinct().count() < 0.05 * 210 * 210
+    got = {(r["a"], r["b"]) for r in sg.near_duplicates(df, "id", "vec", 16, "d", "digest", 0.9992).collect()}
+    sims = vectors @ vectors.T
+    assert got == {(i, j) for i in range(210) for j in range(i + 1, 210) if sims[i, j] >= 0.9992} and got
+    best = {r["id"]: r["neighbour"] for r in sg.nearest_neighbour(df, "id", "vec", 16, "digest", 0.9992).collect()}
+    np.fill_diagonal(sims, 0)
+    assert best == {i: int(np.argmax(np.round(sims[i], 9))) for i in range(210) if sims[i].max() > 0.9992}
+
+
 def test_float_digest_equals_numpy(spark):
     import hashlib
 

@@ -78,24 +78,62 @@ def principal_directions(df: DataFrame, vec: str, size: int, count: int = 4) ->
     return [[float(x) for x in components[:, i]] for i in range(count)]
 
 
-def _grid(df: DataFrame, vec: str, radius: float, directions: Sequence[Sequence[float]], extra: Sequence[tuple[Column, float]], spread: bool) -> DataFrame:
-    """A cell key for rows: one cell per row, or with `spread` every cell within the radius of the row.
+#: A cell with more rows than this share of all rows is split along further directions, if it has more than CELL_ROWS.
+CELL_SHARE, CELL_ROWS = 0.002, 64
 
-    Two unit vectors closer than `radius` are closer than `radius` on every unit direction, so the cell of one is always
-    among the spread cells of the other: the grid prunes and misses nothing.
+
+def _cells(df: DataFrame, names: Sequence[str], widths: Sequence[float], spread: bool) -> Column:
+    """Cell keys of a row as an array: its own cell, or with `spread` every cell within the radius (a quarter width)."""
+    keys = F.array(F.lit(""))
+    for name, width in zip(names, widths):
+        x, r = F.col(name), width / 4 + 1e-9
+        own = F.array(F.floor(x / width)) if not spread else F.sequence(F.floor((x - r) / width), F.floor((x + r) / width))
+        keys = _crossed(keys, own)
+    return keys
+
+
+def _crossed(keys: Column, values: Column) -> Column:
+    return F.flatten(F.transform(keys, lambda k: F.transform(values, lambda v: F.concat_ws(":", k, v))))
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, key: str, vec: str, radius: float, directions: Sequence[Sequence[float]], extra: Sequence[tuple[str, float]] = ()) -> DataFrame:
+    """Keys (l, r) of a left and a right row that may lie within `radius` of each other; a pair comes once, none is missed.
+
+    Two unit vectors closer than `radius` are closer than `radius` on every unit direction, so the cell of a left row is
+    always among the cells a right row is spread over, and a pair that is further apart on any direction is none. A cell
+    that holds many left rows is split again along the second half of the directions, for both sides alike, so a common
+    loudness or duration makes no hot cell. Only keys and projections move; vectors stay where they are.
     """
-    axes = [(fs.dot(F.col(vec), F.array(*[F.lit(x) for x in d])), radius) for d in directions] + list(extra)
-    named = df.withColumns({f"__x{i}": a for i, (a, _) in enumerate(axes)})
-    cells = named
-    slack = 1e-9
-    for i, (_, r) in enumerate(axes):
-        width = 4 * r
-        x = F.col(f"__x{i}")
-        if spread:
-            cells = cells.withColumn(f"__c{i}", F.explode(F.sequence(F.floor((x - r - slack) / width), F.floor((x + r + slack) / width))))
-        else:
-            cells = cells.withColumn(f"__c{i}", F.floor(x / width))
-    return cells.withColumn("__cell", F.concat_ws(":", *[F.col(f"__c{i}") for i in range(len(axes))])).drop(*[f"__x{i}" for i in range(len(axes))], *[f"__c{i}" for i in range(len(axes))])
+    half = len(directions) // 2
+    reach = [radius] * half + [r for _, r in extra] + [radius] * (len(directions) - half)
+    axis = lambda i: fs.dot(F.col(vec), F.array(*[F.lit(x) for x in directions[i]]))
+    values = [axis(i) for i in range(half)] + [F.col(c).cast("double") for c, _ in extra] + [axis(i) for i in range(half, len(directions))]
+    axes = [f"__x{i}" for i in range(len(values))]
+    coarse = half + len(extra)
+    placed = []
+    for side, rows in (("l", left), ("r", right)):
+        projected = cut(rows.select(F.col(key).alias(side), *[v.alias(a) for v, a in zip(values, axes)]))
+        cells = _cells(projected, axes[:coarse], [4 * r for r in reach[:coarse]], side == "r")
+        placed.append(projected.withColumn("cell", F.explode(cells)))
+    counts = placed[0].groupBy("cell").agg(F.count("*").alias("n"))
+    limit = F.greatest(F.lit(CELL_SHARE) * left.select(F.count("*").alias("all")).scalar(), F.lit(CELL_ROWS))
+    crowded = cut(counts.where(F.col("n") > limit).select("cell", F.lit(True).alias("crowded")))
+    split = []
+    for side, rows in zip("lr", placed):
+        keys = F.when(F.col("crowded"), _cells(rows, axes[coarse:], [4 * r for r in reach[coarse:]], side == "r")).otherwise(F.array(F.lit("")))
+        packed = F.struct(*axes).alias(f"{side}x")
+        split.append(rows.join(crowded, "cell", "left").select("cell", side, packed, F.explode(keys).alias("part")))
+    pairs = split[0].join(split[1], ["cell", "part"])
+    for a, r in zip(axes, reach):
+        pairs = pairs.where(F.abs(F.col(f"lx.{a}") - F.col(f"rx.{a}")) <= r + 1e-9)
+    return pairs.select("l", "r")
+
+
+def measured_pairs(pairs: DataFrame, rows: DataFrame, key: str, vec: str, carry: Sequence[str] = ()) -> DataFrame:
+    """The pairs with the dot product of their vectors and the carried columns of both sides (`l_`, `r_`)."""
+    sides = [rows.select(F.col(key).alias(s), F.col(vec).alias(f"__{s}"), *[F.col(c).alias(f"{s}_{c}") for c in carry]) for s in "lr"]
+    joined = pairs.join(sides[0], "l").join(sides[1], "r")
+    return joined.withColumn("similarity", fs.dot(F.col("__l"), F.col("__r"))).drop("__l", "__r")
 
 
 def collapse_copies(df: DataFrame, key: str, digest: str) -> tuple[DataFrame, DataFrame]:
@@ -113,14 +151,13 @@ def near_duplicates(df: DataFrame, key: str, vec: str, size: int, duration: str,
     """
     reps, links = collapse_copies(cut(df.select(key, vec, duration, digest)), key, digest)
     radius = math.sqrt(2 - 2 * similarity)
-    base = reps.select(key, vec, duration)
-    directions = principal_directions(base, vec, size)
-    extra = [(F.col(duration), tolerance)]
-    left = _grid(base, vec, radius, directions, extra, spread=False).select("__cell", F.col(key).alias("a"), F.col(vec).alias("__va"), F.col(duration).alias("__da"))
-    right = _grid(base, vec, radius, directions, extra, spread=True).select("__cell", F.col(key).alias("b"), F.col(vec).alias("__vb"), F.col(duration).alias("__db"))
-    delta = F.abs(F.col("__da") - F.col("__db"))
-    near = left.join(right, "__cell").where("a < b").where(delta <= tolerance + 1e-12).withColumn("similarity", fs.dot(F.col("__va"), F.col("__vb"))).where(F.col("similarity") >= similarity)
-    return near.select("a", "b", "similarity", delta.alias("duration_delta"), F.lit("near").alias("kind")).unionByName(
+    base = cut(reps.select(key, vec, duration))
+    directions = principal_directions(base, vec, size, 8)
+    pairs = cut(candidate_pairs(base, base, key, vec, radius, directions, [(duration, tolerance)]).where("l < r"))
+    delta = F.abs(F.col(f"l_{duration}") - F.col(f"r_{duration}"))
+    close = measured_pairs(pairs, base, key, vec, (duration,)).withColumn("duration_delta", delta)
+    near = close.where((delta <= tolerance + 1e-12) & (F.col("similarity") >= similarity)).select(F.col("l").alias("a"), F.col("r").alias("b"), "similarity", "duration_delta")
+    return near.withColumn("kind", F.lit("near")).unionByName(
         links.select("a", "b", F.lit(1.0).alias("similarity"), F.lit(0.0).alias("duration_delta"), F.lit("copy").alias("kind")))
 
 
@@ -133,11 +170,9 @@ def nearest_neighbour(df: DataFrame, key: str, vec: str, size: int, digest: str,
     second = links.groupBy("a").agg(F.min("b").alias("b"))
     copies = links.select(F.col("b").alias(key), F.col("a").alias("neighbour")).unionByName(second.select(F.col("a").alias(key), F.col("b").alias("neighbour")))
     radius = math.sqrt(2 - 2 * similarity)
-    base = reps.select(key, vec, "copies")
-    directions = principal_directions(base, vec, size)
-    left = _grid(base.where("copies = 1"), vec, radius, directions, [], spread=False).select("__cell", F.col(key), F.col(vec).alias("__va"))
-    right = _grid(base, vec, radius, directions, [], spread=True).select("__cell", F.col(key).alias("neighbour"), F.col(vec).alias("__vb"))
-    close = left.join(right, "__cell").where(F.col(key) != F.col("neighbour")).withColumn("similarity", fs.dot(F.col("__va"), F.col("__vb"))).where(F.col("similarity") > similarity)
+    base = cut(reps.select(key, vec, "copies"))
+    pairs = cut(candidate_pairs(base.where("copies = 1"), base, key, vec, radius, principal_directions(base, vec, size, 8)).where("l <> r"))
+    close = measured_pairs(pairs, base, key, vec).where(F.col("similarity") > similarity).select(F.col("l").alias(key), F.col("r").alias("neighbour"), "similarity")
     best = close.groupBy(key).agg(F.max(F.struct(F.round("similarity", 9).alias("similarity"), (-F.col("neighbour")).alias("minus"))).alias("m"))
     return best.select(key, (-F.col("m.minus")).alias("neighbour"), F.col("m.similarity").alias("similarity")).unionByName(
         copies.select(key, "neighbour", F.lit(1.0).alias("similarity")))
