@@ -56,14 +56,17 @@ def test_chunk_aggregate_breaks_ties_by_position(spark):
     assert (got["max_chunk"], got["topk_chunks"], got["mean"]) == (1, "1,2", pytest.approx(0.6))
 
 
-def test_multinomial_draws_agree_with_draws_per_slot(spark):
+@pytest.mark.parametrize("fan_out", [256, 3])
+def test_multinomial_draws_agree_with_draws_per_slot(spark, fan_out):
     import numpy as np
 
     rng = np.random.default_rng(4)
     rows = [(f"c{i}", float(s), int(y)) for i in range(300) for s, y in zip(rng.random(1 + i % 3), rng.integers(0, 2, 3))]
     df = spark.createDataFrame(rows, "component string, score double, label int")
-    drawn = sc.component_draws(df, "component", 1500)
-    assert drawn.where("components <> 300").count() == 0
+    drawn = sc.component_draws(df, "component", 1500, fan_out=fan_out)
+    assert drawn.where("components <> 300").count() == 0 and drawn.count() == 1500
+    again = sc.component_draws(df.repartition(5), "component", 20, fan_out=fan_out).collect()
+    assert sorted(again) == sorted(drawn.where("draw < 20").collect()) and len({tuple(r)[2:] for r in again}) > 10
     got = {r.metric: (r.low, r.high) for r in sc.draw_intervals(drawn).collect()}
     counts = {}
     for c, s, y in rows:
@@ -72,3 +75,7 @@ def test_multinomial_draws_agree_with_draws_per_slot(spark):
     sums = np.array([table[rng.integers(0, 300, 300)].sum(axis=0) for _ in range(1500)])
     accuracy = (sums[:, 0] + sums[:, 3]) / sums.sum(axis=1)
     assert np.allclose(got["accuracy"], np.percentile(accuracy, [2.5, 97.5]), atol=0.01)
+
+
+def test_no_component_has_no_draw(spark):
+    assert sc.component_draws(spark.createDataFrame([], "component string, score double, label int"), "component").count() == 0

@@ -296,31 +296,52 @@ def cluster_bootstrap(df: DataFrame, component: str, draws: int = 2000, seed: in
     return draw_intervals(sums)
 
 
-#: Distinct cells of component counts that a draw may have; beyond that the counts should be binned first.
-MOST_CELLS = 1_000_000
+#: Cells, or nodes of the level below, under one node of the tree that a draw goes down.
+FAN_OUT = 256
+COUNTS = ("tn", "fp", "fn", "tp")
 
 
-def component_draws(df: DataFrame, component: str, draws: int = 2000, seed: int = 20260919, threshold: float = 0.5) -> DataFrame:
-    """(draw, components, tn, fp, fn, tp): components resampled with replacement, as multinomial draws.
+def component_draws(df: DataFrame, component: str, draws: int = 2000, seed: int = 20260919, threshold: float = 0.5, fan_out: int = FAN_OUT) -> DataFrame:
+    """(draw, components, tn, fp, fn, tp): components resampled with replacement.
 
     Components with the same four counts are interchangeable, so a draw needs only how often each distinct cell of counts
-    comes up. The work is draws x cells whatever the number of components, and draw b is seeded by (seed, b).
+    comes up. The cells are the leaves of a tree: a node deals what it got among its children by a multinomial draw, that
+    is by binomials conditional on what is left, seeded by (seed, draw, level, node). So a draw is the same on any
+    partitioning, no row holds more than `fan_out` numbers, and the work is draws x cells in Spark tasks.
     """
     spark = df.sparkSession
-    cells = confusion_counts(df, threshold, [component]).groupBy("tn", "fp", "fn", "tp").agg(F.count("*").alias("n"))
-    found = cells.orderBy("tn", "fp", "fn", "tp").limit(MOST_CELLS + 1).toPandas()
-    if len(found) > MOST_CELLS:
-        raise ValueError("too many distinct component counts")
-    counts, n = found[["tn", "fp", "fn", "tp"]].to_numpy(), found["n"].to_numpy()
-
-    def draw(batches):  # noqa: ANN001, ANN202
-        for batch in batches:
-            times = np.array([np.random.default_rng([seed, b]).multinomial(n.sum(), n / n.sum()) for b in batch["draw"]]).reshape(len(batch), len(n))
-            sums = pd.DataFrame(times @ counts, columns=["tn", "fp", "fn", "tp"])
-            yield sums.assign(draw=batch["draw"].to_numpy(), components=times.sum(axis=1))
-
-    numbers = spark.range(draws if len(n) else 0).withColumnRenamed("id", "draw")
-    return numbers.mapInPandas(draw, "draw long, components long, tn long, fp long, fn long, tp long")
+    cells = confusion_counts(df, threshold, [component]).groupBy(*COUNTS).agg(F.count("*").alias("n"))
+    level = cut(ranked(cells, [], [F.col(c) for c in COUNTS], "__n").withColumn("__n", F.col("__n") - 1))
+    if level.isEmpty():
+        return spark.createDataFrame([], "draw bigint, components bigint, tn bigint, fp bigint, fn bigint, tp bigint")
+    node = F.floor(F.col("__n") / fan_out)
+    below = F.array_sort(F.collect_list(F.struct("__n", "n", *[c for c in COUNTS])))  # fan_out entries
+    levels = [cut(level.groupBy(node.alias("node")).agg(below.alias("below"), F.sum("n").alias("n")))]
+    while levels[-1].limit(2).count() > 1:
+        upper = levels[-1].groupBy(F.floor(F.col("node") / fan_out).alias("above")).agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("below"), F.sum("n").alias("n"))
+        levels.append(cut(upper.withColumnRenamed("above", "node")))
+    rows = spark.range(draws).select(F.col("id").alias("draw"), F.lit(0).cast("bigint").alias("node")).join(levels[-1].select("node", F.col("n").alias("got")), "node")
+    for depth in range(len(levels) - 1, 0, -1):
+        dealt = rows.join(levels[depth].select("node", "below"), "node").select("draw", F.transform("below", lambda x: x["node"]).alias("nodes"), _dealt(seed, depth).alias("times"))
+        each = dealt.select("draw", F.explode(F.arrays_zip("nodes", "times")).alias("x"))
+        rows = each.where("x.times > 0").select("draw", F.col("x.nodes").alias("node"), F.col("x.times").alias("got"))
+    leaves = rows.join(levels[0].select("node", "below"), "node").withColumn("times", _dealt(seed, 0))
+    drawn = leaves.select("draw", F.col("got").alias("components"), *[_weighted(c).alias(c) for c in COUNTS])
+    return drawn.groupBy("draw").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("components", *COUNTS)])
+
+
+def _weighted(count: str) -> Column:
+    return F.aggregate(F.zip_with("times", "below", lambda t, x: t * x[count]), F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
+def _dealt(seed: int, level: int) -> Column:
+    """How often each entry below a node comes up among the `got` draws of the node."""
+
+    @F.pandas_udf("array<bigint>")
+    def times(draw: pd.Series, node: pd.Series, got: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, d, level, k]).multinomial(n, np.asarray(w) / np.sum(w)) for d, k, n, w in zip(draw, node, got, weights)])
+
+    return times("draw", "node", "got", F.transform("below", lambda x: x["n"]))
 
 
 def draw_intervals(drawn: DataFrame) -> DataFrame:

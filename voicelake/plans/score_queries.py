@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voicelake.functions import scoring as fs
+from voicelake.operators import graph
 from voicelake.operators import scores as sc
 from voicelake.plans import standins as st
 from voicelake.plans.registry import query, table
@@ -150,12 +151,14 @@ def cluster_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(sc.cluster_bootstrap(st.scores(spark, folder), "generator"), "low", "high")
 
 
-@query("bootstrap_draws", """SELECT d.range AS draw, (SELECT count(DISTINCT md5(text)) FROM labels JOIN documents USING (doc_id)) AS components, (SELECT count(*) FROM labels JOIN documents USING (doc_id)) > 0 AS drawn FROM range(2000) d""")
+@query("bootstrap_draws")
 def bootstrap_draws(spark: SparkSession, folder: str) -> DataFrame:
-    """Multinomial draws over components (windows of one text); every draw takes as many components as there are."""
-    digests = table(spark, folder, "documents").select(F.col("doc_id").alias("window_id"), F.md5("text").alias("component"))
-    drawn = sc.component_draws(st.scores(spark, folder).join(digests, "window_id"), "component")
-    return drawn.select("draw", "components", (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp") > 0).alias("drawn"))
+    """Intervals over relationship components: windows are related by an equal text, or by source, language and length."""
+    docs = table(spark, folder, "documents")
+    keys = F.array(F.concat(F.lit("t:"), F.md5("text")), F.concat_ws(":", F.lit("l"), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), "n_chars"))
+    labels = graph.relationship_components(docs.select(F.col("doc_id").alias("window_id"), keys.alias("keys")), "window_id", F.col("keys"))
+    drawn = sc.component_draws(st.scores(spark, folder).join(labels, "window_id"), "component")
+    return rounded(sc.draw_intervals(drawn), "low", "high")
 
 
 @query("history_rows", f"""WITH {st.SCORES}, s AS (SELECT *, window_id // 100 AS epoch FROM scores),
