@@ -88,3 +88,15 @@ def test_jsonl_missing_blank_and_bad(spark):
 def test_signature_ignores_order_and_sees_repeats(spark):
     sign = lambda xs: digests.signature(spark.createDataFrame([(x,) for x in xs], "t string"), F.col("t")).first()["signature"]
     assert sign(["a", "b", "c"]) == sign(["c", "a", "b"]) != sign(["a", "b", "c", "c"])
+
+
+def test_payloads_are_filtered_by_suffix_and_size(spark):
+    import hashlib
+
+    root = work_path(spark, "payloads")
+    spark.createDataFrame([("a",), ("b",)], "value string").coalesce(1).write.text(f"{root}/small")
+    spark.createDataFrame([("x" * 5000,)], "value string").coalesce(1).write.text(f"{root}/large")
+    spark.range(3).coalesce(1).write.parquet(f"{root}/other")
+    got = {(r["length"], r["sha256"]) for r in files.read_payloads(spark, root, ".txt", max_bytes=1000).collect()}
+    assert got == {(4, hashlib.sha256(b"a\nb\n").hexdigest())}
+    assert files.read_payloads(spark, root, ".txt").count() == 2

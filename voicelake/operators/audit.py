@@ -195,6 +195,21 @@ def dedupe_exclusions(df: DataFrame, key: Sequence[str], order: str) -> DataFram
     return df.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("b")).select(*key, *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
+def audit_payloads(manifest: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
+    """Every declared file (`bytes`, `sha256`) and every stored one (`length`, `sha256`) with its status.
+
+    ok, missing (declared only), unlisted (stored only), size_mismatch, or hash_mismatch for the right size with other
+    content. A file that is stored twice under one key comes out twice.
+    """
+    stored = payloads.select(key, "length", F.col("sha256").alias("actual"))
+    joined = manifest.select(key, "bytes", "sha256").join(stored, key, "full")
+    status = (
+        F.when(F.col("actual").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("bytes") != F.col("length"), "size_mismatch")
+        .when(F.col("sha256") != F.col("actual"), "hash_mismatch").otherwise("ok")
+    )
+    return joined.select(key, "length", status.alias("status"))
+
+
 def assemble_pools(windows: DataFrame, excluded: DataFrame, files: DataFrame, key: str, digest: str, path: str) -> DataFrame:
     """Every window with its disposition: excluded, missing file, duplicate of an earlier window, or assembled.
 

@@ -11,7 +11,7 @@ from voicelake.plans import standins as st
 from voicelake.plans.graph_queries import ANCHORS, CLAIMS, CLOSURE, COMPONENTS, closure_inputs
 from voicelake.plans.join_queries import CACHE, HELD, _cache, _placed, held
 from voicelake.session import work_path
-from voicelake.sources import sinks
+from voicelake.sources import files, sinks
 from voicelake.plans.registry import query, table
 from voicelake.plans.stat_queries import SIGN
 
@@ -111,6 +111,30 @@ def audit_files(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_files(declared, stored, "path", "digest", F.col("n") / 1000.0, 1.0, 4.0)
 
 
+# files of 64 documents: declared as they should be, stored with a document missing, changed, not at all, or undeclared
+PAYLOADS = """d AS (SELECT doc_id, doc_id // 64 AS file, text FROM documents WHERE text IS NOT NULL),
+m AS (SELECT file, sum(strlen(text) + 1)::BIGINT AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256 FROM d WHERE file % 9 <> 7 GROUP BY file),
+s AS (SELECT file, sum(strlen(t) + 1)::BIGINT AS length, sha256(string_agg(t || chr(10), '' ORDER BY doc_id)) AS actual
+  FROM (SELECT doc_id, file, CASE WHEN file % 5 = 2 AND doc_id % 64 = 7 THEN reverse(text) ELSE text END AS t FROM d WHERE file % 7 <> 4 AND NOT (file % 5 = 3 AND doc_id % 64 = 1)) GROUP BY file)"""
+
+
+@query("audit_payloads", f"""WITH {PAYLOADS} SELECT file, length, CASE WHEN actual IS NULL THEN 'missing' WHEN sha256 IS NULL THEN 'unlisted' WHEN bytes <> length THEN 'size_mismatch'
+  WHEN sha256 <> actual THEN 'hash_mismatch' ELSE 'ok' END AS status FROM m FULL JOIN s USING (file)""")
+def audit_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Files on disk, read as bytes and hashed, against a manifest; Parquet files beside them are not payloads."""
+    docs = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.floor(F.col("doc_id") / 64).alias("file"), "text")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: F.concat(x["text"], F.lit("\n")))  # 64 documents
+    declared = docs.where("file % 9 <> 7").groupBy("file").agg(F.array_join(parts, "").alias("content"))
+    manifest = declared.select("file", F.octet_length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    changed = F.when((F.col("file") % 5 == 2) & (F.col("doc_id") % 64 == 7), F.reverse("text")).otherwise(F.col("text"))
+    kept = docs.where("file % 7 <> 4 AND NOT (file % 5 = 3 AND doc_id % 64 = 1)").select("doc_id", "file", changed.alias("text"))
+    root = work_path(spark, "payloads")
+    kept.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "text").write.partitionBy("file").text(root)
+    docs.select("file", "doc_id").repartition("file").write.mode("append").partitionBy("file").parquet(root)
+    stored = files.read_payloads(spark, root, ".txt", partitioned=True)
+    return audit.audit_payloads(manifest, stored.withColumn("file", F.col("file").cast("bigint")), "file")
+
+
 @query("audit_cache", CACHE + """, k AS (SELECT * FROM c WHERE split <> 'val' UNION ALL SELECT window_id, label, language, prepared_sha256, split FROM manifest WHERE split = 'val'),
 x AS (SELECT coalesce(m.split, k.split) AS part, len(list_filter([k.window_id IS NULL, m.window_id IS NULL, m.label <> k.label, m.language <> k.language], lambda x: x)) AS found
   FROM manifest m FULL JOIN k USING (window_id))

@@ -82,6 +82,18 @@ def list_files(spark: SparkSession, root: str, extensions: Sequence[str]) -> Dat
     return listing.where(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*extensions))
 
 
+def read_payloads(spark: SparkSession, root: str, suffix: str, max_bytes: int | None = None, partitioned: bool = False) -> DataFrame:
+    """(path, length, sha256) of the files under a folder with a suffix, and of no more than `max_bytes` if that is given.
+
+    The names of other suffixes are dropped while listing, and the length is known before a file is read, so Spark
+    hashes only what passes. With `partitioned`, folders named `column=value` give columns.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", not partitioned).load(root)
+    kept = found if max_bytes is None else found.where(F.col("length") <= max_bytes)
+    partitions = [c for c in found.columns if c not in ("path", "modificationTime", "length", "content")]
+    return kept.select("path", "length", F.sha2("content", 256).alias("sha256"), *partitions)
+
+
 def number_samples(listing: DataFrame, group: Sequence[str], path: str = "path", limit: int | None = None) -> DataFrame:
     """sample_id `group_000001` in path order inside each group; `limit` is the reader's optional per-group limit."""
     numbered = ranked(listing, group, [F.col(path)], "number")
