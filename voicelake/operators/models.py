@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
@@ -39,3 +41,35 @@ def file_decisions(scored: DataFrame, threshold: float, min_chunks: int = 1) ->
     files = chunk_aggregate(scored)
     value = F.when(F.col("chunks") >= min_chunks, F.col("mean"))
     return files.select("file_id", "chunks", "mean", "max", decide(value, threshold).alias("decision"))
+
+
+@dataclass(frozen=True)
+class Release:
+    """What a released detector promises: its model, where it decides, what it needs and what it has seen."""
+
+    model: PipelineModel
+    threshold: float
+    min_chunks: int
+    languages: tuple[str, ...]  # of the training rows
+
+
+def release(rows: DataFrame, vec: str, label: str, language: str, threshold: float, min_chunks: int) -> Release:
+    """Fit on the training rows alone and note their languages (a handful of names)."""
+    names = [r[0] for r in rows.select(language).where(F.col(language).isNotNull()).distinct().orderBy(language).collect()]
+    return Release(fit(rows, vec, label), threshold, min_chunks, tuple(names))
+
+
+def score_files(contract: Release, chunks: DataFrame, vec: str, usable: str, language: str) -> DataFrame:
+    """One row per file under a release: score, decision and a coverage note; no file is dropped.
+
+    A chunk that is not usable does not count. A file with fewer usable chunks than the contract asks for is
+    insufficient: it has no score. The note says whether the file's language was among those of the training rows.
+    """
+    good = F.col(usable)
+    scored = score(contract.model, chunks.where(good), vec)
+    files = chunks.groupBy("file_id").agg(F.min(language).alias("language"), F.count_if(good).alias("usable"), F.count("*").alias("chunks"))
+    means = scored.groupBy("file_id").agg(F.avg("score").alias("mean"))
+    value = F.when(F.col("usable") >= contract.min_chunks, F.col("mean"))
+    known = F.when(F.col("language").isNull(), "language_not_given").when(F.col("language").isin(*contract.languages), "trained_language").otherwise("language_not_in_training")
+    joined = files.join(means, "file_id", "left")
+    return joined.select("file_id", "chunks", "usable", "language", value.alias("score"), decide(value, contract.threshold).alias("decision"), known.alias("coverage"))

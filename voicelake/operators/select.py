@@ -334,7 +334,7 @@ def attack_spread(df: DataFrame, by: Sequence[str], speaker: str, attack: str, k
     genuine = genuine.join(first, key, "left").withColumns({"pass": F.coalesce("pass", F.lit(1)), "priority": F.struct(F.lit(0).cast("bigint").alias("turn"), F.lit("").alias("lane"), F.col("__hash"))})
     turns = hash_ranked(hashed.where(F.col(label) == 1), [*by, attack], key, seed, "turn")
     spoof = cut(turns.withColumn("priority", F.struct("turn", F.col(attack).alias("lane"), F.col("__hash"))))
-    members = spoof.select(key, F.concat_ws("|", *by, speaker).alias("group"), F.lit(1).alias("cap"))
+    members = spoof.select(key, joined_key(*by, speaker).alias("group"), F.lit(1).alias("cap"))
     walked = capped_selection(spoof, members, key, "priority").select(key, F.lit(0).alias("pass"))
     filler = F.struct(F.lit(0).cast("bigint").alias("turn"), F.lit("").alias("lane"), F.col("__hash"))
     spoof = spoof.join(walked, key, "left").withColumn("pass", F.coalesce("pass", F.lit(1))).withColumn("priority", F.when(F.col("pass") == 0, F.col("priority")).otherwise(filler)).drop("turn")

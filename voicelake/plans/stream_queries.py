@@ -118,9 +118,18 @@ def linear_baseline(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def release_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames in files of five, with a language (a fifth has none), a part, and every eleventh frame unusable."""
+    rows = st.frames(spark, folder).withColumn("file_id", F.floor(F.col("frame") / 5))
+    f = F.col("file_id")
+    language = F.when(f % 5 == 0, "hi").when(f % 5 == 1, "bn").when(f % 5 == 2, "ta").when(f % 5 == 3, "odia")
+    part = F.when((F.pmod(F.xxhash64("file_id"), F.lit(5)) > 1) & (f % 5 < 3), "train").otherwise("new")
+    return rows.select("file_id", "frame", "label", "vec", language.alias("language"), part.alias("part"), ((F.col("frame") % 11 != 0) & (f % 17 != 4)).alias("usable"))
+
+
 @query("batch_score_files")
 def batch_score_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Frames scored by the fitted baseline, then one score and decision per file (five frames each)."""
-    rows = st.frames(spark, folder).select((F.floor(F.col("frame") / 5)).alias("file_id"), F.col("frame").alias("chunk"), "label", "vec")
-    scored = models.score(models.fit(rows, "vec", "label"), rows, "vec")
-    return models.file_decisions(scored.select("file_id", "chunk", "score"), 0.5)
+    """Files the model has not seen, scored under a release that was fitted on the training files alone."""
+    rows = release_rows(spark, folder)
+    contract = models.release(rows.where("part = 'train' AND usable"), "vec", "label", "language", 0.5, 4)
+    return models.score_files(contract, rows.where("part = 'new'"), "vec", "usable", "language")
