@@ -193,39 +193,51 @@ def without(data: bytes, spans: np.ndarray) -> bytes:
 
 
 def ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix of `text` (codes up to 256) its rank by the first `length` codes; equal ranks are equal strings.
+    """For each suffix of `text` (codes up to 256) its place by the first `length` codes; equal places are equal strings.
 
-    Seven codes of nine bits make the first key, so doubling starts at seven.
+    Seven codes of nine bits make the first key, so doubling starts at seven. A place is that of the first suffix of its
+    class, so a suffix alone in its class is done, and each doubling sorts only those that are still tied.
     """
     n, k = len(text), min(7, length)
     padded = np.append(text.astype(np.int64) + 1, np.zeros(k, np.int64))
     key = np.zeros(n, dtype=np.int64)
     for j in range(k):
         key = key << 9 | padded[j : j + n]
-    rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-    while k < length:
+    rank = np.zeros(n, dtype=np.int64)
+    tied = np.arange(n)
+    while True:
+        order = np.argsort(key, kind="stable")
+        sorted_key, tied = key[order], tied[order]
+        fresh = np.append(True, sorted_key[1:] != sorted_key[:-1])[: len(tied)]
+        old = rank[tied]
+        begins = np.append(True, old[1:] != old[:-1])[: len(tied)]  # of the classes before this sort
+        at = np.arange(len(tied))
+        rank[tied] = old + at[np.maximum.accumulate(np.where(fresh, at, 0))] - np.maximum.accumulate(np.where(begins, at, 0))
+        alone = fresh & np.append(fresh[1:], True)[: len(tied)]
+        tied = tied[~alone]
+        if k >= length or not len(tied):
+            return rank
         shift = min(k, length - k)
-        behind = np.zeros(n, dtype=np.int64)
-        behind[: n - shift] = rank[shift:] + 1
-        rank = np.unique(rank * np.int64(n + 1) + behind, return_inverse=True)[1].astype(np.int64)
+        behind = np.zeros(len(tied), dtype=np.int64)
+        inside = tied + shift < n
+        behind[inside] = rank[tied[inside] + shift] + 1
+        key = rank[tied] * np.int64(n + 1) + behind
         k += shift
-    return rank
 
 
-def earlier_strings(contexts: list[bytes], docs: np.ndarray, places: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context the offsets in it whose string of `length` bytes also starts earlier in another one.
+def earlier_strings(codes: np.ndarray, sizes: np.ndarray, docs: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, begin, end) of the spans whose strings of `length` bytes also start earlier in another context.
 
-    The longest previous factor of a suffix reaches `length` if its previous smaller position in suffix order shares so
-    many bytes; with equal ranks ordered by place, that is the row before it, unless that is the same place.
+    `codes` are the bytes of all contexts, one after the other. The longest previous factor of a suffix reaches `length`
+    if its previous smaller position in suffix order shares so many bytes; with equal ranks ordered by place, that is the
+    first row of its class, unless that is the same place.
     """
-    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
     text = np.full(int(sizes.sum()) + len(sizes), 256, dtype=np.int64)
-    for begin, c in zip(begins, contexts):
-        text[begin : begin + len(c)] = np.frombuffer(c, dtype=np.uint8)
+    text[np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = codes
     rank = ranks(text, length)
     counts = np.maximum(sizes - length + 1, 0)
-    owner = np.repeat(np.arange(len(contexts)), counts)
+    owner = np.repeat(np.arange(len(sizes)), counts)
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     mine, doc, place = rank[begins[owner] + offset], docs[owner], places[owner] + offset
     order = np.lexsort((place, doc, mine))
@@ -234,7 +246,12 @@ def earlier_strings(contexts: list[bytes], docs: np.ndarray, places: np.ndarray,
     start = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
     found = np.zeros(len(order), dtype=bool)
     found[order] = (doc[order] != doc[start]) | (place[order] != place[start])
-    return [offset[a:b][found[a:b]] for a, b in zip(np.cumsum(counts) - counts, np.cumsum(counts))]
+    owner, offset = owner[found], offset[found]
+    if not len(owner):
+        return owner, offset, offset
+    new = np.append(True, (owner[1:] != owner[:-1]) | (offset[1:] > offset[:-1] + length))
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(owner) - 1)
+    return owner[new], offset[new], offset[last] + length
 
 
 def opened(data: bytes | None) -> bytes:
@@ -300,17 +317,22 @@ def compared(contexts: DataFrame, length: int) -> DataFrame:
 
     def solved(table: pa.Table) -> Iterator[pa.RecordBatch]:
         anchor, docs, begins, tags = (table.column(c).to_numpy() for c in ("anchor", "doc", "begin", "tag"))
-        contexts = table.column("bytes").to_pylist()
-        edges = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor)) if len(anchor) else [0]
-        a, out = 0, []
+        if not table.num_rows:
+            return
+        contexts = table.column("bytes").combine_chunks()
+        contexts = contexts.chunk(0) if isinstance(contexts, pa.ChunkedArray) else contexts
+        ends = np.frombuffer(contexts.buffers()[1], np.int32)[contexts.offset : contexts.offset + len(contexts) + 1].astype(np.int64)
+        codes = np.frombuffer(contexts.buffers()[2], np.uint8) if contexts.buffers()[2] else np.zeros(0, np.uint8)
+        edges = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
+        a, out = 0, [np.zeros((4, 0), dtype=np.int64)]
         for b in edges[1:]:  # whole groups, about `WIDE` rows at a time
             if b - a < WIDE and b < len(anchor):
                 continue
-            for i, found in enumerate(earlier_strings(contexts[a:b], docs[a:b], begins[a:b], length), a):
-                if len(found):
-                    out += [(docs[i], tags[i], begins[i] + x, begins[i] + y) for x, y in merged(np.stack([found, found + length], axis=1))]
+            which, begin, end = earlier_strings(codes[ends[a] : ends[b]], np.diff(ends[a : b + 1]), docs[a:b], begins[a:b], length)
+            which += a
+            out.append(np.stack([docs[which], tags[which], begins[which] + begin, begins[which] + end]))
             a = b
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=["doc", "tag", "begin", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in np.concatenate(out, axis=1)], names=["doc", "tag", "begin", "end"])
 
     spans = narrow.mapInArrow(run, "doc long, tag long, begin long, end long")
     # Single strings, behind 128 bits of hash: a grouped minimum over any number of rows.
