@@ -7,9 +7,9 @@ CASES = [
     ([0.1, 0.9], [0, 1], 0.0, 1.0),
     ([0.9, 0.1], [0, 1], 1.0, 0.0),
     ([0.5] * 4, [0, 1, 0, 1], 0.5, 0.5),
-    ([0.9, 0.8, 0.2, 0.1], [1, 0, 1, 0], 0.5, 0.75),
+    ([0.95, 0.7, 0.35, 0.15], [1, 0, 1, 0], 0.5, 0.75),
     ([0.2, 0.8], [0, 0], None, None),
-    ([0.9, 0.8, 0.2, 0.1], [0, 0, 1, 1], 1.0, 0.0),
+    ([0.85, 0.65, 0.3, 0.05], [0, 0, 1, 1], 1.0, 0.0),
 ]
 
 
@@ -35,7 +35,7 @@ def test_both_sweeps_agree(cases):
 
 def test_threshold_and_rates(cases):
     best = {r["case"]: r for r in sc.select_threshold(cases, ["case"]).collect()}
-    assert best[3]["threshold"] == pytest.approx(0.8) and best[3]["far"] == 0.5 and best[3]["miss"] == 0.5
+    assert best[3]["threshold"] == pytest.approx(0.7) and best[3]["far"] == 0.5 and best[3]["miss"] == 0.5
     assert 4 not in best
     rates = {r["case"]: r for r in sc.confusion_at(cases, 0.5, ["case"], absent_as_null=True).collect()}
     assert rates[4]["far"] == 0.5 and rates[4]["miss"] is None
