@@ -173,3 +173,50 @@ def test_budget_trim_equals_the_walk(spark):
         assert [tuple(r) for r in log.orderBy("step").collect()] == want
         gone = {(g, s) for g, s, _ in want}
         assert kept.count() == sum(1 for r in rows if r[1] != "train" or (r[0], r[2]) not in gone)
+
+
+def picked_by_walking(rows, sizes, order, k):
+    """(group, speaker, turn, key) of the sequential walk over (group, speaker, key, shard, number, duration)."""
+    out = []
+    for group in sorted({r[0] for r in rows}):
+        needed = set()
+        for speaker in order[group]:
+            left = [r for r in rows if r[:2] == (group, speaker)]
+            for turn in range(1, k + 1):
+                if not left:
+                    break
+                cost = lambda r: (0, 0) if r[3:5] in needed else (1, sizes.get((group, *r[3:5]), 10**12))
+                best = min(left, key=lambda r: (cost(r), -r[5], r[2]))
+                left.remove(best)
+                needed.add(best[3:5])
+                out.append((group, speaker, turn, best[2]))
+    return sorted(out)
+
+
+def test_picks_equal_the_walk(spark):
+    for seed, block in ((1, 1000), (2, 8)):
+        rng = random.Random(seed)
+        rows = [(f"g{i % 2}", f"s{rng.randrange(14):02}", f"k{i:03}", f"sh{rng.randrange(2)}", rng.randrange(9), float(rng.randrange(1, 6))) for i in range(180)]
+        sizes = {(g, s, n): rng.randrange(1, 5) for g in ("g0", "g1") for s in ("sh0", "sh1") for n in range(8)}
+        df = spark.createDataFrame(rows, "grp string, speaker string, row_key string, shard string, row_group int, duration double")
+        given = spark.createDataFrame([(*k, v) for k, v in sizes.items()], "grp string, shard string, row_group int, bytes bigint")
+        keyed = df.withColumns({"scope": select.joined_key("grp"), "person": select.joined_key("grp", "speaker"), "place": select.joined_key("grp", "shard", "row_group")})
+        got = select.pick_recordings(df, ["grp"], "speaker", "row_key", given, [F.lit(0)], 3)
+        order = {g: sorted({r[1] for r in rows if r[0] == g}) for g in ("g0", "g1")}
+        want = picked_by_walking(rows, sizes, order, 3)
+        assert sorted((r.grp, r.speaker, r.turn, r.row_key) for r in got.collect()) == want
+        # the same walk in blocks of other sizes, two turns a speaker in turn, some places known before
+        places = [(g, s, 0) for g in ("g0", "g1") for s in ("sh0", "sh1")]
+        slots = [(g, f"{g}|{s}", t, (t - 1) * len(order[g]) + i + 1) for g in order for t in (1, 2) for i, s in enumerate(order[g]) if sum(r[:2] == (g, s) for r in rows) >= t]
+        table = spark.createDataFrame(slots, "scope string, person string, turn int, position bigint")
+        used = spark.createDataFrame([(f"{g}|{s}|{n}",) for g, s, n in places], "place string")
+        walked = select.reusing_walk(keyed, table, "row_key", F.lit(0), [F.abs(F.col("duration") - 3)], used, block)
+        needed, taken, plain = set(places), set(), []
+        for scope, person, turn, position in sorted(slots, key=lambda x: (x[0], x[3])):
+            own = [r for r in rows if f"{r[0]}|{r[1]}" == person and r[2] not in taken]
+            best = min(own, key=lambda r: ((r[0], *r[3:5]) not in needed, abs(r[5] - 3), r[2]))
+            taken.add(best[2])
+            needed.add((best[0], *best[3:5]))
+            plain.append((scope, position, best[2]))
+        assert sorted((r.scope, r.position, r.row_key) for r in walked.collect()) == sorted(plain)
+    assert select.pick_recordings(df.limit(0), ["grp"], "speaker", "row_key", given, [F.lit(0)]).count() == 0

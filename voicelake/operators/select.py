@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,14 +163,82 @@ def select_synthetic(df: DataFrame, by: Sequence[str], key: str, target: int, so
     return head(chosen, by, [F.col("pass"), F.col("priority")], target)
 
 
+def _walk_block(slots: pd.DataFrame, offers: pd.DataFrame) -> pd.DataFrame:
+    """The picks of one block of positions, one after the other; `free` tells which places are free before the block."""
+    by_order = offers.sort_values([*[c for c in offers.columns if c.startswith("o_")], "key"], na_position="first")
+    held = {person: list(zip(own["cost"], own["key"], own["place"])) for person, own in by_order.groupby("person", sort=False)}
+    free, rows = set(offers.loc[offers["free"], "place"]), []
+    for slot in slots.sort_values("position").itertuples():
+        own = held[slot.person]
+        at = min(range(len(own)), key=lambda i: (own[i][2] not in free, 0 if own[i][2] in free else own[i][0], i))
+        _, key, place = own.pop(at)
+        free.add(place)
+        rows.append((slot.scope, slot.person, slot.turn, slot.position, key, place))
+    return pd.DataFrame(rows, columns=["scope", "person", "turn", "position", "key", "place"])
+
+
+def reusing_walk(rows: DataFrame, slots: DataFrame, key: str, cost: Column, order: Sequence[Column], used: DataFrame | None = None, block: int = 1000) -> DataFrame:
+    """The rows that a sequential walk over slots takes when a pick makes its row group free for all later ones.
+
+    `rows` has (person, place, key): the one who may take the row and its row group. `slots` has (scope, person, turn,
+    position): the walk inside a scope goes by position, and a person's turns count from 1 without gaps. A slot takes the
+    row of its person, not taken before, with the least (needs a new row group, `cost` if it does, `order`, key). Places
+    in `used` are free from the start. Returns (scope, person, turn, position, key, place).
+
+    What a slot takes depends on earlier positions alone, so the walk is the only fixpoint of taking all blocks of `block`
+    positions at once against the picks of the round before. Each round settles, in every open scope, the blocks up to the
+    first one that changed; only later ones are taken again. A task walks one block.
+
+    Few rows of a person can be taken, whatever the person holds. Rows of a person in one place cost the same. A pick that
+    needs a new place is among the first `turns` rows by (cost, order) in places that were not free at the start: had a
+    row before it become free, that one would be taken. So only places of such rows ever become free, and rows in other
+    places are left out.
+    """
+    most = slots.agg(F.max("turn")).first()[0] or 1
+    names = {f"o_{i}": c for i, c in enumerate(order)}
+    by_order = [F.col(n) for n in names] + [F.col("key")]
+    own = rows.join(slots.select("person").distinct(), "person", "left_semi").select("person", "place", F.col(key).alias("key"), cost.cast("bigint").alias("cost"), *[c.alias(n) for n, c in names.items()])
+    known = used.select("place").distinct() if used is not None else rows.select("place").limit(0)
+    marked = own.join(known.withColumn("__known", F.lit(True)), "place", "left").withColumn("__known", F.col("__known").isNotNull())
+    offers = cut(head(marked, ["person", "place"], by_order, most, "__r").drop("__r"))
+    new = head(offers.where("NOT __known"), ["person"], [F.col("cost"), *by_order], most, "turn")
+    within = offers.where("NOT __known").join(new.select("place").distinct(), "place", "left_semi")
+    few = cut(within.unionByName(head(offers.where("__known"), ["person"], by_order, most, "__r").drop("__r")), replaces=offers)
+    blocked = cut(slots.select("scope", "person", "turn", "position", F.floor((F.col("position") - 1) / block).alias("block")))
+    start = head(few, ["person"], [~F.col("__known"), F.col("cost"), *by_order], most, "turn").select("person", F.col("turn").cast("int").alias("turn"), "key", "place")
+    picks = cut(blocked.join(start, ["person", "turn"]))
+    todo = blocked
+    shape = f"scope string, person string, turn int, position bigint, key {dict(few.dtypes)['key']}, place string"
+    while True:
+        first = picks.groupBy("place").agg(F.min("block").alias("__first"))
+        mine = picks.groupBy("key").agg(F.min("block").alias("__mine"))
+        owners = todo.select("scope", "person", "block").distinct().toDF("scope", "person", "block")
+        near = few.join(owners, "person").join(first, "place", "left").join(mine, "key", "left")
+        near = near.where("__mine IS NULL OR __mine >= block").withColumn("free", F.col("__known") | F.coalesce(F.col("__first") < F.col("block"), F.lit(False))).drop("__known", "__first", "__mine")
+        near = near.select(*[F.col(c).alias(c) for c in near.columns])
+        walked = todo.groupBy("scope", "block").cogroup(near.groupBy("scope", "block")).applyInPandas(_walk_block, shape)
+        before = picks.select("scope", "position", "block", F.col("key").alias("__before"))
+        taken = cut(walked.join(before, ["scope", "position"]))
+        first_changed = taken.where(F.col("key") != F.col("__before")).groupBy("scope").agg(F.min("block").alias("__changed"))
+        changed = cut(first_changed.join(blocked.groupBy("scope").agg(F.max("block").alias("__last")), "scope").where("__last > __changed"))
+        picks = cut(picks.join(taken.select("scope", "position"), ["scope", "position"], "left_anti").unionByName(taken.drop("__before")), replaces=picks)
+        remove_work(taken.sparkSession, taken._work_path)
+        if changed.isEmpty():
+            remove_work(few.sparkSession, few._work_path)
+            return picks.drop("block").withColumnRenamed("key", key)
+        todo = blocked.join(changed, "scope").where(F.col("block") > F.col("__changed")).drop("__changed", "__last")
+
+
 def select_genuine(df: DataFrame, by: Sequence[str], key: str, used_groups: DataFrame, target: int, per_speaker: int, low: float = 1.0, high: float = 30.0) -> DataFrame:
-    """Speaker round-robin with a cap. In a speaker, recordings in row groups already needed come first, then durations
-    near five seconds; speakers with more material go first. The needed groups are frozen at the start."""
-    rows = df.where(F.col("duration").between(low, high))
-    marked = null_safe(rows, used_groups.select("shard", "row_group", F.lit(0).alias("reuse")).distinct(), ["shard", "row_group"], "left").withColumn("reuse", F.coalesce("reuse", F.lit(1)))
-    own = head(marked, [*by, "speaker"], [F.col("reuse"), F.abs(F.col("duration") - 5), F.col(key)], per_speaker, "turn")
-    volume = rows.groupBy(*by, "speaker").agg(F.count("*").alias("material"))
-    return head(own.join(volume, [*by, "speaker"]), by, [F.col("turn"), F.col("material").desc(), F.col("speaker")], target)
+    """Speaker round-robin with a cap; speakers with more material go first. A speaker gives the recording whose row group
+    is needed already, by `used_groups` or by an earlier pick, then the one nearest to five seconds, ties by key."""
+    keyed = df.where(F.col("duration").between(low, high)).withColumns({"scope": joined_key(*by), "person": joined_key(*by, "speaker"), "place": joined_key(*by, "shard", "row_group")})
+    volume = keyed.groupBy("scope", "person", "speaker").agg(F.count("*").alias("material"))
+    turns = volume.withColumn("turn", F.explode(F.sequence(F.lit(1), F.least("material", F.lit(per_speaker)).cast("int"))))
+    slots = cut(head(turns, ["scope"], [F.col("turn"), F.col("material").desc(), F.col("speaker")], target, "position").select("scope", "person", "turn", "position"))
+    used = null_safe(keyed, used_groups.select("shard", "row_group").distinct(), ["shard", "row_group"], "left_semi").select("place").distinct()
+    picks = reusing_walk(keyed, slots, key, F.lit(0), [F.abs(F.col("duration") - 5)], used)
+    return df.join(picks.select(key, "turn", F.col("position").alias("rank")), key)
 
 
 def top_up_genuine(df: DataFrame, by: Sequence[str], key: str, deficit: int, per_speaker: int) -> DataFrame:
@@ -238,27 +307,20 @@ def allocate_speakers(df: DataFrame, by: Sequence[str], speaker: str, dev_target
     return top.withColumn("split", F.when(F.col("turn") <= dev, "dev").when(F.col("turn") <= dev + train_target, "train")).where("split IS NOT NULL")
 
 
-def pick_recordings(df: DataFrame, by: Sequence[str], speaker: str, key: str, sizes: DataFrame, k: int = 2) -> DataFrame:
+def pick_recordings(df: DataFrame, by: Sequence[str], speaker: str, key: str, sizes: DataFrame, walk: Sequence[Column], k: int = 2) -> DataFrame:
     """k recordings per speaker by the bytes they add: none when the row group is needed already, longest first.
 
-    One round per recording: all speakers choose at once against the row groups needed after the round before.
+    Speakers choose in the order of `walk` (columns that are equal in all rows of a speaker), each all its recordings at
+    once; a row group that one of them needs adds nothing for the picks behind it. An unknown size is very large.
     """
     group = [*by, "shard", "row_group"]
-    left = df.join(sizes.select(*group, F.col("bytes").alias("group_bytes")), group, "left")
-    picked = None
-    needed = None
-    for turn in range(1, k + 1):
-        if needed is None:
-            priced = left.withColumn("price", F.coalesce("group_bytes", F.lit(10**12)))
-        else:
-            marked = left.join(needed.withColumn("__need", F.lit(True)), group, "left")
-            priced = marked.withColumn("price", F.when(F.col("__need"), 0).otherwise(F.coalesce("group_bytes", F.lit(10**12)))).drop("__need")
-        best = priced.groupBy(*by, speaker).agg(F.min(F.struct(F.col("price"), (-F.col("duration")).alias("d"), F.col(key))).alias("b"))
-        chosen = cut(priced.join(best.select(F.col(f"b.{key}").alias(key)), key, "left_semi").withColumn("turn", F.lit(turn)))
-        picked = chosen if picked is None else picked.unionByName(chosen)
-        needed = picked.select(*group).distinct()
-        left = left.join(chosen.select(key), key, "left_anti")
-    return picked
+    rows = null_safe(df, sizes.select(*group, F.col("bytes").alias("group_bytes")), group, "left").withColumns(
+        {"scope": joined_key(*by), "person": joined_key(*by, speaker), "place": joined_key(*group)})
+    speakers = rows.groupBy("scope", "person").agg(F.count("*").alias("__n"), F.min(F.struct(*walk, F.col(speaker))).alias("__walk"))
+    placed = ranked(speakers, ["scope"], [F.col("__walk")], "__place").withColumn("turn", F.explode(F.sequence(F.lit(1), F.least("__n", F.lit(k)).cast("int"))))
+    slots = cut(placed.select("scope", "person", "turn", ((F.col("__place") - 1) * k + F.col("turn")).alias("position")))
+    picks = reusing_walk(rows, slots, key, F.coalesce("group_bytes", F.lit(10**12)), [-F.col("duration")])
+    return cut(rows.drop("scope", "person", "place").join(picks.select(key, "turn"), key))
 
 
 def budget_trim(picks: DataFrame, by: str, speaker: str, cap: int) -> tuple[DataFrame, DataFrame]:

@@ -244,9 +244,9 @@ def coverage_plan(spark: SparkSession, folder: str) -> DataFrame:
     reason = F.coalesce(joins.identity_conflict(flagged, 3.0), F.when(F.col("exposed"), "excluded_prior_exposure"))
     judged = flagged.withColumn("reason", reason)
     usable = judged.where("reason IS NULL")
-    allocation = select.allocate_speakers(usable, ["language"], "speaker").select("language", "speaker", "split")
+    allocation = select.allocate_speakers(usable, ["language"], "speaker").select("language", "speaker", "split", F.col("turn").alias("turn_speaker"))
     sizes = rows.groupBy("language", "shard", "row_group").agg(F.sum("bytes").alias("bytes"))
-    picks = select.pick_recordings(usable.join(allocation, ["language", "speaker"]), ["language"], "speaker", "row_key", sizes, 2).select("row_key", "split")
+    picks = select.pick_recordings(usable.join(allocation, ["language", "speaker"]), ["language"], "speaker", "row_key", sizes, [F.col("split") == "dev", F.col("turn_speaker")], 2).select("row_key", "split")
     out = judged.join(picks, "row_key", "left")
     return out.groupBy("language", F.coalesce(F.concat(F.lit("planned_"), "split"), "reason", F.lit("not_needed")).alias("disposition")).agg(F.count("*").alias("n"))
 

@@ -79,10 +79,15 @@ def select_synthetic(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("language", "generator", "row_id", "turn", "pass", "rank")
 
 
-@query("select_genuine", INV + """, u AS (SELECT DISTINCT shard, row_group FROM inventory WHERE record_id LIKE '1%' AND duration > 48), v AS (SELECT * FROM inventory WHERE duration BETWEEN 1 AND 30),
-r AS (SELECT v.*, CASE WHEN (shard, row_group) IN (FROM u) THEN 0 ELSE 1 END AS reuse, count(*) OVER (PARTITION BY language, speaker) AS material FROM v),
-t AS (SELECT *, row_number() OVER (PARTITION BY language, speaker ORDER BY reuse, abs(duration - 5), row_key) AS turn FROM r)
-SELECT language, speaker, row_key, turn, rank FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY turn, material DESC, speaker) AS rank FROM t WHERE turn <= 3) WHERE rank <= 500""")
+@query("select_genuine", INV.replace("WITH", "WITH RECURSIVE", 1) + """, u AS (SELECT DISTINCT shard, row_group FROM inventory WHERE record_id LIKE '1%' AND duration > 48),
+v AS (SELECT *, concat(shard, '/', row_group) AS place, (shard, row_group) IN (FROM u) AS used, count(*) OVER (PARTITION BY language, speaker) AS material FROM inventory WHERE duration BETWEEN 1 AND 30),
+s AS (SELECT language, speaker, turn, row_number() OVER (PARTITION BY language ORDER BY turn, material DESC, speaker) AS position
+  FROM (SELECT DISTINCT language, speaker, material FROM v), (SELECT unnest([1, 2, 3]) AS turn) WHERE turn <= material QUALIFY position <= 500),
+w AS (SELECT DISTINCT language, 0::BIGINT AS position, '' AS speaker, 0 AS turn, '' AS row_key, []::VARCHAR[] AS taken, []::VARCHAR[] AS needed FROM s
+  UNION ALL SELECT language, position, speaker, turn, row_key, list_append(taken, row_key), list_append(needed, place) FROM (
+    SELECT s.*, v.row_key, v.place, w.taken, w.needed, row_number() OVER (PARTITION BY s.language ORDER BY NOT (used OR list_contains(needed, place)), abs(duration - 5), v.row_key) AS best
+    FROM w JOIN s ON s.language = w.language AND s.position = w.position + 1 JOIN v ON v.language = s.language AND v.speaker = s.speaker WHERE NOT list_contains(taken, v.row_key)) WHERE best = 1)
+SELECT language, speaker, row_key, turn, position AS rank FROM w WHERE position > 0""")
 def select_genuine(spark: SparkSession, folder: str) -> DataFrame:
     rows = st.inventory(spark, folder)
     used = rows.where("record_id LIKE '1%' AND duration > 48")
@@ -149,15 +154,21 @@ def planned_picks(spark: SparkSession, folder: str) -> DataFrame:
     chosen = select.allocate_speakers(rows, ["language"], "speaker").select("language", "speaker", "split", F.col("turn").alias("turn_speaker"))
     sizes = rows.groupBy("language", "shard", "row_group").agg(F.sum("bytes").alias("bytes"))
     own = rows.join(chosen, ["language", "speaker"])
-    return select.pick_recordings(own, ["language"], "speaker", "row_key", sizes, 2)
-
-
-@query("pick_recordings", INV + """, m AS (SELECT language, speaker, count(*) AS material FROM inventory GROUP BY ALL), a AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY material DESC, CAST(speaker AS BIGINT)) AS ts FROM m),
-z AS (SELECT language, shard, row_group, sum(bytes) AS gb FROM inventory GROUP BY ALL), o AS (SELECT i.*, ts, gb FROM inventory i JOIN a USING (language, speaker) JOIN z USING (language, shard, row_group) WHERE ts <= 6),
-p1 AS (SELECT *, 1 AS turn FROM o QUALIFY row_number() OVER (PARTITION BY language, speaker ORDER BY gb, -duration, row_key) = 1),
-n AS (SELECT DISTINCT language, shard, row_group FROM p1),
-p2 AS (SELECT o.*, 2 AS turn FROM o WHERE row_key NOT IN (SELECT row_key FROM p1) QUALIFY row_number() OVER (PARTITION BY language, speaker ORDER BY CASE WHEN (language, shard, row_group) IN (FROM n) THEN 0 ELSE gb END, -duration, row_key) = 1)
-SELECT language, speaker, row_key, turn FROM p1 UNION ALL SELECT language, speaker, row_key, turn FROM p2""")
+    return select.pick_recordings(own, ["language"], "speaker", "row_key", sizes, [F.col("split") == "dev", F.col("turn_speaker")], 2)
+
+
+@query("pick_recordings", INV.replace("WITH", "WITH RECURSIVE", 1) + """, m AS (SELECT language, speaker, count(*) AS material FROM inventory GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY material DESC, CAST(speaker AS BIGINT)) AS ts, count(*) OVER (PARTITION BY language) AS speakers FROM m),
+z AS (SELECT language, shard, row_group, sum(bytes) AS gb FROM inventory GROUP BY ALL),
+s AS (SELECT language, speaker, turn, row_number() OVER (PARTITION BY language ORDER BY ts <= CASE WHEN speakers <= 3 THEN 1 ELSE 2 END, ts, turn) AS position
+  FROM a, (SELECT unnest([1, 2]) AS turn) WHERE ts <= CASE WHEN speakers <= 3 THEN 1 ELSE 2 END + 4 AND turn <= material),
+o AS (SELECT i.*, gb, concat(shard, '/', row_group) AS place FROM inventory i JOIN z USING (language, shard, row_group)),
+w AS (SELECT DISTINCT language, 0::BIGINT AS position, '' AS speaker, 0 AS turn, '' AS row_key, []::VARCHAR[] AS taken, []::VARCHAR[] AS needed FROM s
+  UNION ALL SELECT language, position, speaker, turn, row_key, list_append(taken, row_key), list_append(needed, place) FROM (
+    SELECT s.*, o.row_key, o.place, w.taken, w.needed,
+      row_number() OVER (PARTITION BY s.language ORDER BY NOT list_contains(needed, place), CASE WHEN list_contains(needed, place) THEN 0 ELSE gb END, -duration, o.row_key) AS best
+    FROM w JOIN s ON s.language = w.language AND s.position = w.position + 1 JOIN o ON o.language = s.language AND o.speaker = s.speaker WHERE NOT list_contains(taken, o.row_key)) WHERE best = 1)
+SELECT language, speaker, row_key, turn FROM w WHERE position > 0""")
 def pick_recordings(spark: SparkSession, folder: str) -> DataFrame:
     return planned_picks(spark, folder).select("language", "speaker", "row_key", "turn")
 
