@@ -9,7 +9,7 @@ from voicelake.operators import audit, joins, scores
 from voicelake.plans import standins
 from voicelake.plans.registry import QUERIES
 from voicelake.session import work_path
-from voicelake.sources import sinks
+from voicelake.sources import inventory, sinks
 from voicelake.streaming import jobs
 
 
@@ -178,3 +178,34 @@ def test_whole_jobs_match_sql(spark, key):
     df, result = queries()[key](spark, folder), connect(folder).execute(oracle_sql()[key])
     want = rows_of([d[0] for d in result.description], result.fetchall())
     assert want and rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
+
+
+def scanned(df):
+    """(files, bytes, rows) that the scan of a collected plan read."""
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return [leaf.metrics().get(n).get().value() for n in ("numFiles", "filesSize", "numOutputRows")]
+
+
+def test_row_fetch_reads_the_planned_files_and_row_groups_alone(spark):
+    path = work_path(spark, "shards")
+    rows = spark.range(60_000).select((F.col("id") % 3).cast("string").alias("shard"), F.floor(F.col("id") / 600).alias("row_group"), "id", F.repeat(F.md5(F.col("id").cast("string")), 4).alias("payload"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("parquet.block.size", 64 * 1024)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        inventory.write_shards(rows, path, "shard", ["row_group", "id"])
+        every = inventory.located(spark.read.parquet(path), ["row_group", "id"])
+        plan = every.where("shard = '1' AND row_group IN (50, 51) AND id % 7 = 1")
+        wanted = {r.id for r in plan.collect()}
+        whole = every.select("id")
+        whole.collect()
+        read = inventory.planned_rows(spark, path, plan, ["id", "payload"], "row_group")
+        read.collect()
+        (all_files, all_bytes, all_rows), (files, size, seen) = scanned(whole), scanned(read)
+        assert files < all_files and size < all_bytes / 2 and len(wanted) <= seen < 10_000 < all_rows == 60_000
+        got = inventory.fetch_rows(read, plan, ["shard_path", "row_index"]).collect()
+        assert len(got) == len(wanted) and {r.id for r in got} == wanted
+        assert inventory.planned_rows(spark, path, plan.limit(0), ["id"], "row_group").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("parquet.block.size")

@@ -11,7 +11,7 @@ from voicelake.functions.labels import safe_path
 from voicelake.plans import standins as st
 from voicelake.plans.registry import query, table
 from voicelake.plans.score_queries import rounded
-from voicelake.session import work_path
+from voicelake.session import cut, work_path
 from voicelake.sources import files, inventory, sinks
 
 INV = f"WITH {st.INVENTORY}"
@@ -69,7 +69,7 @@ def _shards(spark: SparkSession, folder: str) -> str:
     """The inventory as parquet shards, one folder per shard name, with a payload column."""
     path = work_path(spark, "shards")
     rows = st.inventory(spark, folder).withColumn("payload", F.repeat(F.col("row_key"), 3))
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+    inventory.write_shards(rows, path, "shard", ["row_group", "row_key"])
     return path
 
 
@@ -92,13 +92,13 @@ def src_shard_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("src_row_fetch", INV + ", p AS (SELECT shard, max(duration) AS duration FROM inventory WHERE speaker LIKE '%3' GROUP BY shard) " + """
 SELECT row_key, concat(row_key, row_key, row_key) AS payload FROM inventory JOIN p USING (shard, duration) WHERE speaker LIKE '%3'""")
 def src_row_fetch(spark: SparkSession, folder: str) -> DataFrame:
-    """Plan from metadata columns, then fetch only the payload rows at the planned positions."""
+    """Plan from metadata columns, then read the planned files alone and keep the payloads at the planned positions."""
     path = _shards(spark, folder)
-    rows = inventory.shard_inventory(spark, path, ["shard", "duration", "speaker"]).where(F.col("speaker").endswith("3"))
+    rows = inventory.located(spark.read.parquet(path), ["shard", "row_group", "duration", "speaker"]).where(F.col("speaker").endswith("3"))
     longest = rows.groupBy("shard").agg(F.max("duration").alias("duration"))
-    plan = rows.join(longest, ["shard", "duration"], "left_semi")
-    payloads = inventory.shard_inventory(spark, path, ["shard", "row_key", "payload"])
-    return inventory.fetch_rows(payloads, plan, ["shard", "shard_file", "row_index"]).select("row_key", "payload")
+    plan = cut(rows.join(longest, ["shard", "duration"], "left_semi").select("shard_path", "row_index", "row_group"))
+    payloads = inventory.planned_rows(spark, path, plan, ["row_key", "payload"], "row_group")
+    return inventory.fetch_rows(payloads, plan, ["shard_path", "row_index"]).select("row_key", "payload")
 
 
 @query("src_group_sizes", INV + " SELECT shard, row_group, CAST(sum(3 * octet_length(encode(row_key))) AS BIGINT) AS bytes, count(*) AS rows FROM inventory GROUP BY ALL")

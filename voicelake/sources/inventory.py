@@ -32,6 +32,35 @@ def shard_counts(rows: DataFrame, shard: Sequence[str], fname: str = "fname") ->
     return rows.groupBy(*shard).agg(F.count("*").alias("rows"), F.count_if(parsed).alias("parsed"), F.count_if(~parsed).alias("unparsed"))
 
 
+def write_shards(rows: DataFrame, path: str, shard: str, position: Sequence[str]) -> None:
+    """Parquet files in one folder per shard, sorted by `position`: a file, and a row group in it, holds one range.
+
+    Ranges are cut by sampled quantiles, so a large shard becomes many files.
+    """
+    order = [F.col(shard), *[F.col(c) for c in position]]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(shard).parquet(path)
+
+
+def planned_rows(spark: SparkSession, path: str, plan: DataFrame, columns: Sequence[str], position: str) -> DataFrame:
+    """`columns` of the shards' files that a plan needs, with each row's place in its file.
+
+    `plan` has (shard_path, `position`). Its files, one name each, are listed on the driver, as Spark's own file index
+    lists all of them; other files are not opened. Inside a file the reader skips row groups outside the least and
+    greatest planned position.
+    """
+    files = plan.groupBy("shard_path").agg(F.min(position).alias("low"), F.max(position).alias("high")).collect()
+    if not files:
+        return located(spark.read.parquet(path), columns).limit(0)
+    read = spark.read.option("basePath", path).parquet(*sorted(f["shard_path"] for f in files))
+    span = F.col(position).between(min(f["low"] for f in files), max(f["high"] for f in files))
+    return located(read.where(span), columns)
+
+
+def located(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`columns` of a parquet table with the file and the place in it of each row."""
+    return rows.select(*columns, F.col("_metadata.file_path").alias("shard_path"), F.col("_metadata.row_index").alias("row_index"))
+
+
 def fetch_rows(payloads: DataFrame, chosen: DataFrame, position: Sequence[str]) -> DataFrame:
     """The payload rows at chosen positions: a semi-join, broadcast by Spark only when the choice is measured small."""
     return payloads.join(chosen.select(*position).distinct(), list(position), "left_semi")
