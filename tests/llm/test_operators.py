@@ -1,6 +1,7 @@
 """Operators on odd and empty tables, and against plain versions."""
 
 import math
+import random
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -123,10 +124,41 @@ def test_language_ignores_the_held_out_fold(spark):
 
 def test_clauses():
     scan = toxicity.Scanner(toxicity.Grammar({"fool": 4.0, "rott*": 2.0}))
-    plain, aimed, negated, reported = (scan.document(x) for x in ("A fool came.", "You fool.", "not a fool.", "She said fool."))
-    assert plain == 4 and aimed > plain > reported and negated < plain
-    assert scan.document("rottener; foolish") == 2 and scan.document("He will kill him.") > 0 == scan.document("kill time")
-    assert scan.document("A fool. A fool!") == 8 and scan.document(None) == 0
+    said = {t: scan.document(t) for t in (
+        "A fool came.", "You fool.", "You are a fool.", "not a fool.", "You are not really a fool.", "You have no shame, fool.", "You are no fool.", "She said fool.",
+        "He told me that you are a fool.", "He said hello, you fool.", 'He said: "you fool" and left.', "The fool saw them there, a long way off from you.", "I will not kill you.", "I will kill you.", "kill time")}
+    bare, aimed, not_aimed = 4 * toxicity.BARE, 4 * toxicity.AIMED, 4 * toxicity.AIMED * toxicity.NEGATED
+    assert said["A fool came."] == bare and said["The fool saw them there, a long way off from you."] == aimed
+    assert said["You fool."] == said["You are a fool."] == said["You have no shame, fool."] == said["He said hello, you fool."] == aimed
+    assert said["You are not really a fool."] == said["You are no fool."] == not_aimed and said["not a fool."] == bare * toxicity.NEGATED
+    assert said["She said fool."] < said["He told me that you are a fool."] == said['He said: "you fool" and left.'] == aimed * toxicity.REPORTED
+    assert said["I will kill you."] == toxicity.THREAT_WEIGHT > said["I will not kill you."] > 0 == said["kill time"]
+    assert scan.document("rottener; foolish") == 2 * toxicity.BARE and scan.document("He will kill him.") > 0
+    assert scan.document("A fool. A fool!") == 2 * bare and scan.document(None) == 0
+
+
+def every_path(layers, symbols, strengths):
+    """Weights of all paths, layer after layer, without composing anything."""
+    readings = [(symbols, (1.0,) * len(symbols))]
+    for layer in layers:
+        written = []
+        for line, factors in readings:
+            walks = [(layer.start, "", ())]
+            for symbol in line:
+                walks = [(new, out + w, fs + (f,)) for state, out, fs in walks for w, f, new in layer.arcs.get((state, symbol), ())]
+            written += [(out, tuple(a * b for a, b in zip(factors, fs))) for state, out, fs in walks if state in layer.finals]
+        readings = written
+    return [sum(f * s for f, s in zip(factors, strengths)) for _, factors in readings]
+
+
+def test_composed_grammar_equals_a_plain_path_search():
+    rng = random.Random(5)
+    layers, machine = toxicity.cascade(), toxicity.machine()
+    for _ in range(1500):
+        symbols = "".join(rng.choices(toxicity.WORDS + toxicity.MARKS, [3, 2, 3, 1, 1, 1, 6, 1, 1], k=rng.randint(0, 9)))
+        strengths = [rng.randint(1, 9) if s in "IH" else 0 for s in symbols]
+        paths = every_path(layers, symbols, strengths)
+        assert len(paths) == 1 and abs(machine.best(symbols, strengths) - paths[0]) < 1e-9, symbols
 
 
 def test_toxicity_of_held_out_texts(spark, odd, empty):
@@ -138,6 +170,10 @@ def test_toxicity_of_held_out_texts(spark, odd, empty):
     kept = [r for r in got if r.held_out]
     right = sum(r.toxic == r.predicted for r in kept) / len(kept)
     assert right >= 0.95
+    caught = sum(r.toxic and r.predicted for r in kept)
+    # some labels are noise: texts without any insult that are marked toxic
+    assert caught >= 0.8 * sum(r.toxic for r in kept) and caught >= 0.95 * sum(r.predicted for r in kept)
+    assert all(r.total == 0 for r in kept if r.toxic and not r.predicted)
     assert sum(r.predicted for r in kept if r.toxic == 0) <= 0.01 * len(kept)
     rows = toxicity.score(odd, grammar).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)

@@ -1,11 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A scanner turns each clause into symbols: I insult, H threat, T target, N negation, R reported speech, and `.` for other
-words. A cascade of transducers rewrites the symbols (a negated insult, an insult at a target, a threat at a target,
-reported speech), and the weights of what is left are the score of the clause. Words alone never score; clauses do.
+A scanner turns a clause into symbols: I insult, H threat, T target, N negation, D negating determiner, R verb of saying,
+Q quotation mark, C comma or colon, and `.` for other words. Four transducers are composed into one machine:
+
+* negation weakens insults and threats in its scope, which a comma ends;
+* aim tells insults with a target near them from bare ones, which weigh little;
+* threat keeps threats that a target follows and drops the others;
+* report weakens what stands in reported speech: from a verb of saying to a comma, or in the quotation behind it.
+
+Arcs carry factors, which composition multiplies; a path weighs the sum over its arcs of factor times the strength of the
+word, and a clause scores its best path. What follows a word is guessed and checked later (`Ahead`), so a symbol string
+has one path that ends well.
 
 Insults are learned: words and word beginnings that labelled toxic documents use and others do not, with their log-odds
-as weights. The closed classes (pronouns, negations, verbs of saying and threatening) are given. A logistic curve from
+as strengths. The closed classes (pronouns, negations, verbs of saying and threatening) are given. A logistic curve from
 the sum of clause scores to the label is fitted on another fold than the lexicon.
 """
 
@@ -13,8 +21,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -26,24 +35,180 @@ from voicelake.llm.common import HELD_OUT, fold, whole
 
 # Fixed word classes in English, German, French and Spanish.
 TARGETS = frozenset("you your yourself he him she her they them people du dich dir ihr euch sie er leute tu toi vous il elle ils gens usted ustedes ellos ella gente".split())
-NEGATIONS = frozenset("not never no isn't aren't wasn't nicht nie kein keine ne pas jamais nunca jamás".split())
-REPORTS = frozenset("said says wrote writes claimed claims quoted reported sagte schrieb behauptete dit écrit affirmé dijo escribió afirmó".split())
-THREATS = frozenset("kill murder destroy hurt beat töten umbringen tuer frapper matar golpear".split())
+NEGATIONS = frozenset("not never isn't aren't wasn't weren't don't doesn't didn't nicht nie niemals ne pas jamais nunca jamás".split())
+DETERMINERS = frozenset("no kein keine keinen keiner aucun aucune ningún ninguna".split())
+REPORTS = frozenset(
+    "said says say wrote writes claimed claims quoted quotes reported told tells called sagte sagt schrieb behauptete meinte erzählte dit écrit affirmé raconté dijo dice escribió afirmó contó".split()
+)
+THREATS = frozenset("kill murder destroy hurt beat stab shoot strangle töten umbringen erschießen schlagen tuer frapper étrangler matar golpear".split())
 THREAT_WEIGHT = 4.0
 
-WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+TOKEN = re.compile(r"([^\W\d_]+(?:'[^\W\d_]+)?)|([,:])|([\"“”„«»])")
+CLAUSE = re.compile(r"[.!?;\n]+")
 LENGTHS = (4, 5, 6)
 
-#: The cascade: (pattern over symbols, rewriting of the match). Lower case marks a weakened symbol.
-CASCADE = (
-    (re.compile(r"N(.?)I"), lambda m: "." + m[1] + "i"),  # "not (a) fool"
-    (re.compile(r"N(.?)H"), lambda m: "." + m[1] + "h"),
-    (re.compile(r"T(.{0,3})I|I(.{0,3})T"), lambda m: "X" + (m[1] or m[2] or "") + "."),  # an insult at a target
-    (re.compile(r"H(.{0,2})T"), lambda m: "Y" + m[1] + "."),  # a threat needs a target
-)
-FACTORS = {"I": 1.0, "i": 0.5, "X": 1.25, "Y": 1.0}
-REPORTED = 0.75
+#: Symbols of words and marks; lower case marks a negated one, X and Y are an insult and a threat at a target.
+WORDS, MARKS = "IHTNDR.", "QC"
+NEGATED, AIMED, BARE, REPORTED = 0.25, 1.25, 0.5, 0.6
+#: Words that a negation and a negating determiner reach; words between an insult or a threat and its target.
+NOT_REACH, NO_REACH, BEFORE, BEHIND, THREATENED = 4, 2, 4, 4, 3
+
+Rule = Callable[[Hashable, str], Iterable[tuple[str, float, Hashable]]]
+
+
+@dataclass
+class Transducer:
+    """Arcs (state, symbol) -> [(symbol written, factor, next state)]; a path must end in one of `finals`."""
+
+    start: Hashable
+    arcs: dict[tuple[Hashable, str], list[tuple[str, float, Hashable]]]
+    finals: set[Hashable]
+
+    @classmethod
+    def of(cls, start: Hashable, symbols: str, rule: Rule, final: Callable[[Hashable], bool] = lambda state: True) -> Transducer:
+        """The states that can be reached, by a rule that gives the arcs of a state for a symbol."""
+        arcs, states, todo = {}, {start}, [start]
+        while todo:
+            state = todo.pop()
+            for symbol in symbols:
+                arcs[state, symbol] = list(rule(state, symbol))
+                new = {n for _, _, n in arcs[state, symbol]} - states
+                states |= new
+                todo.extend(new)
+        return cls(start, arcs, {s for s in states if final(s)})
+
+    def compose(self, other: Transducer) -> Transducer:
+        """What this one writes, the other one reads; factors multiply."""
+
+        def rule(state: Hashable, symbol: str) -> Iterator[tuple[str, float, Hashable]]:
+            for middle, factor, mine in self.arcs.get((state[0], symbol), ()):
+                for written, more, theirs in other.arcs.get((state[1], middle), ()):
+                    yield written, factor * more, (mine, theirs)
+
+        symbols = "".join(sorted({symbol for _, symbol in self.arcs}))
+        return Transducer.of((self.start, other.start), symbols, rule, lambda s: s[0] in self.finals and s[1] in other.finals)
+
+    def best(self, symbols: str, strengths: list[float]) -> float:
+        """The weight of the best path: the sum of factor times strength over its arcs."""
+        reached = {self.start: 0.0}
+        for symbol, strength in zip(symbols, strengths):
+            following: dict[Hashable, float] = {}
+            for state, total in reached.items():
+                for _, factor, new in self.arcs.get((state, symbol), ()):
+                    weight = total + factor * strength
+                    if weight > following.get(new, -math.inf):
+                        following[new] = weight
+            reached = following
+        return max((total for state, total in reached.items() if state in self.finals), default=0.0)
+
+
+@dataclass(frozen=True)
+class Ahead:
+    """Guesses about the words to come: no target in the next `without` words, one in the next `within`."""
+
+    without: int = 0
+    within: int = 0
+
+    def passing(self, symbol: str) -> Ahead | None:
+        """The guesses behind a symbol, or None if it proves one wrong. Marks are not counted."""
+        if symbol in MARKS:
+            return self
+        if symbol == "T":
+            return None if self.without else Ahead()
+        if self.within == 1:
+            return None
+        return Ahead(max(0, self.without - 1), max(0, self.within - 1))
+
+    def guess(self, reach: int, target: bool) -> Ahead | None:
+        """One more guess, or None if it contradicts those that are held."""
+        if target:
+            return None if self.without >= reach else Ahead(self.without, self.within or reach)
+        return None if self.within else Ahead(reach, 0)
+
+
+def negation() -> Transducer:
+    def rule(left: int, symbol: str) -> Iterator[tuple[str, float, int]]:
+        if symbol in MARKS:
+            yield symbol, 1.0, 0 if symbol == "C" else left
+        elif symbol in "ND":
+            yield symbol, 1.0, max(left - 1, NOT_REACH if symbol == "N" else NO_REACH)
+        elif symbol in "IH" and left:
+            yield symbol.lower(), NEGATED, left - 1
+        else:
+            yield symbol, 1.0, max(0, left - 1)
+
+    return Transducer.of(0, WORDS + MARKS, rule)
+
+
+def aim() -> Transducer:
+    """State: words for which the last target still counts, and the guesses."""
+
+    def rule(state: tuple[int, Ahead], symbol: str) -> Iterator[tuple[str, float, tuple[int, Ahead]]]:
+        left, ahead = state
+        after = ahead.passing(symbol)
+        if after is None:
+            return
+        if symbol in MARKS:
+            yield symbol, 1.0, (left, after)
+            return
+        now = BEFORE if symbol == "T" else max(0, left - 1)
+        if symbol not in "Ii":
+            yield symbol, 1.0, (now, after)
+        elif left:
+            yield "X", AIMED, (now, after)
+        else:
+            for target, factor, written in ((True, AIMED, "X"), (False, BARE, "I")):
+                held = after.guess(BEHIND, target)
+                if held is not None:
+                    yield written, factor, (now, held)
+
+    return Transducer.of((0, Ahead()), WORDS + MARKS + "ih", rule, lambda s: not s[1].within)
+
+
+def threat() -> Transducer:
+    def rule(ahead: Ahead, symbol: str) -> Iterator[tuple[str, float, Ahead]]:
+        after = ahead.passing(symbol)
+        if after is None:
+            return
+        if symbol not in "Hh":
+            yield symbol, 1.0, after
+            return
+        for target, factor, written in ((True, 1.0, "Y"), (False, 0.0, ".")):
+            held = after.guess(THREATENED, target)
+            if held is not None:
+                yield written, factor, held
+
+    return Transducer.of(Ahead(), WORDS + MARKS + "hX", rule, lambda s: not s.within)
+
+
+def report() -> Transducer:
+    """States: own words, behind a verb of saying, behind its comma, in its quotation."""
+
+    def rule(state: str, symbol: str) -> Iterator[tuple[str, float, str]]:
+        if symbol == "R" and state != "quoted":
+            new = "said"
+        elif symbol == "Q":
+            new = "own" if state in ("own", "quoted") else "quoted"
+        elif symbol == "C":
+            new = "comma" if state == "said" else state
+        else:
+            new = "own" if state == "comma" else state
+        yield symbol, REPORTED if new in ("said", "quoted") and symbol in "IXY" else 1.0, new
+
+    return Transducer.of("own", WORDS + MARKS + "XY", rule)
+
+
+def cascade() -> list[Transducer]:
+    return [negation(), aim(), threat(), report()]
+
+
+@cache
+def machine() -> Transducer:
+    """The composition of the cascade."""
+    first, *rest = cascade()
+    for one in rest:
+        first = first.compose(one)
+    return first
 
 
 @dataclass
@@ -63,6 +228,7 @@ class Scanner:
 
     def __init__(self, grammar: Grammar) -> None:
         self.insults = grammar.insults
+        self.machine = machine()
         self.automaton = ahocorasick.Automaton()
         for entry in [*grammar.insults, *THREATS]:
             self.automaton.add_word(entry.rstrip("*"), len(entry.rstrip("*")))
@@ -75,26 +241,24 @@ class Scanner:
                 return self.insults[key]
         return None
 
+    def symbols(self, text: str) -> tuple[str, list[float]]:
+        """The symbols of a clause in lower case, and the strength of each."""
+        found, strengths = [], []
+        for word, comma, _ in TOKEN.findall(text):
+            known = self.weight(word) if word else None
+            if known is not None:
+                symbol = "I"
+            elif not word:
+                symbol = "C" if comma else "Q"
+            else:
+                symbol = next((s for s, words in (("H", THREATS), ("T", TARGETS), ("N", NEGATIONS), ("D", DETERMINERS), ("R", REPORTS)) if word in words), ".")
+            found.append(symbol)
+            strengths.append(known if known is not None else THREAT_WEIGHT if symbol == "H" else 0.0)
+        return "".join(found), strengths
+
     def clause(self, text: str) -> float:
         """The weight of one clause in lower case."""
-        symbols, weights = [], {}
-        for word in WORD.findall(text):
-            known = self.weight(word)
-            if known is not None:
-                weights[len(symbols)] = known
-            symbols.append("I" if known is not None else "H" if word in THREATS else "T" if word in TARGETS else "N" if word in NEGATIONS else "R" if word in REPORTS else ".")
-        line = "".join(symbols)
-        strengths = [weights[i] for i, s in enumerate(symbols) if s == "I"]
-        for pattern, rewrite in CASCADE:
-            line = pattern.sub(rewrite, line)
-        total, used = 0.0, 0
-        for symbol in line:
-            if symbol in "IiX":
-                total += FACTORS[symbol] * strengths[min(used, len(strengths) - 1)]
-                used += 1
-            elif symbol == "Y":
-                total += FACTORS[symbol] * THREAT_WEIGHT
-        return total * (REPORTED if "R" in symbols else 1.0)
+        return self.machine.best(*self.symbols(text))
 
     def document(self, text: str | None) -> float:
         """The sum over clauses; only those around a hit of the automaton are read as symbols."""
@@ -123,8 +287,10 @@ class Scanner:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
     """Fit a grammar on at most `rows` labelled documents outside the held-out fold, chosen by hash order.
 
-    The curve is fitted on fold 3 with a lexicon of folds 0 and 1; the lexicon is then made of all three. Rows without an id or label are not used; if there is no labelled
-    toxic document, the grammar has the closed classes alone and its default curve.
+    The curve is fitted on fold 3 with a lexicon of folds 0 and 1; the lexicon is then made of all three. Candidates stay
+    a table; what comes to the driver are the entries of the lexicon, which the words of at most `rows` documents bound.
+    Rows without an id or label are not used; if there is no labelled toxic document, the grammar has the closed classes
+    alone and its default curve.
     """
     labelled = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).where(fold(F.col(id)) != HELD_OUT)
     chosen = labelled.select(F.col(id).alias("__id"), F.col(label).cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
@@ -138,12 +304,16 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 20_000, id: str = "doc
     if not sizes["t"]:
         return Grammar()
     used = known.select("__y", F.explode(F.array_distinct(F.array_compact(F.flatten(F.transform(F.array_distinct("__w"), keys))))).alias("key")).where("key <> ''")
-    candidates = used.groupBy("key").agg(F.sum("__y").alias("t"), F.sum(1 - F.col("__y")).alias("c")).where(F.expr("t >= 19 * c") & (F.col("t") >= support(sizes["t"], sizes["c"]))).orderBy(F.col("t").desc(), "key").limit(5_000)
-    # Copies of one document say the same again: what counts is how many different words a candidate follows.
-    after = known.select("__y", "__f", F.explode(F.transform("__w", lambda w, i: F.struct(keys(w).alias("keys"), F.xxhash64(F.get(F.col("__w"), i - 1)).alias("before")))).alias("x"))
-    seen = after.select("__y", "__f", "x.before", F.explode("x.keys").alias("key")).join(F.broadcast(candidates.select("key")), "key")
-    contexts = seen.groupBy("key", "before").agg(*[F.max(v).alias(n) for n, v in sums.items()])
-    found = contexts.groupBy("key").agg(*[F.sum(n).alias(n) for n in sums]).collect()  # at most 5,000 rows
+    candidates = used.groupBy("key").agg(F.sum("__y").alias("t"), F.sum(1 - F.col("__y")).alias("c")).where(F.expr("t >= 19 * c") & (F.col("t") >= support(sizes["t"], sizes["c"])))
+    # Copies of one document say the same again: each text stands for one of the words that a candidate follows in it,
+    # and what counts is how many different words that gives.
+    after = known.select("__id", "__y", "__f", F.explode(F.transform("__w", lambda w, i: F.struct(keys(w).alias("keys"), F.xxhash64(F.get(F.col("__w"), i - 1)).alias("before")))).alias("x"))
+    seen = after.select("__id", "__y", "__f", "x.before", F.explode("x.keys").alias("key")).join(candidates.select("key"), "key")
+    texts = seen.groupBy("key", "__id", "__y", "__f").agg(F.min("before").alias("before"))
+    contexts = texts.groupBy("key", "before").agg(*[F.max(v).alias(n) for n, v in sums.items()])
+    counted = contexts.groupBy("key").agg(*[F.sum(n).alias(n) for n in sums])
+    kept = [(F.col(t) >= support(sizes[t], sizes[c])) & (F.col(t) >= 19 * F.col(c)) for t, c in (("t", "c"), ("t_first", "c_first"))]
+    found = counted.where(kept[0] | kept[1]).collect()  # the entries of both lexicons
     points = []
     if sizes["t_first"]:
         trial = Grammar(lexicon(found, sizes, "t_first", "c_first"))
@@ -202,8 +372,8 @@ def summed(docs: DataFrame, grammar: Grammar, text: str) -> DataFrame:
 def score(docs: DataFrame, grammar: Grammar, id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted, total), one row per row.
 
-    A null or empty text has no clause, so its score is the foot of the curve; equal texts have equal scores. Other
-    columns are not read.
+    A null or empty text has no clause, so its score is the foot of the curve; equal texts have equal scores. Repeated
+    rows are scored one by one. Time and memory grow with the length of a text, not faster. Other columns are not read.
     """
     read = summed(docs.select(F.col(id).alias("doc_id"), whole(F.col(text)).alias("__t")), grammar, "__t")
     curve = 1 / (1 + F.exp(-(F.lit(grammar.slope) * F.log1p("total") + F.lit(grammar.offset))))
