@@ -125,13 +125,13 @@ def test_language_ignores_the_held_out_fold(spark):
 def test_clauses():
     scan = toxicity.Scanner(toxicity.Grammar({"fool": 4.0, "rott*": 2.0}))
     said = {t: scan.document(t) for t in (
-        "A fool came.", "You fool.", "You are a fool.", "not a fool.", "You are not really a fool.", "You have no shame, fool.", "You are no fool.", "She said fool.",
+        "A fool came.", "You fool.", "You are a fool.", "not a fool.", "You are not really a fool.", "You have no shame, fool.", "You are no fool.", "She said fool.", "The paper said fool.",
         "He told me that you are a fool.", "He said hello, you fool.", 'He said: "you fool" and left.', "The fool saw them there, a long way off from you.", "I will not kill you.", "I will kill you.", "kill time")}
     bare, aimed, not_aimed = 4 * toxicity.BARE, 4 * toxicity.AIMED, 4 * toxicity.AIMED * toxicity.NEGATED
     assert said["A fool came."] == bare and said["The fool saw them there, a long way off from you."] == aimed
     assert said["You fool."] == said["You are a fool."] == said["You have no shame, fool."] == said["He said hello, you fool."] == aimed
     assert said["You are not really a fool."] == said["You are no fool."] == not_aimed and said["not a fool."] == bare * toxicity.NEGATED
-    assert said["She said fool."] < said["He told me that you are a fool."] == said['He said: "you fool" and left.'] == aimed * toxicity.REPORTED
+    assert said["The paper said fool."] == bare * toxicity.REPORTED < said["She said fool."] == said["He told me that you are a fool."] == said['He said: "you fool" and left.'] == aimed * toxicity.REPORTED
     assert said["I will kill you."] == toxicity.THREAT_WEIGHT > said["I will not kill you."] > 0 == said["kill time"]
     assert scan.document("rottener; foolish") == 2 * toxicity.BARE and scan.document("He will kill him.") > 0
     assert scan.document("A fool. A fool!") == 2 * bare and scan.document(None) == 0

@@ -51,7 +51,7 @@ LENGTHS = (4, 5, 6)
 WORDS, MARKS = "IHTNDR.", "QC"
 NEGATED, AIMED, BARE, REPORTED = 0.25, 1.25, 0.5, 0.6
 #: Words that a negation and a negating determiner reach; words between an insult or a threat and its target.
-NOT_REACH, NO_REACH, BEFORE, BEHIND, THREATENED = 4, 2, 4, 4, 3
+NOT_REACH, NO_REACH, BEFORE, BEHIND, THREATENED = 4, 2, 6, 4, 3
 
 Rule = Callable[[Hashable, str], Iterable[tuple[str, float, Hashable]]]
 
