@@ -2,12 +2,14 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from voicelake.llm import language, licenses, line_dedup, mixing, quality, toxicity
@@ -79,6 +81,7 @@ def test_licenses_in_other_wordings(make):
     gnu = "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
     cases = [
         ("The MIT License (MIT)", "MIT"), ("Licensed under the terms of the Apache License, Version 2.0", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nint x;", "GPL-2.0-only WITH Classpath-exception-2.0"),
+        ("Licensed under Apache-2.0", "Apache-2.0"), ("Licensed under AGPLv3", "AGPL-3.0"), ("License: MIT", "MIT"), ("license = \"MPL-2.0\"", "MPL-2.0"), ("This software is MIT licensed", "MIT"),
         ("GNU Tool is free software; you can redistribute it and/or modify " + gnu.format(3), "GPL-3.0"), ("Foo is free software: you can redistribute it and/or modify " + gnu.format(2), "GPL-2.0"),
         ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"), ("Creative Commons Attribution 3.0 Unported License", "CC-BY-3.0"),
         *[("Copyright (c) 2020 Some One\n\n" + p.read_text() + "\nmore text of the page behind it", p.name[:-4]) for p in texts],
@@ -88,10 +91,47 @@ def test_licenses_in_other_wordings(make):
     for r in licenses.scan(make([(i, t, "a", "en") for i, (t, _) in enumerate(cases)])).collect():
         got[r.doc_id].append(r.license)
     assert got == {i: [name] for i, (_, name) in enumerate(cases)}
-    other = ["lab under the MIT dome", "a creative work by the commons", "either version 3 of the story", "Permission is hereby granted to enter."]
+    other = ["lab under the MIT dome", "a creative work by the commons", "either version 3 of the story", "Permission is hereby granted to enter.", "They granted a license to MIT.",
+             "See the license. MIT is a school", "MIT licensed the patent to a firm"]
     assert licenses.scan(make([(i, t, "a", "en") for i, t in enumerate(other)])).count() == 0
 
 
+def test_denied_licenses_are_none(make):
+    texts = ["Not licensed under the MIT License.", "This is no longer licensed under the GPLv3.", "It isn't released under the MIT License.", "This is not MIT licensed.", "It is not. Licensed under the MIT License."]
+    got = licenses.scan(make([(i, t, "a", "en") for i, t in enumerate(texts)])).collect()
+    assert [(r.doc_id, r.license) for r in got] == [(4, "MIT")]
+
+
+def test_licenses_win_by_compression():
+    search = licenses.Scan(licenses.known())
+    block = "files are licensed under the gnu lesser general public license v3 since then"
+    ranks = search.ranking(block)
+    assert len(search.templates) > 200 and [s for s, _ in ranks] == sorted((s for s, _ in ranks), reverse=True)
+    alone = len(zstandard.ZstdCompressor(level=licenses.LEVEL, write_content_size=False).compress(block.encode()))
+    for saved, i in ranks[:20]:
+        words = zstandard.ZstdCompressionDict(" ".join(search.templates[i].words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        assert saved == alone - len(zstandard.ZstdCompressor(level=licenses.LEVEL, write_content_size=False, dict_data=words).compress(block.encode()))
+    # whole texts that hold these words save as much, but their wording is not confirmed
+    every = block.split()
+    confirmed = [(saved, search.templates[i].license) for saved, i in ranks if search.confirmed(search.templates[i], every, 0, len(every))]
+    assert ranks[0][0] >= confirmed[0][0] and {name for _, name in confirmed} == {"LGPL-3.0"}
+    ((_, _, name, saved, missing, added),) = search.notices(block)
+    assert (name, missing, added) == ("LGPL-3.0", [], []) and saved == confirmed[0][0]
+
+
+def test_licenses_of_very_long_texts():
+    search = licenses.Scan(licenses.known())
+    folder = Path(licenses.__file__).with_name("license_texts")
+    mit, gpl = (folder / "MIT.txt").read_text(), (folder / "GPL-3.0.txt").read_text()
+    for text, want in (
+        (mit * 80, Counter(MIT=80)), (gpl + mit * 3 + gpl, Counter({"GPL-3.0": 2, "MIT": 3})), ("Licensed under the Apache License, Version 2.0. " * 11_500, Counter({"Apache-2.0": 11_500})),
+        ("Licensed under terms of the Apache License, Version 2.0, in part. " * 5_000, Counter({"Apache-2.0": 5_000})), ((mit.split("\n\n")[-1] + " ") * 800, Counter()),
+    ):
+        start = time.process_time()
+        assert Counter(name for _, _, name, *_ in search.notices(text)) == want
+        assert time.process_time() - start < 20  # a few seconds; minutes if it were not linear
+
+
 def test_codewords_are_far_apart():
     for n in range(2, 12):
         code = language.codewords(n)
