@@ -81,7 +81,7 @@ def test_licenses_in_other_wordings(make):
     gnu = "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
     cases = [
         ("The MIT License (MIT)", "MIT"), ("Licensed under the terms of the Apache License, Version 2.0", "Apache-2.0"), ("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nint x;", "GPL-2.0-only WITH Classpath-exception-2.0"),
-        ("Licensed under Apache-2.0", "Apache-2.0"), ("Licensed under AGPLv3", "AGPL-3.0"), ("License: MIT", "MIT"), ("license = \"MPL-2.0\"", "MPL-2.0"), ("This software is MIT licensed", "MIT"),
+        ("Licensed under Apache-2.0", "Apache-2.0"), ("Licensed under AGPLv3", "AGPL-3.0"), ("available under the Apache-2.0 license", "Apache-2.0"), ("License: MIT", "MIT"), ("license = \"MPL-2.0\"", "MPL-2.0"), ("This software is MIT licensed", "MIT"),
         ("GNU Tool is free software; you can redistribute it and/or modify " + gnu.format(3), "GPL-3.0"), ("Foo is free software: you can redistribute it and/or modify " + gnu.format(2), "GPL-2.0"),
         ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"), ("Creative Commons Attribution 3.0 Unported License", "CC-BY-3.0"),
         *[("Copyright (c) 2020 Some One\n\n" + p.read_text() + "\nmore text of the page behind it", p.name[:-4]) for p in texts],
@@ -92,7 +92,7 @@ def test_licenses_in_other_wordings(make):
         got[r.doc_id].append(r.license)
     assert got == {i: [name] for i, (_, name) in enumerate(cases)}
     other = ["lab under the MIT dome", "a creative work by the commons", "either version 3 of the story", "Permission is hereby granted to enter.", "They granted a license to MIT.",
-             "See the license. MIT is a school", "MIT licensed the patent to a firm"]
+             "See the license. MIT is a school", "MIT licensed the patent to a firm", "students under MIT supervision", "wir gehen mit der Lizenz"]
     assert licenses.scan(make([(i, t, "a", "en") for i, t in enumerate(other)])).count() == 0
 
 

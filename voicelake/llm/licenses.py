@@ -18,7 +18,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import cache, lru_cache
+from functools import cache, cached_property, lru_cache
 from itertools import combinations
 from pathlib import Path
 
@@ -66,6 +66,8 @@ CODES: dict[str, str] = {
     "GPL-2.0": "GPL-2.0", "GPL-3.0": "GPL-3.0", "GPLv2": "GPL-2.0", "GPLv3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3.0", "LGPLv2.1": "LGPL-2.1", "LGPLv3": "LGPL-3.0",
     "AGPL-3.0": "AGPL-3.0", "AGPLv3": "AGPL-3.0", "CC0-1.0": "CC0-1.0", "Unlicense": "Unlicense", "0BSD": "0BSD",
 }
+#: Wordings of a code that hold only word for word.
+STRICT = ("Licensed under {}.", "Released under {}.", "License: {}", "is {} licensed")
 #: Level of all compression.
 LEVEL = 3
 SENTENCE = re.compile(r"[.!?;:]|\n\s*\n")
@@ -118,18 +120,18 @@ def known() -> tuple[tuple[str, str], ...]:
             for name in ("-".join(full), " ".join(full)):
                 found += [(license, f"This work is licensed under a Creative Commons {name} {version} International License."), (license, f"Creative Commons {name} {version} License.")]
     for code, license in CODES.items():
-        found += [(license, f"Licensed under {code}."), (license, f"License: {code}"), (license, f"is {code} licensed")]
+        found += [(license, form.format(code)) for form in (*STRICT, "under the {} license")]
     return tuple(dict.fromkeys(found))
 
 
 class Template:
-    """Words of a template, and what a block must have to pass. All words of "License: X" and "is X licensed" must stand."""
+    """Words of a template, and what a block must have to pass."""
 
     def __init__(self, license: str, text: str) -> None:
         self.license, self.words = license, [_same(w) for w in words(text)]
         self.size = len(self.words)
         self.long = self.size > SHORT
-        self.strict = not self.long and self.words[0] in ("is", "license")
+        self.strict = not self.long and text in {form.format(code) for code in CODES for form in STRICT}
         self.tagged = self.strict and self.words[0] == "license"
         self.telling = {w for w in self.words if w not in COMMON} or set(self.words)
         self.seed = next(i for i, w in enumerate(self.words) if w in self.telling)
@@ -195,6 +197,32 @@ class Spans:
         return self.ends[self.begins[i - 1]] if i else 0
 
 
+class Words:
+    """Words of a text; their places are found only when they are asked for."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.every = text, [_same(w) for w in words(text)]
+
+    @cached_property
+    def spans(self) -> list[tuple[int, int]]:
+        return [(m.start(), m.end()) for m in WORD.finditer(self.text)]
+
+    @cached_property
+    def gaps(self) -> list[str]:
+        return [self.text[b:a] for (_, b), (a, _) in zip(self.spans, self.spans[1:])]
+
+    @cached_property
+    def tagged(self) -> set[int]:
+        """Places of "license" with a colon or an equals sign behind it."""
+        return {j for j, gap in enumerate(self.gaps) if self.every[j] == "license" and (":" in gap or "=" in gap)}
+
+    @cached_property
+    def denied(self) -> set[int]:
+        """Places right behind a denial in the same sentence."""
+        here = [j for j, w in enumerate(self.every) if w in DENIALS]
+        return {k for j in here for k in range(j + 1, j + 2 + BEFORE) if not any(SENTENCE.search(g) for g in self.gaps[j:k])}
+
+
 Notice = tuple[int, int, str, int, list[str], list[str]]
 
 
@@ -228,18 +256,19 @@ class Scan:
         return begin + first, begin + first + size, missing, added
 
     def winner(self, every: list[str], first: int, last: int, able: dict[int, tuple[int, int]]) -> Notice | None:
-        """The notice of a block: the first template of the ranking that is confirmed; equal savings: fewest differences.
+        """The notice of a block: the license of the first template of the ranking that is confirmed, in its nearest wording.
 
         `able` has the words to look at for each template that can be confirmed in the block.
         """
-        best, most = None, 0
+        best = None
         for saved, i in self.ranked(" ".join(every[first:last])):
-            if best and saved < most:
-                break
-            if i in able and (one := self.confirmed(self.templates[i], every, *able[i])):
+            t = self.templates[i]
+            if i not in able or (best and best[2] != t.license):
+                continue
+            if one := self.confirmed(t, every, *able[i]):
                 begin, end, missing, added = one
                 if best is None or len(missing) + len(added) < len(best[4]) + len(best[5]):
-                    best, most = (begin, end, self.templates[i].license, saved, missing, added), saved
+                    best = begin, end, t.license, saved, missing, added
         return best
 
     def long_notices(self, every: list[str], taken: Spans) -> list[Notice]:
@@ -265,9 +294,9 @@ class Scan:
                     after = max(after, one[1])
         return found
 
-    def short_notices(self, every: list[str], taken: Spans, tagged: set[int], denied: set[int]) -> list[Notice]:
+    def short_notices(self, here: Words, taken: Spans) -> list[Notice]:
         """Notices of the short templates; where they overlap, the one that saves most stays."""
-        found, behind = [], 0
+        found, behind, every = [], 0, here.every
         for j, word in enumerate(every):
             if word not in self.seeds or j < behind or taken.behind(j) > j:
                 continue
@@ -275,7 +304,8 @@ class Scan:
             for i in self.seeds[word]:
                 t = self.templates[i]
                 first, last = max(j - t.seed - t.margin, behind, 0), j - t.seed + t.size + t.margin
-                if t.needed_words.issubset(every[first:last]) and (not t.tagged or j - t.seed in tagged):
+                block = every[first:last]
+                if t.needed_words.issubset(block) and t.can_pass(Counter(block)) and (not t.tagged or j - t.seed in here.tagged):
                     able[i] = first, last
             if able:
                 one = self.winner(every, min(a for a, _ in able.values()), min(max(b for _, b in able.values()), len(every)), able)
@@ -283,16 +313,12 @@ class Scan:
                     found.append(one)
                     behind = one[1] if not one[4] and not one[5] else behind
         found.sort(key=lambda x: (-x[3], len(x[4]) + len(x[5]), x[0], x[2]))
-        return [x for x in found if taken.take(x[0], x[1]) and x[0] not in denied]
+        return [x for x in found if taken.take(x[0], x[1]) and x[0] not in here.denied]
 
     def notices(self, text: str) -> list[Notice]:
         """(start, end, license, bytes saved, missing words, added words) of each notice; places are characters."""
         tags = [(m.start(), m.end(1), " ".join(m[1].split())) for m in SPDX.finditer(text)]
-        spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
-        every = [_same(text[a:b].lower()) for a, b in spans]
-        gaps = [text[b:a] for (_, b), (a, _) in zip(spans, spans[1:])]
-        tagged = {j for j, gap in enumerate(gaps) if every[j] == "license" and (":" in gap or "=" in gap)}
-        denied = {k for j, w in enumerate(every) if w in DENIALS for k in range(j + 1, j + 2 + BEFORE) if not any(SENTENCE.search(g) for g in gaps[j:k])}
+        here = Words(text)
         places = Spans()
         found = []
         for a, b, name in tags:
@@ -302,10 +328,8 @@ class Scan:
                 with_itself = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=known)
                 found.append((a, b, name, len(self.alone.compress(data)) - len(with_itself.compress(data)), [], []))
         taken = Spans()
-        notices = self.long_notices(every, taken)
-        notices += self.short_notices(every, taken, tagged, denied)
-        for begin, end, *rest in notices:
-            a, b = spans[begin][0], spans[end - 1][1]
+        for begin, end, *rest in [*self.long_notices(here.every, taken), *self.short_notices(here, taken)]:
+            a, b = here.spans[begin][0], here.spans[end - 1][1]
             if places.take(a, b):
                 found.append((a, b, *rest))
         return sorted(found)
@@ -317,8 +341,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "do
     `exact` is no difference of wording at all (case and punctuation aside). Documents without a notice have no row, so
     null and empty texts have none; repeated rows repeat their rows; a null id stays null. An SPDX line gives its whole
     expression as the license. Notices of a document do not overlap. A long notice goes before short ones, and of two
-    short ones the one that saves more bytes stays, then the one with fewer differences, then the earlier one; equal
-    savings of templates at one place go to fewer differences, then to the order of the templates. A notice that the
+    short ones the one that saves more bytes stays, then the one with fewer differences, then the earlier one; templates
+    that save the same at one place keep their order, and of the wordings of a license the nearest one is told. A notice that the
     words before it deny ("not licensed under ...") is none. The time grows with the length of a text, however often it
     repeats a notice: words of a notice are not looked at again. Other columns are not read.
     """
