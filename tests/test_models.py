@@ -3,6 +3,8 @@
 import numpy as np
 
 from voicelake.operators import models
+from voicelake.plans import standins
+from voicelake.plans.catalog import QUERIES
 from voicelake.plans.stream_queries import release_rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -42,3 +44,27 @@ def test_the_margin_is_kept_whole(spark):
     model = models.fit(rows.where("part = 'train'"), "vec", "label")
     report = models.evaluate(models.score(model, rows.where("part = 'train'"), "vec")).first()
     assert report["auroc"] > 0.6 and report["cross_entropy"] < np.log(2)
+
+
+def test_linear_baseline_against_plain_newton_steps(spark):
+    from pyspark.sql import functions as F
+
+    rows = standins.frames(spark, FOLDER).select("vec", F.col("label").cast("int"), (F.pmod(F.xxhash64("frame"), F.lit(5)) == 0).alias("held")).collect()
+    x, y, held = np.array([r.vec for r in rows], dtype=float), np.array([r.label for r in rows]), np.array([r.held for r in rows])
+    x = (x - x[~held].mean(axis=0)) / x[~held].std(axis=0, ddof=1)
+    x = np.hstack([x, np.ones((len(x), 1))])
+    ridge = 0.01 * np.diag([1.0] * (x.shape[1] - 1) + [0.0])
+    w, a, b = np.zeros(x.shape[1]), x[~held], y[~held]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve(a.T * (p * (1 - p)) @ a / len(a) + ridge, a.T @ (p - b) / len(a) + ridge @ w)
+    margin = x @ w
+    got = {r.part: r.asDict() for r in QUERIES["linear_baseline"](spark, FOLDER).collect()}
+    assert set(got) == {"train", "held_out"}
+    for part, chosen in (("train", ~held), ("held_out", held)):
+        m, label = margin[chosen], y[chosen]
+        loss = np.logaddexp(0, np.where(label == 1, -m, m)).mean()
+        spoof, genuine = m[label == 1], m[label == 0]
+        area = ((spoof[:, None] > genuine).mean() + 0.5 * (spoof[:, None] == genuine).mean())
+        assert abs(got[part]["cross_entropy"] - loss) < 1e-3 and abs(got[part]["auroc"] - area) < 2e-3
+        assert got[part]["tp"] + got[part]["fn"] == (label == 1).sum() and abs(got[part]["tp"] - ((m >= 0) & (label == 1)).sum()) <= 1

@@ -185,19 +185,23 @@ def difference(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str
     return joined.select(key, F.explode(found).alias("difference"))
 
 
-def order_breaks(left: DataFrame, right: DataFrame, key: str, position: str) -> DataFrame:
+def order_breaks(left: DataFrame, right: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """Keys whose position differs between two orderings."""
-    l = left.select(key, F.col(position).alias("position_a"))  # noqa: E741
-    return l.join(right.select(key, F.col(position).alias("position_b")), key).where("position_a <> position_b")
+    l = left.select(*keys, F.col(position).alias("position_a"))  # noqa: E741
+    return l.join(right.select(*keys, F.col(position).alias("position_b")), [*keys]).where("position_a <> position_b")
 
 
-def cache_difference(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], position: str) -> DataFrame:
+def cache_difference(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], position: str, within: Sequence[str] = ()) -> DataFrame:
     """`difference` and the order check: `changed_order` for keys of both sides whose place among them differs.
 
-    The place of a key that occurs more than once is its first one.
+    The place of a key that occurs more than once is its first one. Places count inside the parts named by `within`.
     """
-    both = [ranked(a.groupBy(key).agg(F.min(position).alias(position)).join(b.select(key), key, "left_semi"), [], [F.col(position), F.col(key)], "__place") for a, b in ((left, right), (right, left))]
-    breaks = order_breaks(*both, key, "__place").select(key, F.lit("changed_order").alias("difference"))
+    keys = [key, *within]
+    both = []
+    for a, b in ((left, right), (right, left)):
+        firsts = a.groupBy(*keys).agg(F.min(position).alias(position)).join(b.select(*keys), keys, "left_semi")
+        both.append(ranked(firsts, [*within], [F.col(position), F.col(key)], "__place"))
+    breaks = order_breaks(*both, keys, "__place").select(key, F.lit("changed_order").alias("difference"))
     return difference(left, right, key, fields).unionByName(breaks)
 
 
