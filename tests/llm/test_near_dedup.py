@@ -1,4 +1,7 @@
 import hashlib
+import math
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -59,6 +62,60 @@ def test_classes_against_all_pairs(make, monkeypatch, block):
     assert got == brute(rows)
 
 
+def test_recall_against_all_pairs_of_a_table(spark):
+    """Code of its own: shingles as text, exact document frequencies, every pair of distinct texts that shares a shingle."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rng, last = np.random.default_rng(3), max(doc for doc, _ in rows)
+    for doc, text in list(rows):  # and a copy of every document with words changed, about as many as the limit allows
+        words = text.split(" ")
+        for _ in range(int(rng.integers(0, len(words) // 40 + 1))):
+            words[int(rng.integers(0, len(words)))] = f"other{rng.integers(0, 10**9)}"
+        rows.append((last + doc, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    first, bags = {}, {}
+    for doc, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        if len(words) >= 5:
+            key = " ".join(words)
+            first.setdefault(key, doc)
+            bags[first[key]] = Counter(zip(*[words[i:] for i in range(5)]))
+    frequency = Counter()
+    for doc, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        frequency.update(set(zip(*[words[i:] for i in range(5)])))
+    weight = {s: 1 + 0.1 * math.log(len(rows) / n) / math.log(len(rows)) for s, n in frequency.items()}
+    mass = {doc: sum(n * weight[s] for s, n in bag.items()) for doc, bag in bags.items()}
+    holders = defaultdict(list)
+    for doc, bag in bags.items():
+        for s, n in bag.items():
+            holders[s].append((doc, n))
+    alike, parent = [], {doc: doc for doc in bags}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for doc, bag in bags.items():
+        both = Counter()
+        for s, n in bag.items():
+            for other, m in holders[s]:
+                if other < doc:
+                    both[other] += min(n, m) * weight[s]
+        for other, shared in both.items():
+            likeness = shared / (mass[doc] + mass[other] - shared)
+            if likeness >= 0.8:
+                alike.append((other, doc))
+            if likeness >= 0.795:  # hashed frequencies may lift a weight a little
+                parent[find(doc)] = find(other)
+    group = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+    found = sum(group[a] == group[b] for a, b in alike)
+    assert len(alike) > 500 and found >= 0.99 * len(alike)
+    wrong = [(a, group[a]) for a in bags if group[a] in bags and find(a) != find(group[a])]
+    assert not wrong
+    print(len(rows), "texts,", len(alike), "pairs,", found, "found")
+
+
 def test_samples_agree_as_often_as_the_texts_are_similar():
     rng = np.random.default_rng(0)
     agree, want = [], []
