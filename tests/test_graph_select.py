@@ -220,3 +220,32 @@ def test_picks_equal_the_walk(spark):
             plain.append((scope, position, best[2]))
         assert sorted((r.scope, r.position, r.row_key) for r in walked.collect()) == sorted(plain)
     assert select.pick_recordings(df.limit(0), ["grp"], "speaker", "row_key", given, [F.lit(0)]).count() == 0
+
+
+def test_nodes_of_one_number_stay_apart(spark, monkeypatch):
+    real, calls = F.xxhash64, []
+
+    def weak(*columns):
+        calls.append(columns)
+        return F.lit(1).cast("bigint") if len(calls) == 1 else real(*columns)
+
+    monkeypatch.setattr(graph.F, "xxhash64", weak)
+    edges = [("a", "b"), ("c", "d"), ("e", "e")]
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == _components(edges) and len(calls) > 1
+
+
+def test_claims_are_parsed_once(spark):
+    """The plan of the closure edges holds each pattern a few times, not once for every place of a parsed name."""
+    from voicelake.operators import identity
+    from voicelake.plans import standins as st
+
+    folder = "/root/testdata/sf0.001"
+    edges = identity.closure_edges(st.manifest(spark, folder), st.inventory(spark, folder))
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
+    assert plan.lower().count("rlike") <= 40, plan.lower().count("rlike")

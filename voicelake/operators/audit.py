@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voicelake.functions.digests import signature
 from voicelake.functions.ids import lang_normalize, numeric_id, parse_reference
 from voicelake.operators.graph import poisoned_nodes, spanning_components
-from voicelake.operators.identity import GENUINE_CORPUS, SYNTHETIC_CORPUS, row_keys, row_problems, window_nodes
+from voicelake.operators.identity import GENUINE_CORPUS, SYNTHETIC_CORPUS, row_keys, row_problems, split_nodes
 from voicelake.operators.joins import hash_dupes, recording_collision, shared_keys
 from voicelake.operators.prefix import running
 from voicelake.session import cut
@@ -113,7 +113,7 @@ def audit_manifests(manifest: DataFrame, registry: DataFrame, registry_hashes: D
     issues.append(_issue(touched, "test_closure_component_intersects_exposure", "window_id", F.lit(test)))
     issues.append(audit_parents(rows.where(F.col("split") == test), inventory))
     issues.append(_issue(recording_collision(rows, "recording_id"), "cross_split_same_recording", "recording_id"))
-    spans = spanning_components(rows.select("window_id", "split", window_nodes(rows).alias("nodes")), "window_id", F.col("nodes"), "split")
+    spans = spanning_components(split_nodes(rows), "nodes", F.col("nodes"), "split")
     issues.append(_issue(spans, "cross_split_component", "component"))
     return union_issues(issues)
 
