@@ -259,7 +259,7 @@ def bytes_estimate(spark: SparkSession, folder: str) -> DataFrame:
     return estimate(rows, sizes, ["speaker"])
 
 
-@query("fmt_bytes", """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'unknown' WHEN b >= 1073741824 THEN printf('%.2f GiB', b / 1073741824.0::DOUBLE)
+@query("fmt_bytes", """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'unknown' WHEN b >= 1099511627776 THEN printf('%.2f TiB', b / 1099511627776.0::DOUBLE) WHEN b >= 1073741824 THEN printf('%.2f GiB', b / 1073741824.0::DOUBLE)
   WHEN b >= 1048576 THEN printf('%.2f MiB', b / 1048576.0::DOUBLE) WHEN b >= 1024 THEN printf('%.2f KiB', b / 1024.0::DOUBLE) ELSE printf('%.2f B', b::DOUBLE) END AS text
   FROM (SELECT o_orderkey, CAST(o_custkey AS BIGINT) * o_custkey * (o_orderkey % 100) AS b FROM orders)""")
 def fmt_bytes(spark: SparkSession, folder: str) -> DataFrame:
