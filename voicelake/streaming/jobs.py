@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,15 +203,81 @@ def chunk_scores(spark: SparkSession, path: str, schema: T.StructType, threshold
     return files.withColumn("decision", decide(F.col("score"), threshold))
 
 
-def event_windows(spark: SparkSession, path: str, schema: T.StructType, ts: str, value: str, width_seconds: int, out: str, checkpoint: str, salts: int = 16, delay: str = "0 seconds") -> DataFrame:
+WINDOWS = "window bigint, kind string, n bigint, total double"
+
+
+class WindowTally(StatefulProcessor):
+    """Count and sum of every window of a block of windows, until the watermark has passed the window's end.
+
+    A key is a block of neighbouring windows, so windows with few rows do not cost a call each: rows are added up by
+    array, and the state is one row for the open windows of a block. Late rows come out added up by window.
+    """
+
+    def __init__(self, width_ms: int) -> None:
+        self.width = width_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "start array<bigint>, n array<bigint>, total array<double>")
+
+    def opened(self) -> pd.DataFrame:
+        start, n, total = self.state.get() if self.state.exists() else ([], [], [])
+        return pd.DataFrame({"start": np.array(start, "int64"), "n": np.array(n, "int64"), "total": np.array(total, "float64")})
+
+    def keep(self, tallies: pd.DataFrame, before: pd.DataFrame) -> None:
+        if len(before):
+            self.handle.deleteTimer(int(before["start"].min()) + self.width)
+        if len(tallies):
+            self.handle.registerTimer(int(tallies["start"].min()) + self.width)
+            self.state.update((tallies["start"].tolist(), tallies["n"].tolist(), tallies["total"].tolist()))
+        else:
+            self.state.clear()
+
+    def rows(self, tallies: pd.DataFrame, kind: str) -> pd.DataFrame:
+        return pd.DataFrame({"window": tallies["start"].to_numpy(), "kind": kind, "n": tallies["n"].to_numpy(), "total": tallies["total"].to_numpy()})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        before, mark, parts = self.opened(), timerValues.getCurrentWatermarkInMs(), []
+        for part in rows:
+            at = part["at_ms"].to_numpy()
+            tally = pd.DataFrame({"start": at - at % self.width, "n": 1, "total": part["value"].to_numpy()}).groupby("start", as_index=False).sum()
+            late = tally["start"] + self.width <= mark
+            if late.any():
+                yield self.rows(tally[late], "late")
+            parts.append(tally[~late])
+        self.keep(pd.concat([before, *parts]).groupby("start", as_index=False).sum(), before)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        before = self.opened()
+        closed = before["start"] + self.width <= timerValues.getCurrentWatermarkInMs()
+        yield self.rows(before[closed], "closed")
+        rest = before[~closed]
+        if len(rest):
+            self.handle.registerTimer(int(rest["start"].min()) + self.width)
+            self.state.update((rest["start"].tolist(), rest["n"].tolist(), rest["total"].tolist()))
+        else:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def event_windows(
+    spark: SparkSession, path: str, schema: T.StructType, ts: str, value: str, width_seconds: int, out: str, checkpoint: str, salts: int = 16, delay: str = "0 seconds", block: int = 8192
+) -> DataFrame:
     """Count and sum of every window of event time that has closed, beside those of the rows that came after it closed.
 
-    A window's rows are dealt to `salts` tallies, so a window that holds most rows is no single key.
+    A key holds `block` neighbouring windows, and its rows are dealt to `salts` tallies, so neither many windows with few
+    rows nor one that holds most rows makes a slow key. The time column is given as a number, as in `tallies`.
     """
-    rows = _stream(spark, path, schema)
-    keyed = rows.withColumn("window", F.floor(F.unix_millis(ts) / (1000 * width_seconds)) * (1000 * width_seconds)).withColumn("salt", F.pmod(F.xxhash64(ts, value), F.lit(salts)).cast("int"))
-    found = tallies(keyed, ["window", "salt"], ts, value, out, checkpoint, delay, width_ms=1000 * width_seconds)
+    width = 1000 * width_seconds
+    marked = _stream(spark, path, schema).withWatermark(ts, delay)
+    at = F.unix_millis(ts)
+    keyed = marked.select(F.floor(at / (width * block)).alias("block"), F.pmod(F.xxhash64(ts, value), F.lit(salts)).cast("int").alias("salt"), at.alias("at_ms"), F.col(value).cast("double").alias("value"))
+    found = keyed.groupBy("block", "salt").transformWithStateInPandas(WindowTally(width), WINDOWS, "Append", "EventTime")
+    with _keyed_state(spark):
+        _finish(found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append"))
     closed = F.col("kind") == "closed"
     part = lambda c, late: F.coalesce(F.sum(F.when(~closed if late else closed, F.col(c))), F.lit(0))
     sums = [part("n", False).alias("n"), part("total", False).alias("total"), part("n", True).alias("late"), part("total", True).alias("late_total")]
-    return found.groupBy(F.timestamp_millis("window").alias("start")).agg(*sums)
+    return spark.read.schema(WINDOWS).parquet(out).groupBy(F.timestamp_millis("window").alias("start")).agg(*sums)
