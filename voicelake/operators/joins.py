@@ -25,11 +25,23 @@ def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
     return reason
 
 
+def looked_up(df: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Left join on keys that `right` holds once, or not at all.
+
+    A row without a key has no match. Rows that share the missing key would all be one task's, so they are dealt by a
+    number from the whole row; a row with a key is dealt by its key.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    missing = F.coalesce(*[F.when(F.col(c).isNull(), True) for c in on], F.lit(False))
+    dealt = df.withColumn("__deal", F.when(missing, F.xxhash64(*df.columns)).otherwise(F.xxhash64(*on)))
+    return dealt.join(right.withColumn("__deal", F.xxhash64(*on)), [*on, "__deal"], "left").drop("__deal")
+
+
 def flag(df: DataFrame, keys: DataFrame, on: str | Sequence[str], name: str) -> DataFrame:
     """`df` with a boolean: does the row's key occur in `keys`?"""
     on = [on] if isinstance(on, str) else list(on)
     marked = keys.select(*on).distinct().withColumn(name, F.lit(True))
-    return df.join(marked, on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return looked_up(df, marked, on).withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def key_hits(keys: DataFrame, registry: DataFrame, item: str, kinds: Mapping[str, str]) -> DataFrame:
@@ -76,12 +88,12 @@ def eligibility_filter(candidates: DataFrame, heldout: DataFrame, resolutions: D
     declared = F.col("source_record").isNotNull() & (F.col("__ss") == F.col("__sd"))
     kind = F.when(converted, "conversion_source").when(F.coalesce(declared, F.lit(False)), "declared_source").otherwise("tts_target_only")
     rows = rows.withColumn("source_kind", kind)
-    bad = resolutions.where(F.col("status").isin("not_found", "upstream_eval_parent", "budget_stopped")).select("record_id").distinct()
-    held = heldout.select("record_id").distinct()
-    own_source = F.when(F.col("source_kind") != "tts_target_only", F.col("source_record"))
-    rows = rows.withColumn("__own", own_source)
-    for name, right, column in (("__b_s", bad, "source_record"), ("__b_t", bad, "target_record"), ("__h_s", held, "__own"), ("__h_t", held, "target_record")):
-        rows = flag(rows, right.select(F.col("record_id").alias(column)), column, name)
+    bad = resolutions.where(F.col("status").isin("not_found", "upstream_eval_parent", "budget_stopped")).select("record_id", F.lit(True).alias("b"), F.lit(False).alias("h"))
+    # what is known of a record in one row, looked up once for each side
+    known = bad.unionByName(heldout.select("record_id", F.lit(False).alias("b"), F.lit(True).alias("h"))).groupBy("record_id").agg(F.bool_or("b").alias("b"), F.bool_or("h").alias("h"))
+    for side, column in (("s", "source_record"), ("t", "target_record")):
+        rows = looked_up(rows, known.select(F.col("record_id").alias(column), F.col("b").alias(f"__b_{side}"), F.col("h").alias(f"__h_{side}")), column)
+    rows = rows.withColumn("__h_s", F.col("__h_s") & (F.col("source_kind") != "tts_target_only"))
     rows = flag(rows, blocked, "row_id", "__blocked")
     reason = first_reason([
         ("lineage_replacement_required", F.col("__blocked")), ("reference_unresolvable_precheck", F.col("__b_s") | F.col("__b_t")),
