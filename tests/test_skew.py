@@ -38,3 +38,18 @@ def test_event_windows_share_keys(spark, tmp_path):
     got = run().orderBy("start").collect()
     assert len(got) == 10_000 and all((r["n"], r["total"]) == (1, 1.5) for r in got)
     assert sum(r["late"] for r in got) == 3 and sum(r["late_total"] for r in got) == 4.5
+
+
+def test_order_changes_keep_one_table_of_both_sides(spark):
+    """Places are compared without joining ranks: three tables are written, and the keys with another place come out."""
+    from voicelake.session import work_scope
+
+    left = spark.createDataFrame([("a", "a"), ("b", "b"), ("b", "z"), ("c", "c"), ("d", None), ("only", "only"), (None, "n")], "k string, at string")
+    right = spark.createDataFrame([("a", "a"), ("b", "~b"), ("c", "c"), ("d", "d"), ("else", "else"), (None, "n")], "k string, at string")
+    with work_scope(spark) as scope:
+        found = joins.order_changes(left, right, "k", "at")
+        # left: d (no place), a, b, c; right: a, c, d, b
+        assert sorted(r["k"] for r in found.collect()) == ["a", "b", "c", "d"]
+        assert len(scope.paths) == 3
+    same = joins.order_changes(left, left, "k", "at")
+    assert same.count() == 0

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from voicelake.functions.ids import canonical_int, parse_fname, parse_reference
 from voicelake.functions.labels import CONVERSION_GENERATORS, SPEECH_GENERATORS
 from voicelake.operators.prefix import first_k, null_safe, ranked
+from voicelake.session import cut
 
 
 def first_reason(rules: Sequence[tuple[str, Column]]) -> Column:
@@ -203,18 +204,29 @@ def order_breaks(left: DataFrame, right: DataFrame, keys: Sequence[str], positio
     return l.join(right.select(*keys, F.col(position).alias("position_b")), [*keys]).where("position_a <> position_b")
 
 
-def cache_difference(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], position: str, within: Sequence[str] = ()) -> DataFrame:
-    """`difference` and the order check: `changed_order` for keys of both sides whose place among them differs.
+def order_changes(left: DataFrame, right: DataFrame, key: str, position: str, within: Sequence[str] = ()) -> DataFrame:
+    """`changed_order` for keys of both sides whose place among them differs.
 
-    The place of a key that occurs more than once is its first one. Places count inside the parts named by `within`.
+    The place of a key that occurs more than once is its first one. Places count inside the parts named by `within`. Both
+    sides meet in one grouping, and the rows that carry their place on one side are ranked for the other, so no ranks are joined.
     """
     keys = [key, *within]
-    both = []
-    for a, b in ((left, right), (right, left)):
-        firsts = a.groupBy(*keys).agg(F.min(position).alias(position)).join(b.select(*keys), keys, "left_semi")
-        both.append(ranked(firsts, [*within], [F.col(position), F.col(key)], "__place"))
-    breaks = order_breaks(*both, keys, "__place").select(key, F.lit("changed_order").alias("difference"))
-    return difference(left, right, key, fields).unionByName(breaks)
+    row = lambda df, mine: df.select(*keys, F.struct(F.col(position).alias("p")).alias("__p"), F.lit(mine).alias("__left"))
+    both = row(left, True).unionByName(row(right, False)).where(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
+    first = both.groupBy(*keys).agg(F.min(F.when(F.col("__left"), F.col("__p"))).alias("a"), F.min(F.when(~F.col("__left"), F.col("__p"))).alias("b"))
+    # a place that is the key itself is not carried beside it
+    same = dict(left.dtypes)[position] == dict(left.dtypes)[key] == dict(right.dtypes)[position]
+    apart = lambda c: F.when(~F.col(c)["p"].eqNullSafe(F.col(key)), F.col(c)) if same else F.col(c)
+    order = lambda c: [F.when(F.col(c).isNull(), F.col(key)).otherwise(F.col(c)["p"]) if same else F.col(c)["p"], F.col(key)]
+    common = cut(first.where("a IS NOT NULL AND b IS NOT NULL").select(*keys, apart("a").alias("__a"), apart("b").alias("__b")))
+    placed = ranked(common, [*within], order("__a"), "__place_a").drop("__a")
+    placed = ranked(placed, [*within], order("__b"), "__place_b")
+    return placed.where("__place_a <> __place_b").select(key, F.lit("changed_order").alias("difference"))
+
+
+def cache_difference(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], position: str, within: Sequence[str] = ()) -> DataFrame:
+    """`difference` and the order check of `order_changes`."""
+    return difference(left, right, key, fields).unionByName(order_changes(left, right, key, position, within))
 
 
 def reuse_or_pending(wanted: DataFrame, cached: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -228,8 +228,7 @@ def manifest_cache_order(spark: SparkSession, folder: str) -> DataFrame:
     """A cache with the rows of the manifest in another order: some of them stand at the end."""
     rows = st.manifest(spark, folder)
     cached = rows.withColumn("place", F.when(F.col("duration") == 4, F.concat(F.lit("~"), "window_id")).otherwise(F.col("window_id")))
-    found = joins.cache_difference(rows.withColumn("place", F.col("window_id")), cached, "window_id", ["label", "language", "prepared_sha256", "split"], "place")
-    return found.where("difference = 'changed_order'")
+    return joins.order_changes(rows.withColumn("place", F.col("window_id")), cached, "window_id", "place")
 
 
 @query("reuse_or_pending", CACHE + """ SELECT split, coalesce(CASE WHEN c.window_id IS NULL THEN 'not_cached' WHEN m.label <> c.label THEN 'changed_label' WHEN m.language <> c.language THEN 'changed_language' END, 'reused') AS outcome,
