@@ -69,6 +69,19 @@ def test_crowded_cells_are_split_and_miss_no_pair(spark, monkeypatch):
     assert best == {i: int(np.argmax(np.round(sims[i], 9))) for i in range(210) if sims[i].max() > 0.9992}
 
 
+def test_hardly_a_pair_that_is_not_near_is_measured(spark):
+    """Noise that lies within the radius on every single direction, but not on all of them together."""
+    rng = np.random.default_rng(3)
+    vectors = np.ones(128) + 0.5 * rng.standard_normal((300, 128))
+    vectors[150:160] = vectors[:10] + 0.01 * rng.standard_normal((10, 128))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1.0) for i, v in enumerate(vectors)], "id long, vec array<double>, d double")
+    directions = sg.principal_directions(df, "vec", 128, 24)
+    got = {(r["l"], r["r"]) for r in sg.candidate_pairs(df, df, "id", "vec", 0.1, directions, [("d", 0.05)]).where("l < r").collect()}
+    near = {(i, j) for i in range(300) for j in range(i + 1, 300) if np.linalg.norm(vectors[i] - vectors[j]) <= 0.1}
+    assert near <= got and len(near) == 10 and len(got) < 50
+
+
 def test_float_digest_equals_numpy(spark):
     import hashlib
 

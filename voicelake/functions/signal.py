@@ -108,26 +108,40 @@ def loudness_profile(frame: int, bins: int):
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def profile(clips: pd.Series) -> pd.Series:
-        grid = np.linspace(0.0, 1.0, bins)
-
-        def one(clip: np.ndarray) -> np.ndarray:
-            whole = np.asarray(clip, dtype=np.float64)
-            framed = whole[: len(whole) // frame * frame].reshape(-1, frame)
-            if not len(framed):
-                return np.zeros(2 * bins)
-            loud = np.sqrt((framed**2).mean(axis=1))
-            signs = np.sign(framed)
-            flips = (signs[:, 1:] != signs[:, :-1]).mean(axis=1) if frame > 1 else np.zeros(len(framed))
-            place = np.linspace(0.0, 1.0, len(framed))
-            both = np.concatenate([np.interp(grid, place, loud), np.interp(grid, place, flips)])
-            norm = np.sqrt((both**2).sum())
-            return both / norm if norm > 0 else both
-
-        return clips.map(one)
+        return clips.map(lambda clip: clip_profile(np.asarray(clip, dtype=np.float64), frame, bins))
 
     return profile
 
 
+def clip_profile(clip: np.ndarray, frame: int, bins: int) -> np.ndarray:
+    grid = np.linspace(0.0, 1.0, bins)
+    framed = clip[: len(clip) // frame * frame].reshape(-1, frame)
+    if not len(framed):
+        return np.zeros(2 * bins)
+    loud = np.sqrt((framed**2).mean(axis=1))
+    signs = np.sign(framed)
+    flips = (signs[:, 1:] != signs[:, :-1]).mean(axis=1) if frame > 1 else np.zeros(len(framed))
+    place = np.linspace(0.0, 1.0, len(framed))
+    both = np.concatenate([np.interp(grid, place, loud), np.interp(grid, place, flips)])
+    norm = np.sqrt((both**2).sum())
+    return both / norm if norm > 0 else both
+
+
+def frame_summary(frame: int):
+    """An Arrow function for [mean | deviation | first | last] over the whole frames of a clip, NULL below two frames."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def summary(clips: pd.Series) -> pd.Series:
+        return clips.map(lambda clip: None if clip is None else clip_summary(np.asarray(clip, dtype=np.float64), frame))
+
+    return summary
+
+
+def clip_summary(clip: np.ndarray, frame: int) -> np.ndarray | None:
+    framed = clip[: len(clip) // frame * frame].reshape(-1, frame)
+    return np.concatenate([framed.mean(axis=0), framed.std(axis=0, ddof=1), framed[0], framed[-1]]) if len(framed) > 1 else None
+
+
 def normalized(values: Column) -> Column:
     norm = F.sqrt(energy(values))
     return F.when(norm > 0, F.transform(values, lambda x: x / norm)).otherwise(values)

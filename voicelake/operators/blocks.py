@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voicelake.functions import signal as fs
-from voicelake.operators.signal import WindowPolicy, dedup_exact, window_facts
+from voicelake.operators.signal import WindowPolicy, centred, dedup_exact, window_facts
 from voicelake.session import cut
 
 #: Points of a piece before its overlap, at most.
@@ -79,6 +79,30 @@ def spread(df: DataFrame, n: Column, stride: int, overlap: int = 0, up: Column |
     return rows.drop("__n", "__up", "__down")
 
 
+def clip_prints(df: DataFrame, carry: Sequence[str], points: Points, rate: int, bins: int = 64) -> DataFrame:
+    """Duration, digest of the samples and fingerprint (see `signal.fingerprint`) of whole clips, read once each."""
+    read, frame = points.read, max(1, int(0.04 * rate))
+
+    @F.pandas_udf("duration double, digest string, fingerprint array<double>")
+    def measure(*values: pd.Series) -> pd.DataFrame:
+        clips = (read(*v) for v in zip(*values))
+        return pd.DataFrame([(len(x) / rate, hashlib.sha256(x.tobytes()).hexdigest(), fs.clip_profile(x, frame, bins)) for x in clips], columns=["duration", "digest", "fingerprint"])
+
+    return df.select(*carry, measure(*points.columns).alias("p")).select(*carry, "p.*")
+
+
+def clip_sketches(df: DataFrame, key: str, points: Points, frame: int) -> DataFrame:
+    """Digest of the samples and sketch (see `signal.sketch`) of whole clips that have two frames, read once each."""
+    read = points.read
+
+    @F.pandas_udf("digest string, raw array<double>")
+    def measure(*values: pd.Series) -> pd.DataFrame:
+        clips = (read(*v) for v in zip(*values))
+        return pd.DataFrame([(hashlib.sha256(x.tobytes()).hexdigest(), fs.clip_summary(x, frame)) for x in clips], columns=["digest", "raw"])
+
+    return centred(df.select(key, measure(*points.columns).alias("p")).select(key, "p.*"), key, "digest")
+
+
 def frame_report(pieces: DataFrame, key: Sequence[str], points: Points, frame: int, threshold: float) -> DataFrame:
     """Frames, mean RMS (NULL without frames) and share of frames above the threshold of every recording.
 

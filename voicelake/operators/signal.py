@@ -13,7 +13,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -78,15 +81,19 @@ def principal_directions(df: DataFrame, vec: str, size: int, count: int = 4) ->
     return [[float(x) for x in components[:, i]] for i in range(count)]
 
 
-#: A cell with more rows than this share of all rows is split along further directions, if it has more than CELL_ROWS.
-CELL_SHARE, CELL_ROWS = 0.002, 64
+#: A cell with more left rows than this share of all, and more than CELL_ROWS, or with more than CELL_MOST is met in blocks.
+CELL_SHARE, CELL_ROWS, CELL_MOST = 0.01, 1024, 8192
+#: Directions that may make cells, and those that two rows are compared on before their vectors are joined.
+CELL_AXES, DIRECTIONS = 4, 15
+#: What single precision may add to a distance.
+SLACK = 1e-5
 
 
 def _cells(df: DataFrame, names: Sequence[str], widths: Sequence[float], spread: bool) -> Column:
     """Cell keys of a row as an array: its own cell, or with `spread` every cell within the radius (a quarter width)."""
     keys = F.array(F.lit(""))
     for name, width in zip(names, widths):
-        x, r = F.col(name), width / 4 + 1e-9
+        x, r = F.col(name), width / 4 + SLACK
         own = F.array(F.floor(x / width)) if not spread else F.sequence(F.floor((x - r) / width), F.floor((x + r) / width))
         keys = _crossed(keys, own)
     return keys
@@ -96,37 +103,69 @@ def _crossed(keys: Column, values: Column) -> Column:
     return F.flatten(F.transform(keys, lambda k: F.transform(values, lambda v: F.concat_ws(":", k, v))))
 
 
+def projected(df: DataFrame, vec: str, directions: Sequence[Sequence[float]]) -> DataFrame:
+    """`df` with `__x`: the vector along each direction, and the length of what is left of it."""
+    turn = np.array(directions).T
+
+    @F.pandas_udf("array<float>")
+    def project(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        v = np.stack(vectors.to_numpy())
+        x = v @ turn
+        rest = np.sqrt(np.maximum((v * v).sum(axis=1) - (x * x).sum(axis=1), 0))
+        return pd.Series(list(np.column_stack([x, rest]).astype(np.float32)))
+
+    return df.withColumn("__x", project(F.col(vec)))
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, key: str, vec: str, radius: float, directions: Sequence[Sequence[float]], extra: Sequence[tuple[str, float]] = ()) -> DataFrame:
     """Keys (l, r) of a left and a right row that may lie within `radius` of each other; a pair comes once, none is missed.
 
-    Two unit vectors closer than `radius` are closer than `radius` on every unit direction, so the cell of a left row is
-    always among the cells a right row is spread over, and a pair that is further apart on any direction is none. A cell
-    that holds many left rows is split again along the second half of the directions, for both sides alike, so a common
-    loudness or duration makes no hot cell. Only keys and projections move; vectors stay where they are.
+    The directions are at right angles to each other.
+    """
+    columns = [key, "__x", *[c for c, _ in extra]]
+    sides = [cut(projected(rows, vec, directions).select(*columns)) for rows in ([left] if left is right else [left, right])]
+    return meeting_pairs(sides[0], sides[-1], key, radius, len(directions), extra)
+
+
+def meeting_pairs(left: DataFrame, right: DataFrame, key: str, radius: float, size: int, extra: Sequence[tuple[str, float]] = ()) -> DataFrame:
+    """`candidate_pairs` of rows that have their projections `__x` on `size` directions already. Both sides are read twice.
+
+    Two unit vectors closer than `radius` are closer than `radius` on every direction, so the cell of a left row is always
+    among the cells a right row is spread over. Directions on which the rows lie within the radius anyway make no cells.
+    The squares of the differences on all directions, and of what is left, add up to no more than the squared distance;
+    over a few dozen directions hardly a pair passes that is not near. Rows of a crowded cell are dealt into blocks, and
+    each left block meets each right one, so a common loudness or duration makes neither a hot task nor a long buffer.
+    Only keys and projections move; vectors stay where they are.
     """
-    half = len(directions) // 2
-    reach = [radius] * half + [r for _, r in extra] + [radius] * (len(directions) - half)
-    axis = lambda i: fs.dot(F.col(vec), F.array(*[F.lit(x) for x in directions[i]]))
-    values = [axis(i) for i in range(half)] + [F.col(c).cast("double") for c, _ in extra] + [axis(i) for i in range(half, len(directions))]
-    axes = [f"__x{i}" for i in range(len(values))]
-    coarse = half + len(extra)
+    first = min(CELL_AXES, size)
+    facts = left.agg(F.count("*").alias("n"), *[F.stddev(F.col("__x")[i]).alias(f"s{i}") for i in range(first)]).first()
+    wide = [i for i in range(first) if (facts[f"s{i}"] or 0) > radius]
+    names, widths = [f"__c{i}" for i in wide] + [c for c, _ in extra], [4 * radius] * len(wide) + [4 * r for _, r in extra]
     placed = []
     for side, rows in (("l", left), ("r", right)):
-        projected = cut(rows.select(F.col(key).alias(side), *[v.alias(a) for v, a in zip(values, axes)]))
-        cells = _cells(projected, axes[:coarse], [4 * r for r in reach[:coarse]], side == "r")
-        placed.append(projected.withColumn("cell", F.explode(cells)))
-    counts = placed[0].groupBy("cell").agg(F.count("*").alias("n"))
-    limit = F.greatest(F.lit(CELL_SHARE) * left.select(F.count("*").alias("all")).scalar(), F.lit(CELL_ROWS))
-    crowded = cut(counts.where(F.col("n") > limit).select("cell", F.lit(True).alias("crowded")))
+        at = rows.withColumns({f"__c{i}": F.col("__x")[i].cast("double") for i in wide}) if wide else rows
+        flat = [F.col("__x")[i].alias(f"{side}x{i}") for i in range(size + 1)] + [F.col(c).cast("double").alias(f"{side}e{i}") for i, (c, _) in enumerate(extra)]
+        placed.append(at.select(F.col(key).alias(side), *flat, F.explode(_cells(at, names, widths, side == "r")).alias("cell")))
+    limit = min(max(CELL_SHARE * facts["n"], CELL_ROWS), CELL_MOST)
+    counts = placed[0].groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    crowded = cut(counts.select("cell", F.ceil(F.col("n") / limit).cast("int").alias("blocks")))
     split = []
     for side, rows in zip("lr", placed):
-        keys = F.when(F.col("crowded"), _cells(rows, axes[coarse:], [4 * r for r in reach[coarse:]], side == "r")).otherwise(F.array(F.lit("")))
-        packed = F.struct(*axes).alias(f"{side}x")
-        split.append(rows.join(crowded, "cell", "left").select("cell", side, packed, F.explode(keys).alias("part")))
-    pairs = split[0].join(split[1], ["cell", "part"])
-    for a, r in zip(axes, reach):
-        pairs = pairs.where(F.abs(F.col(f"lx.{a}") - F.col(f"rx.{a}")) <= r + 1e-9)
-    return pairs.select("l", "r")
+        marked = rows.join(crowded, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own, all_ = F.pmod(F.xxhash64(side), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+        parts = F.transform(all_, (lambda j: own * F.col("blocks") + j) if side == "l" else (lambda i: i * F.col("blocks") + own))  # noqa: B023
+        split.append(marked.select(*rows.columns, F.explode(parts).alias("part")))
+    # plain columns: elements of arrays would make the condition too long a method for the JVM to compile
+    apart = lambda i: F.col(f"lx{i}") - F.col(f"rx{i}")
+    close = F.lit(True)
+    for i, (_, r) in enumerate(extra):
+        close &= F.abs(F.col(f"le{i}") - F.col(f"re{i}")) <= r + 1e-9
+    for i in range(first):
+        close &= F.abs(apart(i)) <= radius + SLACK
+    close &= reduce(lambda a, b: a + b, [apart(i) * apart(i) for i in range(size + 1)]) <= (radius + SLACK) ** 2
+    return split[0].join(split[1], ["cell", "part"]).where(close).select("l", "r")
 
 
 def measured_pairs(pairs: DataFrame, rows: DataFrame, key: str, vec: str, carry: Sequence[str] = ()) -> DataFrame:
@@ -149,13 +188,13 @@ def near_duplicates(df: DataFrame, key: str, vec: str, size: int, duration: str,
     Exact copies are links to their first clip; distinct clips are paired through the grid on duration and projections
     and always verified exactly. There is no cap on partners.
     """
-    reps, links = collapse_copies(cut(df.select(key, vec, duration, digest)), key, digest)
-    radius = math.sqrt(2 - 2 * similarity)
-    base = cut(reps.select(key, vec, duration))
-    directions = principal_directions(base, vec, size, 8)
-    pairs = cut(candidate_pairs(base, base, key, vec, radius, directions, [(duration, tolerance)]).where("l < r"))
+    rows = cut(df.select(key, vec, duration, digest))
+    directions = principal_directions(rows, vec, size, min(DIRECTIONS, size))
+    reps, links = collapse_copies(projected(rows, vec, directions).select(key, duration, digest, "__x"), key, digest)
+    base = cut(reps.select(key, duration, "__x"))
+    pairs = cut(meeting_pairs(base, base, key, math.sqrt(2 - 2 * similarity), len(directions), [(duration, tolerance)]).where("l < r"))
     delta = F.abs(F.col(f"l_{duration}") - F.col(f"r_{duration}"))
-    close = measured_pairs(pairs, base, key, vec, (duration,)).withColumn("duration_delta", delta)
+    close = measured_pairs(pairs, rows, key, vec, (duration,)).withColumn("duration_delta", delta)
     near = close.where((delta <= tolerance + 1e-12) & (F.col("similarity") >= similarity)).select(F.col("l").alias("a"), F.col("r").alias("b"), "similarity", "duration_delta")
     return near.withColumn("kind", F.lit("near")).unionByName(
         links.select("a", "b", F.lit(1.0).alias("similarity"), F.lit(0.0).alias("duration_delta"), F.lit("copy").alias("kind")))
@@ -166,31 +205,33 @@ def nearest_neighbour(df: DataFrame, key: str, vec: str, size: int, digest: str,
 
     A row with exact copies has one of them as its neighbour: the first copy, or the second one for the first itself.
     """
-    reps, links = collapse_copies(cut(df.select(key, vec, digest)), key, digest)
+    rows = cut(df.select(key, vec, digest))
+    directions = principal_directions(rows, vec, size, min(DIRECTIONS, size))
+    reps, links = collapse_copies(projected(rows, vec, directions).select(key, digest, "__x"), key, digest)
     second = links.groupBy("a").agg(F.min("b").alias("b"))
     copies = links.select(F.col("b").alias(key), F.col("a").alias("neighbour")).unionByName(second.select(F.col("a").alias(key), F.col("b").alias("neighbour")))
-    radius = math.sqrt(2 - 2 * similarity)
-    base = cut(reps.select(key, vec, "copies"))
-    pairs = cut(candidate_pairs(base.where("copies = 1"), base, key, vec, radius, principal_directions(base, vec, size, 8)).where("l <> r"))
-    close = measured_pairs(pairs, base, key, vec).where(F.col("similarity") > similarity).select(F.col("l").alias(key), F.col("r").alias("neighbour"), "similarity")
+    base = cut(reps.select(key, "__x", "copies"))
+    pairs = cut(meeting_pairs(base.where("copies = 1"), base, key, math.sqrt(2 - 2 * similarity), len(directions)).where("l <> r"))
+    close = measured_pairs(pairs, rows, key, vec).where(F.col("similarity") > similarity).select(F.col("l").alias(key), F.col("r").alias("neighbour"), "similarity")
     best = close.groupBy(key).agg(F.max(F.struct(F.round("similarity", 9).alias("similarity"), (-F.col("neighbour")).alias("minus"))).alias("m"))
     return best.select(key, (-F.col("m.minus")).alias("neighbour"), F.col("m.similarity").alias("similarity")).unionByName(
         copies.select(key, "neighbour", F.lit(1.0).alias("similarity")))
 
 
 def sketch(df: DataFrame, key: str, frame_size: int, samples: str = "samples") -> DataFrame:
-    """[mean | deviation | first | last] over a clip's frames, centred over the table and normalized."""
-    from voicelake.operators.stats import pooled_mean
-
-    # a filter on the derived array would pull its whole expression below the projection
-    framed = df.where(F.size(samples) >= 2 * frame_size).withColumn("__f", fs.frames_of(F.col(samples), frame_size))
-    long = framed.select(key, F.explode_outer("__f").alias("vec"))
-    pooled = pooled_mean(long, key, "vec").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "std"))).alias("p"))  # frame_size entries
-    ends = framed.select(key, F.element_at("__f", 1).alias("first"), F.element_at("__f", -1).alias("last"))
-    raw = pooled.join(ends, key).select(key, F.concat(F.transform("p", lambda s: s["mean"]), F.transform("p", lambda s: s["std"]), F.col("first"), F.col("last")).alias("raw"))
-    centre = raw.select(F.posexplode_outer("raw").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("c"))  # one entry per dimension
+    """[mean | deviation | first | last] over a clip's frames, centred over the table and normalized. Clips of less than
+    two frames have none."""
+    return centred(df.select(key, fs.frame_summary(frame_size)(F.col(samples)).alias("raw")), key)
+
+
+def centred(df: DataFrame, key: str, *carry: str) -> DataFrame:
+    """`raw` less its mean over the table, normalized, as `sketch`; rows without `raw` are left out."""
+    # a table of its own: it is read for the centre and again for the rows
+    raw = cut(df.select(key, *carry, "raw")).where("raw IS NOT NULL")
+    centre = raw.select(F.posexplode("raw").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("c"))  # one entry per dimension
     means = centre.select(F.transform("c", lambda s: s["m"])).scalar()
-    return raw.withColumn("__m", means).withColumn("__c", F.zip_with("raw", "__m", lambda x, m: x - m)).select(key, fs.normalized(F.col("__c")).alias("sketch"))
+    moved = raw.withColumn("__m", means).withColumn("__c", F.zip_with("raw", "__m", lambda x, m: x - m))
+    return moved.select(key, *carry, fs.normalized(F.col("__c")).alias("sketch"))
 
 
 def standardize(frames: DataFrame, moments: DataFrame, vec: str = "vec") -> DataFrame:

@@ -157,9 +157,15 @@ gn AS (SELECT id, k, CASE WHEN sum(v * v) OVER (PARTITION BY id) > 0 THEN v / sq
 prints AS MATERIALIZED (SELECT id, any_value(n) AS n, list(v ORDER BY k) AS fp FROM gn JOIN nn USING (id) GROUP BY id)"""
 
 
+def _clips(spark: SparkSession, folder: str) -> tuple[DataFrame, blocks.Points]:
+    """Documents with a text, and the points of their whole waveforms."""
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
+    return rows, st.samples_of(F.lit(0), F.length("text"))
+
+
 def _prints(spark: SparkSession, folder: str) -> DataFrame:
-    rows = sg.fingerprint(st.signal(spark, folder), RATE)
-    return rows.select("id", (F.size("samples") / RATE).alias("duration"), F.sha2(F.to_json("samples"), 256).alias("digest"), "fingerprint")
+    rows, points = _clips(spark, folder)
+    return blocks.clip_prints(rows, ["id"], points, RATE)
 
 
 @query("fingerprint_rms_zcr", SIG + ", " + PRINT + " SELECT id, k AS bin, round(fp[k + 1], 6) AS value FROM prints, range(0, 128) t(k)")
@@ -195,9 +201,8 @@ sn AS MATERIALIZED (SELECT sk.id, list_transform(v, lambda x: x / nv) AS v, md5(
 @query("near_dup_top1", SIG + ", " + SKETCH + """, p AS (SELECT a.id, b.id AS neighbour, a.h = b.h AS same, CASE WHEN a.h = b.h THEN 1.0::DOUBLE ELSE round(list_dot_product(a.v, b.v), 9) END AS s FROM sn a JOIN sn b ON a.id <> b.id WHERE list_dot_product(a.v, b.v) > 0.9999)
 SELECT id, neighbour, round(s, 6) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY same DESC, s DESC, neighbour) = 1""")
 def near_dup_top1(spark: SparkSession, folder: str) -> DataFrame:
-    rows = st.signal(spark, folder)
-    vectors = sg.sketch(rows, "id", 16).join(rows.select("id", F.sha2(F.to_json("samples"), 256).alias("digest")), "id")
-    return rounded(sg.nearest_neighbour(vectors, "id", "sketch", 64, "digest"), "similarity")
+    rows, points = _clips(spark, folder)
+    return rounded(sg.nearest_neighbour(blocks.clip_sketches(rows, "id", points, 16), "id", "sketch", 64, "digest"), "similarity")
 
 
 @query("resample_grid", SIG + """, r AS (SELECT id, len(samples) AS n, CAST(ceil(len(samples) * 16 / 25.0::DOUBLE) AS BIGINT) AS m, samples FROM signal)
