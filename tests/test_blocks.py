@@ -121,3 +121,21 @@ def test_status_of_recordings(spark):
     assert [r[0] for r in sizes.select(fs.chunk_status(F.col("n"), 100)).collect()] == ["empty", "too_short", "too_short", "ok", "ok"]
     got = QUERIES["chunk_fixed"](spark, "/root/testdata/sf0.001").groupBy("status").count().collect()
     assert {r.status for r in got} == {"ok", "empty", "too_short"}
+
+
+def test_clips_are_sketched_from_their_points(spark):
+    """The sketches of points that a kernel reads are those of the same samples in arrays; copies have one digest."""
+    from voicelake.operators import signal as sg
+
+    rng = np.random.default_rng(4)
+    clips = [rng.standard_normal(n).tolist() for n in (31, 32, 200, 47, 333)]
+    clips.append(clips[2])
+    df = spark.createDataFrame(list(enumerate(clips)), "id long, samples array<double>")
+    rows = {r["id"]: r for r in blocks.clip_sketches(df, "id", blocks.stored(F.col("samples")), 16).collect()}
+    plain = {r["id"]: r["sketch"] for r in sg.sketch(df, "id", 16).collect()}
+    assert set(rows) == set(plain) == {1, 2, 3, 4, 5} and all(np.allclose(r["sketch"], plain[k]) for k, r in rows.items())
+    assert rows[2]["digest"] == rows[5]["digest"] != rows[4]["digest"]
+    framed = {k: np.array(clips[k][: len(clips[k]) // 16 * 16]).reshape(-1, 16) for k in plain}
+    raw = {k: np.concatenate([f.mean(axis=0), f.std(axis=0, ddof=1), f[0], f[-1]]) for k, f in framed.items()}
+    moved = {k: v - np.mean(list(raw.values()), axis=0) for k, v in raw.items()}
+    assert all(np.allclose(plain[k], v / np.linalg.norm(v)) for k, v in moved.items())
