@@ -135,3 +135,31 @@ def test_select_attack_spread(spark):
         every = [(0, r) for r in first] + [(1, r) for r in own if r["window_id"] not in chosen]
         want |= {(language, label, r["window_id"], passed, rank) for rank, (passed, r) in enumerate(every[:400], 1)}
     assert got == want and want
+
+
+def test_attack_spread_looks_at_late_turns_only_where_speakers_are_missing(spark, monkeypatch):
+    """Many speakers are found in the first turns, with three tables; few of them need the whole group, and the walk stays the same."""
+    from voicelake.operators import select
+    from voicelake.session import work_scope
+
+    monkeypatch.setattr(select, "GROUP_LIMIT", 8)
+    rows = [(f"w{i}", "a", 1, f"s{i}", f"g{i % 2}") for i in range(60)] + [(f"v{i}", "b", 1, None if i == 7 else f"s{i % 3 if i < 38 else i}", f"g{i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "window_id string, language string, label int, speaker string, attack string")
+    walk = lambda d: {(r["language"], r["window_id"], r["pass"], r["rank"]) for r in select.attack_spread(d, ["language"], "speaker", "attack", "window_id", "la", 8).collect()}
+    want = set()
+    for language in "ab":
+        own = sorted((hashlib.md5(f"la:{r[0]}".encode()).hexdigest(), r[0], r[3], r[4]) for r in rows if r[1] == language)
+        turn, placed, seen, first = Counter(), [], set(), []
+        for h, w, s, g in own:
+            turn[g] += 1
+            placed.append((turn[g], g, h, w, s))
+        for p in sorted(placed, key=lambda p: p[:4]):
+            if p[4] not in seen:
+                seen.add(p[4])
+                first.append(p[3])
+        every = [(0, w) for w in first] + [(1, r[1]) for r in own if r[1] not in set(first)]
+        want |= {(language, w, passed, rank) for rank, (passed, w) in enumerate(every[:8], 1)}
+    assert walk(df) == want
+    with work_scope(spark) as scope:
+        walk(df.where("language = 'a'"))
+        assert len(scope.paths) <= 3

@@ -389,16 +389,27 @@ def parity_pick(df: DataFrame, split: str, kind: str, size: str, language: str,
 
 def attack_spread(df: DataFrame, by: Sequence[str], speaker: str, attack: str, key: str, seed: str | int, count: int, label: str = "label") -> DataFrame:
     """Genuine rows: distinct speakers first, then the rest in hash order. Spoof rows: attacks in turn with speakers not
-    used yet, then the rest in hash order."""
-    hashed = df.withColumn("__hash", hash_order(seed, key))
-    genuine = hashed.where(F.col(label) == 0)
-    first = genuine.groupBy(*by, speaker).agg(F.min(F.struct("__hash", key)).alias("f")).select(F.col(f"f.{key}").alias(key), F.lit(0).alias("pass"))
-    genuine = genuine.join(first, key, "left").withColumns({"pass": F.coalesce("pass", F.lit(1)), "priority": F.struct(F.lit(0).cast("bigint").alias("turn"), F.lit("").alias("lane"), F.col("__hash"))})
-    turns = hash_ranked(hashed.where(F.col(label) == 1), [*by, attack], key, seed, "turn")
-    spoof = cut(turns.withColumn("priority", F.struct("turn", F.col(attack).alias("lane"), F.col("__hash"))))
-    members = spoof.select(key, joined_key(*by, speaker).alias("group"), F.lit(1).alias("cap"))
-    walked = capped_selection(spoof, members, key, "priority").select(key, F.lit(0).alias("pass"))
-    filler = F.struct(F.lit(0).cast("bigint").alias("turn"), F.lit("").alias("lane"), F.col("__hash"))
-    spoof = spoof.join(walked, key, "left").withColumn("pass", F.coalesce("pass", F.lit(1))).withColumn("priority", F.when(F.col("pass") == 0, F.col("priority")).otherwise(filler)).drop("turn")
-    both = genuine.unionByName(spoof)
-    return head(both, [*by, label], [F.col("pass"), F.col("priority"), F.col(key)], count).drop("__hash", "priority")
+    used yet, then the rest in hash order.
+
+    A row needs room for its speaker alone, and a speaker has room for one row: the walk takes the first row of every
+    speaker in the order of (turn in the attack, attack). The first GROUP_LIMIT turns of every attack come before all later
+    ones, so where they hold `count` speakers no other row is looked at; only the other groups are ranked whole. The rest
+    is filled from the first 2 * `count` rows in hash order, of which the walk took at most `count` if they are needed.
+    """
+    group = [*by, label]
+    lane = F.when(F.col(label) == 0, F.lit("")).otherwise(F.coalesce(attack, F.lit("")))
+    hashed = df.where(F.col(label).isin(0, 1)).withColumns({"__lane": lane, "__hash": hash_order(seed, key)})
+    rest = [c for c in df.columns if c not in group]
+    lanes = [*group, "__lane"]
+    firsts = lambda turns: turns.groupBy(*group, speaker).agg(F.min(F.struct("turn", "__lane", "__hash", key, *[c for c in rest if c not in (key, speaker)])).alias("f"))
+    turns = first_k(hashed, lanes, [F.col("__hash"), F.col(key)], GROUP_LIMIT, "turn").withColumn("turn", F.col("turn").cast("bigint"))
+    walked = early = cut(firsts(turns))
+    open_ = cut(early.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") < count).select(*group))
+    if not open_.isEmpty():
+        late = firsts(hash_ranked(null_safe(hashed, open_, group, "left_semi"), lanes, key, seed, "turn"))
+        walked = null_safe(early, open_, group, "left_anti").unionByName(late)
+    columns = [*group, *[c if c == speaker else F.col(f"f.{c}").alias(c) for c in rest]]
+    taken = cut(head(walked, group, [F.col("f")], count, "__place").select(*columns, "__place", F.lit(0).alias("pass")))
+    filler = first_k(hashed, group, [F.col("__hash"), F.col(key)], 2 * count, "__place").withColumns({"__place": F.col("__place").cast("bigint"), "pass": F.lit(1)}).drop("__lane", "__hash")
+    filler = null_safe(filler, taken.select(*group, key), [*group, key], "left_anti")
+    return head(taken.unionByName(filler), group, [F.col("pass"), F.col("__place")], count).drop("__place")
