@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voicelake.functions.digests import signature
 from voicelake.functions.ids import lang_normalize, numeric_id, parse_reference
 from voicelake.operators.graph import poisoned_nodes, spanning_components
-from voicelake.operators.identity import GENUINE_CORPUS, SYNTHETIC_CORPUS, row_keys, row_problems, split_nodes
+from voicelake.operators.identity import GENUINE_CORPUS, SYNTHETIC_CORPUS, problem_counts, row_keys, row_problems, side_keys, split_nodes
 from voicelake.operators.joins import hash_dupes, recording_collision, shared_keys
 from voicelake.operators.prefix import running
 from voicelake.session import cut
@@ -121,13 +121,13 @@ def audit_manifests(manifest: DataFrame, registry: DataFrame, registry_hashes: D
 def audit_identity(manifest: DataFrame, left: str = "train", right: str = "val") -> DataFrame:
     """Two-split identity audit as (measure, value): key counts, shared keys per role pair, duplicates, unresolved rows."""
     rows = manifest.where(F.col("split").isin(left, right))
-    keys = cut(row_keys(rows))
-    count = lambda df, measure: df.select(measure.alias("measure"))
+    keys = cut(side_keys(rows))
+    count = lambda df, measure: df.select(measure.alias("measure"), F.lit(1).cast("bigint").alias("n"))
     known = keys.where("kind IN ('s', 'r')").select("split", "kind", "node").distinct()
     measures = count(known, F.concat_ws("_", F.lit("keys"), "split", "kind"))
-    measures = measures.unionByName(count(row_problems(rows), F.lit("unresolved_required")))
+    measures = measures.unionByName(problem_counts(rows).select(F.lit("unresolved_required").alias("measure"), "n"))
     measures = measures.unionByName(count(hash_dupes(rows, "prepared_sha256"), F.concat(F.lit("prepared_duplicates_"), "scope")))
-    tallied = measures.groupBy("measure").agg(F.count("*").alias("value"))
+    tallied = measures.groupBy("measure").agg(F.sum("n").alias("value"))
     shared = shared_keys(keys.where("kind IN ('s', 'r')")).select(F.concat_ws("_", F.lit("shared"), "kind", "split_a", "role_a", F.lit("vs"), "split_b", "role_b").alias("measure"), F.col("shared").alias("value"))
     return tallied.unionByName(shared)
 
