@@ -115,6 +115,11 @@ def test_coverage_plan(spark, inputs):
     assert got == want and {"planned_dev", "planned_train", "excluded_prior_exposure"} <= {d for _, d in got}
 
 
+def test_coverage_plan_judges_its_rows_once(spark):
+    """What is counted at the end is the table of judged rows, not the inventory judged anew."""
+    assert not [f for f in QUERIES["coverage_plan"](spark, FOLDER).inputFiles() if "lineitem" in f]
+
+
 def test_a_split_of_a_cache_with_moved_rows_is_not_ready(spark):
     ready = {r.part: r.ready for r in QUERIES["audit_cache"](spark, FOLDER).collect()}
     assert ready == {"train": False, "val": True, "test": False, "features": False}

@@ -10,7 +10,7 @@ from voicelake.operators import audit, identity, joins, select
 from voicelake.plans import standins as st
 from voicelake.plans.graph_queries import ANCHORS, CLAIMS, CLOSURE, COMPONENTS, closure_inputs
 from voicelake.plans.join_queries import CACHE, HELD, _cache, held
-from voicelake.session import work_path
+from voicelake.session import cut, work_path
 from voicelake.sources import files, sinks
 from voicelake.plans.registry import query, table
 from voicelake.plans.stat_queries import SIGN
@@ -246,15 +246,17 @@ def coverage_plan(spark: SparkSession, folder: str) -> DataFrame:
     """From the inventory to a plan: exclusions, identity checks, allocation, cheapest recordings, dispositions."""
     _, _, anchors = closure_inputs(spark, folder)
     rows = st.inventory(spark, folder).where("gender = 'm'")
+    who = ["language", "speaker", "record_id", "gender"]
+    # recordings repeat their identity, so distinct ones are looked up; each row is judged once and written down
     nodes = identity.candidate_nodes(F.col("language"), F.col("speaker"), F.col("record_id"), F.col("gender"))
-    keys = rows.select("row_key", F.explode(nodes).alias("node")).withColumn("kind", F.substring("node", 1, 1))
-    hit = joins.key_hits(keys, anchors, "row_key", {"s": "s", "r": "r", "j": "j"}).select("row_key")
-    flagged = joins.flag(rows, hit, "row_key", "exposed")
-    reason = F.coalesce(joins.identity_conflict(flagged, 3.0), F.when(F.col("exposed"), "excluded_prior_exposure"))
-    judged = flagged.withColumn("reason", reason)
+    keys = rows.select(*who).distinct().select(F.struct(*who).alias("who"), F.explode_outer(nodes).alias("node")).withColumn("kind", F.substring("node", 1, 1))
+    hit = joins.key_hits(keys, anchors, "who", {"s": "s", "r": "r", "j": "j"}).select("who.*")
+    own = rows.select("row_key", *who, "shard", "row_group", "duration", "bytes", joins.identity_conflict(rows, 3.0).alias("own"))
+    reason = F.coalesce("own", F.when(F.col("exposed"), "excluded_prior_exposure")).alias("reason")
+    judged = cut(joins.flag(own, hit, who, "exposed").select("row_key", "language", "speaker", "shard", "row_group", "duration", "bytes", reason))
     usable = judged.where("reason IS NULL")
-    allocation = select.allocate_speakers(usable, ["language"], "speaker").select("language", "speaker", "split", F.col("turn").alias("turn_speaker"))
-    sizes = rows.groupBy("language", "shard", "row_group").agg(F.sum("bytes").alias("bytes"))
+    allocation = cut(select.allocate_speakers(usable, ["language"], "speaker").select("language", "speaker", "split", F.col("turn").alias("turn_speaker")))
+    sizes = judged.groupBy("language", "shard", "row_group").agg(F.sum("bytes").alias("bytes"))
     picks = select.pick_recordings(usable.join(allocation, ["language", "speaker"]), ["language"], "speaker", "row_key", sizes, [F.col("split") == "dev", F.col("turn_speaker")], 2).select("row_key", "split")
     out = judged.join(picks, "row_key", "left")
     return out.groupBy("language", F.coalesce(F.concat(F.lit("planned_"), "split"), "reason", F.lit("not_needed")).alias("disposition")).agg(F.count("*").alias("n"))
