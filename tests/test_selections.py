@@ -163,3 +163,19 @@ def test_attack_spread_looks_at_late_turns_only_where_speakers_are_missing(spark
     with work_scope(spark) as scope:
         walk(df.where("language = 'a'"))
         assert len(scope.paths) <= 3
+
+
+def test_pairs_are_walked_whole_only_where_pairs_are_missing(spark, monkeypatch):
+    """The first turns of each generator give the pairs if they hold enough that are disjoint; otherwise all are walked."""
+    from voicelake.operators import select
+
+    rows = [("a", f"s{i}", f"t{i}", f"g{i % 2}") for i in range(60)] + [("b", "s0" if i < 30 else f"s{i}", f"t{i}", "g0") for i in range(40)]
+    rows += [("c", None, f"t{i}", "g0") for i in range(5)] + [("b", "None", f"u{i}", "g1") for i in range(3)]
+    df = spark.createDataFrame(rows, "language string, source_speaker string, target_speaker string, generator string")
+    anchors = spark.createDataFrame([("a", "t40"), ("b", "s39"), ("c", ""), ("b", "")], "language string, speaker string")
+    run = lambda d: ({(*r,) for r in select.select_final_pairs(d, ["language"], 6, anchors).collect()}, {(*r,) for r in select.choose_pairs(d, ["language"], 6).collect()})
+    whole = run(df)
+    monkeypatch.setattr(select, "GROUP_LIMIT", 8)
+    assert run(df) == whole and len(whole[0]) == 17
+    pairs, kept = select.disjoint_pairs(df.where("language = 'a'"), ["language"], 6, anchors)
+    assert pairs.count() == 16 and kept.count() == 16

@@ -92,23 +92,52 @@ def joined_key(*parts: str | Column) -> Column:
     return F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("\\N")) for p in parts])
 
 
-def pair_table(df: DataFrame, by: Sequence[str], anchors: DataFrame | None = None) -> DataFrame:
+#: Rows without a source share one key; they are dealt over this many.
+DEALS = 64
+
+
+def pair_table(df: DataFrame, by: Sequence[str], anchors: DataFrame | None = None, turns: int | None = None) -> DataFrame:
     """Distinct (source, target, generator) pairs with their round-robin priority over generators.
 
-    With `anchors` (language, speaker) the pairs that touch an anchored speaker come first in their generator.
+    With `anchors` (language, speaker) the pairs that touch an anchored speaker come first in their generator. With `turns`
+    only so many first pairs of each generator, which come before all others.
     """
     source = F.when(~F.col("source_speaker").isin("", "None"), F.col("source_speaker"))
     pairs = df.select(*by, F.coalesce(source, F.lit("")).alias("source"), F.col("target_speaker").alias("target"), "generator").distinct()
     if anchors is None:
         pairs = pairs.withColumn("anchored", F.lit(0))
     else:
+        # an empty name is one key of very many pairs, so it is dealt, and known once in each part
         known = anchors.select(*by, "speaker").distinct()
-        for side in ("source", "target"):
-            pairs = null_safe(pairs, known.select(*by, F.col("speaker").alias(side), F.lit(1).alias(f"__{side}")), [*by, side], "left")
-        pairs = pairs.withColumn("anchored", F.when(F.col("__source").isNotNull() | F.col("__target").isNotNull(), 0).otherwise(1)).drop("__source", "__target")
-    turns = ranked(pairs, [*by, "generator"], [F.col("anchored"), F.col("source"), F.col("target")], "turn")
+        known = known.withColumn("__deal", F.explode(F.when(F.col("speaker") == "", F.sequence(F.lit(0), F.lit(DEALS - 1))).otherwise(F.array(F.lit(0)))))
+        for side, other in (("source", "target"), ("target", "source")):
+            dealt = F.when(F.col(side) == "", F.pmod(F.hash(other, "generator"), F.lit(DEALS))).otherwise(0)
+            pairs = null_safe(pairs.withColumn("__deal", dealt), known.select(*by, F.col("speaker").alias(side), "__deal", F.lit(1).alias(f"__{side}")), [*by, side, "__deal"], "left")
+        pairs = pairs.withColumn("anchored", F.when(F.col("__source").isNotNull() | F.col("__target").isNotNull(), 0).otherwise(1)).drop("__source", "__target", "__deal")
+    lane, order = [*by, "generator"], [F.col("anchored"), F.col("source"), F.col("target")]
+    placed = ranked(pairs, lane, order, "turn") if turns is None else first_k(pairs, lane, order, turns, "turn").withColumn("turn", F.col("turn").cast("bigint"))
     key = joined_key(*by, "source", "target", "generator")
-    return turns.withColumns({"pair": key, "priority": F.struct("turn", "generator", key.alias("pair"))})
+    return placed.withColumns({"pair": key, "priority": F.struct("turn", "generator", key.alias("pair"))})
+
+
+def disjoint_pairs(df: DataFrame, by: Sequence[str], n_pairs: int, anchors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs, and among them those that a walk with one pair a person keeps: in each group at least the first n of the walk, or all.
+
+    The walk keeps a pair whatever comes behind it, and a group's people are its own. The first GROUP_LIMIT turns of every
+    generator come before all later ones, so a group that has n pairs there is done; only the others are walked whole.
+    """
+    kept = lambda pairs: capped_selection(pairs, participants(pairs, by), "pair", "priority").select("pair")
+    early = cut(pair_table(df, by, anchors, GROUP_LIMIT))
+    walked = cut(kept(early))
+    counts = null_safe(early.select(*by, "generator", "pair"), early.join(walked, "pair", "left_semi").groupBy(*by).agg(F.count("*").alias("__kept")), by, "left")
+    # a group is open while it lacks pairs and one of its generators may have more of them
+    lanes = counts.groupBy(*by, "generator").agg(F.count("*").alias("__n"), F.max(F.coalesce("__kept", F.lit(0))).alias("__kept"))
+    open_ = cut(lanes.where((F.col("__kept") < n_pairs) & (F.col("__n") >= GROUP_LIMIT)).select(*by).distinct())
+    if open_.isEmpty():
+        return early, walked
+    late = cut(pair_table(null_safe(df, open_, by, "left_semi"), by, anchors))
+    closed = null_safe(early, open_, by, "left_anti")
+    return closed.unionByName(late), closed.join(walked, "pair", "left_semi").select("pair").unionByName(kept(late))
 
 
 def participants(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -119,16 +148,14 @@ def participants(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def select_final_pairs(df: DataFrame, by: Sequence[str], n_pairs: int, anchors: DataFrame) -> DataFrame:
     """Speaker-disjoint pairs, anchored ones first, round-robin over generators: the first n per group."""
-    pairs = cut(pair_table(df, by, anchors))
-    disjoint = capped_selection(pairs, participants(pairs, by), "pair", "priority").select("pair")
+    pairs, disjoint = disjoint_pairs(df, by, n_pairs, anchors)
     return head(pairs.join(disjoint, "pair", "left_semi"), by, [F.col("priority")], n_pairs)
 
 
 def choose_pairs(df: DataFrame, by: Sequence[str], n_pairs: int) -> DataFrame:
     """Disjoint pairs first; what is missing to n comes from the other pairs in the same priority."""
-    pairs = cut(pair_table(df, by))
-    disjoint = capped_selection(pairs, participants(pairs, by), "pair", "priority").select("pair", F.lit(0).alias("pass"))
-    passes = pairs.join(disjoint, "pair", "left").withColumn("pass", F.coalesce("pass", F.lit(1)))
+    pairs, disjoint = disjoint_pairs(df, by, n_pairs)
+    passes = pairs.join(disjoint.withColumn("pass", F.lit(0)), "pair", "left").withColumn("pass", F.coalesce("pass", F.lit(1)))
     return head(passes, by, [F.col("pass"), F.col("priority")], n_pairs)
 
 
