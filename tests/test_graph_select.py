@@ -249,3 +249,15 @@ def test_claims_are_parsed_once(spark):
     finally:
         spark.conf.set("spark.sql.debug.maxToStringFields", old)
     assert plan.lower().count("rlike") <= 40, plan.lower().count("rlike")
+
+
+def test_closure_claims_hold_each_edge_once_with_its_smallest_claim(spark):
+    """Rows that write the same names are one claim, of the smallest row."""
+    from voicelake.operators import identity
+
+    schema = "window_id string, dataset_id string, spoken_language string, generator string, source_speaker string, source_reference string, target_speaker string, target_reference string"
+    rows = [(f"w{i}", "indicsynth", "hi", "vits" if i % 2 else "xtts_v2", None, None, "7", "5-7-m.wav" if i else "05-7-m.wav") for i in (3, 1, 0, 2)]
+    listed = spark.createDataFrame([(f"i{i}", "hindi", "5", "7", "5-7-m.m4a") for i in (2, 1)], "row_key string, language string, record_id string, speaker string, fname string")
+    got = sorted(map(tuple, identity.closure_claims(spark.createDataFrame(rows, schema), listed).collect()))
+    star = [("s:hindi:7", b, "target", "w0", "xtts_v2") for b in ("j:hindi:5", "r:hindi:5-7-m", "s:hindi:7")]
+    assert got == sorted(star + [("j:hindi:5", b, "inventory", "i1", None) for b in ("j:hindi:5", "r:hindi:5-7-m", "s:hindi:7")])
