@@ -61,3 +61,13 @@ def test_components_over_partitions_and_variants(spark):
 def test_spanning_components_over_partitions(spark):
     items = spark.createDataFrame([("x", ["a", "b"]), ("y", ["c", None, "b"]), ("x", ["d"]), ("x", ["d"]), ("z", [None, "e"]), ("y", [])], "split string, keys array<string>").repartition(6)
     assert [(r.component, r.splits, r.names) for r in graph.spanning_components(items, "keys", F.col("keys"), "split").collect()] == [("a", 2, "x,y")]
+
+
+def test_sizes_are_counted_once_by_first_keys(spark):
+    """Sizes are those of the items of each component, also of items without keys; a split reads them from a table."""
+    items = spark.createDataFrame([("i1", ["a", "b"]), ("i2", [None, "b"]), ("i3", ["c"]), ("i4", []), ("i5", ["c"]), ("i5", ["c"])], "item string, keys array<string>")
+    sizes = graph.component_sizes(items, "item", F.col("keys"))
+    labels = graph.relationship_components(items, "item", F.col("keys")).groupBy("component").agg(F.count("*").alias("size"))
+    got = sorted((r.component, r.size) for r in sizes.collect())
+    assert got == sorted((r.component, r.size) for r in labels.collect()) == [("a", 2), ("c", 3), ("item:i4", 1)]
+    assert any("/voicelake-work/" in f for f in graph.split_components(sizes, "component", "size", 0.2, 7).inputFiles())
