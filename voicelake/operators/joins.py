@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voicelake.functions.ids import canonical_int, let, parse_fname, parse_reference
 from voicelake.functions.labels import CONVERSION_GENERATORS, SPEECH_GENERATORS
-from voicelake.operators.prefix import first_k, null_safe, ranked
+from voicelake.operators.prefix import first_k, null_safe, running
 from voicelake.session import cut
 
 
@@ -176,15 +176,20 @@ def keys_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("kind", "node").distinct().join(right.select("node").distinct(), "node", "left_semi").groupBy("kind").agg(F.count("*").alias("shared"))
 
 
+def _distinct_few(column: str) -> Column:
+    """Distinct count of a column of few values, as the splits are: a small set, where an exact count would shuffle all rows twice."""
+    return F.size(F.collect_set(column)).cast("bigint")
+
+
 def hash_dupes(rows: DataFrame, digest: str, split: str = "split") -> DataFrame:
     """Digests that occur more than once: copies, splits, and whether they cross splits (an error) or stay inside one."""
-    grouped = rows.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("digest")).agg(F.count("*").alias("copies"), F.count_distinct(split).alias("splits"))
+    grouped = rows.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("digest")).agg(F.count("*").alias("copies"), _distinct_few(split).alias("splits"))
     return grouped.where("copies > 1").withColumn("scope", F.when(F.col("splits") > 1, "cross_split").otherwise("within_split"))
 
 
 def recording_collision(rows: DataFrame, recording: str, split: str = "split") -> DataFrame:
     """Recordings with windows in more than one split."""
-    return rows.groupBy(recording).agg(F.count("*").alias("windows"), F.count_distinct(split).alias("splits")).where("splits > 1")
+    return rows.groupBy(recording).agg(F.count("*").alias("windows"), _distinct_few(split).alias("splits")).where("splits > 1")
 
 
 def difference(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -207,20 +212,32 @@ def order_changes(left: DataFrame, right: DataFrame, key: str, position: str, wi
     """`changed_order` for keys of both sides whose place among them differs.
 
     The place of a key that occurs more than once is its first one. Places count inside the parts named by `within`. Both
-    sides meet in one grouping, and the rows that carry their place on one side are ranked for the other, so no ranks are joined.
+    sides meet in one grouping, and one pass over the keys gives their places on both.
     """
     keys = [key, *within]
     row = lambda df, mine: df.select(*keys, F.struct(F.col(position).alias("p")).alias("__p"), F.lit(mine).alias("__left"))
     both = row(left, True).unionByName(row(right, False)).where(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
     first = both.groupBy(*keys).agg(F.min(F.when(F.col("__left"), F.col("__p"))).alias("a"), F.min(F.when(~F.col("__left"), F.col("__p"))).alias("b"))
-    # a place that is the key itself is not carried beside it
-    same = dict(left.dtypes)[position] == dict(left.dtypes)[key] == dict(right.dtypes)[position]
+    return _moved(first, key, within, dict(left.dtypes)[position] == dict(left.dtypes)[key] == dict(right.dtypes)[position]).select(key, F.lit("changed_order").alias("difference"))
+
+
+def _moved(first: DataFrame, key: str, within: Sequence[str], same: bool) -> DataFrame:
+    """(key, within) of keys whose place among the keys that have both `a` and `b` differs. With `same` a place that is the
+    key itself is not carried beside it.
+
+    One order holds all: a key that has one position on both sides is one row, any other key a row of each side. Its place on a side is the
+    number of rows of that side up to its own, so one pass counts both.
+    """
+    keys = [key, *within]
     apart = lambda c: F.when(~F.col(c)["p"].eqNullSafe(F.col(key)), F.col(c)) if same else F.col(c)
-    order = lambda c: [F.when(F.col(c).isNull(), F.col(key)).otherwise(F.col(c)["p"]) if same else F.col(c)["p"], F.col(key)]
-    common = cut(first.where("a IS NOT NULL AND b IS NOT NULL").select(*keys, apart("a").alias("__a"), apart("b").alias("__b")))
-    placed = ranked(common, [*within], order("__a"), "__place_a").drop("__a")
-    placed = ranked(placed, [*within], order("__b"), "__place_b")
-    return placed.where("__place_a <> __place_b").select(key, F.lit("changed_order").alias("difference"))
+    row = lambda c, n: F.struct(apart(c).alias("at"), F.lit(n).alias("side"))
+    rows = F.when(F.col("a")["p"].eqNullSafe(F.col("b")["p"]), F.array(row("a", "ab"))).otherwise(F.array(row("a", "a"), row("b", "b")))
+    dealt = first.where("a IS NOT NULL AND b IS NOT NULL").select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+    order = [F.when(F.col("at").isNull(), F.col(key)).otherwise(F.col("at")["p"]) if same else F.col("at")["p"], F.col(key)]
+    upto = lambda side: F.col("side").contains(side).cast("bigint")
+    placed = running(dealt, [*within], order, __a=upto("a"), __b=upto("b")).select(*keys, "side", "__a", "__b")
+    apart_rows = placed.where("side <> 'ab'").groupBy(*keys).agg(F.max(F.when(F.col("side") == "a", F.col("__a"))).alias("__a"), F.max(F.when(F.col("side") == "b", F.col("__b"))).alias("__b"))
+    return placed.where("side = 'ab'").select(*keys, "__a", "__b").unionByName(apart_rows).where("__a <> __b").select(*keys)
 
 
 def cache_difference(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], position: str, within: Sequence[str] = ()) -> DataFrame:
@@ -228,6 +245,35 @@ def cache_difference(left: DataFrame, right: DataFrame, key: str, fields: Sequen
     return difference(left, right, key, fields).unionByName(order_changes(left, right, key, position, within))
 
 
+def cache_issues(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], position: str, part: str) -> DataFrame:
+    """(part, issues): how many rows of `cache_difference` each part has. A key is counted in its part on the left, or else on the right.
+
+    Both sides meet once, and what the order check needs of them is written down beside the count. A place that is the key
+    itself does not travel, and hexadecimal digests travel as bytes.
+    """
+    same = dict(left.dtypes)[position] == dict(left.dtypes)[key] == dict(right.dtypes)[position]
+    row = F.struct(F.col(position).alias("p"))
+    place = F.when(~F.col(position).eqNullSafe(F.col(key)), row) if same else row
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(key, F.struct(*[(_packed(F.col(f)) if dict(df.dtypes)[f] == "string" else F.col(f)).alias(f) for f in fields], F.col(part).alias("__part"), place.alias("__place")).alias(name))
+
+    both = F.col("l").isNotNull() & F.col("r").isNotNull()
+    found = F.when(both, sum((F.when(~F.col(f"l.{f}").eqNullSafe(F.col(f"r.{f}")), 1).otherwise(0) for f in fields), F.lit(0))).otherwise(1)
+    joined = side(left, "l").join(side(right, "r"), key, "full_outer")
+    judged = cut(joined.select(key, F.coalesce("l.__part", "r.__part").alias(part), found.alias("__found"), (both & (F.col("l.__part") == F.col("r.__part"))).alias("__shared"),
+                               F.col("l.__place").alias("__l"), F.col("r.__place").alias("__r")))
+    own = lambda c: F.coalesce(c, F.struct(F.col(key).alias("p"))) if same else F.col(c)
+    first = judged.where(F.col("__shared") & F.col(key).isNotNull()).groupBy(key, part).agg(F.min(own("__l")).alias("a"), F.min(own("__r")).alias("b"))
+    moved = _moved(first, key, [part], same).groupBy(part).agg(F.count("*").alias("issues"))
+    return judged.groupBy(part).agg(F.sum("__found").alias("issues")).unionByName(moved).groupBy(part).agg(F.sum("issues").alias("issues"))
+
+
+def _packed(text: Column) -> Column:
+    """A text as bytes that tell it from any other: hexadecimal digests take half of theirs."""
+    return F.when(text.rlike(r"^[0-9a-f]{64}\z"), F.concat(F.unhex(F.lit("01")), F.unhex(text))).otherwise(F.concat(F.unhex(F.lit("00")), text.cast("binary")))
+
+
 def reuse_or_pending(wanted: DataFrame, cached: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Each wanted row reused when a cached row agrees on every field, else pending with the first field that differs."""
     c = cached.select(key, F.struct(*fields).alias("__c"))

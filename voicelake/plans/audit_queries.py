@@ -155,9 +155,7 @@ def audit_cache(spark: SparkSession, folder: str) -> DataFrame:
     fresh = rows.where("split <> 'train'").select(*stale.columns, moved.alias("place"))
     cached = stale.where("split = 'train'").withColumn("place", F.col("window_id")).unionByName(fresh)
     placed = rows.withColumn("place", F.col("window_id"))
-    found = joins.cache_difference(placed, cached, "window_id", ["label", "language", "prepared_sha256"], "place", ["split"])
-    parts = rows.select("window_id", "split").unionByName(cached.select("window_id", "split")).distinct()
-    by_split = parts.join(found, "window_id", "left").groupBy(F.col("split").alias("part")).agg(F.count("difference").alias("issues"))
+    by_split = joins.cache_issues(placed, cached, "window_id", ["label", "language", "prepared_sha256"], "place", "split").withColumnRenamed("split", "part")
     frames = st.frames(spark, folder).withColumn("vec", F.when(F.col("frame") % 10 == 0, F.slice("vec", 1, 63)).otherwise(F.col("vec")))
     failures = frames.select(F.explode_outer(contract_failures(frames, "vec", 64)).alias("check")).agg(F.lit("features").alias("part"), F.count("check").alias("issues"))
     return by_split.unionByName(failures).withColumn("ready", F.col("issues") == 0)
