@@ -239,9 +239,16 @@ def assemble_pools(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("source", "disposition").agg(F.count("*").alias("n"))
 
 
+#: Bytes that a coverage plan may read, as the reference fixes them.
+BUDGET = 750_000_000
+
+
 @query("coverage_plan")
 def coverage_plan(spark: SparkSession, folder: str) -> DataFrame:
-    """From the inventory to a plan: exclusions, identity checks, allocation, cheapest recordings, dispositions."""
+    """From the inventory to a plan: exclusions, identity checks, allocation, cheapest recordings, trim to the budget, digest, dispositions.
+
+    `plan_digest` is the signature of a language's plan: its picks and the ones that were trimmed.
+    """
     _, _, anchors = closure_inputs(spark, folder)
     rows = st.inventory(spark, folder).where("gender = 'm'")
     who = ["language", "speaker", "record_id", "gender"]
@@ -255,9 +262,14 @@ def coverage_plan(spark: SparkSession, folder: str) -> DataFrame:
     usable = judged.where("reason IS NULL")
     allocation = cut(select.allocate_speakers(usable, ["language"], "speaker").select("language", "speaker", "split", F.col("turn").alias("turn_speaker")))
     sizes = judged.groupBy("language", "shard", "row_group").agg(F.sum("bytes").alias("bytes"))
-    picks = select.pick_recordings(usable.join(allocation, ["language", "speaker"]), ["language"], "speaker", "row_key", sizes, [F.col("split") == "dev", F.col("turn_speaker")], 2).select("row_key", "split")
-    out = judged.join(picks, "row_key", "left")
-    return out.groupBy("language", F.coalesce(F.concat(F.lit("planned_"), "split"), "reason", F.lit("not_needed")).alias("disposition")).agg(F.count("*").alias("n"))
+    walk = [F.col("split") == "dev", F.col("turn_speaker")]
+    picks = select.pick_recordings(usable.join(allocation, ["language", "speaker"]), ["language"], "speaker", "row_key", sizes, walk, 2)
+    kept, _ = select.budget_trim(picks, "language", "speaker", BUDGET)
+    fate = F.when(F.col("__kept"), F.concat(F.lit("planned_"), "split")).otherwise("trimmed_global_budget_cap").alias("fate")
+    plan = cut(joins.flag(picks, kept, "row_key", "__kept").select("row_key", "language", "speaker", "turn", fate))
+    digests = signature(plan, F.concat_ws("|", "language", "fate", "speaker", "turn", "row_key"), ["language"]).select("language", F.col("signature").alias("plan_digest"))
+    out = judged.join(plan.select("row_key", "fate"), "row_key", "left").groupBy("language", F.coalesce("fate", "reason", F.lit("not_needed")).alias("disposition")).agg(F.count("*").alias("n"))
+    return out.join(digests, "language", "left")
 
 
 @query("set_union", "SELECT doc_id FROM labels UNION SELECT conv_id FROM conversations")
