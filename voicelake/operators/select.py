@@ -7,7 +7,7 @@ caps at once is the fixpoint of `capped_selection`, which gives exactly the rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -167,13 +167,29 @@ def rows_of_pairs(df: DataFrame, pairs: DataFrame, by: Sequence[str], key: str,
 
 
 def select_synthetic(df: DataFrame, by: Sequence[str], key: str, target: int, source_cap: int, target_cap: int, component: str | None = None,
-                     component_cap: int | None = None) -> DataFrame:
+                     component_cap: int | None = None, label: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Generator round-robin under source, target and component caps; then a soft top-up without the component cap.
 
-    The priority is (turn in the generator, generator), fixed before any row is skipped.
+    The priority is (turn in the generator, generator), fixed before any row is skipped. The first GROUP_LIMIT turns of each
+    generator come before all later ones, so a group that has `target` rows under all caps there is done; only the others are walked
+    whole. `label` adds the component to the rows that are walked.
     """
-    turns = ranked(df, [*by, "generator"], [F.col(key)], "turn").withColumn("priority", F.struct("turn", "generator", key))
-    rows = cut(turns)
+    lane, label = [*by, "generator"], label or (lambda rows: rows)
+    placed = lambda rows: cut(label(rows).withColumn("priority", F.struct("turn", "generator", key)))
+    early = placed(first_k(df, lane, [F.col(key)], GROUP_LIMIT, "turn").withColumn("turn", F.col("turn").cast("bigint")))
+    chosen = cut(_capped_walk(early, by, key, source_cap, target_cap, component, component_cap))
+    full = chosen.where("pass = 0").groupBy(*by).agg(F.count("*").alias("__kept"))
+    lanes = null_safe(early.groupBy(*lane).agg(F.count("*").alias("__n")), full, by, "left")
+    open_ = cut(lanes.where((F.col("__n") >= GROUP_LIMIT) & (F.coalesce("__kept", F.lit(0)) < target)).select(*by).distinct())
+    if not open_.isEmpty():
+        late = placed(ranked(null_safe(df, open_, by, "left_semi"), lane, [F.col(key)], "turn"))
+        whole = _capped_walk(late, by, key, source_cap, target_cap, component, component_cap)
+        chosen = null_safe(chosen, open_, by, "left_anti").unionByName(whole)
+    return head(chosen, by, [F.col("pass"), F.col("priority")], target)
+
+
+def _capped_walk(rows: DataFrame, by: Sequence[str], key: str, source_cap: int, target_cap: int, component: str | None, component_cap: int | None) -> DataFrame:
+    """The rows that the walk under all caps takes (`pass` 0), and those that it takes without the component cap (1)."""
     scope = lambda kind, c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), joined_key(F.lit(kind), *by, c))
     caps = [("s", "source_speaker", source_cap), ("t", "target_speaker", target_cap)]
 
@@ -183,11 +199,9 @@ def select_synthetic(df: DataFrame, by: Sequence[str], key: str, target: int, so
 
     soft = capped_selection(rows, memberships(caps), key, "priority").select(key)
     if component is None:
-        chosen = rows.join(soft, key, "left_semi").withColumn("pass", F.lit(0))
-    else:
-        strict = capped_selection(rows, memberships([*caps, ("c", component, component_cap)]), key, "priority").select(key, F.lit(0).alias("pass"))
-        chosen = rows.join(soft.unionByName(strict.select(key)).distinct(), key, "left_semi").join(strict, key, "left").withColumn("pass", F.coalesce("pass", F.lit(1)))
-    return head(chosen, by, [F.col("pass"), F.col("priority")], target)
+        return rows.join(soft, key, "left_semi").withColumn("pass", F.lit(0))
+    strict = capped_selection(rows, memberships([*caps, ("c", component, component_cap)]), key, "priority").select(key, F.lit(0).alias("pass"))
+    return rows.join(soft.unionByName(strict.select(key)).distinct(), key, "left_semi").join(strict, key, "left").withColumn("pass", F.coalesce("pass", F.lit(1)))
 
 
 def _walk_block(slots: pd.DataFrame, offers: pd.DataFrame) -> pd.DataFrame:

@@ -74,8 +74,9 @@ def select_synthetic(spark: SparkSession, folder: str) -> DataFrame:
     """Caps of 2 per source, 2 per target and 20 per component, 500 rows per language."""
     rows = candidates(spark, folder).where("target_speaker IS NOT NULL")
     node = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(":", "language", c))
-    labels = graph.relationship_components(rows.select("row_id", F.array(node("target_speaker"), node("source_speaker")).alias("k")), "row_id", F.col("k"))
-    out = select.select_synthetic(rows.join(labels, "row_id"), ["language"], "row_id", 500, 2, 2, "component", 20)
+    named = graph.labeller(graph.star_edges(rows, F.array(node("target_speaker"), node("source_speaker"))))
+    label = lambda few: named(few.withColumn("node", node("target_speaker")), "node").drop("node")
+    out = select.select_synthetic(rows, ["language"], "row_id", 500, 2, 2, "component", 20, label)
     return out.select("language", "generator", "row_id", "turn", "pass", "rank")
 
 
